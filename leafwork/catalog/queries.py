@@ -284,8 +284,8 @@ def page_slugs(v: Views) -> DataFrame:
     return v["documents"].select("doc_id", slug(title).alias("slug"))
 
 
-def _new_paths(v: Views) -> DataFrame:
-    """Orders as new pages, named after their priority, below customers that have paths."""
+def _new_paths(v: Views, order_id: F.Column | None = None) -> DataFrame:
+    """Orders as new pages, named after their priority, below customers with and without paths."""
     kept = v["fx_region"].unionByName(v["fx_nation"], allowMissingColumns=True)
     customers = v["fx_customer"].where("c_custkey % 4 <> 2")
     known = kept.unionByName(customers, allowMissingColumns=True).select("id", "file_path")
@@ -293,7 +293,7 @@ def _new_paths(v: Views) -> DataFrame:
         "id", "parent_id", F.lit("A customer").alias("title"), "folder", "is_root", F.lit(1).cast("bigint").alias("priority")
     )
     new = v["fx_order"].select(
-        "id", "parent_id", F.col("o_orderpriority").alias("title"), "folder", "is_root",
+        (F.col("id") if order_id is None else order_id).alias("id"), "parent_id", F.col("o_orderpriority").alias("title"), "folder", "is_root",
         (F.col("o_orderkey") % 3).alias("priority"),
     )
     return paths.assign_paths(new.unionByName(rest), known)
@@ -306,7 +306,9 @@ def page_paths(v: Views) -> DataFrame:
 
 @query
 def path_collisions(v: Views) -> DataFrame:
-    return paths.path_collisions(_new_paths(v))
+    """Paths that come out twice when the ids of many pages start alike."""
+    alike = F.concat(F.substring(F.md5((F.col("o_orderkey") % 8).cast("string")), 1, 4), F.substring("id", 5, 28))
+    return paths.path_collisions(_new_paths(v, alike))
 
 
 # -- rendering ---------------------------------------------------------------------------------
@@ -605,14 +607,14 @@ def _classified(v: Views) -> DataFrame:
 def event_status(v: Views) -> DataFrame:
     """What happens to every request: status, route and the time it arrived."""
     return _classified(v).select(
-        F.unix_micros("received_at").alias("received_at"), "status", "route",
-        F.when(F.col("status") != "malformed", F.col("event_id")).alias("event_id"),
+        "event_id", F.unix_micros("received_at").alias("received_at"), "status", "route"
     )
 
 
 @query
 def event_queue(v: Views) -> DataFrame:
-    rows = edits.event_queue_rows(_classified(v), v["fx_registry"])
+    known = v["fx_customer"].where("c_custkey % 3 <> 0")
+    rows = edits.event_queue_rows(_classified(v), known)
     return rows.select("seq", "type", "folder", "page_id", F.unix_micros("last_edited").alias("arrived"))
 
 
@@ -627,7 +629,11 @@ def event_coalesced(v: Views) -> DataFrame:
     rows = edits.coalesced(_classified(v)).select(
         F.col("entity_id").alias("page_id"), F.col("last_at").alias("last_edited"), "notifications"
     )
-    return newer_than_processed(rows, v["fx_registry"]).select(
+    known = v["fx_customer"].select(
+        "id", F.when(F.col("c_custkey") % 2 == 0, F.expr("timestamp '2024-01-30 12:00:00'"))
+        .otherwise(F.col("last_edited")).alias("last_edited"),
+    )
+    return newer_than_processed(rows, known).select(
         "page_id", F.unix_micros("last_edited").alias("last_edited"), "notifications"
     )
 
@@ -657,14 +663,16 @@ def event_deletions(v: Views) -> DataFrame:
 
 
 def workspace(v: Views) -> sync.Workspace:
+    """The example workspace as landed tables: written once, read by every step of the job."""
     known = v["fx_region"].unionByName(v["fx_nation"], allowMissingColumns=True).drop("r_regionkey", "n_nationkey")
     errors = v["fx_doc_pages"].where("doc_id % 29 = 8").select(
         F.col("id").alias("page_id"), F.when(F.col("doc_id") % 2 == 0, 404).otherwise(500).alias("status"),
         F.lit(None).cast("string").alias("code"), F.lit(False).alias("no_data_sources"),
     )
     return sync.Workspace(
-        pages=rec.doc_page_records(v), databases=rec.database_records(v), entries=rec.entry_records(v),
-        blocks=rec.doc_blocks(v), users=v["fx_users"], registry=known, errors=errors,
+        pages=staged(rec.doc_page_records(v)), databases=staged(rec.database_records(v)),
+        entries=staged(rec.entry_records(v)), blocks=staged(rec.doc_blocks(v)), users=v["fx_users"],
+        registry=staged(known), errors=errors,
     )
 
 

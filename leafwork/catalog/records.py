@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from leafwork import schemas
 from leafwork.catalog.views import Views
 from leafwork.functions.events import hmac_sha256
+from leafwork.functions.ids import dashed_id
 
 SECRET = "example-secret"
 
@@ -150,15 +151,14 @@ def link_blocks(views: Views) -> DataFrame:
         holder.alias("parent_id"),
         F.lit(0).alias("ordinal"),
         F.when(F.col("c_custkey") % 2 == 0, "child_database").otherwise("child_page").alias("type"),
-        F.lit(False).alias("has_children"),
+        (F.col("c_custkey") % 6 == 0).alias("has_children"),
         F.array(span(F.lit(""))).alias("rich_text"),
         F.col("c_name").alias("title"),
         F.lit(True).alias("payload_present"),
     )
     again = customers.where(F.col("c_custkey") % 5 == 0).select(
         nation.alias("page_id"),
-        F.upper(F.lit("x")).alias("_"),
-        customer.alias("block_id"),
+        dashed_id(customer).alias("block_id"),
         nation.alias("parent_id"),
         (F.col("c_custkey") * 2 + 1).cast("int").alias("ordinal"),
         F.lit("child_page").alias("type"),
@@ -166,8 +166,21 @@ def link_blocks(views: Views) -> DataFrame:
         F.array(span(F.lit(""))).alias("rich_text"),
         F.col("c_name").alias("title"),
         F.lit(True).alias("payload_present"),
-    ).drop("_")
-    return conform(tops.unionByName(nested).unionByName(again), schemas.BLOCK)
+    )
+    deep = customers.where(F.col("c_custkey") % 6 == 0).select(
+        nation.alias("page_id"),
+        F.md5(F.concat(F.lit("deep:"), F.col("c_custkey").cast("string"))).alias("block_id"),
+        customer.alias("parent_id"),
+        F.lit(0).alias("ordinal"),
+        F.lit("paragraph").alias("type"),
+        F.lit(False).alias("has_children"),
+        F.array(span(F.lit("deep"))).alias("rich_text"),
+        F.col("c_name").alias("title"),
+        F.lit(True).alias("payload_present"),
+    )
+    return conform(
+        tops.unionByName(nested).unionByName(again).unionByName(deep), schemas.BLOCK
+    )
 
 
 def entry_records(views: Views) -> DataFrame:

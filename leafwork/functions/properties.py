@@ -45,53 +45,64 @@ def entry_title(properties: Column) -> Column:
 
 def property_text(prop: Column) -> Column:
     """Header text of a property value by type; null when the property is left out."""
-
-    def listed(values: Column) -> Column:
-        lines = F.transform(values, lambda v: F.concat(F.lit("    - "), quoted(F.coalesce(v, F.lit("")))))
-        return F.when(F.size(values) > 0, F.concat(F.lit("\n"), F.array_join(lines, "\n")))
-
-    def truth(flag: Column) -> Column:
-        return F.when(flag, F.lit("true")).when(~flag, F.lit("false"))
-
     kind = prop["type"]
     formula, rollup, unique = prop["formula"], prop["rollup"], prop["unique_id"]
     number = F.coalesce(unique["number"], F.lit(0)).cast("string")
-    arms = {
-        "rich_text": F.when(F.size(prop["rich_text"]) > 0, quoted(plain_text(prop["rich_text"]))),
-        "number": plain_number(prop["number"]),
-        "select": quoted(prop["select"]["name"]),
-        "multi_select": listed(F.transform(prop["multi_select"], lambda o: o["name"])),
-        "status": quoted(prop["status"]["name"]),
-        "date": quoted(prop["date"]["start"]),
-        "checkbox": truth(F.coalesce(prop["checkbox"], F.lit(False))),
-        "url": quoted(prop["url"]),
-        "email": quoted(prop["email"]),
-        "phone_number": quoted(prop["phone_number"]),
-        "people": listed(F.transform(prop["people"], lambda o: o["id"])),
-        "relation": listed(F.transform(prop["relation"], lambda o: o["id"])),
-        "formula": F.when(formula["type"] == "string", quoted(formula["string"]))
-        .when(formula["type"] == "number", plain_number(formula["number"]))
-        .when(formula["type"] == "boolean", truth(formula["boolean"]))
-        .when(formula["type"] == "date", quoted(formula["date"]["start"])),
-        "rollup": F.when(rollup["type"] == "number", plain_number(rollup["number"])).when(
-            rollup["type"] == "date", quoted(rollup["date"]["start"])
-        ),
-        "created_by": quoted(prop["created_by"]["id"]),
-        "last_edited_by": quoted(prop["last_edited_by"]["id"]),
-        "created_time": quoted(prop["created_time"]),
-        "last_edited_time": quoted(prop["last_edited_time"]),
-        "unique_id": F.when(
-            unique.isNotNull(),
-            F.when(
-                unique["prefix"].isNotNull(),
-                quoted(F.concat(unique["prefix"], F.lit("-"), number)),
-            ).otherwise(number),
-        ),
-    }
-    text = F.lit(None).cast("string")
-    for name, value in reversed(arms.items()):
-        text = F.when(kind == name, value).otherwise(text)
-    return text
+
+    def pick(arms: dict[str, Column]) -> Column:
+        chosen = F.when(kind == "title", F.lit(None))
+        for name, value in arms.items():
+            chosen = chosen.when(kind == name, value)
+        return chosen
+
+    texts = pick(
+        {
+            "rich_text": F.when(F.size(prop["rich_text"]) > 0, plain_text(prop["rich_text"])),
+            "select": prop["select"]["name"],
+            "status": prop["status"]["name"],
+            "date": prop["date"]["start"],
+            "url": prop["url"],
+            "email": prop["email"],
+            "phone_number": prop["phone_number"],
+            "formula": F.when(formula["type"] == "string", formula["string"]).when(
+                formula["type"] == "date", formula["date"]["start"]
+            ),
+            "rollup": F.when(rollup["type"] == "date", rollup["date"]["start"]),
+            "created_by": prop["created_by"]["id"],
+            "last_edited_by": prop["last_edited_by"]["id"],
+            "created_time": prop["created_time"],
+            "last_edited_time": prop["last_edited_time"],
+            "unique_id": F.concat(unique["prefix"], F.lit("-"), number),
+        }
+    )
+    numbers = pick(
+        {
+            "number": prop["number"],
+            "formula": F.when(formula["type"] == "number", formula["number"]),
+            "rollup": F.when(rollup["type"] == "number", rollup["number"]),
+        }
+    )
+    flags = pick(
+        {
+            "checkbox": F.coalesce(prop["checkbox"], F.lit(False)),
+            "formula": F.when(formula["type"] == "boolean", formula["boolean"]),
+        }
+    )
+    lists = pick(
+        {
+            "multi_select": prop["multi_select"]["name"],
+            "people": prop["people"]["id"],
+            "relation": prop["relation"]["id"],
+        }
+    )
+    lines = F.transform(lists, lambda v: F.concat(F.lit("    - "), quoted(F.coalesce(v, F.lit("")))))
+    return F.coalesce(
+        quoted(texts),
+        plain_number(numbers),
+        F.when(flags, "true").when(~flags, "false"),
+        F.when(F.size(lines) > 0, F.concat(F.lit("\n"), F.array_join(lines, "\n"))),
+        F.when((kind == "unique_id") & unique.isNotNull(), number),
+    )
 
 
 def property_lines(properties: Column) -> Column:

@@ -38,12 +38,15 @@ def markdown(spans: Column) -> Column:
     def one(span: Column) -> Column:
         mention = F.when(span["type"] == "mention", user_label(span["mention"]["user"]))
         text = F.coalesce(F.concat(F.lit("@"), mention), span["plain_text"], F.lit(""))
-        for flag, mark in (("code", "`"), ("bold", "**"), ("italic", "_"), ("strikethrough", "~~")):
-            marked = F.concat(F.lit(mark), text, F.lit(mark))
-            text = F.when(span["annotations"][flag], marked).otherwise(text)
+        # marks go around the text from the outside in, so it appears only once in the expression
+        marks = [
+            F.when(span["annotations"][flag], F.lit(mark)).otherwise(F.lit(""))
+            for flag, mark in (("strikethrough", "~~"), ("italic", "_"), ("bold", "**"), ("code", "`"))
+        ]
         href = blank_to_null(span["href"])
-        linked = F.concat(F.lit("["), text, F.lit("]("), href, F.lit(")"))
-        return F.coalesce(linked, text)
+        opening = F.when(href.isNotNull(), F.lit("[")).otherwise(F.lit(""))
+        closing = F.coalesce(F.concat(F.lit("]("), href, F.lit(")")), F.lit(""))
+        return F.concat(opening, *marks, text, *reversed(marks), closing)
 
     return F.coalesce(F.array_join(F.transform(spans, one), ""), F.lit(""))
 

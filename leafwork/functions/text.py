@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ MAX_SLUG = 100  # fixed value
 UNTITLED = "untitled"  # fixed value
 
 
+def bound(value: Column, build: Callable[[Column], Column]) -> Column:
+    """`build(value)` with `value` evaluated once, however often the result mentions it."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 @cache
 def _accent_map() -> tuple[str, str]:
     """Characters that canonically decompose to one ASCII character plus combining marks."""
@@ -36,26 +42,36 @@ def slug(value: Column) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit(UNTITLED))
 
 
+_UNPRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
+_SPECIAL = r"[\p{C}\p{Z}\"\\&&[^ ]]"
+# fixed values: characters with an escape of their own
+_NAMED = (
+    r"""map('"', r'\"', r'\', r'\\', char(7), r'\a', char(8), r'\b', char(12), r'\f', """
+    r"""char(10), r'\n', char(13), r'\r', char(9), r'\t', char(11), r'\v')"""
+)
+
+
+def _escaped(char: Column) -> Column:
+    code = F.ascii(char)
+    width = F.when(code < 0x80, 2).when(code < 0x10000, 4).otherwise(8)
+    mark = F.when(code < 0x80, "\\x").when(code < 0x10000, "\\u").otherwise("\\U")
+    numbered = F.concat(mark, F.lpad(F.lower(F.hex(code)), width, F.lit("0")))
+    return F.coalesce(
+        F.try_element_at(F.expr(_NAMED), char),
+        F.when(char.rlike(_UNPRINTABLE), numbered).otherwise(char),
+    )
+
+
 def quoted(value: Column) -> Column:
     """Double-quoted text with backslash escapes; only printable characters stay as they are."""
-    text = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for char, name in (("\a", "a"), ("\b", "b"), ("\f", "f"), ("\n", "n"),
-                       ("\r", "r"), ("\t", "t"), ("\v", "v")):
-        text = F.replace(text, F.lit(char), F.lit("\\" + name))
-    unprintable = r"[\p{C}\p{Z}&&[^ ]]"
-
-    def escaped(char: Column) -> Column:
-        code = F.ascii(char)
-        digits = F.lower(F.hex(code))
-        return (
-            F.when(~char.rlike(unprintable), char)
-            .when(code < 0x80, F.concat(F.lit("\\x"), F.lpad(digits, 2, "0")))
-            .when(code < 0x10000, F.concat(F.lit("\\u"), F.lpad(digits, 4, "0")))
-            .otherwise(F.concat(F.lit("\\U"), F.lpad(digits, 8, "0")))
+
+    def build(text: Column) -> Column:
+        escaped = F.array_join(F.transform(F.split(text, ""), _escaped), "")
+        return F.concat(
+            F.lit('"'), F.when(text.rlike(_SPECIAL), escaped).otherwise(text), F.lit('"')
         )
 
-    rare = F.array_join(F.transform(F.split(text, ""), escaped), "")
-    return F.concat(F.lit('"'), F.when(text.rlike(unprintable), rare).otherwise(text), F.lit('"'))
+    return bound(value, build)
 
 
 def plain_number(value: Column) -> Column:
@@ -65,21 +81,28 @@ def plain_number(value: Column) -> Column:
     rounded = [F.format_string(f"%.{digits}e", value) for digits in (14, 15)]
     shorter = [F.when(text.cast("double") == value, text) for text in rounded]
     text = F.upper(F.when(F.length(printed) > 16, F.coalesce(*shorter, printed)).otherwise(printed))
-    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    whole = F.regexp_extract(text, r"^-?(\d+)", 1)
-    fraction = F.regexp_replace(F.regexp_extract(text, r"\.(\d+)", 1), "0+$", "")
-    exponent = F.coalesce(F.regexp_extract(text, r"E([+-]?\d+)$", 1).try_cast("int"), F.lit(0))
-    width = F.length(fraction)
-    padded = F.rpad(fraction, F.greatest(exponent, width), F.lit("0"))
-    large = F.concat(
-        whole,
-        F.substr(padded, F.lit(1), exponent),
-        F.when(width > exponent,
-               F.concat(F.lit("."), F.substr(padded, exponent + 1, F.length(padded))))
-        .otherwise(F.lit("")),
-    )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), whole, fraction)
-    return F.concat(sign, F.when(exponent < 0, small).otherwise(large))
+
+    def parts(text: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(text, r"^(-?)", 1).alias("sign"),
+            F.regexp_extract(text, r"^-?(\d+)", 1).alias("whole"),
+            F.regexp_replace(F.regexp_extract(text, r"\.(\d+)", 1), "0+$", "").alias("fraction"),
+            F.coalesce(F.regexp_extract(text, r"E([+-]?\d+)$", 1).try_cast("int"), F.lit(0)).alias("exponent"),
+        )
+
+    def shifted(number: Column) -> Column:
+        fraction, exponent = number["fraction"], number["exponent"]
+        padded = F.rpad(fraction, F.greatest(exponent, F.length(fraction)), F.lit("0"))
+        large = F.concat(
+            number["whole"],
+            F.substr(padded, F.lit(1), exponent),
+            F.when(F.length(fraction) > exponent, F.concat(F.lit("."), F.substr(fraction, exponent + 1, F.length(fraction))))
+            .otherwise(F.lit("")),
+        )
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), number["whole"], fraction)
+        return F.concat(number["sign"], F.when(exponent < 0, small).otherwise(large))
+
+    return bound(bound(text, parts), shifted)
 
 
 def rfc3339(value: Column) -> Column:

@@ -174,15 +174,28 @@ def positions(edges: DataFrame, order: str, *, floor: int = HOT_FLOOR) -> DataFr
     )
 
 
+def with_texts(blocks: DataFrame) -> DataFrame:
+    """Blocks with the texts of their spans, so that the rules of `block_text` stay small."""
+    return blocks.select(
+        "*",
+        markdown(F.col("rich_text")).alias("text"),
+        plain_text(F.col("rich_text")).alias("plain"),
+        plain_text(F.col("caption")).alias("caption_text"),
+        F.coalesce("title", F.lit("")).alias("label"),
+        slug(F.col("title")).alias("label_slug"),
+    )
+
+
 def block_text(page_slug: Column, file_url: Callable[[Column], Column]) -> tuple[Column, Column]:
-    """Text a block starts with and text that closes it (null where nothing closes)."""
+    """Text a block starts with and text that closes it (null where nothing closes).
+
+    Refers to the columns that `with_texts` adds.
+    """
     kind = F.col("type")
-    text, plain = markdown(F.col("rich_text")), plain_text(F.col("rich_text"))
-    caption = plain_text(F.col("caption"))
+    text, plain, caption = F.col("text"), F.col("plain"), F.col("caption_text")
     indent = F.repeat(F.lit("  "), F.col("depth"))
     own_id = normalize_id(F.col("block_id"))
     url = file_url(F.coalesce("external_url", "file_url", F.lit("")))
-    title = F.coalesce("title", F.lit(""))
     newline = F.lit("\n")
 
     def blank(value: Column, default: str | Column) -> Column:
@@ -204,7 +217,7 @@ def block_text(page_slug: Column, file_url: Callable[[Column], Column]) -> tuple
         return F.concat(F.lit("> "), first, F.replace(text, newline, F.lit("\n> ")), newline)
 
     emoji = blank(F.concat(F.nullif(F.col("emoji"), F.lit("")), F.lit(" ")), "")
-    child = F.concat(F.lit("- ["), title, F.lit("](./"), page_slug, F.lit("/"), slug(title),
+    child = F.concat(F.lit("- ["), F.col("label"), F.lit("](./"), page_slug, F.lit("/"), F.col("label_slug"),
                      F.lit(".md)"), page_comment(F.col("block_id")))
     link_page, link_database = F.nullif("link_page_id", F.lit("")), F.nullif("link_database_id", F.lit(""))
     language = F.when(F.col("language") == "plain text", "").otherwise(
@@ -255,16 +268,15 @@ def block_text(page_slug: Column, file_url: Callable[[Column], Column]) -> tuple
         ),
         "embed": F.concat(F.lit("[Embed]("), web, F.lit(")\n")),
     }
-    opening = F.lit("")
-    for name, value in reversed(arms.items()):
-        opening = F.when(kind == name, value).otherwise(opening)
     opening = (
         F.when(kind == "divider", F.lit("---\n"))
         .when(kind == "table_of_contents", F.lit("[TOC]\n"))
         .when(~F.col("payload_present"), F.when(kind == "paragraph", newline).otherwise(""))
         .when((kind == "table_row") & F.col("row_width").isNotNull(), row)
-        .otherwise(F.coalesce(opening, F.lit("")))
     )
+    for name, value in arms.items():
+        opening = opening.when(kind == name, F.coalesce(value, F.lit("")))
+    opening = opening.otherwise(F.lit(""))
     closes = F.col("payload_present") & (
         (kind == "toggle") | (kind.isin(*HEADINGS) & F.col("is_toggleable"))
     )

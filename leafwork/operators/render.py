@@ -13,7 +13,7 @@ from leafwork.functions.paths import stem
 from leafwork.functions.properties import entry_title, page_title, property_lines
 from leafwork.functions.richtext import icon_text, plain_text, user_label
 from leafwork.functions.text import quoted, rfc3339, slug
-from leafwork.operators.blocks import LAST, LIST_ITEMS, block_text, with_context
+from leafwork.operators.blocks import LAST, LIST_ITEMS, block_text, with_context, with_texts
 from leafwork.operators.ordering import PART_ROWS, ordered_text, oversized, with_index
 from leafwork.operators.skew import HOT_FLOOR, lookup
 from leafwork.session import staged
@@ -89,7 +89,7 @@ def fragments(
         F.struct(F.concat("path", F.array(F.lit(LAST))).alias("path"), closing.alias("text")),
     )
     return (
-        plain.unionByName(links)
+        with_texts(plain.unionByName(links))
         .select(
             "page_id",
             F.get("path", F.lit(0)).alias("top"),

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 # Keys below this many rows are never worth treating apart.
 HOT_FLOOR = 500_000
+# Tables the optimizer puts below this size are never checked for hot keys: one task can hold them.
+SMALL_BYTES = 64 * 1024 * 1024
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def hot_keys(df: DataFrame, key: str, *, floor: int = HOT_FLOOR) -> DataFrame | None:
@@ -41,11 +47,15 @@ def lookup(
 
     Rows of `left` under a hot key skip the shuffle: the matching rows of `right` (one per hot
     key, so fewer than HOT_SHARE) are broadcast to them. Rows with a null key match nothing and
-    skip the shuffle too. All other rows take an ordinary shuffled join. Pass `rows` when the
-    size of `left` is known, so that small inputs need no counting pass.
+    skip the shuffle too. All other rows take an ordinary shuffled join. Inputs that are small by
+    `rows` or by the optimizer's estimate need no counting pass.
     """
     condition = F.col(left_key) == F.col(right_key)
-    if rows is not None and rows < floor:
+    if rows is None:
+        small = floor == HOT_FLOOR and _estimated_bytes(left) < SMALL_BYTES
+    else:
+        small = rows < floor
+    if small:
         return left.join(right, condition, how)
     hot = hot_keys(left, left_key, floor=floor)
     if hot is None:

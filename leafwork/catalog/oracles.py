@@ -654,7 +654,7 @@ def build() -> dict[str, str]:
       select cast(event_id as varchar) as event_id, entity_id, event_type, epoch_us(received_at) as received_at
       from fx_event_status where route = 'deletion'""")
 
-    add("sync_registry", """
+    add("sync_placement", """
       select id, 'page' as type, folder, file_path, title, false as is_root, false as enabled, parent_id from doc_files
       union all select id, 'database', folder, file_path, title, false, false, parent_id from db_files""", SYNC)
     add("sync_outcomes", """

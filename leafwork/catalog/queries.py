@@ -695,44 +695,52 @@ def sync_queue(v: Views) -> DataFrame:
     )
 
 
-def _synced(v: Views) -> sync.SyncResult:
-    return sync.sync(workspace(v), sync_queue(v), sync.SyncOptions(now=AS_OF))
+OPTIONS = sync.SyncOptions(now=AS_OF)
 
 
 @query
-def sync_registry(v: Views) -> DataFrame:
-    """Registry rows a sync of the whole queue writes."""
-    return _synced(v).written.registry.select("id", "type", "folder", "file_path", "title", "is_root", "enabled", "parent_id")
+def sync_placement(v: Views) -> DataFrame:
+    """Parent, flags and path of every item a sync of the whole queue writes."""
+    ws = workspace(v)
+    judged = sync.judge_queue(ws, sync_queue(v), OPTIONS)
+    placed = sync.place_items(ws, judged.items, judged.due, OPTIONS)
+    return placed.select("id", "type", "folder", "file_path", "title", "is_root", "enabled", "parent_id")
 
 
 @query
 def sync_outcomes(v: Views) -> DataFrame:
-    return _synced(v).outcomes.select("seq", "pos", "page_id", "outcome")
+    return sync.judge_queue(workspace(v), sync_queue(v), OPTIONS).outcomes.select("seq", "pos", "page_id", "outcome")
 
 
 @query
 def sync_counters(v: Views) -> DataFrame:
-    return sync.sync_counters(_synced(v))
+    judged = sync.judge_queue(workspace(v), sync_queue(v), OPTIONS)
+    return sync.sync_counters(judged.outcomes, judged.due)
 
 
 @query
 def sync_child_queue(v: Views) -> DataFrame:
     """Follow-up work: entries of the synchronised databases that are not registered."""
-    rows = _synced(v).written.child_queue
+    ws = workspace(v)
+    judged = sync.judge_queue(ws, sync_queue(v), OPTIONS)
+    placed = staged(sync.place_items(ws, judged.items, judged.due, OPTIONS))
+    rows = sync.follow_up(ws, placed, sync.discovered_children(ws, placed, OPTIONS), OPTIONS)
     numbered = queueing.number_files(rows, [F.col("position"), F.col("page_id")], first=5000)
     return numbered.select("seq", "pos", "type", "folder", "parent_id", "page_id")
 
 
 @query
 def sync_documents(v: Views) -> DataFrame:
-    return _synced(v).written.documents.select("page_id", "file_path", "part_no", "content_hash", F.length("content").alias("chars"))
+    """The documents a sync of the whole queue writes."""
+    documents = sync.sync(workspace(v), sync_queue(v), OPTIONS).written.documents
+    return documents.select("page_id", "file_path", "part_no", "content_hash", F.length("content").alias("chars"))
 
 
 @query
 def add_roots(v: Views) -> DataFrame:
     """Databases added as roots: their registry rows."""
     wanted = rec.database_records(v).select("id", F.lit("data").alias("folder"), F.lit(True).alias("force_update"))
-    written = maintenance.add_roots(workspace(v), wanted, sync.SyncOptions(now=AS_OF))
+    written = maintenance.add_roots(workspace(v), wanted, OPTIONS)
     return written.registry.select("id", "type", "folder", "file_path", "is_root", "enabled", "parent_id")
 
 

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 # Keys below this many rows are never worth treating apart.
 HOT_FLOOR = 500_000
-# Tables the optimizer puts below this size are never checked for hot keys: one task can hold them.
+# Inputs whose source tables are smaller than this are not checked for hot keys.
 SMALL_BYTES = 64 * 1024 * 1024
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _source_bytes(df: DataFrame) -> int:
+    """Size of the tables `df` reads, after the optimizer pruned columns and partitions."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def hot_keys(df: DataFrame, key: str, *, floor: int = HOT_FLOOR) -> DataFrame | None:
@@ -48,11 +50,11 @@ def lookup(
     Rows of `left` under a hot key skip the shuffle: the matching rows of `right` (one per hot
     key, so fewer than HOT_SHARE) are broadcast to them. Rows with a null key match nothing and
     skip the shuffle too. All other rows take an ordinary shuffled join. Inputs that are small by
-    `rows` or by the optimizer's estimate need no counting pass.
+    `rows` or by the size of their source tables need no counting pass.
     """
     condition = F.col(left_key) == F.col(right_key)
     if rows is None:
-        small = floor == HOT_FLOOR and _estimated_bytes(left) < SMALL_BYTES
+        small = floor == HOT_FLOOR and _source_bytes(left) < SMALL_BYTES
     else:
         small = rows < floor
     if small:

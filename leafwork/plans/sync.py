@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -104,13 +104,11 @@ def workspace_items(ws: Workspace, *, floor: int = HOT_FLOOR) -> DataFrame:
     return direct.unionByName(inside).drop("block", "parent")
 
 
-def write_items(
-    ws: Workspace, items: DataFrame, due: DataFrame, options: SyncOptions, *,
-    queue_type: Column | None = None,
-) -> Written:
-    """Place, render and register `due(id, folder, enabled, as_root, priority)`.
+def place_items(ws: Workspace, items: DataFrame, due: DataFrame, options: SyncOptions) -> DataFrame:
+    """Parents, flags and paths of `due(id, folder, enabled, as_root, priority, …)`.
 
-    `as_root` makes the item a root without a parent whatever the workspace says.
+    `as_root` makes the item a root without a parent whatever the workspace says. Flags that a
+    registered root got from the manifest win over what the page says.
     """
     floor = options.floor
     existing = ws.registry.select(
@@ -130,27 +128,71 @@ def write_items(
     wanted = plan.select(
         "id", "parent_id", "title", "folder", F.col("placed_as_root").alias("is_root"), "priority"
     )
-    placed = plan.join(assign_paths(wanted, ws.registry, floor=floor), "id")
-    now = F.lit(options.now)
-    place = placed.select(
-        F.col("id").alias("w_id"), "folder", "file_path", now.alias("last_synced"),
-        F.col("placed_as_root").alias("is_root"), F.col("parent_id").alias("resolved_parent_id"), "type",
+    return plan.join(assign_paths(wanted, ws.registry, floor=floor), "id")
+
+
+def _due(placed: DataFrame, kind: str, options: SyncOptions) -> DataFrame:
+    return placed.where(F.col("type") == kind).select(
+        F.col("id").alias("w_id"), "folder", "file_path", F.lit(options.now).alias("last_synced"),
+        F.col("placed_as_root").alias("is_root"), F.col("parent_id").alias("resolved_parent_id"),
     )
-    due_pages = place.where("type = 'page'").drop("type")
-    due_databases = place.where("type = 'database'").drop("type")
+
+
+def _due_blocks(ws: Workspace, placed: DataFrame) -> DataFrame:
+    """Blocks of the pages that are due; no other content is read."""
     blocks = ws.blocks.select(
         *[normalize_id(F.col(c)).alias(c) if c in ("page_id", "parent_id") else F.col(c) for c in ws.blocks.columns]
     )
-    # content is only read for pages that are due
-    blocks = blocks.join(due_pages.select(F.col("w_id").alias("page_id")), "page_id", "left_semi")
-    blocks, new_files, new_manifests = _with_local_files(ws, blocks, due_pages, options)
+    pages = placed.where("type = 'page'").select(F.col("id").alias("page_id"))
+    return blocks.join(pages, "page_id", "left_semi")
+
+
+def discovered_children(ws: Workspace, placed: DataFrame, options: SyncOptions) -> DataFrame:
+    """Child edges of the due items: mentions in pages and entries of databases."""
+    floor = options.floor
+    databases = ws.databases.join(
+        _due(placed, "database", options).select("w_id"), normalize_id(F.col("id")) == F.col("w_id"), "left_semi"
+    )
+    entries = direct_entries(databases, ws.entries, floor=floor).select(
+        F.col("database_id").alias("parent_id"), F.col("position").cast("bigint").alias("position"),
+        F.col("entry_id").alias("child_id"),
+    )
+    mentions = child_edges(_due_blocks(ws, placed), max_level=options.max_level, floor=floor)
+    return mentions.unionByName(positions(entries, "position", floor=floor))
+
 
+def follow_up(
+    ws: Workspace, placed: DataFrame, children: DataFrame, options: SyncOptions, *,
+    queue_type: Column | None = None,
+) -> DataFrame:
+    """Queue rows for children that are neither registered nor written now."""
+    known = ws.registry.select("id").unionByName(placed.select("id"))
+    fresh = children.join(known.select(F.col("id").alias("child_id")), "child_id", "left_anti")
+    kind = F.lit("init") if queue_type is None else queue_type
+    origin = placed.select(F.col("id").alias("o_id"), "folder", kind.alias("kind"))
+    return lookup(fresh, origin, "parent_id", "o_id", how="inner", floor=options.floor).select(
+        F.col("kind").alias("type"), "folder", "parent_id", F.col("child_id").alias("page_id"),
+        F.lit(None).cast("timestamp").alias("last_edited"), "position",
+    )
+
+
+def write_items(
+    ws: Workspace, items: DataFrame, due: DataFrame, options: SyncOptions, *,
+    queue_type: Column | None = None,
+) -> Written:
+    """Place, render and register the due items (see `place_items`)."""
+    floor = options.floor
+    placed = staged(place_items(ws, items, due, options))
+    due_pages = _due(placed, "page", options)
+    blocks, new_files, new_manifests = _with_local_files(ws, _due_blocks(ws, placed), due_pages, options)
     pages = ws.pages.join(due_pages, normalize_id(F.col("id")) == F.col("w_id"))
     if options.max_level:
         cut = depth_limited(blocks, options.max_level, floor=floor).where("was_limited")
         cut = cut.select(F.col("page_id").alias("c_id"), F.lit(options.max_level).alias("simplified_depth"))
         pages = pages.join(cut, F.col("w_id") == F.col("c_id"), "left").drop("c_id")
-    databases = ws.databases.join(due_databases, normalize_id(F.col("id")) == F.col("w_id"))
+    databases = ws.databases.join(
+        _due(placed, "database", options), normalize_id(F.col("id")) == F.col("w_id")
+    )
     page_documents = render_pages(
         enrich_users(pages, ws.users, floor=floor), blocks, header=options.header,
         version_key=options.version_key, max_level=options.max_level, limit=options.part_rows, floor=floor,
@@ -160,30 +202,14 @@ def write_items(
         version_key=options.version_key, limit=options.part_rows, floor=floor,
     )
     documents = staged(page_documents.unionByName(database_documents))
-
-    entries = direct_entries(databases, ws.entries, floor=floor).select(
-        F.col("database_id").alias("parent_id"), "position", F.col("entry_id").alias("child_id")
-    )
-    children = staged(
-        child_edges(blocks, max_level=options.max_level, floor=floor).unionByName(
-            positions(entries, "position", floor=floor) if not entries.isEmpty() else entries
-        )
-    )
     hashes = documents.where("part_no = 0").select(F.col("page_id").alias("h_id"), "content_hash")
     registry = placed.join(hashes, F.col("id") == F.col("h_id")).select(
-        "id", "type", "folder", "file_path", "title", "last_edited", now.alias("last_synced"),
-        "is_root", "enabled", F.coalesce("parent_id", F.lit("")).alias("parent_id"), "content_hash",
-    )
-    fresh = children.join(
-        ws.registry.select(F.col("id").alias("child_id")), "child_id", "left_anti"
-    ).join(plan.select(F.col("id").alias("child_id")), "child_id", "left_anti")
-    origin = placed.select(F.col("id").alias("o_id"), "folder", *([] if queue_type is None else [queue_type.alias("kind")]))
-    queued = lookup(fresh, origin, "parent_id", "o_id", how="inner", floor=floor)
-    child_queue = queued.select(
-        (F.lit("init") if queue_type is None else F.col("kind")).alias("type"),
-        "folder", "parent_id", F.col("child_id").alias("page_id"),
-        F.lit(None).cast("timestamp").alias("last_edited"), "position",
+        "id", "type", "folder", "file_path", "title", "last_edited",
+        F.lit(options.now).alias("last_synced"), "is_root", "enabled",
+        F.coalesce("parent_id", F.lit("")).alias("parent_id"), "content_hash",
     )
+    children = staged(discovered_children(ws, placed, options))
+    child_queue = follow_up(ws, placed, children, options, queue_type=queue_type)
     return Written(documents, registry, children, child_queue, new_files, new_manifests)
 
 
@@ -216,12 +242,22 @@ def _with_local_files(
     return blocks.where(~is_media).unionByName(local), registry, manifests
 
 
-def sync(ws: Workspace, queue_raw: DataFrame, options: SyncOptions) -> SyncResult:
-    """Process the queue: outcomes per queue row, documents, registry rows and follow-up work.
+@dataclass(frozen=True)
+class Judged:
+    """The queue with its outcomes and what has to be written."""
+
+    outcomes: DataFrame
+    remaining: DataFrame
+    items: DataFrame
+    due: DataFrame
+
 
-    Outcomes: `skipped` (unchanged or known), `waiting` (budget or folder filter), `dropped` and
-    `retry` (errors), `root_disabled` and `no_root` (processed without writing) and `written`.
-    Unregistered ancestors of a written page are written too, so children find their directory.
+def judge_queue(ws: Workspace, queue_raw: DataFrame, options: SyncOptions) -> Judged:
+    """Decide the outcome of every queue row and collect the items to write.
+
+    Outcomes: `skipped` (unchanged or known), `waiting` (budget), `dropped` and `retry` (errors),
+    `root_disabled` and `no_root` (processed without writing) and `written`. Unregistered
+    ancestors of a written page are written too, so children find their directory.
     """
     floor = options.floor
     queue = explode_queue(queue_raw)
@@ -230,87 +266,93 @@ def sync(ws: Workspace, queue_raw: DataFrame, options: SyncOptions) -> SyncResul
     items = staged(workspace_items(ws, floor=floor))
     traced = staged(with_roots(ws.registry, floor=floor))
     anchors = staged(nearest_registered(items, traced, floor=floor))
-
-    known = traced.select(
-        F.col("id").alias("t_id"), F.col("root_enabled"), F.col("root_id"), F.col("outcome").alias("t_outcome")
-    )
-    found = items.select(F.col("id").alias("i_id"))
+    known = traced.select(F.col("id").alias("t_id"), "root_enabled", "root_id")
+    # every item has an anchor row, so this one join also tells which pages were landed
     above = anchors.select(F.col("id").alias("a_id"), F.col("folder").alias("a_folder"), "found_root")
-    errors = split_errors(ws.errors).select(F.col("page_id").alias("e_id"), "action") if ws.errors is not None else None
-    judged = (
-        active.transform(lambda df: lookup(df, known, "page_id", "t_id", floor=floor))
-        .transform(lambda df: lookup(df, found, "page_id", "i_id", floor=floor))
-        .transform(lambda df: lookup(df, above, "page_id", "a_id", floor=floor))
-    )
-    if errors is not None:
-        judged = lookup(judged, errors, "page_id", "e_id", floor=floor).drop("e_id")
-    else:
+    judged = lookup(active, known, "page_id", "t_id", floor=floor)
+    judged = lookup(judged, above, "page_id", "a_id", floor=floor)
+    if ws.errors is None:
         judged = judged.withColumn("action", F.lit(None).cast("string"))
+    else:
+        errors = split_errors(ws.errors).select(F.col("page_id").alias("e_id"), "action")
+        judged = lookup(judged, errors, "page_id", "e_id", floor=floor).drop("e_id")
     outcome = (
         F.when(F.col("skip"), "skipped")
         .when(F.col("root_id").isNotNull() & ~F.col("root_enabled"), "root_disabled")
         .when(F.col("action") == "drop", "dropped")
-        .when((F.col("action") == "retry") | F.col("i_id").isNull(), "retry")
+        .when((F.col("action") == "retry") | F.col("a_id").isNull(), "retry")
         .when(~F.col("registered") & ~F.coalesce("found_root", F.lit(False)), "no_root")
         .otherwise("written")
     )
     judged = staged(
-        judged.withColumn("outcome", outcome)
-        .withColumn("target_folder", F.when(F.col("registered"), F.col("folder")).otherwise(F.col("a_folder")))
-        .withColumn("enabled", F.coalesce("root_enabled", F.lit(False)))
-        .select("seq", "pos", "type", "folder", "parent_id", "page_id", "last_edited", "legacy",
-                "registered", "outcome", "target_folder", "enabled")
-    )
-    budgeted = within_budget(
-        judged,
-        max_pages=options.max_pages,
-        max_files=options.max_files,
-        max_queue_files=options.max_queue_files,
-        page_cost=F.col("outcome").isin("written", "root_disabled", "no_root").cast("int"),
-        file_cost=(F.col("outcome") == "written").cast("int"),
-    )
-    outcomes = staged(
-        budgeted.withColumn("outcome", F.when(F.col("in_budget"), F.col("outcome")).otherwise("waiting"))
-        .drop("in_budget")
+        judged.select(
+            *queue.columns, "registered", outcome.alias("outcome"),
+            F.when(F.col("registered"), F.col("folder")).otherwise(F.col("a_folder")).alias("target_folder"),
+            F.coalesce("root_enabled", F.lit(False)).alias("enabled"),
+        )
     )
+    outcomes = judged
+    if options.max_pages or options.max_files or options.max_queue_files:
+        budgeted = within_budget(
+            judged,
+            max_pages=options.max_pages,
+            max_files=options.max_files,
+            max_queue_files=options.max_queue_files,
+            page_cost=F.col("outcome").isin("written", "root_disabled", "no_root").cast("int"),
+            file_cost=(F.col("outcome") == "written").cast("int"),
+        )
+        reached = F.when(F.col("in_budget"), F.col("outcome")).otherwise("waiting")
+        outcomes = staged(budgeted.withColumn("outcome", reached).drop("in_budget"))
     # a page queued several times is written once, as its first row asks
-    asked = (
+    asked = staged(
         outcomes.where("outcome = 'written'")
         .groupBy(F.col("page_id").alias("id"))
-        .agg(F.min_by(F.struct(F.col("target_folder").alias("folder"), "enabled", "registered"),
-                      F.struct("seq", "pos")).alias("row"),
-             F.min("seq").alias("priority"))
+        .agg(
+            F.min_by(
+                F.struct(F.col("target_folder").alias("folder"), "enabled", "registered"),
+                F.struct("seq", "pos"),
+            ).alias("row"),
+            F.min("seq").alias("priority"),
+        )
         .select("id", "row.folder", "row.enabled", "row.registered", "priority")
     )
-    asked = staged(asked)
     chains = ancestor_chains(asked.where("not registered"), items, anchors, floor=floor)
     ancestors = (
-        chains.select(F.col("ancestor_id").alias("id")).distinct()
+        chains.select(F.col("ancestor_id").alias("id"))
+        .distinct()
         .join(asked.select("id"), "id", "left_anti")
         .join(anchors.where(F.col("outcome") == FOUND).select("id", "folder"), "id")
         .select("id", "folder", F.lit(False).alias("enabled"), F.lit(0).cast("bigint").alias("priority"))
     )
     due = asked.select("id", "folder", "enabled", "priority").unionByName(ancestors)
-    due = due.withColumn("as_root", F.lit(False))
-    written = write_items(ws, items, due, options)
     kept = outcomes.where(F.col("outcome").isin("retry", "waiting")).select(*queue.columns)
-    other = queue.where(~in_folder)
-    return SyncResult(written, outcomes, kept.unionByName(other))
+    return Judged(
+        outcomes,
+        kept.unionByName(queue.where(~in_folder)),
+        items,
+        due.withColumn("as_root", F.lit(False)),
+    )
 
 
-def sync_counters(result: SyncResult) -> DataFrame:
-    """`(metric, value)`: pages processed, skipped, dropped and kept, and files written."""
-    counts = result.outcomes.agg(
+def sync(ws: Workspace, queue_raw: DataFrame, options: SyncOptions) -> SyncResult:
+    """Process the queue: outcomes per queue row, documents, registry rows and follow-up work."""
+    judged = judge_queue(ws, queue_raw, options)
+    written = write_items(ws, judged.items, judged.due, options)
+    return SyncResult(written, judged.outcomes, judged.remaining)
+
+
+def sync_counters(outcomes: DataFrame, written: DataFrame) -> DataFrame:
+    """`(metric, value)`: pages processed, skipped, dropped and kept, and files written.
+
+    `written` has one row per written item.
+    """
+    counts = outcomes.agg(
         F.count_if(F.col("outcome").isin("written", "root_disabled", "no_root")).alias("processed"),
         F.count_if(F.col("outcome") == "skipped").alias("skipped"),
         F.count_if(F.col("outcome") == "dropped").alias("dropped"),
         F.count_if(F.col("outcome").isin("retry", "waiting")).alias("kept"),
     )
-    files = result.written.documents.where("part_no = 0").agg(F.count("*").alias("files_written"))
+    files = written.agg(F.count("*").alias("files_written"))
     return counts.unpivot([], counts.columns, "metric", "value").unionByName(
         files.unpivot([], files.columns, "metric", "value")
     )
-
-
-def with_registry(ws: Workspace, registry: DataFrame) -> Workspace:
-    return replace(ws, registry=registry)

@@ -32,13 +32,16 @@ def without_query(url: Column) -> Column:
     return F.substring_index(url, "?", 1)
 
 
+def _url_path(url: Column) -> Column:
+    """Decoded path of a URL; null when an escape is broken. A plus sign is not a blank here."""
+    raw = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+
+
 def hosted_file_id(url: Column) -> Column:
     """Id of a file in the workspace's own object storage; null for any other URL."""
     host = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)
-    path = F.regexp_replace(
-        F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), "^/+|/+$", ""
-    )
-    parts = F.split(path, "/")
+    parts = F.split(F.regexp_replace(_url_path(url), "^/+|/+$", ""), "/")
     return F.when(
         host.contains("s3") & host.contains("amazonaws.com") & (F.size(parts) >= 2),
         normalize_id(F.get(parts, F.lit(1))),
@@ -46,14 +49,11 @@ def hosted_file_id(url: Column) -> Column:
 
 
 def attachment_name(url: Column) -> Column:
-    """Local file name: URL-decoded, slug of the stem, lower-case extension."""
-    raw = F.substring_index(
-        F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/", -1
-    )
-    name = F.coalesce(F.try_url_decode(raw), raw)
+    """Local file name: last path segment, form-decoded, as slug with a lower-case extension."""
+    segment = F.substring_index(_url_path(url), "/", -1)
+    name = F.coalesce(F.try_url_decode(segment), segment)
     extension = F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    base = F.regexp_replace(name, r"\.[^.]*$", "")
-    return F.concat(slug(base), F.lower(extension))
+    return F.concat(slug(F.regexp_replace(name, r"\.[^.]*$", "")), F.lower(extension))
 
 
 def suffixed(name: Column, short_id: Column) -> Column:

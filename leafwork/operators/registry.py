@@ -49,7 +49,7 @@ def listed_registry(sharded: DataFrame, legacy: DataFrame, deleted: DataFrame) -
     served = sharded.select("id").unionByName(deleted.select("id"))
     records = F.struct(*[F.col(c) for c in sharded.columns])
     extra = (
-        legacy.where(F.col("file_name").startswith("page-"))
+        legacy.where(F.col("file_name").startswith("page-") & blank_to_null(F.col("id")).isNotNull())
         .withColumn("id", normalize_id(F.col("id")))
         .join(served.distinct(), "id", "left_anti")
         .groupBy("id")

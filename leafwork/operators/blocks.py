@@ -24,6 +24,12 @@ COLLAPSE_START, COLLAPSE_END = "<!-- collapsible: start -->\n", "<!-- collapsibl
 LAST = 2**31 - 1  # sorts after every ordinal
 
 
+def normalized(blocks: DataFrame) -> DataFrame:
+    """Blocks with normalised keys; ids that are shown as they came are left alone."""
+    keys = ("page_id", "block_id", "parent_id")
+    return blocks.select(*[normalize_id(F.col(c)).alias(c) if c in keys else c for c in blocks.columns])
+
+
 def _child_mode() -> Column:
     kind = F.col("type")
     present = F.col("payload_present")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.functions.ids import blank_to_null, normalize_id
-from leafwork.operators.blocks import child_edges
+from leafwork.operators.blocks import child_edges, normalized
 from leafwork.operators.hierarchy import (
     CYCLE, FOUND, ancestor_chains, nearest_registered, trace_roots, with_roots,
 )
@@ -60,7 +60,7 @@ def new_children(
 ) -> DataFrame:
     """Queue rows for unregistered children of registered pages, in document order."""
     pages = registry.join(requested.select("id"), "id", "left_semi").select("id", "folder")
-    mine = blocks.join(pages.select(F.col("id").alias("page_id")), "page_id", "left_semi")
+    mine = normalized(blocks).join(pages.select(F.col("id").alias("page_id")), "page_id", "left_semi")
     edges = child_edges(mine, floor=floor)
     unknown = edges.join(registry.select(F.col("id").alias("child_id")), "child_id", "left_anti")
     origin = pages.select(F.col("id").alias("o_id"), "folder")

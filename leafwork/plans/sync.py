@@ -12,7 +12,7 @@ from leafwork.functions.ids import blank_to_null, normalize_id, parent_id
 from leafwork.functions.properties import page_title
 from leafwork.functions.richtext import plain_text
 from leafwork.operators import attachments as files_op
-from leafwork.operators.blocks import child_edges, depth_limited, positions
+from leafwork.operators.blocks import child_edges, depth_limited, normalized, positions
 from leafwork.operators.hierarchy import FOUND, ancestor_chains, nearest_registered, with_roots
 from leafwork.operators.ordering import PART_ROWS
 from leafwork.operators.paths import assign_paths
@@ -140,11 +140,8 @@ def _due(placed: DataFrame, kind: str, options: SyncOptions) -> DataFrame:
 
 def _due_blocks(ws: Workspace, placed: DataFrame) -> DataFrame:
     """Blocks of the pages that are due; no other content is read."""
-    blocks = ws.blocks.select(
-        *[normalize_id(F.col(c)).alias(c) if c in ("page_id", "parent_id") else F.col(c) for c in ws.blocks.columns]
-    )
     pages = placed.where("type = 'page'").select(F.col("id").alias("page_id"))
-    return blocks.join(pages, "page_id", "left_semi")
+    return normalized(ws.blocks).join(pages, "page_id", "left_semi")
 
 
 def discovered_children(ws: Workspace, placed: DataFrame, options: SyncOptions) -> DataFrame:

@@ -478,7 +478,8 @@ def reindex_latest(v: Views) -> DataFrame:
 
 @query
 def reindex_duplicates(v: Views) -> DataFrame:
-    return reindex.duplicate_files(reindex.parse_documents(v["fx_markdown"].where(reindex.corpus_path(F.col("path")))))
+    parsed = reindex.parse_documents(v["fx_markdown"].where(reindex.corpus_path(F.col("path"))))
+    return reindex.duplicate_files(staged(parsed))
 
 
 @query

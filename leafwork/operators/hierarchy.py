@@ -23,38 +23,38 @@ def resolve_pointers(nodes: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
     of length d needs log2(d) rounds. Settled rows leave the loop; a round that settles nothing
     proves that only cycles are left. Pointers pile up on few targets, hence the skew-safe lookup.
     """
-    start = staged(
-        nodes.select(
+    found = F.col("payload").isNotNull()
+    start = nodes.select(
+        "id",
+        F.when(found, F.col("id")).otherwise(F.coalesce("next_id", "id")).alias("up"),
+        "payload",
+        F.when(found, F.lit(FOUND)).when(F.col("next_id").isNull(), F.lit(DANGLING)).alias("outcome"),
+        F.when(found | F.col("next_id").isNull(), F.lit(0)).otherwise(F.lit(1)).alias("hops"),
+    )
+
+    def step(rows: DataFrame, table: DataFrame, count: int | None) -> DataFrame:
+        """Move every open row on by its target's pointer; settled rows look nothing up."""
+        seen = table.select(*[F.col(c).alias(f"t_{c}") for c in table.columns])
+        keyed = rows.withColumn("_key", F.when(F.col("outcome").isNull(), F.col("up")))
+        joined = lookup(keyed, seen, "_key", "t_id", rows=count, floor=floor)
+        settled_before = F.col("outcome").isNotNull()
+        missed = F.col("t_id").isNull()
+        return joined.select(
             "id",
-            F.when(F.col("payload").isNotNull(), F.col("id"))
-            .otherwise(F.coalesce("next_id", "id"))
-            .alias("up"),
-            "payload",
-            F.when(F.col("payload").isNotNull(), F.lit(FOUND))
-            .when(F.col("next_id").isNull(), F.lit(DANGLING))
-            .alias("outcome"),
-            F.when(F.col("payload").isNull() & F.col("next_id").isNotNull(), F.lit(1))
-            .otherwise(F.lit(0))
-            .alias("hops"),
+            F.when(settled_before, F.col("up")).otherwise(F.coalesce("t_up", "up")).alias("up"),
+            F.when(settled_before, F.col("payload")).otherwise(F.col("t_payload")).alias("payload"),
+            F.when(settled_before, F.col("outcome")).when(missed, F.lit(DANGLING))
+            .otherwise(F.col("t_outcome")).alias("outcome"),
+            (F.col("hops") + F.when(settled_before, 0).otherwise(F.coalesce("t_hops", F.lit(0)))).alias("hops"),
         )
-    )
-    settled = start.where("outcome is not null")
-    open_rows = start.where("outcome is null")
+
+    # the first hop joins the input to itself, so the whole table is written only once
+    first = staged(step(start, start, None))
+    settled = first.where("outcome is not null")
+    open_rows = first.where("outcome is null")
     remaining = open_rows.count()
     while remaining:
-        table = settled.unionByName(open_rows)
-        table = table.select(*[F.col(c).alias(f"t_{c}") for c in table.columns])
-        stepped = staged(
-            lookup(open_rows, table, "up", "t_id", rows=remaining, floor=floor).select(
-                "id",
-                F.coalesce("t_up", "up").alias("up"),
-                F.col("t_payload").alias("payload"),
-                F.when(F.col("t_id").isNull(), F.lit(DANGLING))
-                .otherwise(F.col("t_outcome"))
-                .alias("outcome"),
-                (F.col("hops") + F.coalesce("t_hops", F.lit(0))).alias("hops"),
-            )
-        )
+        stepped = staged(step(open_rows, settled.unionByName(open_rows), remaining))
         settled = settled.unionByName(stepped.where("outcome is not null"))
         open_rows = stepped.where("outcome is null")
         before, remaining = remaining, open_rows.count()

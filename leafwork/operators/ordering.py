@@ -58,16 +58,73 @@ def with_running_sum(df: DataFrame, order: Sequence[Column], value: str, name: s
     )
 
 
-# Rows one task may concatenate into one text value; larger groups become several parts.
-PART_ROWS = 200_000
+# Text one task may concatenate into one value; larger groups become several parts. A fragment
+# costs its bytes plus ROW_COST for its place in the sort, so a part has few enough rows as well.
+PART_BYTES = 512 * 1024 * 1024
+ROW_COST = 2048
+# Most a single fragment can cost: a block holds at most 100 spans of 2000 characters.
+MAX_ROW_COST = ROW_COST + 100 * 2000 * 4
 
 
-def oversized(keys_only: DataFrame, keys: Sequence[str], limit: int = PART_ROWS) -> DataFrame | None:
-    """Groups with more than `limit` rows, or None when there are none (the usual case)."""
-    big = keys_only.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
+def cost(text: str) -> Column:
+    return F.octet_length(text) + F.lit(ROW_COST)
+
+
+def oversized(
+    rows: DataFrame, keys: Sequence[str], text: str, *, sizes: DataFrame | None = None,
+    limit: int = PART_BYTES,
+) -> DataFrame | None:
+    """Groups whose text costs more than `limit`, or None when there are none (the usual case).
+
+    Groups with so few rows that they cannot reach the limit are told by counting keys; `sizes`
+    may name a cheaper frame with the same rows per group (a scan of the key column alone). Only
+    the others are measured.
+    """
+    counted = (rows if sizes is None else sizes).groupBy(*keys).count()
+    many = counted.where(F.col("count") > limit // MAX_ROW_COST).select(*keys)
+    if many.isEmpty():
+        return None
+    costs = rows.join(many, list(keys), "left_semi").groupBy(*keys).agg(F.sum(cost(text)).alias("_cost"))
+    big = staged(costs.where(F.col("_cost") > limit).select(*keys))
     return None if big.isEmpty() else big
 
 
+def in_parts(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, *, limit: int = PART_BYTES
+) -> DataFrame:
+    """Large groups as consecutive parts `(*keys, part_no, content)` of about `limit` each.
+
+    Parts are cut from a running sum over the global order, so no task ever holds a whole group.
+    """
+    keys, order = list(keys), list(order)
+    measured = rows.select(*keys, *order, F.col(text).alias("_text"), cost(text).alias("_cost"))
+    summed = staged(with_running_sum(measured, [F.col(c) for c in keys + order], "_cost", "_at"))
+    starts = summed.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    # few groups are large, so their starts are a small table; AQE checks its size
+    placed = summed.join(starts, keys).withColumn(
+        "part_no", F.floor((F.col("_at") - F.col("_first")) / F.lit(limit))
+    )
+    # a fragment that crosses the limit ends its part, which may leave numbers out; close the gaps
+    used = placed.groupBy(*keys, "part_no").agg(F.min("_at").alias("_start"))
+    dense = with_index(used, [F.col(c) for c in keys] + [F.col("part_no")], "_rank")
+    dense = staged(dense)
+    base = dense.groupBy(*keys).agg(F.min("_rank").alias("_base"))
+    numbers = dense.join(base, keys).select(
+        *keys, "part_no", (F.col("_rank") - F.col("_base")).alias("_number")
+    )
+    texts = _joined(placed, [*keys, "part_no"], order, "_text")
+    return texts.join(numbers, [*keys, "part_no"]).select(
+        *keys, F.col("_number").alias("part_no"), "content"
+    )
+
+
+def _joined(rows: DataFrame, by: list[str], order: list[str], text: str) -> DataFrame:
+    fragments = F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_t"))))
+    return rows.groupBy(*by).agg(
+        F.array_join(F.transform(fragments, lambda f: f["_t"]), "").alias("content")
+    )
+
+
 def ordered_text(
     rows: DataFrame,
     keys: Sequence[str],
@@ -75,34 +132,18 @@ def ordered_text(
     text: str,
     *,
     sizes: DataFrame | None = None,
-    limit: int = PART_ROWS,
+    limit: int = PART_BYTES,
 ) -> DataFrame:
     """Concatenate `text` per group in `order`: `(*keys, part_no, content)`.
 
-    Groups of up to `limit` rows become one row with `part_no` 0, in one shuffle. A larger group
-    becomes consecutive parts of `limit` rows, cut from the global order, so no task ever holds
-    more than `limit` fragments and nothing is left out. `sizes` may name a cheaper frame with the
-    same rows per group (for example a scan of the key column alone).
+    Groups up to `limit` become one row with `part_no` 0, in one shuffle. Larger ones become
+    consecutive parts, and nothing is left out (see `oversized` and `in_parts`).
     """
     keys, order = list(keys), list(order)
-    big = oversized(rows if sizes is None else sizes, keys, limit)
-
-    def joined(df: DataFrame, by: list[str]) -> DataFrame:
-        fragments = F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
-        return df.groupBy(*by).agg(
-            F.array_join(F.transform(fragments, lambda f: f["_text"]), "").alias("content")
-        )
-
+    first = F.lit(0).cast("bigint").alias("part_no")
+    big = oversized(rows, keys, text, sizes=sizes, limit=limit)
     if big is None:
-        return joined(rows, keys).select(*keys, F.lit(0).cast("bigint").alias("part_no"), "content")
-    small = joined(rows.join(big, keys, "left_anti"), keys)
-    small = small.select(*keys, F.lit(0).cast("bigint").alias("part_no"), "content")
-    # big groups are numbered globally; group starts come back through a join on the few groups
-    indexed = staged(
-        with_index(rows.join(big, keys, "left_semi"), [F.col(c) for c in keys + order], "_at")
-    )
-    starts = indexed.groupBy(*keys).agg(F.min("_at").alias("_first"))
-    parts = indexed.join(starts, keys).withColumn(
-        "part_no", F.floor((F.col("_at") - F.col("_first")) / F.lit(limit))
-    )
-    return small.unionByName(joined(parts, [*keys, "part_no"]).select(*keys, "part_no", "content"))
+        return _joined(rows, keys, order, text).select(*keys, first, "content")
+    small = _joined(rows.join(big, keys, "left_anti"), keys, order, text).select(*keys, first, "content")
+    large = rows.join(big, keys, "left_semi")
+    return small.unionByName(in_parts(large, keys, order, text, limit=limit))

@@ -14,7 +14,7 @@ from leafwork.functions.properties import entry_title, page_title, property_line
 from leafwork.functions.richtext import icon_text, plain_text, user_label
 from leafwork.functions.text import quoted, rfc3339, slug
 from leafwork.operators.blocks import LAST, LIST_ITEMS, block_text, with_context, with_texts
-from leafwork.operators.ordering import PART_ROWS, ordered_text, oversized, with_index
+from leafwork.operators.ordering import PART_BYTES, in_parts, ordered_text, oversized, with_index
 from leafwork.operators.skew import HOT_FLOOR, lookup
 from leafwork.session import staged
 
@@ -115,14 +115,14 @@ def _separated(tops: Column) -> Column:
     return F.array_join(F.transform(tops, spaced), "")
 
 
-def bodies(pieces: DataFrame, sizes: DataFrame, *, limit: int = PART_ROWS) -> DataFrame:
+def bodies(pieces: DataFrame, sizes: DataFrame, *, limit: int = PART_BYTES) -> DataFrame:
     """Document bodies `(page_id, part_no, content)` from `fragments`.
 
-    `sizes(page_id)` has one row per block and decides, from the key column alone, which pages
-    are too large for one task. All others are concatenated after a single shuffle on the page:
+    `sizes(page_id)` has one row per block and tells, from the key column alone, which pages may
+    be too large for one task. All others are concatenated after a single shuffle on the page:
     both group-bys reuse its partitioning.
     """
-    big = oversized(sizes, ["page_id"], limit)
+    big = oversized(pieces, ["page_id"], "text", sizes=sizes, limit=limit)
     ordinary = pieces if big is None else pieces.join(big, "page_id", "left_anti")
     per_top = (
         ordinary.repartition("page_id")
@@ -158,7 +158,7 @@ def bodies(pieces: DataFrame, sizes: DataFrame, *, limit: int = PART_ROWS) -> Da
         .select("page_id", F.array("top", F.lit(LAST), F.lit(0)).alias("path"), F.lit("\n").alias("text"))
     )
     everything = large.select("page_id", "path", "text").unionByName(gaps)
-    return small.unionByName(ordered_text(everything, ["page_id"], ["path"], "text", limit=limit))
+    return small.unionByName(in_parts(everything, ["page_id"], ["path"], "text", limit=limit))
 
 
 def _documents(heads: DataFrame, texts: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def render_pages(
     version_key: str = "tool_version",
     file_url: Callable[[Column], Column] = lambda url: url,
     max_level: int = 0,
-    limit: int = PART_ROWS,
+    limit: int = PART_BYTES,
     floor: int = HOT_FLOOR,
 ) -> DataFrame:
     """Documents of `pages`: `(page_id, file_path, part_no, content, content_hash)`.
@@ -259,7 +259,7 @@ def render_databases(
     *,
     header: bool = True,
     version_key: str = "tool_version",
-    limit: int = PART_ROWS,
+    limit: int = PART_BYTES,
     floor: int = HOT_FLOOR,
 ) -> DataFrame:
     """Documents of `databases`: heading, description and the list of direct entries.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are fewer than HOT_SHARE
 # hot keys however large the table is. That count bounds everything this module broadcasts.
@@ -25,14 +26,21 @@ def hot_keys(df: DataFrame, key: str, *, floor: int = HOT_FLOOR) -> DataFrame |
 
     One column is scanned and counted with map-side combine; only two numbers reach the driver.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).count()
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot_key")).count()
     total, largest = counts.agg(F.sum("count"), F.max("count")).first()
     if largest is None or largest < floor:
         return None
     threshold = max(floor, total // HOT_SHARE + 1)
     if largest < threshold:
         return None
-    return counts.where(F.col("count") >= threshold).select("_key")
+    return counts.where(F.col("count") >= threshold).select("_hot_key")
+
+
+def _spread_nulls(left: DataFrame, key: str) -> DataFrame:
+    """`_spread`: the key, or a value that matches nothing and differs from row to row."""
+    plain = [f.name for f in left.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    other = F.concat(F.lit("\x00"), F.xxhash64(*plain).cast("string"))
+    return left.withColumn("_spread", F.coalesce(F.col(key), other))
 
 
 def lookup(
@@ -49,7 +57,7 @@ def lookup(
 
     Rows of `left` under a hot key skip the shuffle: the matching rows of `right` (one per hot
     key, so fewer than HOT_SHARE) are broadcast to them. Rows with a null key match nothing and
-    skip the shuffle too. All other rows take an ordinary shuffled join. Inputs that are small by
+    skip the shuffle too, or are spread over all tasks. All other rows take an ordinary shuffled join. Inputs that are small by
     `rows` or by the size of their source tables need no counting pass.
     """
     condition = F.col(left_key) == F.col(right_key)
@@ -61,12 +69,14 @@ def lookup(
         return left.join(right, condition, how)
     hot = hot_keys(left, left_key, floor=floor)
     if hot is None:
-        return left.join(right, condition, how)
+        return _spread_nulls(left, left_key).join(
+            right, F.col("_spread") == F.col(right_key), how
+        ).drop("_spread")
     marked = left.join(
-        F.broadcast(hot.withColumn("_hot", F.lit(True))), F.col(left_key) == F.col("_key"), "left"
-    ).drop("_key")
+        F.broadcast(hot.withColumn("_hot", F.lit(True))), F.col(left_key) == F.col("_hot_key"), "left"
+    ).drop("_hot_key")
     spread = F.col("_hot").isNull() & F.col(left_key).isNotNull()
-    few = right.join(F.broadcast(hot), F.col(right_key) == F.col("_key"), "left_semi")
+    few = right.join(F.broadcast(hot), F.col(right_key) == F.col("_hot_key"), "left_semi")
     cold = marked.where(spread).drop("_hot").join(right, condition, how)
     warm = marked.where(~spread).drop("_hot").join(F.broadcast(few), condition, how)
     return cold.unionByName(warm)

@@ -14,7 +14,7 @@ from leafwork.functions.richtext import plain_text
 from leafwork.operators import attachments as files_op
 from leafwork.operators.blocks import child_edges, depth_limited, normalized, positions
 from leafwork.operators.hierarchy import FOUND, ancestor_chains, nearest_registered, with_roots
-from leafwork.operators.ordering import PART_ROWS
+from leafwork.operators.ordering import PART_BYTES
 from leafwork.operators.paths import assign_paths
 from leafwork.operators.queueing import explode_queue, split_errors, with_skips, within_budget
 from leafwork.operators.render import direct_entries, render_databases, render_pages
@@ -52,7 +52,7 @@ class SyncOptions:
     max_level: int = 0
     header: bool = True
     version_key: str = "tool_version"
-    part_rows: int = PART_ROWS
+    part_bytes: int = PART_BYTES
     floor: int = HOT_FLOOR
 
 
@@ -192,11 +192,11 @@ def write_items(
     )
     page_documents = render_pages(
         enrich_users(pages, ws.users, floor=floor), blocks, header=options.header,
-        version_key=options.version_key, max_level=options.max_level, limit=options.part_rows, floor=floor,
+        version_key=options.version_key, max_level=options.max_level, limit=options.part_bytes, floor=floor,
     )
     database_documents = render_databases(
         enrich_users(databases, ws.users, floor=floor), ws.entries, header=options.header,
-        version_key=options.version_key, limit=options.part_rows, floor=floor,
+        version_key=options.version_key, limit=options.part_bytes, floor=floor,
     )
     documents = staged(page_documents.unionByName(database_documents))
     hashes = documents.where("part_no = 0").select(F.col("page_id").alias("h_id"), "content_hash")

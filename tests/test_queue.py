@@ -34,7 +34,7 @@ def test_ordered_text_cuts_large_groups(spark):
     rows = [("big", i, f"{i},") for i in range(25)] + [("small", i, f"{i};") for i in range(3)]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "k STRING, i INT, t STRING")
-    parts = ordering.ordered_text(df, ["k"], ["i"], "t", limit=10).orderBy("k", "part_no").collect()
+    parts = ordering.ordered_text(df, ["k"], ["i"], "t", limit=20_000).orderBy("k", "part_no").collect()
     assert [r["part_no"] for r in parts] == [0, 1, 2, 0]
     assert "".join(r["content"] for r in parts[:3]) == "".join(f"{i}," for i in range(25))
     assert parts[3]["content"] == "0;1;2;"

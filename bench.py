@@ -11,7 +11,7 @@ import sys
 import time
 
 from leafwork.catalog.queries import run
-from leafwork.session import build_session
+from leafwork.session import build_session, drop_staged
 
 HEADLINE = [
     "root_status", "cleanup_orphans", "ancestor_chain", "block_to_page", "tree_listing", "pull_queue",
@@ -35,6 +35,7 @@ def main() -> None:
         started = time.perf_counter()
         run(name, spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)
+        drop_staged(spark)
     print(
         json.dumps(
             {

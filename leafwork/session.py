@@ -53,6 +53,9 @@ def staging_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
@@ -62,5 +65,20 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "lz4").parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables this process staged; call it when a job's results have been written.
+
+    Frames built on them cannot be used any more. Returns the number of tables.
+    """
+    context = spark.sparkContext
+    dropped = 0
+    while _STAGED:
+        path = context._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        dropped += 1
+    return dropped

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork import schemas
@@ -73,6 +73,16 @@ def search(
     return found
 
 
+def scan_until(pages: DataFrame, stop: Column) -> DataFrame:
+    """Pages that a newest-first scan sees before the first one for which `stop` holds.
+
+    The place to stop is one aggregate; what is left of the scan is a range predicate on the edit
+    time, which reaches the files. Pages edited at the same moment as the stopping one are left out.
+    """
+    place = pages.where(stop).agg(F.max("last_edited_time")).first()[0]
+    return pages if place is None else pages.where(F.col("last_edited_time") > F.lit(place))
+
+
 def newest_first(pages: DataFrame, limit: int) -> DataFrame:
     """The `limit` most recently edited pages (a top-k: each task keeps `limit` rows)."""
     return pages.orderBy(F.col("last_edited_time").desc(), F.col("id")).limit(limit)

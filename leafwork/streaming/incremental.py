@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork import schemas
+from leafwork.operators.queueing import collapse_queue
 from leafwork.plans.pull import PullOptions, classify_changes, next_state, queue_rows, workspace_nodes
+from leafwork.plans.sync import SyncOptions, Workspace, sync
 
 
 def newer_than_processed(events: DataFrame, registry: DataFrame) -> DataFrame:
@@ -22,6 +24,32 @@ def newer_than_processed(events: DataFrame, registry: DataFrame) -> DataFrame:
     return joined.where(newer).drop("k_id", "k_edited")
 
 
+def sync_batch(
+    workspace: Callable[[], Workspace], options: Callable[[], SyncOptions], output: str
+) -> Callable[[DataFrame, int], None]:
+    """An `after_batch` hook for `events.ingest` that syncs the pages of each micro-batch.
+
+    `workspace()` gives the tables and the registry of that moment. Documents, registry rows, child
+    edges, follow-up work and the rows to retry go to folders of their own per micro-batch, which a
+    replay overwrites; the caller queues follow-up work and retries again.
+    """
+
+    def handle(rows: DataFrame, batch_id: int) -> None:
+        waiting = rows.withColumn("legacy", F.lit(False))
+        result = sync(workspace(), collapse_queue(waiting), options())
+        tables = {
+            "documents": result.written.documents,
+            "registry": result.written.registry,
+            "children": result.written.children,
+            "child_queue": result.written.child_queue,
+            "retry": result.remaining,
+        }
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{output}/{name}/batch={batch_id}")
+
+    return handle
+
+
 def pull_stream(
     spark: SparkSession,
     pages_path: str,

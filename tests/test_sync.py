@@ -12,6 +12,7 @@ from leafwork.operators.users import enrich_users, unknown_users
 from leafwork.plans import maintenance, pull, sync
 from leafwork.session import staged
 from leafwork.sources import landed
+from leafwork.streaming import incremental
 
 NOW = datetime(2024, 6, 1)
 T0 = datetime(2024, 1, 1)
@@ -217,3 +218,22 @@ def test_search(spark, workspace):
     found = landed.search(workspace.pages, kind="page", query="LOO", workspace_level=True)
     assert [r["id"] for r in found.collect()] == ["top-2"]
     assert landed.search(workspace.pages, kind="database").isEmpty()
+    before = landed.scan_until(workspace.pages.withColumn(
+        "last_edited_time", F.when(F.col("id") == "stray", F.lit(T0)).otherwise(F.col("last_edited_time"))), F.col("id") == "stray")
+    assert before.count() == 10 and landed.scan_until(workspace.pages, F.lit(False)).count() == 11
+
+
+def test_sync_of_a_micro_batch(spark, workspace, tmp_path):
+    rows = spark.createDataFrame(
+        [(998, 0, "update", "tech", None, "deep1", NOW), (999, 0, "update", "tech", None, "busy", NOW)],
+        "seq BIGINT, pos INT, type STRING, folder STRING, parent_id STRING, page_id STRING, last_edited TIMESTAMP")
+    hook = incremental.sync_batch(lambda: workspace, lambda: OPTIONS, str(tmp_path))
+    for _ in range(2):  # a replay overwrites
+        hook(rows, 7)
+    tables = {name: spark.read.parquet(str(tmp_path / name)) for name in ("documents", "registry", "retry")}
+    assert {r["page_id"] for r in tables["documents"].collect()} == {"mid1", "deep1"}
+    assert {r["id"] for r in tables["registry"].collect()} == {"mid1", "deep1"}
+    assert [(r["page_id"], r["batch"]) for r in tables["retry"].collect()] == [("busy", 7)]
+    hot = sync.judge_queue(workspace, queue(spark, *ASKED), replace(OPTIONS, floor=1))
+    plain = sync.judge_queue(workspace, queue(spark, *ASKED), OPTIONS)
+    assert sorted(map(str, hot.outcomes.collect())) == sorted(map(str, plain.outcomes.collect()))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafwork.functions.ids import blank_to_null
 from leafwork.functions.paths import child_directory, directory, joined_path, stem
 from leafwork.functions.text import slug
+from leafwork.operators.hierarchy import FOUND, resolve_pointers
 from leafwork.operators.skew import HOT_FLOOR, lookup
 from leafwork.session import staged
 
@@ -45,7 +46,8 @@ def assign_paths(new: DataFrame, registry: DataFrame, *, floor: int = HOT_FLOOR)
 
     A page that has a path in `registry` keeps it for ever. A new page goes to its folder when it
     is a root or its parent is unknown, and otherwise below the path of its parent, so paths are
-    given one tree level per round. Pages whose parents form a cycle go to their folder.
+    given one tree level per round. Levels are found beforehand by pointer doubling, so a round
+    reads its own level only. Pages on or below a cycle of parents go to their folder.
     """
     kept = staged(
         registry.where(blank_to_null(F.col("file_path")).isNotNull()).select("id", "file_path")
@@ -70,28 +72,51 @@ def assign_paths(new: DataFrame, registry: DataFrame, *, floor: int = HOT_FLOOR)
         .select("id", "parent", "slug", "folder", "priority", "waits", "dir")
     )
     rounds = [staged(_named(first.where("not waits"), _occupied(kept)))]
-    waiting = first.where("waits").drop("waits", "dir")
-    left = waiting.count()
-    while left:
+    if not first.where("waits").isEmpty():
+        rounds += _levels(first, kept, rounds[0], floor=floor)
+    return _union([stable, *rounds])
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    result = frames[0]
+    for frame in frames[1:]:
+        result = result.unionByName(frame)
+    return result
+
+
+def _levels(first: DataFrame, kept: DataFrame, top: DataFrame, *, floor: int) -> list[DataFrame]:
+    """Paths of the pages that wait for their parents, one level after the other."""
+    pointers = first.select(
+        "id",
+        F.when(F.col("waits"), F.col("parent")).alias("next_id"),
+        F.when(~F.col("waits"), F.struct(F.lit(0).alias("top"))).alias("payload"),
+    )
+    depth = resolve_pointers(pointers, floor=floor).where("hops > 0").select(
+        F.col("id").alias("l_id"), F.when(F.col("outcome") == FOUND, F.col("hops")).otherwise(-1).alias("level")
+    )
+    waiting = staged(
+        first.drop("waits", "dir").join(depth, F.col("id") == F.col("l_id")).drop("l_id"), by="level"
+    )
+    counts = {row["level"]: row["count"] for row in waiting.groupBy("level").count().collect()}
+    rounds = [top]
+    # A directory belongs to pages of one level, unless a suffixed name hits the path of a kept
+    # page or pages lie outside any folder; only then do earlier rounds matter for later names.
+    outside = not first.where(blank_to_null(F.col("folder")).isNull()).isEmpty()
+    shared = outside or not top.join(kept.select("file_path"), "file_path", "left_semi").isEmpty()
+    for level in range(1, max(counts) + 1):
+        rows = waiting.where(F.col("level") == level)
         above = rounds[-1].select(F.col("id").alias("p_id"), F.col("file_path").alias("p_path"))
-        step = staged(
-            lookup(waiting, above, "parent", "p_id", rows=left, floor=floor).withColumn(
-                "dir", child_directory(F.col("p_path"))
-            )
-        )
-        ready = step.where("dir is not null")
-        waiting = step.where("dir is null").select("id", "parent", "slug", "folder", "priority")
-        before, left = left, waiting.count()
-        if before == left:
-            ready, left = waiting.withColumn("dir", F.col("folder")), 0
-        taken = kept
-        for done in rounds:
-            taken = taken.unionByName(done)
-        rounds.append(staged(_named(ready, _occupied(taken))))
-    paths = stable
-    for done in rounds:
-        paths = paths.unionByName(done)
-    return paths
+        ready = lookup(
+            rows, above, "parent", "p_id", how="inner", rows=counts[level], floor=floor
+        ).withColumn("dir", child_directory(F.col("p_path")))
+        taken = _union([kept, *rounds]) if shared else kept
+        done = staged(_named(staged(ready), _occupied(taken)))
+        rounds.append(done)
+        shared = shared or not done.join(kept.select("file_path"), "file_path", "left_semi").isEmpty()
+    if -1 in counts:
+        stuck = waiting.where("level = -1").withColumn("dir", F.col("folder"))
+        rounds.append(staged(_named(stuck, _occupied(_union([kept, *rounds])))))
+    return rounds[1:]
 
 
 def path_collisions(paths: DataFrame) -> DataFrame:

@@ -56,8 +56,8 @@ def staging_root(spark: SparkSession) -> str:
 _STAGED: list[str] = []
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder and read it back.
+def staged(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write `df` once to the shared folder and read it back; `by` splits it into partitions.
 
     Used wherever a frame is read more than once or feeds the next round of a loop. Compared with
     `checkpoint()` the plan runs once instead of twice, later reads prune columns and push
@@ -65,7 +65,8 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(path)
+    writer = df.write.option("compression", "lz4")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm import bpe, packing, sharding, warc
+from leafwork.llm import bpe, packing, quality, sharding, toxicity, warc
 from leafwork.session import prepare
 
 
@@ -39,6 +39,17 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+@ready
+def op6_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.apply_rules(documents(spark, sf_dir))
+
+
+@ready
+def op7_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.rate_documents(documents(spark, sf_dir), labels)
+
+
 @ready
 def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_pages(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -62,6 +73,6 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_mixture_packing, op8_zip_warc, op9_bpe_tree, op10_kd_sharding)
+    f.__name__: f for f in (op5_mixture_packing, op6_kneser_ney_rules, op7_subsequence_svm, op8_zip_warc, op9_bpe_tree, op10_kd_sharding)
 }
 ORACLES: dict[str, str] = {}

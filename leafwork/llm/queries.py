@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm import bpe, language, packing, quality, sharding, toxicity, warc
+from leafwork.llm import bpe, language, packing, pii, quality, sharding, toxicity, warc
 from leafwork.session import prepare
 
 
@@ -34,6 +34,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@ready
+def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summarise(pii.find_spans(documents(spark, sf_dir)))
+
+
 @ready
 def op4_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(documents(spark, sf_dir))
@@ -78,6 +83,6 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_cross_parsing, op5_mixture_packing, op6_kneser_ney_rules, op7_subsequence_svm, op8_zip_warc, op9_bpe_tree, op10_kd_sharding)
+    f.__name__: f for f in (op1_pii_boosting, op4_cross_parsing, op5_mixture_packing, op6_kneser_ney_rules, op7_subsequence_svm, op8_zip_warc, op9_bpe_tree, op10_kd_sharding)
 }
 ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm import bpe, language, neighbours, packing, pii, quality, sharding, toxicity, warc
+from leafwork.llm import bpe, jaccard, language, neighbours, packing, pii, quality, sharding, toxicity, warc
 from leafwork.session import prepare
 
 
@@ -44,6 +44,11 @@ def op2_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+@ready
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(documents(spark, sf_dir))
+
+
 @ready
 def op4_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(documents(spark, sf_dir))
@@ -88,6 +93,6 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_boosting, op2_product_quantisation, op4_cross_parsing, op5_mixture_packing, op6_kneser_ney_rules, op7_subsequence_svm, op8_zip_warc, op9_bpe_tree, op10_kd_sharding)
+    f.__name__: f for f in (op1_pii_boosting, op2_product_quantisation, op3_ngram_jaccard, op4_cross_parsing, op5_mixture_packing, op6_kneser_ney_rules, op7_subsequence_svm, op8_zip_warc, op9_bpe_tree, op10_kd_sharding)
 }
 ORACLES: dict[str, str] = {}

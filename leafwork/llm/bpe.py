@@ -12,6 +12,9 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafwork.llm.common import map_rows
+from leafwork.session import staged
+
 LEAF = 2048  # characters a leaf of the tree has at most
 BLOCK = 1 << 16  # longer texts are encoded as several rows, block by block
 WINDOW = 64  # characters on either side of a join that are encoded again at first
@@ -187,36 +190,33 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
     over the cluster, and joined per text by windows around each cut. Null text counts as empty and
     gives no ids; repeated rows stay; an empty table gives none; columns not named are ignored.
     """
-    long = F.char_length("text") > block
-    kept = [F.col(c) for c in keep]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    schema = f"{fields}, ids binary"
+    long = F.char_length("_text") > block
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = codec(path)
         for frame in frames:
-            yield frame[list(keep)].assign(ids=[coder.encode(t or "").tobytes() for t in frame["text"]])
-
-    short = docs.where(~F.coalesce(long, F.lit(False))).select(*kept, "text").mapInPandas(whole, schema)
+            yield frame[list(keep)].assign(ids=[coder.encode(t or "").tobytes() for t in frame["_text"]])
 
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = codec(path)
         for frame in frames:
-            yield frame.assign(ids=[coder.encode(t).tobytes() for t in frame["text"]])
+            yield frame.assign(ids=[coder.encode(t).tobytes() for t in frame["_text"]])
 
     def joined(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_block")
-        nodes = [(t, np.frombuffer(i, np.uint32)) for t, i in zip(frame["text"], frame["ids"], strict=True)]
-        return frame.head(1)[list(keep)].assign(ids=[codec(path).join_all(nodes).tobytes()])
+        nodes = [(t, np.frombuffer(i, np.uint32)) for t, i in zip(frame["_text"], frame["ids"], strict=True)]
+        return pd.DataFrame({"_row": frame["_row"].iloc[:1], "ids": [codec(path).join_all(nodes).tobytes()]})
 
-    numbered = docs.where(long).select(*kept, "text", F.monotonically_increasing_id().alias("_row"))
-    parts = numbered.select(
-        *kept, "_row", F.posexplode(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / block))).alias("_block", "_at"),
-        "text",
-    ).select(*kept, "_row", "_block", F.expr(f"substring(text, cast(_at * {block} + 1 as int), {block})").alias("text"))
-    parts = parts.repartition("_row", "_block")
-    encoded = parts.mapInPandas(blocks, f"{fields}, _row bigint, _block int, text string, ids binary")
-    return short.unionByName(encoded.groupBy("_row").applyInPandas(joined, schema))
+    texts = docs.select(*keep, F.col("text").alias("_text"))
+    short = map_rows(texts.where(~F.coalesce(long, F.lit(False))), whole, keep, "ids binary")
+    # rows of long texts are written once, as the number that brings their blocks together has to stay
+    numbered = staged(texts.where(long).withColumn("_row", F.monotonically_increasing_id()))
+    count = F.floor((F.char_length("_text") - 1) / block)
+    parts = numbered.select("_row", "_text", F.posexplode(F.sequence(F.lit(0), count)).alias("_block", "_at"))
+    parts = parts.select("_row", "_block", F.expr(f"substring(_text, cast(_at * {block} + 1 as int), {block})").alias("_text"))
+    encoded = parts.repartition("_row", "_block").mapInPandas(blocks, "_row bigint, _block int, _text string, ids binary")
+    ids = encoded.groupBy("_row").applyInPandas(joined, "_row bigint, ids binary")
+    return short.unionByName(numbered.drop("_text").join(ids, "_row").select(*keep, "ids"))
 
 
 def decode_documents(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
@@ -224,11 +224,10 @@ def decode_documents(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("do
 
     Bytes that are not UTF-8 become replacement characters; null ids count as empty.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*keep).schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = codec(path)
         for frame in frames:
             yield frame[list(keep)].assign(text=[coder.decode(np.frombuffer(i or b"", np.uint32)) for i in frame["ids"]])
 
-    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInPandas(run, f"{fields}, text string")
+    return map_rows(encoded.select(*dict.fromkeys([*keep, "ids"])), run, keep, "text string")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from leafwork.session import staged
 
@@ -81,6 +82,33 @@ class Buffer:
         return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
+def map_rows(
+    frame: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], keep: Sequence[str], produced: str
+) -> DataFrame:
+    """`mapInPandas` that hands the columns `keep` on and adds those of the schema `produced`.
+
+    Whole numbers in `keep` travel as text, as pandas makes doubles of a column that has nulls.
+    """
+    whole = {f.name: f.dataType for f in frame.schema if f.name in keep and isinstance(f.dataType, IntegralType)}
+    sent = frame.withColumns({c: F.col(f"`{c}`").cast("string") for c in whole}) if whole else frame
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema if f.name in keep]
+    out = sent.mapInPandas(run, ", ".join([*fields, produced] if produced else fields))
+    return out.withColumns({c: F.col(f"`{c}`").cast(t) for c, t in whole.items()}) if whole else out
+
+
+def masked(frame: DataFrame, *needed: str) -> DataFrame:
+    """All columns under names of their own (_c0, _c1, …), which no result clashes with, and the needed ones."""
+    return frame.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(frame.columns)), *needed)
+
+
+def unmasked(frame: DataFrame, names: Sequence[str]) -> DataFrame:
+    return frame.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))
+
+
+def mask_names(names: Sequence[str]) -> tuple[str, ...]:
+    return tuple(f"_c{i}" for i in range(len(names)))
+
+
 def sized_batches(frames: Iterator[pd.DataFrame], column: str, limit: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """Cut batches so that the text of one has about `limit` characters; one long text is a batch."""
     for frame in frames:
@@ -93,6 +121,19 @@ def sized_batches(frames: Iterator[pd.DataFrame], column: str, limit: int = 4_00
             yield frame.iloc[a:b]
 
 
+def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index each of n nodes reaches by the edges."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of `(a, b)` as `(node, component)`; component is the smallest node.
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import held_out, sized_batches
+from leafwork.llm.common import held_out, map_rows, sized_batches
 
 CLASSES = 64  # symbols of an automaton: 0 for all that is no letter, a to z, hashes of other letters
 PIECE = 512  # symbols parsed as one row; a longer text is several rows
@@ -83,12 +83,12 @@ def count_phrases(table: np.ndarray, rows: np.ndarray, active: np.ndarray) -> np
     flat = table.ravel()
     root = np.where(table[1] > 0, table[1], 1).astype(np.int32)
     state = np.ones(rows.shape[1], np.int32)
-    phrases = np.ones(rows.shape[1], np.int64)
+    phrases = np.zeros(rows.shape[1], np.int64)
     for line, n in zip(rows, active.tolist(), strict=True):
         symbol = line[:n]
         following = flat[state[:n] * CLASSES + symbol]
         missed = following == 0
-        phrases[:n] += missed
+        phrases[:n] += missed | (state[:n] == 1)  # at the root no phrase is open
         state[:n] = np.where(missed, root[symbol], following)
     return phrases
 
@@ -165,7 +165,6 @@ def sample_languages(docs: DataFrame, documents: int = 200, characters: int = 40
 
 def predict_documents(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, from its text alone."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
     fixed = tuple(sorted(samples.items()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,7 +174,7 @@ def predict_documents(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             yield frame[["doc_id", "held_out"]].assign(lang_pred=names, score=score)
 
     texts = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return map_rows(texts, run, ("doc_id", "held_out"), "lang_pred string, score double")
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import components
+from leafwork.llm.common import components, labels, map_rows
 from leafwork.session import staged
 
 SAMPLE = 20_000  # vectors that centroids and codebooks are fitted on
@@ -109,19 +109,6 @@ def _vectors(raw: pd.Series) -> np.ndarray:
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index each of n nodes reaches by the edges."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def compare(entries: pd.DataFrame, queries: pd.DataFrame, quantiser: Quantiser, at: int, radius: float, threshold: float) -> pd.DataFrame:
     """Links between the queries and the entries of list `at`, as counts per vector and as edges.
 
@@ -155,7 +142,7 @@ def compare(entries: pd.DataFrame, queries: pd.DataFrame, quantiser: Quantiser,
     for_q = np.bincount(q, e_n[e], len(q_key)).astype(np.int64)
     for_e = np.bincount(e[once], q_n[q[once]], len(e_key)).astype(np.int64)
     keys = {k: i for i, k in enumerate(sorted({*q_key[np.unique(q)], *e_key[np.unique(e)]}))}
-    label = _labels(len(keys), np.array([keys[q_key[i]] for i in q], np.int64), np.array([keys[e_key[j]] for j in e], np.int64))
+    label = labels(len(keys), np.array([keys[q_key[i]] for i in q], np.int64), np.array([keys[e_key[j]] for j in e], np.int64))
     names = list(keys)
     edges = [(names[i], names[r], 0) for i, r in enumerate(label.tolist()) if i != r]
     counts = [(k, None, int(c)) for side, number in ((q_key, for_q), (e_key, for_e)) for k, c in zip(side, number, strict=True) if c]
@@ -167,7 +154,6 @@ def compare(entries: pd.DataFrame, queries: pd.DataFrame, quantiser: Quantiser,
 
 def _keyed(vectors: DataFrame, dim: int) -> DataFrame:
     """vec_id, and for vectors that can link: a digest of the components and their bytes."""
-    kind = vectors.schema["vec_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -183,7 +169,7 @@ def _keyed(vectors: DataFrame, dim: int) -> DataFrame:
                 keys.append(hashlib.blake2b(raw, digest_size=16).digest() if good else None)
             yield pd.DataFrame({"vec_id": frame["vec_id"], "key": keys, "vec": raws})
 
-    return vectors.mapInPandas(run, f"vec_id {kind}, key binary, vec binary")
+    return map_rows(vectors, run, ("vec_id",), "key binary, vec binary")
 
 
 def link_vectors(vectors: DataFrame, threshold: float = 0.9, certainty: float = 2.5, exact: bool = False) -> DataFrame:

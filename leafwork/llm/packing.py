@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.llm.bpe import codec
+from leafwork.llm.common import map_rows
 from leafwork.session import staged
 
 MAX_QUEUES = 64
@@ -162,7 +163,6 @@ def pack_documents(
     packed each; an empty table gives no rows; other columns are ignored.
     """
     number, numbers = _queue_of(docs, queue, max_queues)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, part, given = codec(path), TaskContext.get().partitionId(), {}
@@ -184,8 +184,10 @@ def pack_documents(
             })
 
     tokens = staged(
-        docs.select("doc_id", number.alias("queue"), "text")
-        .mapInPandas(encode, f"doc_id {kind}, queue int, part int, start bigint, n bigint, width int, ids binary")
+        map_rows(
+            docs.select("doc_id", number.alias("queue"), "text"), encode, ("doc_id",),
+            "queue int, part int, start bigint, n bigint, width int, ids binary",
+        )
     )
     counts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -213,8 +215,7 @@ def pack_documents(
 
     # a row per queue and partition of the first pass: Spark broadcasts it while it is small
     placed = tokens.join(bases.select("queue", "part", "base"), ["queue", "part"])
-    return placed.select("doc_id", "queue", "start", "base", "n", "width", "ids").mapInPandas(
-        cut,
-        f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
-        "sequence_id bigint, offset bigint, queue int",
+    return map_rows(
+        placed.select("doc_id", "queue", "start", "base", "n", "width", "ids"), cut, ("doc_id",),
+        "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, queue int",
     )

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm import boosting
+from leafwork.llm.common import map_rows
 
 BASE = ("email", "ip", "card", "phone")
 FURTHER = ("secret", "account", "national_id", "local_phone", "spelled_email")
@@ -312,14 +313,13 @@ def find_spans(docs: DataFrame, selector: Selector | None = None) -> DataFrame:
     no rows; other columns are ignored.
     """
     selector = selector or learn(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [[(s.kind, s.start, s.end, s.base) for s in selector.spans(t or "")] for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "spans": found})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, spans {SPANS}")
+    return map_rows(docs.select("doc_id", "text"), run, ("doc_id",), f"spans {SPANS}")
 
 
 def redact(docs: DataFrame, selector: Selector | None = None) -> DataFrame:
@@ -345,7 +345,7 @@ def redact(docs: DataFrame, selector: Selector | None = None) -> DataFrame:
         for frame in frames:
             yield frame.assign(text=[clean(t) for t in frame["text"]])
 
-    cleaned = docs.mapInPandas(run, docs.schema)
+    cleaned = map_rows(docs, run, columns, "")
     if "n_chars" in columns:
         cleaned = cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.select(*columns)

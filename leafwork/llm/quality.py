@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork import session
-from leafwork.llm.common import Buffer, mix, sized_batches
+from leafwork.llm.common import Buffer, map_rows, mask_names, masked, mix, sized_batches, unmasked
 from leafwork.llm.warc import file_system
 from leafwork.session import staged, staging_root
 
@@ -21,6 +21,7 @@ ORDER = 5  # bytes of an n-gram
 HELD = 3_000_000  # n-grams a task holds before it hands them on
 SYMBOLS = b"#*$%&|<>"  # fixed value
 WINDOW = 8  # fixed value: words of a window that may repeat
+FEW = 10_000  # languages up to which their bands are broadcast
 
 _DIGITS = np.arange(256, dtype=np.uint8)
 _DIGITS[48:58] = 48  # all digits are one
@@ -178,6 +179,8 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
         table = table.join(contexts, ["lang", "context"])
         if lower is None:
             table = table.withColumn("p", own + F.col("gamma") / 256)
+            none = F.lit(None).cast("double").alias("p")
+            tables.append(contexts.select("lang", F.lit(0).alias("size"), F.col("context").alias("gram"), none, "gamma"))
         else:
             below = lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("below"))
             table = table.withColumn("tail", F.col("gram").bitwiseAND(F.lit((1 << 8 * (size - 1)) - 1)))
@@ -263,7 +266,8 @@ class HashModel:
                 context = self.find(_hash(key >> 8, size - 1))
                 passed = passed + np.where(context >= 0, self.gamma[context], np.float32(0))
                 key = key & ((1 << 8 * (size - 1)) - 1)
-        result[open_] = passed - np.float32(np.log(256))
+        unseen = self.find(_hash(np.zeros(1, np.int64), 0))[0]
+        result[open_] = passed + (self.gamma[unseen] if unseen >= 0 else np.float32(0)) - np.float32(np.log(256))
         return result
 
 
@@ -276,39 +280,60 @@ def hash_model(folder: str, lang: str) -> HashModel:
 # -- the operator -----------------------------------------------------------------------------
 
 
-def score_documents(docs: DataFrame, folder: str) -> DataFrame:
-    """doc_id, the text counts, lang and log_perplexity (per byte, null for empty texts)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def score_documents(docs: DataFrame, folder: str, keep: tuple[str, ...]) -> DataFrame:
+    """The columns `keep`, the text counts, _lang and log_perplexity (per byte, null for empty texts)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in sized_batches(frames, "text"):
-            texts = frame["text"].tolist()
-            out = pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "lang": frame["lang"].to_numpy(), **text_counts(texts)})
+        for frame in sized_batches(frames, "_text"):
+            texts, langs = frame["_text"].tolist(), frame["_lang"].to_numpy()
             scores = np.full(len(frame), np.nan)
-            full = frame["text"].map(bool).to_numpy()
-            for lang in np.unique(frame["lang"].to_numpy()[full]):
-                rows = np.flatnonzero(full & (frame["lang"].to_numpy() == lang))
+            full = np.array([bool(t) for t in texts])
+            for lang in np.unique(langs[full].astype(str)):
+                rows = np.flatnonzero(full & (langs == lang))
                 keys, lengths = _padded([texts[i] for i in rows])
                 total = np.concatenate([[0], np.cumsum(hash_model(folder, lang).log_p(keys), dtype=np.float64)])
                 ends = np.cumsum(lengths)
                 scores[rows] = -(total[ends] - total[ends - lengths]) / lengths
-            yield out.assign(log_perplexity=scores)
+            yield frame.drop(columns="_text").assign(**text_counts(texts), log_perplexity=scores)
 
-    counts = ", ".join(f"{c} bigint" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _lang().alias("lang"))
-    scored = texts.mapInPandas(run, f"doc_id {kind}, lang string, {counts}, log_perplexity double")
+    texts = docs.select(*keep, _lang().alias("_lang"), F.coalesce("text", F.lit("")).alias("_text"))
+    counts = ", ".join(f"{c} bigint" for c in COUNTS)
+    scored = map_rows(texts, run, (*keep, "_lang"), f"{counts}, log_perplexity double")
     return scored.withColumn("log_perplexity", F.nanvl("log_perplexity", F.lit(None).cast("double")))
 
 
-def apply_rules(
+def judge(
     docs: DataFrame,
+    keep: tuple[str, ...],
     *,
     min_words: int = 20,
     max_repeat_percent: int = 30,
     below: tuple[float, float] = (30.0, 0.5),
     above: tuple[float, float] = (10.0, 0.2),
 ) -> DataFrame:
-    """Judge every document by counts of its text and by its perplexity.
+    """`apply_rules` with the columns `keep` of the documents."""
+    folder = store_model(kneser_ney(staged(count_grams(docs))))
+    scored = staged(score_documents(docs, folder, keep))
+    # rounded, so the exact percentiles need a bounded table of values
+    marks = scored.where(f"n_words >= {min_words} and log_perplexity is not null").groupBy("_lang").agg(
+        F.expr("percentile(round(log_perplexity, 4), array(0.25, 0.5, 0.75))").alias("q")
+    )
+    half = (F.col("q")[2] - F.col("q")[0]) / 2
+    low, high = (F.greatest(F.lit(least), times * half) for times, least in (below, above))
+    bands = staged(marks.select("_lang", (F.col("q")[1] - low).alias("_low"), (F.col("q")[1] + high).alias("_high")))
+    judged = scored.join(F.broadcast(bands) if bands.count() <= FEW else bands, "_lang", "left")
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("_low"), F.col("_high")), F.lit(True))
+    return judged.select(
+        *keep, *COUNTS, failed.alias("base_failed"), (~failed & inside).alias("kept"), F.col("_lang").alias("model"), "log_perplexity"
+    )
+
+
+def apply_rules(docs: DataFrame, **limits) -> DataFrame:
+    """Judge every document by counts of its text and by its perplexity (limits as in `judge`).
 
     A byte n-gram model with modified Kneser-Ney smoothing is counted over all documents, one per
     language, and kept as sorted hash arrays in the staging folder. A document's perplexity has to lie
@@ -317,27 +342,14 @@ def apply_rules(
     least so much. Repetition lowers perplexity a lot in clean texts too, so the lower side is wider.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    lang, log_perplexity. Null text counts as empty: it has no words and fails. A null language is
-    one of its own. Repeated rows are judged each; an empty table gives no rows; other columns are ignored.
+    model (the language), log_perplexity. Null text counts as empty: it has no words and fails. A null
+    language is one of its own. Repeated rows are judged each; an empty table gives no rows; other
+    columns are ignored.
     """
-    folder = store_model(kneser_ney(staged(count_grams(docs))))
-    scored = staged(score_documents(docs, folder))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    # rounded, so the exact percentiles need a bounded table of values
-    value = F.round("log_perplexity", 4)
-    marks = scored.where((F.col("n_words") >= min_words) & value.isNotNull()).groupBy("lang").agg(
-        F.expr("percentile(round(log_perplexity, 4), array(0.25, 0.5, 0.75))").alias("q")
-    )
-    half = (F.col("q")[2] - F.col("q")[0]) / 2
-    low, high = (F.greatest(F.lit(least), times * half) for times, least in (below, above))
-    bands = marks.select("lang", (F.col("q")[1] - low).alias("_low"), (F.col("q")[1] + high).alias("_high"))
-    judged = scored.join(F.broadcast(bands), "lang", "left") if _few(bands) else scored.join(bands, "lang", "left")
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("_low"), F.col("_high")), F.lit(True))
-    return judged.withColumn("base_failed", failed).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & inside).alias("kept"), "lang", "log_perplexity",
-    )
+    return judge(docs, ("doc_id",), **limits)
 
 
-def _few(bands: DataFrame, limit: int = 10_000) -> bool:
-    return bands.limit(limit + 1).count() <= limit
+def keep_good(docs: DataFrame, **limits) -> DataFrame:
+    """The documents that pass, with all their columns."""
+    judged = judge(masked(docs, "text", "lang"), mask_names(docs.columns), **limits)
+    return unmasked(judged.where("kept"), docs.columns)

@@ -18,14 +18,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Pin the session settings, and bound the rows of a batch that goes to Python."""
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings results rest on, and bounded batches for Python."""
+    prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    return spark
+
 
+def ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        prepare(spark)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-        return query(spark, sf_dir)
+        return query(prepared(spark), sf_dir)
 
     return run
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import functools
+import random
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import Buffer, held_out, mix, sized_batches
+from leafwork.llm.common import Buffer, held_out, map_rows, mask_names, masked, mix, sized_batches, unmasked
 from leafwork.session import staged
 
 GAP = 3  # largest step between letters of a subsequence; up to two inserted characters are passed over
@@ -21,7 +24,7 @@ POWER = 3  # a power of a kernel is a kernel; this one sets close matches apart
 PIECE = 32  # bytes of a word compared at once; longer words are compared window by window
 KNOWN = 4_000_000  # words a task remembers
 
-_LETTER = np.zeros(256, np.int64)  # 0: no letter, may only be passed over
+_LETTER = np.zeros(256, np.int64)  # 0: no letter, is left out
 _LETTER[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _LETTER[ord("0") : ord("9") + 1] = np.arange(27, 37)
 _LETTER[128:] = 37 + np.arange(128) % 26
@@ -157,7 +160,9 @@ class Matcher:
         first = np.cumsum(size) - size
         flat = raw[np.maximum(np.repeat(a - 1 - first, size) + np.arange(size.sum()), 0)]
         flat[first] = np.where(step == 0, START, 32)  # only the first window has the beginning
-        names, values = self.landmarks.similarities(flat, np.repeat(np.arange(len(a)), size), len(a))
+        # marks between the letters of a word do not count, not even as a gap
+        held = _LETTER[flat] > 0
+        names, values = self.landmarks.similarities(flat[held], np.repeat(np.arange(len(a)), size)[held], len(a))
         place = np.full(len(start), -1, np.int32)
         if len(names):
             words, first = np.unique(owner[names], return_index=True)
@@ -270,6 +275,20 @@ def fit_platt(value: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[floa
     return float(max(w[0], 1e-3)), float(w[1])
 
 
+_LONG = re.compile(r"[^\W\d_]{5,}")
+
+
+def disguised(text: str) -> str:
+    """The text with a character inserted into each longer word, as evasive spelling does."""
+    r = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+
+    def insert(m: re.Match) -> str:
+        at = r.randint(1, len(m.group()) - 1)
+        return m.group()[:at] + r.choice("xzqkj019") + m.group()[at:]
+
+    return _LONG.sub(insert, text)
+
+
 # -- learning ---------------------------------------------------------------------------------
 
 
@@ -319,7 +338,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, limit: int = 12_000, landmarks:
     """The machine for these labels, or the share of toxic documents if only one kind is labelled.
 
     A toxic text is a bag of sentences of which at least one is toxic: in each round its highest
-    sentence is a positive example, and the highest of every other text a negative one.
+    sentence is a positive example, and the highest of every other text a negative one. Toxic texts and
+    a quarter of the others are learned a second time with characters inserted into their words.
     """
     sample = labelled(docs, labels, limit)
     size = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
@@ -329,9 +349,15 @@ def learn(docs: DataFrame, labels: DataFrame, *, limit: int = 12_000, landmarks:
     if not names:
         return float(size[0] / size[1])
 
+    def with_disguised(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame
+            again = frame[(frame["toxic"] > 0) | (frame["_doc"] % 4 == 0)]
+            yield again.assign(_doc=-1 - again["_doc"], text=[disguised(t) for t in again["text"]])
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         match = Matcher(Landmarks(names))
-        for frame in sized_batches(frames, "text"):
+        for frame in sized_batches(with_disguised(frames), "text"):
             rows, similar = match.sentences(frame["text"].tolist())
             have = frame["_doc"].to_numpy()
             without = np.setdiff1d(np.arange(len(frame)), rows)
@@ -370,7 +396,6 @@ def _matcher(names: tuple[str, ...]) -> Matcher:
 
 def score_documents(docs: DataFrame, machine: Machine | float, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and `score` of every document. Null text counts as empty."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     if isinstance(machine, float):
         return docs.select(*keep, F.lit(machine).alias("score"))
 
@@ -380,7 +405,13 @@ def score_documents(docs: DataFrame, machine: Machine | float, keep: tuple[str,
             rows, similar = match.sentences(frame["_text"].tolist())
             yield frame[list(keep)].assign(score=machine.scores(len(frame), rows, similar))
 
-    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInPandas(run, f"{fields}, score double")
+    return map_rows(docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")), run, keep, "score double")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The documents whose score is below the threshold, with all their columns."""
+    scored = score_documents(masked(docs, "text"), learn(docs, labels), mask_names(docs.columns))
+    return unmasked(scored.where(F.col("score") < threshold), docs.columns)
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

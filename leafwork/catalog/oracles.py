@@ -120,6 +120,10 @@ numbered as (
 )"""
 
 
+# the start of the id where it is alone, else the whole id; later rounds see the names of earlier ones
+SUFFIX = """case when count(*) over (partition by dir, slug, rn = 1, substr(id, 1, 4), round) > 1
+         or min(round) over (partition by dir, slug, rn = 1, substr(id, 1, 4)) < round then id else substr(id, 1, 4) end"""
+
 PATHS = f"""
 known as (
   select id, file_path from fx_region union all select id, file_path from fx_nation
@@ -135,7 +139,7 @@ fresh_named as (
   select *, row_number() over (partition by dir, slug order by round, priority, id) as rn from fresh
 ),
 fresh_paths as (
-  select id, home, round, concat(dir, '/', slug, case when rn = 1 then '' else concat('-', substr(id, 1, 4)) end, '.md') as file_path
+  select id, home, round, concat(dir, '/', slug, case when rn = 1 then '' else concat('-', {SUFFIX}) end, '.md') as file_path
   from fresh_named
 ),
 placed_orders as (
@@ -146,9 +150,8 @@ placed_orders as (
   from fx_order o left join known k on o.parent_id = k.id left join fresh_paths f on o.parent_id = f.id
 ),
 order_paths as (
-  select id, concat(dir, '/', slug, case when row_number() over (partition by dir, slug order by round, priority, id) = 1
-         then '' else concat('-', substr(id, 1, 4)) end, '.md') as file_path
-  from placed_orders
+  select id, concat(dir, '/', slug, case when rn = 1 then '' else concat('-', {SUFFIX}) end, '.md') as file_path
+  from (select *, row_number() over (partition by dir, slug order by round, priority, id) as rn from placed_orders)
 ),
 all_paths as (select id, file_path from fresh_paths union all select id, file_path from order_paths)"""
 
@@ -489,13 +492,13 @@ def build() -> dict[str, str]:
         from events)""")
 
     add("page_slugs", """
-      select doc_id, coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-             lower(strip_accents(string_split(text, chr(10))[1])), '[ _/\\\\:|]', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-{2,}', '-', 'g'),
-             '^[^a-z]+|-$', '', 'g'), 1, 100), '-$', ''), ''), 'untitled') as slug from documents""")
+      select doc_id, cast(line_no as int) as line_no, coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+             lower(strip_accents(line)), '[ _/\\\\:|]', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-{2,}', '-', 'g'),
+             '^[^a-z]+|-$', '', 'g'), 1, 100), '-$', ''), ''), 'untitled') as slug from (
+        select doc_id, unnest(l) as line, unnest(range(len(l))) as line_no from (select doc_id, string_split(text, chr(10)) as l from documents))""")
     add("page_paths", "select id, file_path from all_paths", PATHS.format(order_id="o.id"))
     add("path_collisions", """
-      select lower(file_path) as path, count(*) as pages, min(id) as first_id, max(id) as last_id from all_paths
-      group by lower(file_path) having count(*) > 1""",
+      select count(*) as pages, count(distinct lower(file_path)) as paths, count(distinct lower(file_path)) - count(*) as missing from all_paths""",
         PATHS.format(order_id="concat(substr(md5(cast(o_orderkey % 8 as varchar)), 1, 4), substr(o.id, 5))"))
 
     page_head = doc_header("'notes'", "concat('notes/note-', cast(d.doc_id as varchar), '.md')", "2024-05-01T00:00:00Z",
@@ -554,19 +557,16 @@ def build() -> dict[str, str]:
       join fx_nation n on c.c_nationkey = n.n_nationkey where c_custkey % 7 = 0""")
 
     add("registry_overlay", """
-      select c.id, case when c.c_custkey % 6 = 0 then 'pending' else 'stored' end as folder, c.title from fx_customer c
-      where c.c_custkey % 10 <> 0 and (c.c_custkey % 6 = 0 or c.c_custkey % 4 <> 1)""")
+      select c.id, case when c.c_custkey % 6 = 0 or c.c_custkey % 4 = 1 then 'pending' else 'stored' end as folder, c.title
+      from fx_customer c where c.c_custkey % 10 <> 0""")
     add("registry_union", f"""
       select {key_id('customer', 'c_custkey')} as id, case when c_custkey % 4 <> 1 then 'stored' when c_custkey % 2 = 0 then 'dashed'
              else 'normalised' end as folder from customer
       where c_custkey % 9 <> 0 and (c_custkey % 4 <> 1 or c_custkey % 2 = 0 or c_custkey % 3 = 0)""")
     add("compact_merge", f"""
       select c.id, case when c.c_custkey % 3 = 0 then 'normalised' when c.c_custkey % 2 = 0 then 'dashed'
-             when c.c_custkey % 5 = 0 then 'bare' else 'stored' end as folder,
-             case when c.c_custkey % 3 = 0 or c.c_custkey % 2 = 0 or c.c_custkey % 5 = 0 then {key_id('nation', 'x.c_nationkey')}
-                  else c.parent_id end as parent_id
-      from fx_customer c join customer x on c.c_custkey = x.c_custkey
-      where c.c_custkey % 3 = 0 or c.c_custkey % 2 = 0 or c.c_custkey % 5 = 0 or c.c_custkey % 4 <> 1""")
+             else 'bare' end as folder, {key_id('nation', 'x.c_nationkey')} as parent_id
+      from fx_customer c join customer x on c.c_custkey = x.c_custkey""")
     add("compact_files", f"""
       select {key_id('part', 'p_partkey')} as id, p_name as title,
              concat('https://bucket.example.com/', cast(p_partkey as varchar), '.png') as source_url from part""")

@@ -279,9 +279,9 @@ def error_split(v: Views) -> DataFrame:
 
 @query
 def page_slugs(v: Views) -> DataFrame:
-    """File-name form of every document's first line."""
-    title = F.substring_index("text", "\n", 1)
-    return v["documents"].select("doc_id", slug(title).alias("slug"))
+    """File-name form of every line of every document."""
+    lines = v["documents"].select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", slug(F.col("line")).alias("slug"))
 
 
 def _new_paths(v: Views, order_id: F.Column | None = None) -> DataFrame:
@@ -306,9 +306,11 @@ def page_paths(v: Views) -> DataFrame:
 
 @query
 def path_collisions(v: Views) -> DataFrame:
-    """Paths that come out twice when the ids of many pages start alike."""
+    """Pages and paths when the ids of many pages start alike; no path may be held twice."""
     alike = F.concat(F.substring(F.md5((F.col("o_orderkey") % 8).cast("string")), 1, 4), F.substring("id", 5, 28))
-    return paths.path_collisions(_new_paths(v, alike))
+    placed = _new_paths(v, alike)
+    held = placed.groupBy(F.lower("file_path")).agg(F.count("*").alias("n"))
+    return held.agg(F.sum("n").alias("pages"), F.count("*").alias("paths"), (F.count("*") - F.sum("n")).alias("missing"))
 
 
 # -- rendering ---------------------------------------------------------------------------------
@@ -423,7 +425,7 @@ def _stored(v: Views) -> DataFrame:
 @query
 def registry_overlay(v: Views) -> DataFrame:
     """Stored records with pending changes and deletions applied."""
-    pending = v["fx_customer"].where("c_custkey % 6 = 0").select("id", "type", F.lit("pending").alias("folder"), "title", "parent_id")
+    pending = v["fx_customer"].where("c_custkey % 6 = 0 or c_custkey % 4 = 1").select("id", "type", F.lit("pending").alias("folder"), "title", "parent_id")
     deleted = v["fx_customer"].where("c_custkey % 10 = 0").select("id")
     return registry.overlay(_stored(v), pending, deleted).select("id", "folder", "title")
 

@@ -161,11 +161,11 @@ from {{documents}}
 # Published document sets before and after: some gone, some new, some changed.
 VIEWS["fx_published"] = """
 select 'old' as edition, concat('docs/', source, '/doc-', cast(doc_id as string), '.md') as path, text as content
-from {documents} where doc_id % 7 <> 0
+from {documents} where doc_id % 7 <> 0 or doc_id % 5 = 0
 union all
 select 'new' as edition, concat('docs/', source, '/doc-', cast(doc_id as string), '.md') as path,
        case when doc_id % 4 = 0 then concat(text, chr(10), 'edited') else text end as content
-from {documents} where doc_id % 5 <> 0
+from {documents} where doc_id % 5 <> 0 or doc_id % 7 = 0
 union all
 select 'new' as edition, concat('.notion-sync/queue/', lpad(cast(item_id as string), 8, '0'), '.json') as path, text as content
 from {benchmark}
@@ -186,7 +186,7 @@ union all
 select concat({key_id('customer', 'c_custkey')}, '.json') as file_name,
        {key_id('customer', 'c_custkey')} as id, 'page' as type, 'bare' as folder, c_name as title,
        {key_id('nation', 'c_nationkey')} as parent_id, '' as source_url
-from {{customer}} where c_custkey % 5 = 0
+from {{customer}} where c_custkey % 5 = 0 or c_custkey % 6 in (1, 5)
 union all
 select concat('file-', {key_id('part', 'p_partkey')}, '.json') as file_name, {key_id('part', 'p_partkey')} as id,
        '' as type, '' as folder, p_name as title, '' as parent_id,

@@ -9,10 +9,13 @@ from leafwork.functions.paths import (
     MAX_ATTACHMENT_BYTES, attachment_name, child_directory, directory, hosted_file_id, joined_path,
     relative_to, suffixed, without_query,
 )
-from leafwork.operators.paths import SHORT_ID
+from leafwork.operators.paths import SHORT_ID, with_suffixes
 from leafwork.operators.skew import HOT_FLOOR, lookup
 
 
+SIDECAR = ".meta.json"  # fixed value: ending of the file that describes a stored file
+
+
 def attachment_links(links: DataFrame) -> DataFrame:
     """`links(page_id, page_path, position, url)` with `file_id` (null for other URLs)."""
     return links.withColumn("file_id", hosted_file_id(F.col("url")))
@@ -24,9 +27,10 @@ def place_files(
     """Local path of each hosted file: `(file_id, file_path, is_new, page_id, source_url)`.
 
     A registered file keeps its path. A new one goes below the first page that links it; when its
-    name is taken by another file it gets a suffix. `files(id, file_path)` are the registered
-    ones, `manifests(path, file_id)` the sidecars of files already stored. Each file shrinks to
-    one row before names are compared, so a file linked from very many pages costs no more.
+    name is taken by another file it gets a suffix, long enough to be alone. `files(id, file_path)`
+    are the registered ones, `manifests(path, file_id)` the sidecars of files already stored; both
+    occupy their paths. Each file shrinks to one row before names are compared, so a file linked
+    from very many pages costs no more.
     """
     wanted = links.where(F.col("file_id").isNotNull())
     firsts = wanted.groupBy("file_id").agg(
@@ -42,7 +46,11 @@ def place_files(
         attachment_name(F.col("at.url")).alias("name"),
     )
     fresh = base.where("r_path is null")
-    holder = manifests.select(F.col("path").alias("m_path"), F.col("file_id").alias("m_file"))
+    stored = _stored_paths(manifests)
+    registered = files.select(F.col("file_path").alias("path"), F.col("id").alias("file_id"), F.lit(0).alias("rank"))
+    holder = registered.unionByName(stored.withColumn("rank", F.lit(1))).groupBy(F.col("path").alias("m_path")).agg(
+        F.min_by("file_id", F.struct("rank", "file_id")).alias("m_file")
+    )
     best = fresh.groupBy("dir", "name").agg(F.min("file_id").alias("best"))
     held = best.join(holder, F.concat("dir", F.lit("/"), "name") == F.col("m_path"), "left")
     # an occupied name belongs to the file stored there, a free one to the smallest id
@@ -53,15 +61,22 @@ def place_files(
         (F.col("file_id") == F.col("o_file")) & (F.col("dir") == F.col("o_dir")) & (F.col("name") == F.col("o_name")),
         "left",
     )
-    name = F.when(F.col("o_file").isNotNull(), F.col("name")).otherwise(
-        suffixed(F.col("name"), F.substring("file_id", 1, SHORT_ID))
+    taken = holder.select(
+        directory(F.col("m_path")).alias("dir"), F.substring_index("m_path", "/", -1).alias("taken_name"),
+        F.col("m_file").alias("taken_by"),
     )
-    stored = manifests.select(F.col("path").alias("s_path"), F.col("file_id").alias("s_file"))
-    fresh_paths = placed.select(
+    named = with_suffixes(
+        placed.select("file_id", "dir", "name", "page_id", "source_url", F.col("o_file").isNotNull().alias("plain")),
+        "file_id", lambda suffix: suffixed(F.col("name"), suffix), taken, SHORT_ID,
+    )
+    name = F.when(F.col("plain"), F.col("name")).otherwise(F.col("suffixed"))
+    fresh_paths = named.select(
         "file_id", joined_path(F.col("dir"), name).alias("file_path"), "page_id", "source_url"
     )
+    # one file may have several sidecars, so they are matched on both columns and once
+    kept = stored.select(F.col("path").alias("s_path"), F.col("file_id").alias("s_file")).distinct()
     fresh_paths = fresh_paths.join(
-        stored, (F.col("file_path") == F.col("s_path")) & (F.col("file_id") == F.col("s_file")), "left"
+        kept, (F.col("file_path") == F.col("s_path")) & (F.col("file_id") == F.col("s_file")), "left"
     ).select("file_id", "file_path", F.col("s_file").isNull().alias("is_new"), "page_id", "source_url")
     reused = base.where("r_path is not null").select(
         "file_id", F.col("r_path").alias("file_path"), F.lit(False).alias("is_new"), "page_id", "source_url"
@@ -69,6 +84,12 @@ def place_files(
     return reused.unionByName(fresh_paths)
 
 
+def _stored_paths(manifests: DataFrame) -> DataFrame:
+    """Path of the stored file each sidecar `(path, file_id)` belongs to."""
+    ending = SIDECAR.replace(".", r"\.") + "$"
+    return manifests.select(F.regexp_replace("path", ending, "").alias("path"), "file_id")
+
+
 def with_sizes(placed: DataFrame, sizes: DataFrame, *, limit: int = MAX_ATTACHMENT_BYTES) -> DataFrame:
     """Add `too_large`: new files over the limit are not stored and keep their remote URL."""
     known = sizes.select(F.col("file_id").alias("z_id"), "size")
@@ -105,7 +126,7 @@ def file_records(placed: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
         F.col("file_id").alias("id"), "file_path", "source_url", now.alias("last_synced")
     )
     manifests = stored.select(
-        F.concat("file_path", F.lit(".meta.json")).alias("path"),
+        F.concat("file_path", F.lit(SIDECAR)).alias("path"),
         "file_id",
         F.col("page_id").alias("parent_page_id"),
         now.alias("downloaded_at"),

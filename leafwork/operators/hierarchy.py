@@ -198,15 +198,14 @@ def ancestor_chains(
     return chain
 
 
-BLOCK_HOP_LIMIT = 50  # fixed value: blocks visited before the walk is given up
-
-
-def block_containers(blocks: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
+def block_containers(
+    blocks: DataFrame, *, hop_limit: int | None = None, floor: int = HOT_FLOOR
+) -> DataFrame:
     """Page or database that contains each block: `(block_id, container_id, container_type, error)`.
 
     `blocks(block_id, parent_type, parent_id)`. Blocks straight under the workspace have no
-    container and no error; unknown parent types, unreadable blocks, cycles and walks over more
-    than BLOCK_HOP_LIMIT blocks carry an error instead.
+    container and no error; unknown parent types, unreadable blocks and cycles carry an error
+    instead, and with a `hop_limit` so do walks over more blocks than that.
     """
     kind, parent = F.col("parent_type"), F.col("parent_id")
     payload = F.when(
@@ -222,9 +221,10 @@ def block_containers(blocks: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
         payload.alias("payload"),
     )
     resolved = resolve_pointers(nodes, floor=floor)
+    too_far = F.lit(False) if hop_limit is None else (F.col("outcome") == FOUND) & (F.col("hops") >= hop_limit)
     error = (
         F.when(F.col("outcome") == CYCLE, F.lit("max_depth"))
-        .when((F.col("outcome") == FOUND) & (F.col("hops") >= BLOCK_HOP_LIMIT), F.lit("max_depth"))
+        .when(too_far, F.lit("max_depth"))
         .when(F.col("outcome") == DANGLING, F.lit("block_not_found"))
         .when(F.col("payload.container_type").isNull(), F.lit("unexpected_parent_type"))
     )

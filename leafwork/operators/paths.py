@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.functions.ids import blank_to_null
@@ -19,22 +21,49 @@ def _named(ready: DataFrame, taken: DataFrame) -> DataFrame:
     """Give each row of `ready(id, dir, slug, priority)` its path.
 
     The best-placed row (lowest priority, then id) of a directory and name keeps the plain name
-    unless an earlier page has it; all others get a suffix. Candidates shrink to one per name
-    before anything is shuffled on the name, and the verdict returns through the unique page id.
+    unless an earlier page has it; all others get a suffix that is alone (see `with_suffixes`).
+    Candidates shrink to one per name before anything is shuffled on the name, and the verdict
+    returns through the unique page id.
     """
     best = ready.groupBy("dir", F.lower("slug").alias("name")).agg(
         F.min_by("id", F.struct("priority", "id")).alias("w_id")
     )
     winners = best.join(taken, ["dir", "name"], "left_anti").select("w_id")
     judged = ready.join(winners, F.col("id") == F.col("w_id"), "left")
-    name = F.when(F.col("w_id").isNotNull(), F.col("slug")).otherwise(
-        F.concat("slug", F.lit("-"), F.substring("id", 1, SHORT_ID))
+    plain = best.join(winners, "w_id", "left_semi").select("dir", F.col("name").alias("taken_name"))
+    occupied = taken.select("dir", F.col("name").alias("taken_name")).unionByName(plain)
+    judged = with_suffixes(
+        judged.select("id", "dir", "slug", F.col("w_id").isNotNull().alias("plain")), "id",
+        lambda suffix: F.concat("slug", F.lit("-"), suffix), occupied.withColumn("taken_by", F.lit(None).cast("string")), SHORT_ID,
     )
+    name = F.when(F.col("plain"), F.col("slug")).otherwise(F.col("suffixed"))
     return judged.select(
         "id", joined_path(F.col("dir"), F.concat(name, F.lit(".md"))).alias("file_path")
     )
 
 
+def with_suffixes(
+    rows: DataFrame, key: str, name: Callable[[Column], Column], occupied: DataFrame, short: int
+) -> DataFrame:
+    """Add `suffixed`: the name of each row of `rows(key, dir, plain, …)` with the start of its id.
+
+    `short` characters are used where that name is free: no other row that needs a suffix has it,
+    and nothing but the row itself holds it in `occupied(dir, taken_name, taken_by)`. Otherwise the
+    whole id is used, which no other row has. Rows with `plain` keep their name and take no part.
+    """
+    brief, whole = name(F.substring(key, 1, short)), name(F.col(key))
+    asked = rows.where("not plain").select(F.col(key).alias("b_id"), "dir", F.lower(brief).alias("brief"))
+    shared = asked.groupBy("dir", "brief").agg(F.count("*").alias("n")).where("n > 1").select("dir", "brief")
+    lone = asked.join(shared, ["dir", "brief"], "left_anti")
+    held = occupied.select("dir", F.lower("taken_name").alias("brief"), "taken_by").distinct()
+    blocked = held.withColumnRenamed("taken_by", "t_by").withColumn("t_held", F.lit(True))
+    free = lone.join(blocked, ["dir", "brief"], "left").where(
+        F.col("t_held").isNull() | F.col("t_by").eqNullSafe(F.col("b_id"))
+    ).select("b_id").distinct()
+    marked = rows.join(free.withColumn("b_free", F.lit(True)), F.col(key) == F.col("b_id"), "left").drop("b_id")
+    return marked.withColumn("suffixed", F.when(F.col("b_free"), brief).otherwise(whole)).drop("b_free")
+
+
 def _occupied(paths: DataFrame) -> DataFrame:
     return paths.select(
         directory(F.col("file_path")).alias("dir"), F.lower(stem(F.col("file_path"))).alias("name")
@@ -120,7 +149,7 @@ def _levels(first: DataFrame, kept: DataFrame, top: DataFrame, *, floor: int) ->
 
 
 def path_collisions(paths: DataFrame) -> DataFrame:
-    """Paths held by several pages: the short suffix is not checked again after it is added."""
+    """Paths held by several pages; a check that there are none."""
     return (
         paths.groupBy(F.lower("file_path").alias("path"))
         .agg(F.count("*").alias("pages"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))

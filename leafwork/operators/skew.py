@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 HOT_SHARE = 1000
 # Keys below this many rows are never worth treating apart.
 HOT_FLOOR = 500_000
-# Inputs whose source tables are smaller than this are not checked for hot keys.
+# Below this no counting pass is made. A hot key in few compressed bytes is then left to the skew
+# join, which `session.prepare` always turns on and which splits partitions by their real size.
 SMALL_BYTES = 64 * 1024 * 1024
 
 
@@ -57,8 +58,9 @@ def lookup(
 
     Rows of `left` under a hot key skip the shuffle: the matching rows of `right` (one per hot
     key, so fewer than HOT_SHARE) are broadcast to them. Rows with a null key match nothing and
-    skip the shuffle too, or are spread over all tasks. All other rows take an ordinary shuffled join. Inputs that are small by
-    `rows` or by the size of their source tables need no counting pass.
+    skip the shuffle too, or are spread over all tasks. All other rows take an ordinary shuffled
+    join. For inputs that are small by `rows` or by the size of their source tables the counting pass
+    is left out, and the skew join splits a hot key's partition when it meets one.
     """
     condition = F.col(left_key) == F.col(right_key)
     if rows is None:

@@ -173,6 +173,15 @@ def follow_up(
     )
 
 
+def document_hashes(documents: DataFrame) -> DataFrame:
+    """`(page_id, content_hash)` over all parts: a single part's own hash, else that of the parts' hashes in order."""
+    parts = documents.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("part_no", "content_hash"))).alias("parts"))
+    joined = F.sha2(F.array_join(F.transform("parts", lambda p: p["content_hash"]), ""), 256)
+    return parts.select(
+        "page_id", F.when(F.size("parts") == 1, F.col("parts")[0]["content_hash"]).otherwise(joined).alias("content_hash")
+    )
+
+
 def write_items(
     ws: Workspace, items: DataFrame, due: DataFrame, options: SyncOptions, *,
     queue_type: Column | None = None,
@@ -199,7 +208,7 @@ def write_items(
         version_key=options.version_key, limit=options.part_bytes, floor=floor,
     )
     documents = staged(page_documents.unionByName(database_documents))
-    hashes = documents.where("part_no = 0").select(F.col("page_id").alias("h_id"), "content_hash")
+    hashes = document_hashes(documents).withColumnRenamed("page_id", "h_id")
     registry = placed.join(hashes, F.col("id") == F.col("h_id")).select(
         "id", "type", "folder", "file_path", "title", "last_edited",
         F.lit(options.now).alias("last_synced"), "is_root", "enabled",

@@ -53,6 +53,7 @@ REGISTRY = (
     "last_edited TIMESTAMP, last_synced TIMESTAMP, is_root BOOLEAN, enabled BOOLEAN, "
     "parent_id STRING, children ARRAY<STRING>, content_hash STRING"
 )
+CHILDREN = "parent_id STRING, position BIGINT, child_id STRING"
 FILES = "id STRING, file_path STRING, source_url STRING, last_synced TIMESTAMP"
 FILE_MANIFEST = "file_id STRING, parent_page_id STRING, downloaded_at TIMESTAMP"
 USERS = "id STRING, name STRING, type STRING, email STRING, last_fetched TIMESTAMP"

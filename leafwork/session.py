@@ -30,6 +30,10 @@ def build_session(app: str = "leafwork", master: str | None = None, **conf: str)
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on, on a session somebody else may have built."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # a hot key is found by what its partition holds at run time, also where the result is used by key again
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     staging_root(spark)
     return spark
 
@@ -71,14 +75,19 @@ def staged(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete the tables this process staged; call it when a job's results have been written.
+def staged_so_far() -> int:
+    """A mark for `drop_staged`: what is staged from now on comes after it."""
+    return len(_STAGED)
+
+
+def drop_staged(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables this process staged (after the mark `since`); call it when results have been written.
 
     Frames built on them cannot be used any more. Returns the number of tables.
     """
     context = spark.sparkContext
     dropped = 0
-    while _STAGED:
+    while len(_STAGED) > since:
         path = context._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
         dropped += 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,21 +28,27 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
 def write_documents(documents: DataFrame, root: str) -> None:
     """Write each document (part) to its own file below `root`, from the executors.
 
-    `root` is a folder every executor can reach. Rewriting the same documents is harmless, so a
-    task that runs twice does no damage.
+    `root` is a URI or absolute path of a store that every executor reaches; a machine's own disk
+    is none on a cluster. A file appears whole, by a rename, under a temporary name that no other
+    attempt uses, so a task that runs twice does no damage.
     """
     path = document_part_path(F.col("file_path"), F.col("part_no"))
 
     def write(rows) -> None:
-        import os
+        from pyarrow import fs
 
+        store, base = fs.FileSystem.from_uri("/" + root[len("file:"):].lstrip("/") if root.startswith("file:") else root)
+        known = set()
         for row in rows:
-            target = os.path.join(root, row["path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            temporary = f"{target}.{os.getpid()}.tmp"
-            with open(temporary, "w", encoding="utf-8", newline="") as out:
-                out.write(row["content"])
-            os.replace(temporary, target)
+            target = f"{base}/{row['path']}"
+            folder = target.rpartition("/")[0]
+            if folder not in known:
+                store.create_dir(folder, recursive=True)
+                known.add(folder)
+            temporary = f"{target}.{uuid.uuid4().hex}.tmp"
+            with store.open_output_stream(temporary) as out:
+                out.write(row["content"].encode("utf-8"))
+            store.move(temporary, target)
 
     documents.select(path.alias("path"), "content").foreachPartition(write)
 

@@ -44,6 +44,45 @@ def point_lookup(spark: SparkSession, path: str, ids: list[str]) -> DataFrame:
     return read_index(spark, path, shards).join(wanted, "id", "left_semi")
 
 
+def _like(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """The columns of the index; those a job does not produce (`children`, see `write_children`) are null."""
+    return rows.select(*(
+        F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in stored.schema.fields
+    ))
+
+
+def read_children(spark: SparkSession, path: str) -> DataFrame:
+    """Child edges `(parent_id, position, child_id)` as `write_children` keeps them."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schemas.CHILDREN)
+    return spark.read.schema(schemas.CHILDREN + ", shard STRING").parquet(path).drop("shard")
+
+
+def write_children(edges: DataFrame, parents: DataFrame, path: str) -> list[str]:
+    """Replace the child edges of `parents(id)`, rewriting only the shards they touch.
+
+    Child lists are rows and not arrays in the parent's record, as one parent may have very many.
+    """
+    spark = edges.sparkSession
+    touched = parents.select(F.col("id").alias("parent_id")).distinct()
+    shards = sorted(r[0] for r in touched.select(shard_key(F.col("parent_id"))).distinct().collect())  # at most 256
+    if not shards:
+        return []
+    stored = read_children(spark, path).where(shard_key(F.col("parent_id")).isin(shards))
+    kept = stored.join(touched, "parent_id", "left_anti")
+    fresh = edges.select("parent_id", F.col("position").cast("bigint").alias("position"), "child_id")
+    rows = staged(kept.unionByName(fresh).withColumn("shard", shard_key(F.col("parent_id"))))
+    (
+        rows.repartitionByRange("shard", "parent_id", "position")
+        .sortWithinPartitions("shard", "parent_id", "position")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    )
+    filled = {row["shard"] for row in rows.select("shard").distinct().collect()}
+    for shard in set(shards) - filled:
+        remove(spark, f"{path}/shard={shard}")
+    return shards
+
+
 def write_index(pending: DataFrame, deleted: DataFrame, path: str) -> list[str]:
     """Apply changes to the index, rewriting only the shards they touch; returns those shards.
 
@@ -59,7 +98,7 @@ def write_index(pending: DataFrame, deleted: DataFrame, path: str) -> list[str]:
     if not shards:
         return []
     stored = read_index(spark, path, shards)
-    lines = staged(index_lines(overlay(stored, pending.select(*stored.columns), deleted)))
+    lines = staged(index_lines(overlay(stored, _like(pending, stored), deleted)))
     (
         lines.repartitionByRange("shard", "id")
         .sortWithinPartitions("shard", "id")

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork import schemas
+from leafwork.functions.ids import normalize_id
 from leafwork.operators.queueing import collapse_queue
 from leafwork.plans.pull import PullOptions, classify_changes, next_state, queue_rows, workspace_nodes
 from leafwork.plans.sync import SyncOptions, Workspace, sync
+from leafwork.session import drop_staged, staged, staged_so_far
+from leafwork.sources.index import _filesystem, path_exists
 
 
 def newer_than_processed(events: DataFrame, registry: DataFrame) -> DataFrame:
@@ -35,6 +38,7 @@ def sync_batch(
     """
 
     def handle(rows: DataFrame, batch_id: int) -> None:
+        mark = staged_so_far()
         waiting = rows.withColumn("legacy", F.lit(False))
         result = sync(workspace(), collapse_queue(waiting), options())
         tables = {
@@ -46,10 +50,20 @@ def sync_batch(
         }
         for name, table in tables.items():
             table.write.mode("overwrite").parquet(f"{output}/{name}/batch={batch_id}")
+        drop_staged(rows.sparkSession, mark)
 
     return handle
 
 
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the micro-batches that have a folder below `path`."""
+    if not path_exists(spark, path):
+        return []
+    system, target = _filesystem(spark, path)
+    names = [status.getPath().getName() for status in system.listStatus(target)]
+    return [int(name.removeprefix("batch=")) for name in names if name.startswith("batch=")]
+
+
 def pull_stream(
     spark: SparkSession,
     pages_path: str,
@@ -64,24 +78,35 @@ def pull_stream(
     """Pull landed page files as they arrive; queue rows and the state go out per micro-batch.
 
     The stream's own checkpoint remembers which files were read, so the edit-time bound is not
-    needed; the cutoff still applies.
+    needed; the cutoff still applies. Ancestors are looked up among all pages landed so far, not
+    only those of the micro-batch. A new page whose ancestors have not landed yet is written to
+    `{queue_path}_waiting` and judged again with every later micro-batch. Queue numbers go on
+    after those of earlier micro-batches.
     """
     raw = spark.readStream.schema(schemas.PAGE).json(pages_path)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        pages = batch.persist()
-        try:
-            decided = classify_changes(pages, workspace_nodes(pages), registry(), options)
-            decided = decided.persist()
-            queue_rows(decided, first=options.first_number).write.mode("overwrite").parquet(
-                f"{queue_path}/batch={batch_id}"
-            )
-            next_state(decided, None, options, now()).write.mode("overwrite").parquet(
-                f"{state_path}/batch={batch_id}"
-            )
-            decided.unpersist()
-        finally:
-            pages.unpersist()
+        mark = staged_so_far()
+        waiting = f"{queue_path}_waiting"
+        # the waiting pages of the batch before, so a replayed batch finds what it found at first
+        earlier = [b for b in _batches(spark, waiting) if b < batch_id]
+        pages = batch
+        if earlier:
+            pages = batch.unionByName(spark.read.schema(schemas.PAGE).parquet(f"{waiting}/batch={max(earlier)}"))
+        pages = staged(pages)
+        landed = spark.read.schema(schemas.PAGE).json(pages_path)
+        decided = staged(classify_changes(pages, workspace_nodes(landed), registry(), options))
+        first = options.first_number
+        done = [b for b in _batches(spark, queue_path) if b < batch_id]
+        if done:
+            numbers = spark.read.parquet(*(f"{queue_path}/batch={b}" for b in done)).agg(F.max("seq")).first()[0]
+            first = max(first, (numbers or first - 1) + 1)
+        queue_rows(decided, first=first).write.mode("overwrite").parquet(f"{queue_path}/batch={batch_id}")
+        next_state(decided, None, options, now()).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        lost = decided.where("decision = 'trace_failed'").select(F.col("id").alias("_lost"))
+        kept = pages.join(lost, normalize_id(F.col("id")) == F.col("_lost"), "left_semi")
+        kept.write.mode("overwrite").parquet(f"{waiting}/batch={batch_id}")
+        drop_staged(spark, mark)
 
     return (
         raw.writeStream.foreachBatch(handle)

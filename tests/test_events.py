@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafwork import schemas
 from leafwork.plans.pull import PullOptions
+from leafwork.session import staged_so_far
 from leafwork.streaming import events, incremental
 
 T0 = datetime(2024, 1, 1, 12)
@@ -159,3 +160,24 @@ def test_pull_stream(spark, tmp_path):
     ).awaitTermination()
     assert [(r["page_id"], r["folder"], r["seq"]) for r in spark.read.parquet(str(tmp_path / "q")).collect()] == [("a1", "tech", 1000)]
     assert spark.read.parquet(str(tmp_path / "s")).first()["oldest_pull_result"] == datetime(2024, 1, 3)
+
+
+def test_pull_stream_finds_parents_of_other_batches(spark, tmp_path):
+    landed = tmp_path / "pages"
+    landed.mkdir()
+    registry = spark.createDataFrame([("r", "", True, True, "tech")], "id STRING, parent_id STRING, is_root BOOLEAN, enabled BOOLEAN, folder STRING")
+
+    def arrive(name, **parents):
+        rows = [{"object": "page", "id": i, "last_edited_time": "2024-01-03T00:00:00Z", "parent": {"type": "page_id", "page_id": p}} for i, p in parents.items()]
+        (landed / f"{name}.json").write_text("\n".join(map(json.dumps, rows)))
+        before = staged_so_far()
+        incremental.pull_stream(
+            spark, str(landed), registry=lambda: registry, options=PullOptions(cutoff=datetime(2024, 1, 1), include_untracked=True),
+            queue_path=str(tmp_path / "q"), state_path=str(tmp_path / "s"), checkpoint=str(tmp_path / "c"), now=lambda: T0,
+        ).awaitTermination()
+        assert staged_so_far() == before
+        return sorted((r["page_id"], r["seq"]) for r in spark.read.parquet(str(tmp_path / "q")).collect())
+
+    assert arrive("one", p="r", early="late") == [("p", 1000)]  # early waits for its parent
+    assert arrive("two", child="p") == [("child", 1001), ("p", 1000)]
+    assert arrive("three", late="r") == [("child", 1001), ("early", 1002), ("late", 1002), ("p", 1000)]

@@ -66,8 +66,10 @@ def test_long_chain(spark):
 def test_block_hop_limit(spark):
     rows = [(f"b{i}", "page_id" if i == 0 else "block_id", "page" if i == 0 else f"b{i - 1}") for i in range(60)]
     rows += [("c1", "block_id", "c2"), ("c2", "block_id", "c1"), ("w", "workspace", ""), ("t", "team", "x"), ("m", "block_id", "nowhere")]
-    got = {r["block_id"]: (r["container_id"], r["error"]) for r in hierarchy.block_containers(
-        spark.createDataFrame(rows, "block_id STRING, parent_type STRING, parent_id STRING")).collect()}
+    frame = spark.createDataFrame(rows, "block_id STRING, parent_type STRING, parent_id STRING")
+    free = {r["block_id"]: r["container_id"] for r in hierarchy.block_containers(frame).collect()}
+    assert free["b59"] == "page"
+    got = {r["block_id"]: (r["container_id"], r["error"]) for r in hierarchy.block_containers(frame, hop_limit=50).collect()}
     assert got["b49"] == ("page", None) and got["b50"] == (None, "max_depth")
     assert got["c1"][1] == "max_depth" and got["w"] == (None, None)
     assert got["t"][1] == "unexpected_parent_type" and got["m"][1] == "block_not_found"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafwork import schemas
 from leafwork.operators import attachments, diff, registry, reindex
+from leafwork.operators.paths import assign_paths
 from leafwork.sources import documents, index
 
 T0 = datetime(2024, 1, 15, 10, 30)
@@ -207,7 +208,7 @@ def test_attachments(spark):
     frame = spark.createDataFrame(links, "page_id STRING, page_path STRING, position INT, url STRING")
     files = spark.createDataFrame([("f4", "docs/old/files/old.png")], "id STRING, file_path STRING")
     manifests = spark.createDataFrame(
-        [("tech/a/files/taken.png", "zz"), ("tech/a/files/mine.png", "f6")], "path STRING, file_id STRING")
+        [("tech/a/files/taken.png.meta.json", "zz"), ("tech/a/files/mine.png.meta.json", "f6")], "path STRING, file_id STRING")
     sizes = spark.createDataFrame([("f3", 512 * 1024 + 1), ("f1", 512 * 1024), ("f4", 10**9)], "file_id STRING, size BIGINT")
     linked = attachments.attachment_links(frame)
     placed = attachments.with_sizes(attachments.place_files(linked, files, manifests), sizes)
@@ -225,3 +226,44 @@ def test_attachments(spark):
     assert {r["id"]: r["source_url"] for r in stored.collect()} == {
         i: hosted(i, n).split("?")[0] for i, n in (("f1", "Shot.PNG"), ("f2", "shot.png"), ("f5", "taken.png"))}
     assert "tech/a/files/shot.png.meta.json" in {r["path"] for r in sidecars.collect()}
+
+
+def test_second_attachment_run_reads_the_first(spark):
+    same = [("aaaa1", "x.png"), ("aaaa2", "x.png"), ("aaaa3", "x.png"), ("bbbb1", "x.png"), ("cccc1", "held.png")]
+    links = [("p1", "tech/a.md", i, hosted(f, n)) for i, (f, n) in enumerate(same)]
+    frame = spark.createDataFrame(links, "page_id STRING, page_path STRING, position INT, url STRING")
+    linked = attachments.attachment_links(frame)
+    # a registered file without a sidecar occupies its path too
+    files = spark.createDataFrame([("zz", "tech/a/files/held.png")], "id STRING, file_path STRING")
+    nothing = spark.createDataFrame([], "path STRING, file_id STRING")
+    sizes = spark.createDataFrame([], "file_id STRING, size BIGINT")
+    first = attachments.with_sizes(attachments.place_files(linked, files, nothing), sizes)
+    paths = {r["file_id"]: r["file_path"] for r in first.collect()}
+    assert paths == {
+        "aaaa1": "tech/a/files/x.png", "aaaa2": "tech/a/files/x-aaaa2.png", "aaaa3": "tech/a/files/x-aaaa3.png",
+        "bbbb1": "tech/a/files/x-bbbb.png", "cccc1": "tech/a/files/held-cccc.png"}
+    _, sidecars = attachments.file_records(first, F.lit(T0))
+    again = attachments.place_files(linked, files, sidecars).collect()
+    assert {r["file_id"]: r["file_path"] for r in again} == paths and not any(r["is_new"] for r in again)
+
+
+def test_suffixes_are_alone(spark):
+    schema = "id STRING, parent_id STRING, title STRING, folder STRING, is_root BOOLEAN, priority BIGINT"
+    same = [f"abcd{i:04d}" for i in range(5)] + ["ffff0000"]
+    new = spark.createDataFrame([(i, "", "Same title", "docs", True, n) for n, i in enumerate(same)], schema)
+    taken = spark.createDataFrame([("old", "docs/same-title-ffff.md")], "id STRING, file_path STRING")
+    got = {r["id"]: r["file_path"] for r in assign_paths(new, taken).collect()}
+    assert got["abcd0000"] == "docs/same-title.md"
+    assert all(got[i] == f"docs/same-title-{i}.md" for i in same[1:])
+    free = {r["id"]: r["file_path"] for r in assign_paths(new.where("id in ('abcd0000', 'ffff0000')"), taken.where("false")).collect()}
+    assert free == {"abcd0000": "docs/same-title.md", "ffff0000": "docs/same-title-ffff.md"}
+
+
+def test_child_edges(spark, tmp_path):
+    path = str(tmp_path / "children")
+    edges = spark.createDataFrame([("aa1", 0, "x"), ("aa1", 1, "y"), ("bb1", 0, "z")], schemas.CHILDREN)
+    assert index.write_children(edges, ids_frame(spark, "aa1", "bb1"), path) == ["aa", "bb"]
+    assert index.write_children(edges.where("false"), ids_frame(spark, "bb1"), path) == ["bb"]
+    assert index.write_children(spark.createDataFrame([("aa2", 0, "w")], schemas.CHILDREN), ids_frame(spark, "aa2"), path) == ["aa"]
+    kept = {(r["parent_id"], r["position"], r["child_id"]) for r in index.read_children(spark, path).collect()}
+    assert kept == {("aa1", 0, "x"), ("aa1", 1, "y"), ("aa2", 0, "w")}

@@ -11,7 +11,7 @@ from leafwork import schemas
 from leafwork.operators.users import enrich_users, unknown_users
 from leafwork.plans import maintenance, pull, sync
 from leafwork.session import staged
-from leafwork.sources import landed
+from leafwork.sources import index, landed
 from leafwork.streaming import incremental
 
 NOW = datetime(2024, 6, 1)
@@ -143,6 +143,25 @@ def test_second_run_changes_nothing(spark, workspace, synced):
         "kid1": "tech/wiki/guide-kid1.md", "deep1": "tech/wiki/middle/deep.md", "db1": "tech/wiki/tasks.md"}
 
 
+def test_registry_goes_through_the_index(spark, workspace, synced, tmp_path):
+    path = str(tmp_path / "index")
+    none = spark.createDataFrame([], "id STRING")
+    index.write_index(workspace.registry, none, path)
+    index.write_index(synced.written.registry, none, path)
+    stored = staged(index.read_index(spark, path))
+    again = sync.judge_queue(replace(workspace, registry=stored), queue(spark, "kid-1", "deep-1", "in-block", "db-1", "root-1"), OPTIONS)
+    assert {r["outcome"] for r in again.outcomes.collect()} == {"skipped"}
+    assert {r["id"] for r in stored.collect()} >= {"root1", "kid1", "mid1", "deep1", "inblock", "db1", "off1"}
+
+
+def test_hash_covers_every_part(spark):
+    parts = [("a", 0, "h0"), ("a", 1, "h1"), ("b", 0, "h0")]
+    frame = lambda rows: spark.createDataFrame(rows, "page_id STRING, part_no BIGINT, content_hash STRING")
+    before = {r["page_id"]: r["content_hash"] for r in sync.document_hashes(frame(parts)).collect()}
+    after = {r["page_id"]: r["content_hash"] for r in sync.document_hashes(frame([("a", 0, "h0"), ("a", 1, "h2")])).collect()}
+    assert before["b"] == "h0" and before["a"] != after["a"]
+
+
 def test_budget_keeps_the_rest(spark, workspace):
     limited = sync.judge_queue(workspace, queue(spark, *ASKED), replace(OPTIONS, max_pages=3))
     got = {r["page_id"]: r["outcome"] for r in limited.outcomes.orderBy("seq", "pos").collect()}

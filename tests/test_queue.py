@@ -151,12 +151,12 @@ def test_errors(spark):
 
 MANIFEST = """# Root Pages
 
-- [x] **tech**: https://notion.so/Wiki-2c536f5e48f44234ad8d73a1a148e95d
-- [ ] **product**:    https://notion.so/3c536f5e48f44234ad8d73a1a148e95d
-- [X] **docs**: 4c536f5e-48f4-4234-ad8d-73a1a148e95d
-- [x] **again**: https://notion.so/Other-2c536f5e48f44234ad8d73a1a148e95d
-- [x] **docs**: not-a-valid-url
-* [x] **no**: 5c536f5e48f44234ad8d73a1a148e95d
+- [x] **tech**: https://pages.example/Handbook-2a10b3c4d5e647089929a3b4c5d6e7f8
+- [ ] **sales**:    https://pages.example/3a10b3c4d5e647089929a3b4c5d6e7f8
+- [X] **docs**: 4a10b3c4-d5e6-4708-9929-a3b4c5d6e7f8
+- [x] **again**: https://pages.example/Other-2a10b3c4d5e647089929a3b4c5d6e7f8
+- [x] **docs**: nothing-to-open
+* [x] **no**: 5a10b3c4d5e647089929a3b4c5d6e7f8
 some text
 """
 
@@ -166,7 +166,7 @@ def test_manifest_round_trip(spark, tmp_path):
     path.write_text(MANIFEST)
     entries = roots.first_per_page(files.read_root_manifest(spark, str(path))).orderBy("line_no")
     assert [(r["folder"], r["enabled"], r["page_id"][0]) for r in entries.collect()] == [
-        ("tech", True, "2"), ("product", False, "3"), ("docs", True, "4")]
+        ("tech", True, "2"), ("sales", False, "3"), ("docs", True, "4")]
     written = roots.format_manifest(entries).first()["content"]
     path.write_text(written)
     again = roots.first_per_page(files.read_root_manifest(spark, str(path)))
@@ -176,14 +176,14 @@ def test_manifest_round_trip(spark, tmp_path):
 
 def test_reconcile(spark, tmp_path):
     registry = spark.createDataFrame(
-        [("2c536f5e48f44234ad8d73a1a148e95d", "old", "x.md", False, False, T0), ("3c536f5e48f44234ad8d73a1a148e95d", "p", None, True, True, None),
+        [("2a10b3c4d5e647089929a3b4c5d6e7f8", "old", "x.md", False, False, T0), ("3a10b3c4d5e647089929a3b4c5d6e7f8", "p", None, True, True, None),
          ("other", "z", "z.md", True, True, T0)],
         "id STRING, folder STRING, file_path STRING, is_root BOOLEAN, enabled BOOLEAN, last_synced TIMESTAMP")
     path = tmp_path / "root.md"
     path.write_text(MANIFEST)
     after = roots.reconcile_roots(files.read_root_manifest(spark, str(path)), registry)
     got = {r["id"][0]: (r["folder"], r["file_path"], r["is_root"], r["enabled"], r["needs_sync"]) for r in after.collect()}
-    assert got == {"2": ("tech", "x.md", True, True, False), "3": ("product", None, True, False, True),
+    assert got == {"2": ("tech", "x.md", True, True, False), "3": ("sales", None, True, False, True),
                    "4": ("docs", None, True, True, True), "o": ("z", "z.md", True, True, False)}
     queued = roots.roots_to_queue(after, F.lit(T0)).collect()
     assert [(r["folder"], r["type"]) for r in queued] == [("docs", "init")]

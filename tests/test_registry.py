@@ -11,8 +11,8 @@ from leafwork.operators.paths import assign_paths
 from leafwork.sources import documents, index
 
 T0 = datetime(2024, 1, 15, 10, 30)
-ID = "388aa28b3ffb80b69e5bc6a0eeaebf64"
-DASHED = "388aa28b-3ffb-80b6-9e5b-c6a0eeaebf64"
+ID = "0f1e2d3c4b5a69788796a5b4c3d2e1f0"
+DASHED = "0f1e2d3c-4b5a-6978-8796-a5b4c3d2e1f0"
 
 
 def record(id_, **fields):

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from leafwork.session import staged
 
 LEVEL_BITS = 20  # resolution of one metadata dimension
-TIE_BITS = 40  # hash of the unit, which orders units that are equal in the dimension
+TIE_BITS = 40  # hash of the group and number of the chunk, which order units that are equal in the dimension
+CHUNK_BITS = 12
 BINS = 2048  # bins of one histogram round
 DIMENSIONS = ("_d_size", "_d_source", "_d_lang")
 
@@ -53,27 +54,28 @@ def _units(rows: DataFrame, total: int, shards: int, grain: int) -> tuple[DataFr
 
     A unit is a group of equal texts. A group of more than 1 / (shards * grain) of all bytes is cut
     into chunks of about that size by row number; there are fewer than shards * grain such groups,
-    whatever the size of the table, so this small table is broadcast.
+    whatever the size of the table, so this small table is broadcast. Chunks of a group have its
+    coordinates and follow each other, so only a group that a cut goes through lies in several shards.
     """
     limit = max(1, total // (shards * grain))
-    large = (
-        rows.groupBy("_key").agg(F.sum("size").alias("_weight")).where(F.col("_weight") > limit)
-        .select("_key", F.ceil(F.col("_weight") / F.lit(limit)).alias("_chunks"))
-    )
-    chunk = F.when(F.col("_chunks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_row"), F.col("_chunks")))
-    rows = rows.join(F.broadcast(large), "_key", "left").withColumn("_chunk", chunk).drop("_chunks")
-    units = rows.groupBy("_key", "_chunk").agg(
-        F.sum("size").alias("_weight"), F.min("size").alias("_least"),
-        F.min("source").alias("source"), F.min("lang").alias("lang"),
-    )
     level = F.least(F.floor(F.log2("_least") * F.lit((1 << LEVEL_BITS) / 34.0)), F.lit((1 << LEVEL_BITS) - 1))
-    return rows, staged(
-        units.select(
-            "_key", "_chunk", "_weight", level.cast("bigint").alias("_d_size"),
-            _category("source").alias("_d_source"), _category("lang").alias("_d_lang"),
-            F.pmod(F.xxhash64("_key", "_chunk"), F.lit(1 << TIE_BITS)).alias("_tie"),
+    groups = staged(
+        rows.groupBy("_key").agg(
+            F.sum("size").alias("_weight"), F.min("size").alias("_least"), F.min("source").alias("source"), F.min("lang").alias("lang")
+        ).select(
+            "_key", "_weight", level.cast("bigint").alias("_d_size"), _category("source").alias("_d_source"),
+            _category("lang").alias("_d_lang"), F.pmod(F.xxhash64("_key"), F.lit(1 << (TIE_BITS - CHUNK_BITS))).alias("_place"),
         )
     )
+    large = groups.where(F.col("_weight") > limit).withColumn("_chunks", F.ceil(F.col("_weight") / F.lit(limit)))
+    chunk = F.when(F.col("_chunks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_row"), F.col("_chunks")))
+    rows = rows.join(F.broadcast(large.select("_key", "_chunks")), "_key", "left").withColumn("_chunk", chunk)
+    weights = rows.where("_chunks is not null").groupBy("_key", "_chunk").agg(F.sum("size").alias("_weight"))
+    chunks = weights.join(F.broadcast(large.drop("_weight", "_chunks")), "_key")
+    whole = groups.where(F.col("_weight") <= limit).withColumn("_chunk", F.lit(0).cast("bigint"))
+    units = whole.unionByName(chunks)
+    tie = F.shiftleft("_place", CHUNK_BITS).bitwiseOR(F.least(F.col("_chunk"), F.lit((1 << CHUNK_BITS) - 1)))
+    return rows.drop("_chunks"), staged(units.withColumn("_tie", tie).drop("_place"))
 
 
 def _medians(units: DataFrame, wanted: dict[int, tuple[str, float, int]], tolerance: int) -> dict[int, int]:
@@ -176,8 +178,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, grain: int = 256) -> Data
 
     A k-d tree is grown over the size, source and language of groups of equal texts: each node is
     cut at the weighted median of its widest dimension, found by distributed histograms. Equal texts
-    stay together, unless their bytes exceed 1 / `grain` of a shard; such a group is cut into chunks
-    and may lie in several shards.
+    stay together, unless a cut goes through a group whose bytes exceed 1 / `grain` of a shard; there
+    is at most one such group per cut.
 
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot and grown_shard (null, as growing
     the tree moves rows). A null text weighs 1 byte and counts as equal to an empty one; null ids,

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import held_out, map_rows, sized_batches
+from leafwork.session import staged
 
 CLASSES = 64  # symbols of an automaton: 0 for all that is no letter, a to z, hashes of other letters
 PIECE = 512  # symbols parsed as one row; a longer text is several rows
 SAMPLE = 40_000  # symbols of labelled text an automaton is built from
 UNKNOWN = "und"
+FEW = 10_000  # languages up to which their counts are broadcast
 
 
 @functools.cache
@@ -148,7 +150,8 @@ def sample_languages(docs: DataFrame, documents: int = 200, characters: int = 40
     texts = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id"))).select(
         F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text", F.lit("fit")).alias("order")
     )
-    counts = texts.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = staged(texts.groupBy("lang").agg(F.count("*").alias("n")))
+    counts = F.broadcast(counts) if counts.count() <= FEW else counts  # so the texts stay where they are
     # a hash of the text keeps copies together, so a share of texts may be more rows; the limit holds per row
     picked = texts.join(counts, "lang").where(
         F.pmod("order", F.lit(1 << 30)) < F.least(F.lit(1.0), 2.0 * documents / F.col("n")) * (1 << 30)

@@ -109,7 +109,7 @@ def mask_names(names: Sequence[str]) -> tuple[str, ...]:
     return tuple(f"_c{i}" for i in range(len(names)))
 
 
-def sized_batches(frames: Iterator[pd.DataFrame], column: str, limit: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def sized_batches(frames: Iterator[pd.DataFrame], column: str, limit: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """Cut batches so that the text of one has about `limit` characters; one long text is a batch."""
     for frame in frames:
         if not len(frame):

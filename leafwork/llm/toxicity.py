@@ -14,15 +14,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import Buffer, held_out, map_rows, mask_names, masked, mix, sized_batches, unmasked
+from leafwork.llm.common import Buffer, held_out, map_rows, mask_names, masked, sized_batches, unmasked
 from leafwork.session import staged
 
 GAP = 3  # largest step between letters of a subsequence; up to two inserted characters are passed over
 DECAY = 0.8  # weight of a subsequence per character it spans
-CUT = 0.3  # smaller similarities count as none
+CUT = 0.45  # smaller similarities count as none
 POWER = 3  # a power of a kernel is a kernel; this one sets close matches apart from common syllables
 PIECE = 32  # bytes of a word compared at once; longer words are compared window by window
-KNOWN = 4_000_000  # words a task remembers
+TOP = 3  # highest sentences of a text that make its score
+SENTENCES = 6  # sentences of a text that the machine learns from
+KNOWN, NEAR = 4_000_000, 100_000  # words a task remembers, and similar ones of them
 
 _LETTER = np.zeros(256, np.int64)  # 0: no letter, is left out
 _LETTER[ord("a") : ord("z") + 1] = np.arange(1, 27)
@@ -142,7 +144,7 @@ class Matcher:
     def forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
         self.place = np.zeros(0, np.int32)  # row of `near`, or -1
-        self.near = np.zeros((0, len(self.landmarks.words)), np.float32)
+        self.near = np.zeros((0, len(self.landmarks.words)), np.float16)
 
     def _learn(self, raw: np.ndarray, hashed: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         start = start.copy()
@@ -167,7 +169,7 @@ class Matcher:
         if len(names):
             words, first = np.unique(owner[names], return_index=True)
             place[words] = len(self.near) + np.arange(len(words))
-            self.near = np.concatenate([self.near, np.maximum.reduceat(values, first)])
+            self.near = np.concatenate([self.near, np.maximum.reduceat(values, first).astype(np.float16)])
         known = np.concatenate([self.known, hashed])
         order = np.argsort(known, kind="stable")
         self.known, self.place = known[order], np.concatenate([self.place, place])[order]
@@ -179,7 +181,7 @@ class Matcher:
         start, end, row, sentence = _words_of(buffer)
         if not len(start):
             return empty
-        if len(self.known) > KNOWN:
+        if len(self.known) > KNOWN or len(self.near) > NEAR:
             self.forget()
         hashed = buffer.hashes(start, end)
         words, first, inverse = np.unique(hashed, return_index=True, return_inverse=True)
@@ -197,8 +199,8 @@ class Matcher:
         first = np.flatnonzero(new_sentence)
         out = np.zeros((len(first), len(self.landmarks.words)), np.float32)
         edges = np.append(first, len(hits))
-        for a in range(0, len(first), 20_000):
-            b = min(len(first), a + 20_000)
+        for a in range(0, len(first), 2_000):
+            b = min(len(first), a + 2_000)
             part = hits[edges[a] : edges[b]]
             out[a:b] = np.maximum.reduceat(self.near[place[part]], first[a:b] - first[a])
         return row[hits[first]], out
@@ -211,21 +213,31 @@ class Matcher:
 class Machine:
     """A linear machine over sentences in the space of the landmarks, calibrated for whole texts.
 
-    `weights` include the Nyström map, so a sentence's value is its similarities times them.
+    `weights` include the Nyström map, so a sentence's value is its similarities times them. `slopes`
+    weigh a text's highest sentences.
     """
 
     landmarks: list[str]
     weights: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray
     shift: float
-    name: str
 
     def scores(self, n: int, rows: np.ndarray, similar: np.ndarray) -> np.ndarray:
-        """Score of each of n texts: its most toxic sentence; one without similar words has `bias`."""
-        value = np.full(n, self.bias)
-        np.maximum.at(value, rows, similar @ self.weights + self.bias)
-        return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -40, 40)))
+        """Score of each of n texts from its most toxic sentences."""
+        top = highest(n, rows, similar @ self.weights + self.bias, self.bias)
+        return 1 / (1 + np.exp(-np.clip(top @ self.slopes + self.shift, -40, 40)))
+
+
+def highest(n: int, rows: np.ndarray, value: np.ndarray, least: float) -> np.ndarray:
+    """The TOP highest values of each of n texts, `least` where a text has no more sentences or lower ones."""
+    out = np.full((n, TOP), least)
+    order = np.lexsort((-value, rows))
+    ranked = rows[order]
+    rank = np.arange(len(order)) - np.searchsorted(ranked, ranked)
+    kept = rank < TOP
+    out[ranked[kept], rank[kept]] = np.maximum(value[order][kept], least)
+    return out
 
 
 def nystroem(landmarks: Landmarks, ridge: float = 1e-3) -> np.ndarray:
@@ -260,19 +272,19 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, r
     return w[:-1], float(w[-1])
 
 
-def fit_platt(value: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """Slope and shift of a logistic curve from values to the chance of label 1 (smoothed targets)."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Slopes and shift of a logistic curve from values to the chance of label 1 (smoothed targets)."""
     positive, negative = (y > 0).sum(), (y <= 0).sum()
     target = np.where(y > 0, (positive + 1) / (positive + 2), 1 / (negative + 2))
-    x = np.column_stack([value, np.ones(len(value))])
-    w = np.array([1.0, 0.0])
+    x = np.column_stack([x, np.ones(len(x))])
+    w, ridge = np.zeros(x.shape[1]), 1e-2 * np.eye(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2), x.T @ (p - target) + 1e-4 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - target) + ridge @ w)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return float(max(w[0], 1e-3)), float(w[1])
+    return w[:-1], float(w[-1])
 
 
 _LONG = re.compile(r"[^\W\d_]{5,}")
@@ -305,22 +317,24 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     return staged(docs.select("doc_id", "text").where("text is not null").join(marks, "doc_id").select("text", "toxic"))
 
 
-def pick_landmarks(sample: DataFrame, count: int, contrast: int, candidates: int = 4000) -> list[str]:
-    """Words and beginnings of words that tell toxic texts from others, and common words for contrast.
+def pick_landmarks(sample: DataFrame, count: int, contrast: int, candidates: int = 4000) -> tuple[list[str], list[str]]:
+    """Words and beginnings of words that tell toxic texts from others, and the like of them in other texts.
 
-    Texts per string are counted by Spark; the driver gets the `candidates` strings with the largest
+    Texts per string are counted by Spark, rare strings fall out; the driver gets the `candidates` strings with the largest
     evidence and passes over those too similar to one it has taken.
     """
-    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")))
-    words = sample.select("toxic", F.monotonically_increasing_id().alias("_doc"), word.alias("word")).where(F.char_length("word").between(3, 24))
-    starts = words.select("toxic", "_doc", F.explode(F.array_distinct(F.array("word", *(F.substring("word", 1, n) for n in range(3, 9))))).alias("string"))
-    counts = starts.distinct().groupBy("string").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    words = F.filter(words, lambda w: F.char_length(w).between(3, 24))
+    # a text's own strings are made distinct in its row, so counting needs one shuffle, after map-side combine
+    strings = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, *(F.substring(w, 1, n) for n in range(3, 9))))))
+    counts = sample.select("toxic", F.explode(strings).alias("string")).groupBy("string").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
+    counts = staged(counts.where("bad >= 3 or all >= 30"))
     size = sample.agg(F.sum("toxic"), F.count("*")).first()
     bad, good = float(size[0]), float(size[1] - size[0])
     lift = F.log((F.col("bad") + 0.5) / (bad + 1) / ((F.col("all") - F.col("bad") + 0.5) / (good + 1)))
     rated = counts.where("bad >= 3").withColumn("lift", lift).where("lift > 1.5")
     best = rated.orderBy((F.col("bad") * F.col("lift")).desc(), "string").limit(candidates).collect()
-    usual = counts.where(F.char_length("string") >= 4).orderBy((F.col("all") - F.col("bad")).desc(), "string").limit(contrast).collect()
+    usual = counts.where("bad * 8 < all").orderBy((F.col("all") - F.col("bad")).desc(), "string").limit(candidates).collect()
     taken: list[str] = []
     if best:
         every = Landmarks([r["string"] for r in best])
@@ -331,34 +345,54 @@ def pick_landmarks(sample: DataFrame, count: int, contrast: int, candidates: int
                 free &= every.values.T @ every.values[:, i] < 0.8
             if len(taken) == count:
                 break
-    return taken + [r["string"] for r in usual if r["string"] not in taken]
-
-
-def learn(docs: DataFrame, labels: DataFrame, *, limit: int = 12_000, landmarks: int = 192, contrast: int = 16) -> Machine | float:
+    # for contrast those common strings of other texts that come closest to one that tells
+    other = [r["string"] for r in usual]
+    if not taken or not other:
+        return taken, []
+    near = np.zeros(len(other))
+    match = Matcher(Landmarks(taken))
+    for i, row in zip(*match.sentences(other), strict=True):
+        near[i] = row.max()
+    order = sorted(range(len(other)), key=lambda i: (-near[i], other[i]))
+    return taken, [other[i] for i in order[:contrast]]
+
+
+def _strongest(rows: np.ndarray, similar: np.ndarray, telling: int) -> tuple[np.ndarray, np.ndarray]:
+    """The SENTENCES sentences of each text with the largest sum over the first `telling` landmarks."""
+    order = np.lexsort((-similar[:, :telling].sum(axis=1), rows))
+    ranked = rows[order]
+    rank = np.arange(len(order)) - np.searchsorted(ranked, ranked)
+    kept = np.sort(order[rank < SENTENCES])
+    return rows[kept], similar[kept]
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, limit: int = 8_000, landmarks: int = 128, contrast: int = 96) -> Machine | float:
     """The machine for these labels, or the share of toxic documents if only one kind is labelled.
 
     A toxic text is a bag of sentences of which at least one is toxic: in each round its highest
     sentence is a positive example, and the highest of every other text a negative one. Toxic texts and
-    a quarter of the others are learned a second time with characters inserted into their words.
+    one in sixteen of the others are learned a second time with characters inserted into their words.
+    Of a text the SENTENCES most similar to words that tell toxic texts take part.
     """
     sample = labelled(docs, labels, limit)
     size = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     if not size[0] or size[0] == size[1]:
         return float(size[0] / size[1]) if size[1] else 0.0
-    names = pick_landmarks(sample, landmarks, contrast)
-    if not names:
+    telling, usual = pick_landmarks(sample, landmarks, contrast)
+    if not telling:
         return float(size[0] / size[1])
+    names = telling + usual
 
     def with_disguised(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame
-            again = frame[(frame["toxic"] > 0) | (frame["_doc"] % 4 == 0)]
+            again = frame[(frame["toxic"] > 0) | (frame["_doc"] % 16 == 0)]
             yield again.assign(_doc=-1 - again["_doc"], text=[disguised(t) for t in again["text"]])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         match = Matcher(Landmarks(names))
         for frame in sized_batches(with_disguised(frames), "text"):
-            rows, similar = match.sentences(frame["text"].tolist())
+            rows, similar = _strongest(*match.sentences(frame["text"].tolist()), len(telling))
             have = frame["_doc"].to_numpy()
             without = np.setdiff1d(np.arange(len(frame)), rows)
             toxic = frame["toxic"].to_numpy()
@@ -366,26 +400,26 @@ def learn(docs: DataFrame, labels: DataFrame, *, limit: int = 12_000, landmarks:
             yield pd.DataFrame({"_doc": have[without], "toxic": toxic[without], "similar": [b""] * len(without)})
 
     numbered = sample.withColumn("_doc", F.monotonically_increasing_id())
+    # at most about (1 + share learned twice) * limit * SENTENCES rows of a few hundred numbers
     found = numbered.mapInPandas(run, "_doc bigint, toxic int, similar binary").toPandas()
-    found = found.sort_values("_doc", kind="stable")
+    found = found.sort_values(["_doc", "similar"], kind="stable")
     zero = np.zeros(len(names), np.float32).tobytes()
     similar = np.frombuffer(b"".join(s or zero for s in found["similar"]), np.float32).reshape(len(found), -1)
     _, first, bag = np.unique(found["_doc"].to_numpy(), return_index=True, return_inverse=True)
     y = np.where(found["toxic"].to_numpy()[first] > 0, 1.0, -1.0)
     weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * len(y) / 100
     mapping = nystroem(Landmarks(names))
-    mapped = similar.astype(float) @ mapping
-    value = similar.sum(axis=1)
+    mapped = similar @ mapping.astype(np.float32)
+    value = similar[:, : len(telling)].sum(axis=1)
     for _ in range(4):
         order = np.lexsort((np.arange(len(bag)), value, bag))
         best = order[np.append(np.flatnonzero(np.diff(bag[order])), len(bag) - 1)]
-        w, bias = fit_svm(mapped[best], y, weight)
+        w, bias = fit_svm(mapped[best].astype(float), y, weight)
         value = mapped @ w + bias
-    top = np.full(len(y), bias)
-    np.maximum.at(top, bag, value)
-    slope, shift = fit_platt(top, y)
-    name = f"{mix(np.frombuffer((mapping @ w).tobytes(), np.uint64)).sum():x}"
-    return Machine(names, mapping @ w, bias, slope, shift, name)
+    # the disguised texts have ids below zero; they teach words but are not what texts look like
+    own = found["_doc"].to_numpy()[first] >= 0
+    slopes, shift = fit_logistic(highest(len(y), bag, value, bias)[own], y[own])
+    return Machine(names, mapping @ w, bias, slopes, shift)
 
 
 @functools.lru_cache(maxsize=2)

@@ -22,9 +22,10 @@ DECAY = 0.8  # weight of a subsequence per character it spans
 CUT = 0.45  # smaller similarities count as none
 POWER = 3  # a power of a kernel is a kernel; this one sets close matches apart from common syllables
 PIECE = 32  # bytes of a word compared at once; longer words are compared window by window
+DISGUISED = 0.25  # weight of a disguised text when scores are calibrated
 TOP = 3  # highest sentences of a text that make its score
 SENTENCES = 6  # sentences of a text that the machine learns from
-KNOWN, NEAR = 4_000_000, 100_000  # words a task remembers, and similar ones of them
+KNOWN, NEAR = 1_500_000, 40_000  # words a task remembers, and similar ones of them
 
 _LETTER = np.zeros(256, np.int64)  # 0: no letter, is left out
 _LETTER[ord("a") : ord("z") + 1] = np.arange(1, 27)
@@ -146,7 +147,8 @@ class Matcher:
         self.place = np.zeros(0, np.int32)  # row of `near`, or -1
         self.near = np.zeros((0, len(self.landmarks.words)), np.float16)
 
-    def _learn(self, raw: np.ndarray, hashed: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    def _places(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The row of `near` that each word gets, or -1."""
         start = start.copy()
         for _ in range(PIECE):  # punctuation before a word is not its beginning
             skip = (_LETTER[raw[start]] == 0) & (start < end - 1)
@@ -170,9 +172,7 @@ class Matcher:
             words, first = np.unique(owner[names], return_index=True)
             place[words] = len(self.near) + np.arange(len(words))
             self.near = np.concatenate([self.near, np.maximum.reduceat(values, first).astype(np.float16)])
-        known = np.concatenate([self.known, hashed])
-        order = np.argsort(known, kind="stable")
-        self.known, self.place = known[order], np.concatenate([self.place, place])[order]
+        return place
 
     def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Text and best similarities of each sentence that has a word similar to any landmark."""
@@ -187,9 +187,14 @@ class Matcher:
         words, first, inverse = np.unique(hashed, return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, words)
         new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != words) if len(self.known) else np.arange(len(words))
-        for a in range(0, len(new), 50_000):
-            pick = first[new[a : a + 50_000]]
-            self._learn(buffer.bytes, words[new[a : a + 50_000]], start[pick], end[pick])
+        places = [self.place]
+        for a in range(0, len(new), 15_000):
+            pick = first[new[a : a + 15_000]]
+            places.append(self._places(buffer.bytes, start[pick], end[pick]))
+        if len(new):
+            known = np.concatenate([self.known, words[new]])
+            order = np.argsort(known, kind="stable")
+            self.known, self.place = known[order], np.concatenate(places)[order]
         place = self.place[np.searchsorted(self.known, words)][inverse]
         hits = np.flatnonzero(place >= 0)
         if not len(hits):
@@ -272,7 +277,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, r
     return w[:-1], float(w[-1])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
     """Slopes and shift of a logistic curve from values to the chance of label 1 (smoothed targets)."""
     positive, negative = (y > 0).sum(), (y <= 0).sum()
     target = np.where(y > 0, (positive + 1) / (positive + 2), 1 / (negative + 2))
@@ -280,7 +285,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[np.nd
     w, ridge = np.zeros(x.shape[1]), 1e-2 * np.eye(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - target) + ridge @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (p - target)) + ridge @ w)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
@@ -416,9 +421,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, limit: int = 8_000, landmarks:
         best = order[np.append(np.flatnonzero(np.diff(bag[order])), len(bag) - 1)]
         w, bias = fit_svm(mapped[best].astype(float), y, weight)
         value = mapped @ w + bias
-    # the disguised texts have ids below zero; they teach words but are not what texts look like
-    own = found["_doc"].to_numpy()[first] >= 0
-    slopes, shift = fit_logistic(highest(len(y), bag, value, bias)[own], y[own])
+    # the disguised texts have ids below zero; they count less, as few texts are written so
+    rare = np.where(found["_doc"].to_numpy()[first] < 0, DISGUISED, 1.0)
+    slopes, shift = fit_logistic(highest(len(y), bag, value, bias), y, rare)
     return Machine(names, mapping @ w, bias, slopes, shift)
 
 

@@ -245,6 +245,11 @@ def test_kernel_equals_plain_sums():
             assert a == pytest.approx(b**toxicity.POWER if b >= toxicity.CUT else 0.0, abs=1e-3)
 
 
+def test_highest_sentences():
+    top = toxicity.highest(3, np.array([2, 0, 2, 2, 2]), np.array([0.5, -2.0, 3.0, 1.0, 0.1]), -1.0)
+    assert top.tolist() == [[-1.0, -1.0, -1.0], [-1.0, -1.0, -1.0], [3.0, 1.0, 0.5]]
+
+
 def test_toxicity(ready, corpus, odd, nothing):
     labels = corpus.select("doc_id", "toxic")
     machine = toxicity.learn(corpus, labels)
@@ -252,7 +257,7 @@ def test_toxicity(ready, corpus, odd, nothing):
     held = [r for r in rows if r["held_out"] and r["doc_id"] < 400]
     assert len(held) > 50 and all(r["predicted"] == r["toxic"] for r in held)
     tricks = [
-        (1, "you g.r.u.b.b.l.e.r go"), (2, "a g r u b b l e r here"), (3, "what a grxubbler he is"), (4, "GRUBBLER!"),
+        (1, "you g.r.u.b.b.l.e.r go"), (2, "a g r u b b l e r here"), (3, "what a grxubbler he is. A snozrkwit and a grubbqler too."), (4, "GRUBBLER!"),
         (5, "vind skog natt"), (6, ""), (7, None), (8, "x" * 5000 + " vind"),
     ]
     docs = ready.createDataFrame(tricks, "doc_id bigint, text string")

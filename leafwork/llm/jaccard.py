@@ -16,14 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork import session
-from leafwork.llm.common import Buffer, components, mix, sized_batches
+from leafwork.llm.common import Buffer, components, labels, map_rows, mix, sized_batches
 from leafwork.llm.warc import file_system
 from leafwork.session import staged, staging_root
 
 BLOCK = 50_000  # entries of a block of n-grams, on average
-LIST = 2000  # documents of one n-gram that are compared in one group
 HOT = 20_000  # documents from which an n-gram may be dealt with apart
-GROUP = 500_000  # n-grams of the documents that one group verifies
+BITS = 2048  # bits of the picture of a set
+KNOWN = 5_000_000  # n-grams whose counts take part in the order
+CLUSTER = 2000  # documents up to which a cluster is thinned out by pictures
+GROUP = 500_000  # n-grams of the documents that are compared at once
 SMALL = 2_000_000  # rows up to which a table of ids is broadcast
 
 _FIELDS = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4")])
@@ -44,11 +46,6 @@ class Measure:
         """The least intersection with which sets of n and m can link."""
         return -(-self.percent * (n + m) // (100 + self.percent))
 
-    def may_link(self, n, n_at, m, m_at):
-        """Whether sizes, and what is left behind the first common entry, allow a link."""
-        rest = np.minimum(n - n_at, m - m_at)
-        return (self.percent * np.maximum(n, m) <= 100 * np.minimum(n, m)) & (rest >= self.needed(n, m))
-
 
 def gram_sets(texts: list[str], words: int) -> list[np.ndarray]:
     """The sorted hashes of the distinct n-grams of each text.
@@ -84,7 +81,8 @@ def _frequent(docs: DataFrame, words: int) -> tuple[str, int, DataFrame]:
     """A folder with n-grams that many documents have, the number of documents, and the same as a table.
 
     Each task counts its documents per n-gram and hands on those that three of them share; Spark adds
-    them up. Only the order of n-grams rests on these counts, so what is missed costs time, not links.
+    them up. The most frequent ones, about KNOWN at most, are kept. Only the order of n-grams rests on
+    these counts, so what is missed costs time, not links.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,9 +106,16 @@ def _frequent(docs: DataFrame, words: int) -> tuple[str, int, DataFrame]:
 
     texts = docs.select("text").where("text is not null and text <> ''")
     total = texts.count()
-    # at most a fixed number of n-grams can be in so large a part of all documents
-    least = max(3, total // 20_000)
-    counts = texts.mapInPandas(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = staged(texts.mapInPandas(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")))
+    # a histogram of the counts by powers of two, so it has a few dozen rows
+    level = F.floor(F.log2("n")).alias("level")
+    held, least = 0, 3
+    for row in counts.groupBy(level).count().orderBy(F.desc("level")).collect():
+        held += row["count"]
+        if held > KNOWN:
+            least = 1 << (row["level"] + 1)
+            break
+    counts = counts.where(F.col("n") >= least)
     folder = f"{staging_root(docs.sparkSession)}/frequent-{uuid.uuid4().hex}"
     session._STAGED.append(folder)
     counts.write.parquet(folder)
@@ -140,22 +145,29 @@ def _look_up(folder: str, grams: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, measure: Measure, folder: str) -> DataFrame:
-    """doc_id, size and digest of each document's set, and its rarest entries in the common order."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """doc_id, size and digest of each document's set, its rarest entries in the common order, and its picture.
+
+    The picture is a fixed number of bits; an n-gram sets the one that its hash names.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in sized_batches(frames, "text"):
             sets = gram_sets(frame["text"].tolist(), measure.words)
             known = np.split(_look_up(folder, np.concatenate(sets)), np.cumsum([len(s) for s in sets])[:-1])
-            prefixes, digests = [], []
+            prefixes, digests, pictures = [], [], []
             for grams, counts in zip(sets, known, strict=True):
                 order = np.lexsort((grams, counts))[: measure.prefix(len(grams))] if len(grams) else []
                 prefixes.append(grams[order].tobytes() if len(grams) else None)
                 digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n": [len(s) for s in sets], "digest": digests, "prefix": prefixes})
+                bits = np.zeros(BITS, np.uint8)
+                bits[(grams % np.uint64(BITS)).astype(np.int64)] = 1
+                pictures.append(np.packbits(bits).tobytes() if len(grams) else None)
+            yield pd.DataFrame({
+                "doc_id": frame["doc_id"], "n": [len(s) for s in sets], "digest": digests, "prefix": prefixes, "picture": pictures,
+            })
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(run, f"doc_id {kind}, n bigint, digest binary, prefix binary")
+    return map_rows(texts, run, ("doc_id",), "n bigint, digest binary, prefix binary, picture binary")
 
 
 def _entries(frame: pd.DataFrame) -> np.ndarray:
@@ -201,165 +213,260 @@ def _blocks(classes: DataFrame, count: int, hot: np.ndarray) -> DataFrame:
     return classes.select("class", "n", "prefix").mapInPandas(run, "block bigint, packed binary")
 
 
-def _shared(blocks: DataFrame, measure: Measure) -> DataFrame:
-    """Entries of n-grams that several documents have, each with one document to be held against.
+def _level(n: np.ndarray, measure: Measure) -> np.ndarray:
+    """Size classes so wide that sets which can link are in the same or in neighbouring ones."""
+    return np.floor(np.log(n) / (math.log(100 / measure.percent) + 1e-9)).astype(np.int64)
+
 
-    That document is the smallest of the n-gram whose size allows a link, null for itself.
+def _members(blocks: DataFrame, measure: Measure) -> DataFrame:
+    """Clusters of documents that share an n-gram of their entries: hub, class.
+
+    The documents of an n-gram and a size class, and those of the class above, are put to the smallest
+    of the size class. Any two documents of the n-gram that can link are so in one cluster.
+
+    A document's entries before the n-gram are not shared, so its place bounds what it can share. The
+    least place over size among all its documents tells whether a document can have a partner at all.
     """
+    share = measure.percent / (100 + measure.percent)
+
+    def several(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not len(rows):
+            return rows, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        run_of = np.cumsum(np.append(True, rows["gram"][1:] != rows["gram"][:-1])) - 1
+        rows = rows[np.bincount(run_of)[run_of] > 1]
+        first = np.flatnonzero(np.append(True, rows["gram"][1:] != rows["gram"][:-1])) if len(rows) else np.zeros(0, np.int64)
+        return rows, first, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows))))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = np.concatenate([np.frombuffer(p, _FIELDS) for p in frame["packed"]])
-        rows = rows[np.lexsort((rows["doc"], rows["n"], rows["gram"]))]
-        new = np.append(True, rows["gram"][1:] != rows["gram"][:-1])
-        run_of = np.cumsum(new) - 1
-        several = np.bincount(run_of)[run_of] > 1
-        rows, run_of = rows[several], run_of[several]
-        # the first in the run with n >= percent of one's own: a search on (run, n) as one number
-        key = run_of * (1 << 32) + rows["n"]
-        first = np.searchsorted(key, run_of * (1 << 32) + -(-measure.percent * rows["n"].astype(np.int64) // 100))
-        held = rows[first]
-        good = (held["doc"] != rows["doc"]) & measure.may_link(
-            rows["n"].astype(np.int64), rows["at"].astype(np.int64), held["n"].astype(np.int64), held["at"].astype(np.int64)
-        )
-        return pd.DataFrame({
-            "gram": rows["gram"].view(np.int64), "class": rows["doc"], "n": rows["n"].astype(np.int64), "at": rows["at"].astype(np.int64),
-            "hub": pd.Series(held["doc"]).where(good).astype("Int64"),
-        })
-
-    schema = "gram bigint, class bigint, n bigint, at bigint, hub bigint"
-    return blocks.groupBy("block").applyInPandas(run, schema)
-
-
-def _shared_hot(classes: DataFrame, hot: np.ndarray, measure: Measure) -> DataFrame:
-    """The same for n-grams of very many documents: hubs by aggregates, which combine before the shuffle.
-
-    Sizes are put in classes as wide as the size bound; a document is held against the smallest of its
-    class and of the class below.
-    """
+        rows, first, run_of = several(rows[np.lexsort((rows["doc"], rows["n"], rows["gram"]))])
+        if not len(rows):
+            return pd.DataFrame({"hub": [], "class": []})
+        n, at = rows["n"].astype(np.int64), rows["at"].astype(np.int64)
+        # the intersection is at most m - m_at and has to reach share * (n + m)
+        best = np.minimum.reduceat(at - (1 - share) * n, first)[run_of]
+        able = (best <= -share * n + 1e-6) & (n - at >= measure.needed(n, -(-measure.percent * n // 100)))
+        rows, first, run_of = several(rows[able])
+        if not len(rows):
+            return pd.DataFrame({"hub": [], "class": []})
+        level = _level(rows["n"].astype(np.int64), measure)
+        key = run_of * (1 << 20) + level
+        start = np.searchsorted(key, key)
+        below = np.searchsorted(key, key - 1)
+        under = (below < len(key)) & (key[np.minimum(below, len(key) - 1)] == key - 1)
+        doc = rows["doc"]
+        pairs = np.column_stack([np.append(doc[start], doc[below[under]]), np.append(doc, doc[under])])
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        return pd.DataFrame({"hub": pairs[:, 0], "class": pairs[:, 1]})
+
+    return blocks.groupBy("block").applyInPandas(run, "hub bigint, class bigint")
+
+
+def _members_hot(classes: DataFrame, hot: np.ndarray, measure: Measure) -> DataFrame:
+    """The same for n-grams of very many documents, with aggregates that combine before the shuffle."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = _entries(frame)
             rows = rows[np.isin(rows["gram"], hot)]
-            yield pd.DataFrame({"gram": rows["gram"].view(np.int64), "class": rows["doc"], "n": rows["n"].astype(np.int64), "at": rows["at"].astype(np.int64)})
+            n = rows["n"].astype(np.int64)
+            yield pd.DataFrame({"gram": rows["gram"].view(np.int64), "class": rows["doc"], "n": n, "at": rows["at"].astype(np.int64), "level": _level(np.maximum(n, 1), measure)})
 
-    rows = staged(classes.select("class", "n", "prefix").mapInPandas(run, "gram bigint, class bigint, n bigint, at bigint"))
-    level = F.floor(F.log(F.col("n").cast("double")) / -math.log(measure.percent / 100)) if measure.percent < 100 else F.col("n")
-    rows = rows.withColumn("level", level)
+    rows = staged(classes.select("class", "n", "prefix").mapInPandas(run, "gram bigint, class bigint, n bigint, at bigint, level bigint"))
+    share = measure.percent / (100 + measure.percent)
+    best = rows.groupBy("gram").agg(F.min(F.col("at") - (1 - share) * F.col("n")).alias("best"))
+    rows = rows.join(best, "gram").where(F.col("best") <= -share * F.col("n") + 1e-6)
     hubs = rows.groupBy("gram", "level").agg(F.min(F.struct("n", "class"))["class"].alias("hub"))
-    near = rows.withColumn("level", F.explode(F.array(F.col("level"), F.col("level") - 1))).join(hubs, ["gram", "level"], "left")
-    return near.select("gram", "class", "n", "at", F.when(F.col("hub") != F.col("class"), F.col("hub")).alias("hub"))
+    near = rows.withColumn("level", F.explode(F.array(F.col("level"), F.col("level") - 1))).join(hubs, ["gram", "level"])
+    return near.where("hub <> class").select("hub", "class")
 
 
-def _remaining(shared: DataFrame, joined: DataFrame, tried: DataFrame, measure: Measure, blocks: int) -> DataFrame:
-    """Pairs of documents of one n-gram that are not in one component yet and were not compared.
+def _thinned(members: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame:
+    """Clusters without the documents that cannot link with any other of their cluster: hub, class.
 
-    An n-gram with more than LIST documents is cut into parts, and every two parts are a group of
-    their own, so no group is unbounded.
+    A bit in which two pictures differ stands for an n-gram that only one of the sets has. So two sets
+    of n and m share at most (n + m - differing bits) / 2. What can link is a cluster of its own, named
+    after its smallest document. Clusters of more than CLUSTER documents are left as they are.
     """
-    rows = shared.select("gram", "class", "n", "at").distinct()
-    rows = rows.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    lists = rows.groupBy("gram").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    lists = lists.where("low <> high").select("gram", F.ceil(F.col("size") / LIST).cast("int").alias("parts"))
-    rows = rows.join(lists, "gram").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(
-        F.pmod(F.xxhash64("gram"), F.lit(blocks)).alias("block"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
-        "gram", "part", "class", "n", "at", "component",
-    )
+    sizes = members.groupBy("hub").agg(F.count("*").alias("size"))
+    total = members.count()
+    small = members.join(sizes.where(F.col("size") <= CLUSTER), "hub").select("hub", "class")
+    hubs = small.select("hub", F.col("hub").alias("class")).distinct()
+    group = F.pmod(F.xxhash64("hub"), F.lit(max(1, total // CLUSTER))).alias("group")
+    rows = small.unionByName(hubs).select(group, "hub", "class").join(classes.select("class", "n", "picture"), "class")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["gram", "n", "class"])
-        gram, n, at = (frame[c].to_numpy(np.int64) for c in ("gram", "n", "at"))
-        name, component, part = (frame[c].to_numpy(np.int64) for c in ("class", "component", "part"))
-        run_of = np.cumsum(np.append(True, gram[1:] != gram[:-1])) - 1
-        key = run_of * (1 << 32) + n
-        last = np.searchsorted(key, run_of * (1 << 32) + 100 * n // measure.percent, side="right")
-        first = np.arange(len(n)) + 1
-        apart = frame["low"].iloc[0] != frame["high"].iloc[0]
+        frame = frame.sort_values(["hub", "class"])
+        hub, name, n = (frame[c].to_numpy(np.int64) for c in ("hub", "class", "n"))
+        bits = np.frombuffer(b"".join(frame["picture"]), np.uint64).reshape(len(frame), -1)
+        edges = np.flatnonzero(np.diff(hub)) + 1
         found = []
-        counts = np.maximum(last - first, 0)
-        cuts = np.flatnonzero(np.diff(np.cumsum(counts) // 2_000_000)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(n)], strict=True):
-            x = np.repeat(np.arange(a, b), counts[a:b])
-            y = np.arange(len(x)) - np.repeat(np.cumsum(counts[a:b]) - counts[a:b], counts[a:b]) + first[x]
-            good = (component[x] != component[y]) & measure.may_link(n[x], at[x], n[y], at[y])
-            if apart:
-                good &= part[x] != part[y]
-            pairs = np.column_stack([np.minimum(name[x], name[y])[good], np.maximum(name[x], name[y])[good]])
-            found.append(np.unique(pairs, axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    pairs = rows.groupBy("block", "low", "high").applyInPandas(run, "a bigint, b bigint").distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(done, ["a", "b"], "left_anti")
+        for a, b in zip([0, *edges], [*edges, len(hub)], strict=True):
+            pairs_a, pairs_b = [], []
+            for i in range(a, b - 1):
+                apart = np.bitwise_count(bits[i + 1 : b] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                m = n[i + 1 : b]
+                may = ((n[i] + m - apart) // 2 >= measure.needed(n[i], m)) & (measure.percent * np.maximum(n[i], m) <= 100 * np.minimum(n[i], m))
+                pairs_b.append(np.flatnonzero(may) + i + 1 - a)
+                pairs_a.append(np.full(len(pairs_b[-1]), i - a))
+            if pairs_a:
+                label = labels(b - a, np.concatenate(pairs_a), np.concatenate(pairs_b))
+                moved = np.flatnonzero(label != np.arange(b - a))
+                found.append(np.column_stack([name[a + label[moved]], name[a + moved]]))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"hub": pairs[:, 0], "class": pairs[:, 1]})
+
+    thinned = rows.groupBy("group").applyInPandas(run, "hub bigint, class bigint")
+    large = members.join(sizes.where(F.col("size") > CLUSTER), "hub").select("hub", "class")
+    return thinned.unionByName(large).distinct()
 
 
 # -- full overlaps ----------------------------------------------------------------------------
 
 
-def _verify(pairs: DataFrame, pool: DataFrame, measure: Measure) -> DataFrame:
-    """Those pairs (a, b) whose whole sets link.
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many entries every two of the sets share: the product of their incidence with itself.
+
+    Columns that many sets have are multiplied as a dense matrix, a bounded number at a time; pairs of
+    the sets of every other column are counted one by one.
+    """
+    m = len(sets)
+    total = np.zeros(m * m, np.int64)
+    sizes = [len(s) for s in sets]
+    grams = np.concatenate(sets)
+    row = np.repeat(np.arange(m), sizes)
+    order = np.argsort(grams, kind="stable")
+    grams, row = grams[order], row[order]
+    column = np.cumsum(np.append(True, grams[1:] != grams[:-1])) - 1
+    often = np.bincount(column)
+    dense = often > max(8, m // 8)
+    some = dense[column]
+    names, index = np.unique(column[some], return_inverse=True)
+    product = np.zeros((m, m), np.float32)
+    for a in range(0, len(names), 4096):
+        part = (index >= a) & (index < a + 4096)
+        block = np.zeros((m, min(4096, len(names) - a)), np.float32)
+        block[row[some][part], index[part] - a] = 1
+        product += block @ block.T
+    few = ~some & (often[column] > 1)
+    row, column = row[few], column[few]
+    if len(row):
+        last = np.searchsorted(column, column, side="right")
+        counts = last - np.arange(len(row)) - 1
+        cuts = np.flatnonzero(np.diff(np.cumsum(counts) // 4_000_000)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(row)], strict=True):
+            x = np.repeat(np.arange(a, b), counts[a:b])
+            y = np.arange(len(x)) - np.repeat(np.cumsum(counts[a:b]) - counts[a:b], counts[a:b]) + x + 1
+            total += np.bincount(row[x] * m + row[y], minlength=m * m)
+    total = total.reshape(m, m)
+    return total + total.T + np.rint(product).astype(np.int64)
+
+
+def _links(items: DataFrame, pool: DataFrame, measure: Measure) -> DataFrame:
+    """The edges (a, b) of a forest over the links within each cluster of `items` (cluster, class).
 
-    Pairs are put together by b, whose text is sent once to each group of its pairs; groups are cut so
-    that each holds about GROUP n-grams, whatever a single b has.
+    Clusters are dealt into groups of about GROUP n-grams; a group multiplies one cluster after another.
     """
-    sizes = pool.select(F.col("class").alias("a"), F.col("n").alias("weight"))
-    load = pairs.join(sizes, "a").groupBy("b").agg(F.sum("weight").alias("weight"))
-    load = staged(load.withColumn("salts", F.ceil(F.col("weight") / GROUP).cast("int")))
-    total = load.agg(F.sum("weight")).first()[0] or 0
-    groups = max(1, int(total // GROUP))
-    salted = pairs.join(load.select("b", "salts"), "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
-    hubs = load.select(F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("b").alias("class"))
-    items = salted.select(F.col("b").alias("hub"), "salt", F.col("a").alias("class")).unionByName(hubs)
-    group = F.pmod(F.xxhash64("hub", "salt"), F.lit(groups)).alias("group")
-    items = items.select(group, "hub", "salt", "class").join(pool.select("class", "text"), "class")
+    total = items.join(pool.select("class", "n"), "class").agg(F.sum("n")).first()[0] or 0
+    group = F.pmod(F.xxhash64("cluster"), F.lit(max(1, int(total // GROUP)))).alias("group")
+    texts = items.select(group, "cluster", "class").join(pool.select("class", "text"), "class")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        texts = frame.drop_duplicates("class")
-        sets = dict(zip(texts["class"], gram_sets(texts["text"].tolist(), measure.words), strict=True))
+        once = frame.drop_duplicates("class")
+        sets = dict(zip(once["class"], gram_sets(once["text"].tolist(), measure.words), strict=True))
         found = []
-        for hub, name in zip(frame["hub"], frame["class"], strict=True):
-            if hub != name:
-                a, b = sets[name], sets[hub]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= measure.percent * (len(a) + len(b) - both):
-                    found.append((name, hub))
+        for _, names in frame.groupby("cluster")["class"]:
+            names = np.unique(names.to_numpy(np.int64))
+            if len(names) < 2:
+                continue
+            some = [sets[name] for name in names]
+            size = np.array([len(s) for s in some], np.int64)
+            if len(names) == 2:
+                shared = len(np.intersect1d(some[0], some[1], assume_unique=True))
+                a, b = ([0], [1]) if 100 * shared >= measure.percent * (size.sum() - shared) else ([], [])
+            else:
+                shared = overlaps(some)
+                near = 100 * shared >= measure.percent * (size[:, None] + size[None] - shared)
+                a, b = np.nonzero(np.triu(near, 1))
+            label = labels(len(names), np.array(a, np.int64), np.array(b, np.int64))
+            found += [(int(names[r]), int(names[i])) for i, r in enumerate(label.tolist()) if i != r]
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    return staged(items.groupBy("group").applyInPandas(run, "a bigint, b bigint"))
+    return staged(texts.groupBy("group").applyInPandas(run, "a bigint, b bigint"))
+
+
+def _compare(members: DataFrame, pool: DataFrame, measure: Measure) -> DataFrame:
+    """The component of every document that is linked with another one: node, component.
+
+    A cluster of at most about GROUP n-grams is compared at once. A larger one is cut into parts by
+    hash, each with the hub, which as a rule joins the copies of one text; after that only documents
+    that are not in the hub's component are held against all others, part by part.
+    """
+    weight = pool.select("class", F.col("n").alias("weight"))
+    load = members.join(weight, "class").groupBy("hub").agg(F.sum("weight").alias("weight"))
+    load = staged(load.select("hub", F.ceil(F.col("weight") / GROUP).cast("int").alias("parts")))
+    dealt = members.join(load, "hub").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    hubs = load.select("hub", F.col("hub").alias("class"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    items = dealt.select("hub", "class", "part").unionByName(hubs)
+    links = _links(items.select(F.xxhash64("hub", "part").alias("cluster"), "class"), pool, measure)
+    joined = staged(components(links))
+    large = load.where("parts > 1")
+    if large.isEmpty():
+        return joined
+    named = joined.withColumnRenamed("node", "class")
+    rows = members.join(large, "hub").join(named, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    main = large.select("hub", F.col("hub").alias("class")).join(named, "class", "left")
+    main = main.select("hub", F.coalesce("component", "class").alias("main"))
+    rows = staged(rows.join(main, "hub").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")))
+    apart = rows.where("component <> main")
+    if apart.isEmpty():
+        return joined
+    lone = apart.join(weight, "class").groupBy("hub").agg(F.ceil(F.sum("weight") / GROUP).cast("int").alias("slices"))
+    lone = staged(lone)
+    sides = [
+        apart.join(lone, "hub").select(
+            "hub", "class", F.pmod(F.xxhash64("class", F.lit("slice")), F.col("slices")).cast("int").alias("slice"),
+            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        ),
+        rows.join(lone, "hub").select("hub", "class", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "part"),
+    ]
+    items = sides[0].unionByName(sides[1]).select(F.xxhash64("hub", "slice", "part").alias("cluster"), "class").distinct()
+    return staged(components(links.unionByName(_links(items, pool, measure))))
 
 
 def link_documents(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     """Documents with the size of their n-gram set and their component: doc_id, n_shingles, component_id.
 
     Documents with equal sets are one class from the start. Of each class the rarest n-grams are
-    entered that two linked sets must share; the incidence is multiplied block by block of n-grams, and
-    pairs fall out whose sizes or remaining entries cannot reach the bound. What is left is verified
-    on whole sets, in two rounds: first every document against one of each of its n-grams, which joins
-    groups of copies without their pairs; then all pairs of an n-gram that are still in different
-    components. So no link between components is lost, and no large group is written out as pairs.
+    entered that two linked sets must share. The incidence is worked off block by block of n-grams, and
+    documents fall out whose sizes and remaining entries cannot reach the bound with any other of the
+    n-gram; the rest form clusters, which pictures of the sets thin out. Within each cluster whole sets
+    are multiplied, which accumulates the overlap of every two documents, and a forest of the links is
+    handed on, never all pairs.
 
     component_id is the smallest doc_id reachable by links. Documents without words, null texts
     included, have no n-grams and are on their own. Repeated rows are kept; null ids are linked but
     name no component unless all of it is null. An empty table gives no rows; other columns are ignored.
     """
     folder, total, frequent = _frequent(docs, measure.words)
-    rows = staged(_sets(docs, measure, folder))
-    grouped = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = staged(grouped.withColumn("class", F.monotonically_increasing_id()))
-    entries = classes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    rows = staged(_sets(docs, measure, folder).withColumn("class", F.monotonically_increasing_id()))
+    # a class is named after one of its rows; the others leave without moving what the rows hold
+    named = rows.where("n > 0").groupBy("digest").agg(F.min("class").alias("class"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    named = staged(named)
+    copies = rows.where("n > 0").select("class", "digest").join(named.select("digest", F.col("class").alias("first")), "digest")
+    copies = staged(copies.where("class <> first").select("class"))
+    classes = rows.where("n > 0").join(F.broadcast(copies) if copies.count() <= SMALL else copies, "class", "left_anti")
+    entries = rows.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     blocks = max(1, int(entries // 8 // BLOCK))
     # fewer n-grams than this bound times the mean size of a set can be in so many documents
     often = frequent.where(F.col("n") >= max(HOT, total // 10_000))
     hot = np.array([r["gram"] for r in often.select("gram").collect()], np.int64).view(np.uint64)
-    shared = _shared(_blocks(classes, blocks, hot), measure)
+    members = _members(_blocks(classes, blocks, hot), measure)
     if len(hot):
-        shared = shared.unionByName(_shared_hot(classes, hot, measure))
-    shared = staged(shared)
+        members = members.unionByName(_members_hot(classes, hot, measure))
+    members = staged(_thinned(staged(members.distinct()), classes, measure))
 
-    needed = shared.select("class").distinct().join(classes.select("class", "n", "least", "digest"), "class")
+    needed = members.select("class").union(members.select("hub")).distinct().join(named, "class")
     needed = staged(needed)
     if needed.count() <= SMALL:
         needed = F.broadcast(needed)
@@ -373,18 +480,33 @@ def link_documents(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
 
     # an id may occur with several texts, so only that of the class is taken, and once
     matched = texts.join(needed, texts["least"].eqNullSafe(needed["least"])).select("class", "n", "text", "digest")
-    pool = staged(matched.mapInPandas(same, "class bigint, n bigint, text string")).dropDuplicates(["class"])
-
-    first = staged(shared.where("hub is not null").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct())
-    links = _verify(first, pool, measure)
-    joined = staged(components(links))
-    rest = staged(_remaining(shared, joined, first, measure, blocks))
-    if not rest.isEmpty():
-        joined = staged(components(links.unionByName(_verify(rest, pool, measure))))
-    named = classes.select("class", "digest", "least").join(joined.withColumnRenamed("node", "class"), "class", "left")
+    pool = matched.mapInPandas(same, "class bigint, n bigint, text string")
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        pool = pool.dropDuplicates(["class"])
+    pool = staged(pool)
+    joined = _compare(members, pool, measure)
+    named = named.join(joined.withColumnRenamed("node", "class"), "class", "left")
     named = staged(named.withColumn("component", F.coalesce("component", "class")))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_digest = named.join(ids, "component").select("digest", "component_id")
     linked = rows.where("n > 0").join(by_digest, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
+
+
+def keep_one(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
+    """One document of each component, the one with the smallest id, with all its columns.
+
+    Rows that share that id stay if their texts differ; equal rows stay once. So do rows without an id
+    in components that have none.
+    """
+    linked = link_documents(docs, measure)
+    gone = staged(linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= SMALL else gone
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    again = staged(left.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    if again.isEmpty():
+        return left
+    again = F.broadcast(again) if again.count() <= SMALL else again
+    same = left["doc_id"].eqNullSafe(F.col("_again"))
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork import session
-from leafwork.llm.common import Buffer, components, labels, map_rows, mix, sized_batches
+from leafwork.llm.common import Buffer, components, drop_table, labels, map_rows, mix, sized_batches
 from leafwork.llm.warc import file_system
 from leafwork.session import staged, staging_root
 
@@ -449,14 +449,16 @@ def link_documents(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     name no component unless all of it is null. An empty table gives no rows; other columns are ignored.
     """
     folder, total, frequent = _frequent(docs, measure.words)
-    rows = staged(_sets(docs, measure, folder).withColumn("class", F.monotonically_increasing_id()))
+    sets = staged(_sets(docs, measure, folder).withColumn("class", F.monotonically_increasing_id()))
+    sets_path = session._STAGED[-1]
+    rows = staged(sets.select("doc_id", "n", "digest", "class"))
     # a class is named after one of its rows; the others leave without moving what the rows hold
     named = rows.where("n > 0").groupBy("digest").agg(F.min("class").alias("class"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
     named = staged(named)
     copies = rows.where("n > 0").select("class", "digest").join(named.select("digest", F.col("class").alias("first")), "digest")
     copies = staged(copies.where("class <> first").select("class"))
-    classes = rows.where("n > 0").join(F.broadcast(copies) if copies.count() <= SMALL else copies, "class", "left_anti")
-    entries = rows.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    classes = sets.where("n > 0").join(F.broadcast(copies) if copies.count() <= SMALL else copies, "class", "left_anti")
+    entries = sets.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     blocks = max(1, int(entries // 8 // BLOCK))
     # fewer n-grams than this bound times the mean size of a set can be in so many documents
     often = frequent.where(F.col("n") >= max(HOT, total // 10_000))
@@ -465,6 +467,7 @@ def link_documents(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     if len(hot):
         members = members.unionByName(_members_hot(classes, hot, measure))
     members = staged(_thinned(staged(members.distinct()), classes, measure))
+    drop_table(docs.sparkSession, sets_path)
 
     needed = members.select("class").union(members.select("hub")).distinct().join(named, "class")
     needed = staged(needed)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import map_rows
+from leafwork.llm.common import kept_model, map_rows
 from leafwork.session import staged
 
 LEAF = 2048  # characters a leaf of the tree has at most
@@ -176,7 +175,7 @@ def _stretches(text: str) -> Iterator[tuple[int, int]]:
     yield start, len(text)
 
 
-@functools.cache
+@kept_model(2)
 def codec(path: str) -> Codec:
     """One codec per process and vocabulary file."""
     return Codec(path)

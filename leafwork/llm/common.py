@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from leafwork import session
 from leafwork.session import staged
 
 MASK = (1 << 64) - 1
@@ -17,6 +19,38 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+_MODELS: list = []
+
+
+def kept_model(maxsize: int) -> Callable:
+    """Cache what a function loads in the worker process, for one operator at a time.
+
+    Worker processes outlive a job. So that a pipeline's models do not add up in them, the first use of
+    one function's models lets those of all others go.
+    """
+
+    def wrap(load: Callable) -> Callable:
+        cached = functools.lru_cache(maxsize)(load)
+        _MODELS.append(cached)
+
+        @functools.wraps(load)
+        def call(*args):
+            release_models(cached)
+            return cached(*args)
+
+        return call
+
+    return wrap
+
+
+def release_models(but=None) -> None:
+    """Let all models go that worker functions have kept, except those of `but`."""
+    for other in _MODELS:
+        if other is not but and other.cache_info().currsize:
+            other.cache_clear()
+            Buffer._powers = Buffer._inverses = np.ones(1, np.uint64)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is outside the learning folds: crc32(doc_id as text) mod 4 is 2.
 
@@ -96,17 +130,17 @@ def map_rows(
     return out.withColumns({c: F.col(f"`{c}`").cast(t) for c, t in whole.items()}) if whole else out
 
 
-def masked(frame: DataFrame, *needed: str) -> DataFrame:
-    """All columns under names of their own (_c0, _c1, …), which no result clashes with, and the needed ones."""
-    return frame.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(frame.columns)), *needed)
+def masked(frame: DataFrame) -> DataFrame:
+    """All columns under names of their own (_c0, _c1, …), which no result clashes with."""
+    return frame.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(frame.columns)))
 
 
 def unmasked(frame: DataFrame, names: Sequence[str]) -> DataFrame:
     return frame.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))
 
 
-def mask_names(names: Sequence[str]) -> tuple[str, ...]:
-    return tuple(f"_c{i}" for i in range(len(names)))
+def mask_of(frame: DataFrame, name: str) -> str:
+    return f"_c{frame.columns.index(name)}"
 
 
 def sized_batches(frames: Iterator[pd.DataFrame], column: str, limit: int = 2_000_000) -> Iterator[pd.DataFrame]:
@@ -134,6 +168,13 @@ def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete one staged table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    session._STAGED.remove(path)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of `(a, b)` as `(node, component)`; component is the smallest node.
 

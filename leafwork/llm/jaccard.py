@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 import uuid
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork import session
-from leafwork.llm.common import Buffer, components, drop_table, labels, map_rows, mix, sized_batches
+from leafwork.llm.common import Buffer, components, drop_table, kept_model, labels, map_rows, mix, sized_batches
 from leafwork.llm.warc import file_system
 from leafwork.session import staged, staging_root
 
@@ -122,7 +121,7 @@ def _frequent(docs: DataFrame, words: int) -> tuple[str, int, DataFrame]:
     return folder, total, docs.sparkSession.read.schema(counts.schema).parquet(folder)
 
 
-@functools.lru_cache(maxsize=2)
+@kept_model(2)
 def _counts(folder: str) -> tuple[np.ndarray, np.ndarray]:
     store, path = file_system(folder)
     table = ds.dataset(path, filesystem=store, format="parquet").to_table()

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import held_out, map_rows, sized_batches
+from leafwork.llm.common import held_out, kept_model, map_rows, sized_batches
 from leafwork.session import staged
 
 CLASSES = 64  # symbols of an automaton: 0 for all that is no letter, a to z, hashes of other letters
@@ -136,7 +136,7 @@ class Parser:
         return names, np.where(known, score, 0.0)
 
 
-@functools.lru_cache(maxsize=2)
+@kept_model(2)
 def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(samples))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm import boosting
-from leafwork.llm.common import map_rows
+from leafwork.llm.common import map_rows, release_models
 
 BASE = ("email", "ip", "card", "phone")
 FURTHER = ("secret", "account", "national_id", "local_phone", "spelled_email")
@@ -342,6 +342,7 @@ def redact(docs: DataFrame, selector: Selector | None = None) -> DataFrame:
         return "".join([*out, text[at:]]) if spans else text
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_models()
         for frame in frames:
             yield frame.assign(text=[clean(t) for t in frame["text"]])
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork import session
-from leafwork.llm.common import Buffer, map_rows, mask_names, masked, mix, sized_batches, unmasked
+from leafwork.llm.common import Buffer, kept_model, map_rows, mask_of, masked, mix, sized_batches, unmasked
 from leafwork.llm.warc import file_system
 from leafwork.session import staged, staging_root
 
@@ -140,8 +139,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _lang() -> Column:
-    return F.coalesce(F.col("lang").cast("string"), F.lit(""))
+def _lang(column: str = "lang") -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
 def _discounts(table: DataFrame) -> DataFrame:
@@ -271,7 +270,7 @@ class HashModel:
         return result
 
 
-@functools.lru_cache(maxsize=8)
+@kept_model(8)
 def hash_model(folder: str, lang: str) -> HashModel:
     """Models a task has in memory; the least used goes when there are more than eight languages."""
     return HashModel(folder, lang)
@@ -283,12 +282,15 @@ def hash_model(folder: str, lang: str) -> HashModel:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def score_documents(docs: DataFrame, folder: str, keep: tuple[str, ...]) -> DataFrame:
-    """The columns `keep`, the text counts, _lang and log_perplexity (per byte, null for empty texts)."""
+def score_documents(docs: DataFrame, folder: str, keep: tuple[str, ...], text: str, lang: str) -> DataFrame:
+    """The columns `keep`, the text counts, _lang and log_perplexity (per byte, null for empty texts).
+
+    `text` and `lang` name the columns to read.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in sized_batches(frames, "_text"):
-            texts, langs = frame["_text"].tolist(), frame["_lang"].to_numpy()
+        for frame in sized_batches(frames, text):
+            texts, langs = [t or "" for t in frame[text]], frame["_lang"].to_numpy()
             scores = np.full(len(frame), np.nan)
             full = np.array([bool(t) for t in texts])
             for lang in np.unique(langs[full].astype(str)):
@@ -297,9 +299,9 @@ def score_documents(docs: DataFrame, folder: str, keep: tuple[str, ...]) -> Data
                 total = np.concatenate([[0], np.cumsum(hash_model(folder, lang).log_p(keys), dtype=np.float64)])
                 ends = np.cumsum(lengths)
                 scores[rows] = -(total[ends] - total[ends - lengths]) / lengths
-            yield frame.drop(columns="_text").assign(**text_counts(texts), log_perplexity=scores)
+            yield frame[[*keep, "_lang"]].assign(**text_counts(texts), log_perplexity=scores)
 
-    texts = docs.select(*keep, _lang().alias("_lang"), F.coalesce("text", F.lit("")).alias("_text"))
+    texts = docs.select(*dict.fromkeys([*keep, text]), _lang(lang).alias("_lang"))
     counts = ", ".join(f"{c} bigint" for c in COUNTS)
     scored = map_rows(texts, run, (*keep, "_lang"), f"{counts}, log_perplexity double")
     return scored.withColumn("log_perplexity", F.nanvl("log_perplexity", F.lit(None).cast("double")))
@@ -308,6 +310,8 @@ def score_documents(docs: DataFrame, folder: str, keep: tuple[str, ...]) -> Data
 def judge(
     docs: DataFrame,
     keep: tuple[str, ...],
+    text: str = "text",
+    lang: str = "lang",
     *,
     min_words: int = 20,
     max_repeat_percent: int = 30,
@@ -315,8 +319,9 @@ def judge(
     above: tuple[float, float] = (10.0, 0.2),
 ) -> DataFrame:
     """`apply_rules` with the columns `keep` of the documents."""
-    folder = store_model(kneser_ney(staged(count_grams(docs))))
-    scored = staged(score_documents(docs, folder, keep))
+    named = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    folder = store_model(kneser_ney(staged(count_grams(named))))
+    scored = staged(score_documents(docs, folder, keep, text, lang))
     # rounded, so the exact percentiles need a bounded table of values
     marks = scored.where(f"n_words >= {min_words} and log_perplexity is not null").groupBy("_lang").agg(
         F.expr("percentile(round(log_perplexity, 4), array(0.25, 0.5, 0.75))").alias("q")
@@ -351,5 +356,6 @@ def apply_rules(docs: DataFrame, **limits) -> DataFrame:
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The documents that pass, with all their columns."""
-    judged = judge(masked(docs, "text", "lang"), mask_names(docs.columns), **limits)
+    hidden = masked(docs)
+    judged = judge(hidden, tuple(hidden.columns), mask_of(docs, "text"), mask_of(docs, "lang"), **limits)
     return unmasked(judged.where("kept"), docs.columns)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import random
 import re
 import zlib
@@ -14,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import Buffer, held_out, map_rows, mask_names, masked, sized_batches, unmasked
+from leafwork.llm.common import Buffer, held_out, kept_model, map_rows, mask_of, masked, sized_batches, unmasked
 from leafwork.session import staged
 
 GAP = 3  # largest step between letters of a subsequence; up to two inserted characters are passed over
@@ -427,29 +426,30 @@ def learn(docs: DataFrame, labels: DataFrame, *, limit: int = 8_000, landmarks:
     return Machine(names, mapping @ w, bias, slopes, shift)
 
 
-@functools.lru_cache(maxsize=2)
+@kept_model(2)
 def _matcher(names: tuple[str, ...]) -> Matcher:
     """Kept by the worker process, so later tasks know the words of earlier ones."""
     return Matcher(Landmarks(list(names)))
 
 
-def score_documents(docs: DataFrame, machine: Machine | float, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` and `score` of every document. Null text counts as empty."""
+def score_documents(docs: DataFrame, machine: Machine | float, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns `keep` and `score` of every document by its column `text`. Null text counts as empty."""
     if isinstance(machine, float):
         return docs.select(*keep, F.lit(machine).alias("score"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         match = _matcher(tuple(machine.landmarks))
-        for frame in sized_batches(frames, "_text"):
-            rows, similar = match.sentences(frame["_text"].tolist())
+        for frame in sized_batches(frames, text):
+            rows, similar = match.sentences([t or "" for t in frame[text]])
             yield frame[list(keep)].assign(score=machine.scores(len(frame), rows, similar))
 
-    return map_rows(docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")), run, keep, "score double")
+    return map_rows(docs.select(*dict.fromkeys([*keep, text])), run, keep, "score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents whose score is below the threshold, with all their columns."""
-    scored = score_documents(masked(docs, "text"), learn(docs, labels), mask_names(docs.columns))
+    hidden = masked(docs)
+    scored = score_documents(hidden, learn(docs, labels), tuple(hidden.columns), mask_of(docs, "text"))
     return unmasked(scored.where(F.col("score") < threshold), docs.columns)
 
 

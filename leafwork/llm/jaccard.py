@@ -24,7 +24,7 @@ HOT = 20_000  # documents from which an n-gram may be dealt with apart
 BITS = 2048  # bits of the picture of a set
 KNOWN = 5_000_000  # n-grams whose counts take part in the order
 CLUSTER = 2000  # documents up to which a cluster is thinned out by pictures
-GROUP = 500_000  # n-grams of the documents that are compared at once
+GROUP = 250_000  # n-grams of the documents that are compared at once
 SMALL = 2_000_000  # rows up to which a table of ids is broadcast
 
 _FIELDS = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4")])

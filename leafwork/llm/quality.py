@@ -21,6 +21,8 @@ HELD = 3_000_000  # n-grams a task holds before it hands them on
 SYMBOLS = b"#*$%&|<>"  # fixed value
 WINDOW = 8  # fixed value: words of a window that may repeat
 FEW = 10_000  # languages up to which their bands are broadcast
+IQR = 1.349  # interquartile range of a normal spread, in standard deviations
+LEAST = 0.02  # least deviation of log-perplexity per byte, for languages of few or equal texts
 
 _DIGITS = np.arange(256, dtype=np.uint8)
 _DIGITS[48:58] = 48  # all digits are one
@@ -315,8 +317,8 @@ def judge(
     *,
     min_words: int = 20,
     max_repeat_percent: int = 30,
-    below: tuple[float, float] = (30.0, 0.5),
-    above: tuple[float, float] = (10.0, 0.2),
+    below: float = 4.0,
+    above: float = 3.0,
 ) -> DataFrame:
     """`apply_rules` with the columns `keep` of the documents."""
     named = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -326,9 +328,10 @@ def judge(
     marks = scored.where(f"n_words >= {min_words} and log_perplexity is not null").groupBy("_lang").agg(
         F.expr("percentile(round(log_perplexity, 4), array(0.25, 0.5, 0.75))").alias("q")
     )
-    half = (F.col("q")[2] - F.col("q")[0]) / 2
-    low, high = (F.greatest(F.lit(least), times * half) for times, least in (below, above))
-    bands = staged(marks.select("_lang", (F.col("q")[1] - low).alias("_low"), (F.col("q")[1] + high).alias("_high")))
+    middle = F.col("q")[1]
+    spread = F.greatest(F.lit(LEAST), (F.col("q")[2] - F.col("q")[0]) / IQR)
+    # the lower side shrinks the median by a factor, so it stays above zero however wide the spread is
+    bands = staged(marks.select("_lang", (middle * F.exp(-below * spread / middle)).alias("_low"), (middle + above * spread).alias("_high")))
     judged = scored.join(F.broadcast(bands) if bands.count() <= FEW else bands, "_lang", "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("_low"), F.col("_high")), F.lit(True))
@@ -343,8 +346,9 @@ def apply_rules(docs: DataFrame, **limits) -> DataFrame:
     A byte n-gram model with modified Kneser-Ney smoothing is counted over all documents, one per
     language, and kept as sorted hash arrays in the staging folder. A document's perplexity has to lie
     in its language's band around the median of log-perplexity of all texts with enough words. `below`
-    and `above` say how far the band reaches on either side: so many half interquartile ranges, and at
-    least so much. Repetition lowers perplexity a lot in clean texts too, so the lower side is wider.
+    and `above` say how far the band reaches on either side, in robust standard deviations (from the
+    interquartile range, LEAST at least). The lower side is a factor on the median, so above zero.
+    Repetition lowers perplexity in clean texts too, so the lower side is wider.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     model (the language), log_perplexity. Null text counts as empty: it has no words and fails. A null

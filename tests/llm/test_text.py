@@ -213,6 +213,33 @@ def test_rules(ready, corpus, odd, nothing):
     assert quality.apply_rules(nothing).count() == 0
 
 
+def test_bands_reject_junk_on_both_sides(ready):
+    r = random.Random(13)
+    letters = "aaeeiioouunnrrsstlmdkgvbp"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(3, 9))) for _ in range(800)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i, text(r.randint(60, 200))) for i in range(600)]
+    rows += [(1000 + i, " ".join(r.choice(words[:60]).upper() + "!!" for _ in range(80))) for i in range(20)]
+    made_up = lambda: "".join(r.choice(letters) for _ in range(6))
+    rows += [(2000 + i, " | ".join(made_up() if k % 4 else r.choice(words) for k in range(80))) for i in range(3)]
+    found = collected(quality.apply_rules(ready.createDataFrame([(i, t, "xx") for i, t in rows], "doc_id bigint, text string, lang string")))
+    middle = sorted(x["log_perplexity"] for x in found)[len(found) // 2]
+    low, high, clean = ([x for x in found if x["doc_id"] // 1000 == k] for k in (1, 2, 0))
+    assert not any(x["base_failed"] for x in found)
+    assert all(x["log_perplexity"] < middle and not x["kept"] for x in low)
+    assert all(x["log_perplexity"] > middle and not x["kept"] for x in high)
+    assert sum(x["kept"] for x in clean) >= 0.98 * len(clean)
+
+
+def test_band_stays_above_zero(ready):
+    r = random.Random(14)
+    easy = [(i, "lorem ipsum dolor " * 40, "xx") for i in range(40)]
+    hard = [(100 + i, " ".join("".join(chr(r.randint(0x100, 0x2000)) for _ in range(9)) for _ in range(60)), "xx") for i in range(60)]
+    docs = ready.createDataFrame([*easy, *hard, (999, "lorem " * 5000, "xx")], "doc_id bigint, text string, lang string")
+    found = {x["doc_id"]: x for x in collected(quality.apply_rules(docs, max_repeat_percent=100))}
+    assert found[999]["log_perplexity"] > 0 and not found[999]["kept"] and all(found[i]["kept"] for i, _, _ in hard)
+
+
 # -- toxicity ---------------------------------------------------------------------------------
 
 

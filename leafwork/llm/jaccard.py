@@ -447,6 +447,11 @@ def link_documents(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     included, have no n-grams and are on their own. Repeated rows are kept; null ids are linked but
     name no component unless all of it is null. An empty table gives no rows; other columns are ignored.
     """
+    return _linked(docs, measure).select("doc_id", "n_shingles", "component_id")
+
+
+def _linked(docs: DataFrame, measure: Measure) -> DataFrame:
+    """`link_documents` with the digest of each set and `main`, that of the class its component is named after."""
     folder, total, frequent = _frequent(docs, measure.words)
     sets = staged(_sets(docs, measure, folder).withColumn("class", F.monotonically_increasing_id()))
     sets_path = session._STAGED[-1]
@@ -489,26 +494,46 @@ def link_documents(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     joined = _compare(members, pool, measure)
     named = named.join(joined.withColumnRenamed("node", "class"), "class", "left")
     named = staged(named.withColumn("component", F.coalesce("component", "class")))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_digest = named.join(ids, "component").select("digest", "component_id")
-    linked = rows.where("n > 0").join(by_digest, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest"))
+    ids = named.groupBy("component").agg(first.alias("first"))
+    by_digest = named.join(ids, "component").select("digest", F.col("first.least").alias("component_id"), F.col("first.digest").alias("main"))
+    shared = ["doc_id", F.col("n").alias("n_shingles"), "digest"]
+    linked = rows.where("n > 0").join(by_digest, "digest").select(*shared, "component_id", "main")
+    alone = rows.where("n = 0").select(*shared, F.col("doc_id").alias("component_id"), F.col("digest").alias("main"))
     return linked.unionByName(alone)
 
 
+def _digest_of(words: int):
+    """The digest that `_sets` gives, as a column function of the text."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        sets = gram_sets(texts.tolist(), words)
+        return pd.Series([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], dtype=object)
+
+    return F.pandas_udf(run, "binary")
+
+
 def keep_one(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns.
+    """One document of each component, one with the smallest id, with all its columns.
 
-    Rows that share that id stay if their texts differ; equal rows stay once. So do rows without an id
-    in components that have none.
+    Rows are judged by id and set, so a row stays or goes whatever other rows share its id. Of rows with
+    the same id and set one stays. In components without any id a row without one stays; documents
+    without words are on their own, and equal rows of them stay once.
     """
-    linked = link_documents(docs, measure)
-    gone = staged(linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("digest").eqNullSafe(F.col("main"))
+    linked = staged(_linked(docs, measure).select("doc_id", "digest", stays.alias("stays")))
+    # an id of one row decides alone; rows without an id or with a repeated one are told apart by their sets
+    by_id = staged(linked.groupBy("doc_id").agg(F.count("*").alias("count"), F.min("stays").alias("stays")).where("doc_id is null or count > 1 or not stays"))
+    gone = by_id.where("doc_id is not null and count = 1").select(F.col("doc_id").alias("_gone"))
     gone = F.broadcast(gone) if gone.count() <= SMALL else gone
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
-    again = staged(left.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    again = by_id.where("doc_id is null or count > 1").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():
         return left
     again = F.broadcast(again) if again.count() <= SMALL else again
     same = left["doc_id"].eqNullSafe(F.col("_again"))
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    kept = linked.where("stays").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept")).distinct()
+    unsure = left.join(again, same, "left_semi").withColumn("_digest", _digest_of(measure.words)(F.coalesce("text", F.lit(""))))
+    right = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_digest").eqNullSafe(F.col("_kept"))
+    unsure = unsure.join(kept, right, "left_semi").withColumn("_key", F.coalesce("_digest", F.col("text").cast("binary")))
+    return left.join(again, same, "left_anti").unionByName(unsure.dropDuplicates(["doc_id", "_key"]).drop("_digest", "_key"))

@@ -127,3 +127,22 @@ def test_odd_documents(odd, nothing):
     ids = [r["doc_id"] for r in collected(kept)]
     assert ids.count(7) == 1 and {20, 21, 22} & set(ids) == {20} and {1, 2, 4, 5} <= set(ids)
     assert jaccard.link_documents(nothing).count() == 0 and jaccard.keep_one(nothing).count() == 0
+
+
+def test_keep_one_judges_rows_not_ids(ready):
+    r = random.Random(21)
+    text = lambda: [f"w{r.randint(0, 10**6)}" for _ in range(60)]
+    near = lambda words: " ".join([*words[:-1], "changed"])
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [
+        (1, " ".join(a)), (None, near(a)),  # a near copy without an id
+        (None, " ".join(b)), (None, " ".join(c)),  # unique, without an id
+        (3, " ".join(d)), (5, near(d)),  # 5 is a near copy of 3 and the smallest id of the next group
+        (5, " ".join(e)), (8, " ".join(e)), (9, near(e)), (None, " ".join(f)), (None, near(f)),  # a group without any id
+    ]
+    kept = collected(jaccard.keep_one(ready.createDataFrame(rows, "doc_id bigint, text string").repartition(3)))
+    found = [(x["doc_id"], x["text"]) for x in kept]
+    group = {(None, " ".join(f)), (None, near(f))}
+    assert len([x for x in found if x in group]) == 1
+    wanted = {(1, " ".join(a)), (None, " ".join(b)), (None, " ".join(c)), (3, " ".join(d)), (5, " ".join(e))}
+    assert len(found) == 6 and set(found) - group == wanted

@@ -25,6 +25,7 @@ BITS = 2048  # bits of the picture of a set
 KNOWN = 5_000_000  # n-grams whose counts take part in the order
 CLUSTER = 2000  # documents up to which a cluster is thinned out by pictures
 GROUP = 250_000  # n-grams of the documents that are compared at once
+DOCUMENTS = 1500  # documents of a part of a large cluster; two parts are multiplied at once
 SMALL = 2_000_000  # rows up to which a table of ids is broadcast
 
 _FIELDS = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4")])
@@ -397,13 +398,14 @@ def _links(items: DataFrame, pool: DataFrame, measure: Measure) -> DataFrame:
 def _compare(members: DataFrame, pool: DataFrame, measure: Measure) -> DataFrame:
     """The component of every document that is linked with another one: node, component.
 
-    A cluster of at most about GROUP n-grams is compared at once. A larger one is cut into parts by
-    hash, each with the hub, which as a rule joins the copies of one text; after that only documents
+    A cluster of at most about GROUP n-grams and DOCUMENTS documents is compared at once. A larger one is
+    cut into parts by hash, each with the hub, which as a rule joins the copies of one text; after that only documents
     that are not in the hub's component are held against all others, part by part.
     """
     weight = pool.select("class", F.col("n").alias("weight"))
-    load = members.join(weight, "class").groupBy("hub").agg(F.sum("weight").alias("weight"))
-    load = staged(load.select("hub", F.ceil(F.col("weight") / GROUP).cast("int").alias("parts")))
+    # a matrix grows with the square of the documents, however short they are
+    count = F.greatest(F.ceil(F.sum("weight") / GROUP), F.ceil(F.count("*") / DOCUMENTS)).cast("int")
+    load = staged(members.join(weight, "class").groupBy("hub").agg(count.alias("parts")))
     dealt = members.join(load, "hub").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     hubs = load.select("hub", F.col("hub").alias("class"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     items = dealt.select("hub", "class", "part").unionByName(hubs)
@@ -420,8 +422,7 @@ def _compare(members: DataFrame, pool: DataFrame, measure: Measure) -> DataFrame
     apart = rows.where("component <> main")
     if apart.isEmpty():
         return joined
-    lone = apart.join(weight, "class").groupBy("hub").agg(F.ceil(F.sum("weight") / GROUP).cast("int").alias("slices"))
-    lone = staged(lone)
+    lone = staged(apart.join(weight, "class").groupBy("hub").agg(count.alias("slices")))
     sides = [
         apart.join(lone, "hub").select(
             "hub", "class", F.pmod(F.xxhash64("class", F.lit("slice")), F.col("slices")).cast("int").alias("slice"),

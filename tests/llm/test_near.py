@@ -146,3 +146,16 @@ def test_keep_one_judges_rows_not_ids(ready):
     assert len([x for x in found if x in group]) == 1
     wanted = {(1, " ".join(a)), (None, " ".join(b)), (None, " ".join(c)), (3, " ".join(d)), (5, " ".join(e))}
     assert len(found) == 6 and set(found) - group == wanted
+
+
+def test_short_near_copies_are_cut_by_documents(ready, monkeypatch):
+    monkeypatch.setattr(jaccard, "DOCUMENTS", 40, raising=False)
+    sizes, links = [], jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda items, *a: sizes.append(items.groupBy("cluster").count().agg({"count": "max"}).first()[0]) or links(items, *a))
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*base[:-1], f"last{i}"])) for i in range(300)]
+    rows += [(300 + i, " ".join([*base[:6], *(f"x{k}" for k in range(i % 5)), *base[6 + i % 7 :]])) for i in range(60)]
+    docs = ready.createDataFrame(rows, "doc_id bigint, text string")
+    found = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in collected(jaccard.link_documents(docs)))
+    assert found == plain_components(rows, jaccard.Measure())
+    assert 2 < max(sizes) <= 120

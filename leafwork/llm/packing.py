@@ -124,17 +124,24 @@ def place(phases: list[Phase], queue: np.ndarray, start: np.ndarray, length: np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _queue_of(docs: DataFrame, column: str, limit: int) -> tuple[Column, dict]:
-    """The queue number of a row, and the number of each source.
+def _queue_of(docs: DataFrame, column: str, limit: int, weights: Mapping[str, float] | None = None) -> tuple[Column, dict]:
+    """The queue number of a row, and the number of each source that has a queue of its own.
 
-    Sources beyond `limit` share that many queues by hash, so the schedule has a fixed size.
+    More than `limit` sources share that many queues by hash. Every source with a positive weight then
+    has a queue of its own after those, so no weight is lost.
     """
     names = [r[0] for r in docs.select(F.col(column).cast("string")).distinct().limit(limit + 1).collect()]
-    if len(names) > limit:
-        return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(limit)).cast("int"), {}
-    numbers = {n: i for i, n in enumerate(sorted(names, key=lambda n: (n is not None, n or "")))}
+    shared = len(names) > limit
+    if shared:
+        names = [n for n, w in (weights or {}).items() if w > 0]
+    numbers = {n: i + limit * shared for i, n in enumerate(sorted(names, key=lambda n: (n is not None, n or "")))}
     pairs = [F.lit(x) for n, i in numbers.items() if n is not None for x in (n, i)]
     known = F.create_map(*pairs)[F.col(column).cast("string")] if pairs else F.lit(None).cast("int")
+    if shared:
+        rest = F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(limit))
+        if None in numbers:
+            rest = F.when(F.col(column).isNull(), F.lit(numbers[None])).otherwise(rest)
+        return F.coalesce(known, rest).cast("int"), numbers
     return F.coalesce(known, F.lit(0)).cast("int"), numbers
 
 
@@ -158,11 +165,14 @@ def pack_documents(
     number of tokens their queue has before them; deficits pass partition borders without a hand-over.
     All sequences but the last are full, so nothing needs padding but the last.
 
+    More than `max_queues` sources share that many queues; with `weights`, those that have a positive one
+    keep queues of their own. Within a shared queue the order is that of the table.
+
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     queue. Null text counts as empty (id 0 alone); a null source is a source; repeated rows are
     packed each; an empty table gives no rows; other columns are ignored.
     """
-    number, numbers = _queue_of(docs, queue, max_queues)
+    number, numbers = _queue_of(docs, queue, max_queues, weights)
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, part, given = codec(path), TaskContext.get().partitionId(), {}

@@ -110,6 +110,24 @@ def test_many_sources_share_queues(ready, library):
     assert places == list(range(sum(len(ids_of(library, f"word {i}")) + 1 for i in range(200))))
 
 
+@pytest.mark.parametrize("named", [{"3": 3.0, "7": 1.0}, {None: 3.0, "7": 1.0}])
+def test_many_sources_keep_their_weights(ready, named):
+    first = next(iter(named))
+    texts = [(s, f"word {i}") for s in [str(k) for k in range(20)] + [None] for i in range(30)]
+    docs = ready.createDataFrame([(i, t, s) for i, (s, t) in enumerate(texts)], "doc_id bigint, text string, source string")
+    rows = collected(packing.pack_documents(docs, PATH, size=16, window_sequences=2, max_queues=8, weights=named))
+    given, others = defaultdict(int), []
+    for x in rows:
+        source, at = texts[x["doc_id"]][0], x["sequence_id"] * 16 + x["offset"]
+        if at < 32:
+            given[source] += x["length"]
+        if source not in named:
+            others.append(at)
+    total = {s: sum(x["length"] for x in rows if texts[x["doc_id"]][0] == s) for s in named}
+    assert set(given) == set(named) and abs(given[first] - 24) <= 1
+    assert min(others) == sum(total.values())
+
+
 def test_digest_query(ready, library, tmp_path):
     from leafwork.llm.queries import QUERIES
 

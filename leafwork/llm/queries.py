@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm import bpe, jaccard, language, neighbours, packing, pii, quality, sharding, toxicity, warc
+from leafwork.llm import (
+    bpe, divergence, jaccard, language, mixing, neighbours, packing, pii, quality, sharding, toxicity, warc, whitening,
+)
 from leafwork.session import prepare
 
 
@@ -96,7 +98,28 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+@ready
+def op11_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+@ready
+def op12_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@ready
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_boosting, op2_product_quantisation, op3_ngram_jaccard, op4_cross_parsing, op5_mixture_packing, op6_kneser_ney_rules, op7_subsequence_svm, op8_zip_warc, op9_bpe_tree, op10_kd_sharding)
+    f.__name__: f
+    for f in (
+        op1_pii_boosting, op2_product_quantisation, op3_ngram_jaccard, op4_cross_parsing, op5_mixture_packing,
+        op6_kneser_ney_rules, op7_subsequence_svm, op8_zip_warc, op9_bpe_tree, op10_kd_sharding, op11_lanczos_whitening,
+        op12_pivotal_mixing, op13_source_audit,
+    )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_pivotal_mixing": mixing.mixing_sql(), "op13_source_audit": divergence.AUDIT_SQL}

@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.functions.ids import blank_to_null
+from leafwork.operators.ordering import with_running_sum
 from leafwork.operators.skew import HOT_FLOOR, lookup
 from leafwork.session import staged
 
 FOUND, DANGLING, CYCLE = "found", "dangling", "cycle"
 
 
-def resolve_pointers(nodes: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
+def resolve_pointers(nodes: DataFrame, *, names: str | None = None, floor: int = HOT_FLOOR) -> DataFrame:
     """Follow `next_id` from every node to the first node that carries a `payload`.
 
     `nodes(id, next_id, payload)` has one row per id; a non-null payload ends the walk. Result:
     `(id, end_id, payload, outcome, hops)` with outcome `found`, `dangling` (the walk left the
-    table, `end_id` is the last id looked for) or `cycle`.
+    table, `end_id` is the last id looked for) or `cycle`. With the column `names` of `nodes` the result
+    also has `trail`: the names on the way from the end down to the node, both included, joined by `/`.
 
     Pointer doubling: every round replaces each open pointer by its target's pointer, so a chain
     of length d needs log2(d) rounds. Settled rows leave the loop; a round that settles nothing
@@ -30,6 +32,7 @@ def resolve_pointers(nodes: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
         "payload",
         F.when(found, F.lit(FOUND)).when(F.col("next_id").isNull(), F.lit(DANGLING)).alias("outcome"),
         F.when(found | F.col("next_id").isNull(), F.lit(0)).otherwise(F.lit(1)).alias("hops"),
+        *([] if names is None else [F.col(names).alias("trail")]),
     )
 
     def step(rows: DataFrame, table: DataFrame, count: int | None) -> DataFrame:
@@ -46,6 +49,9 @@ def resolve_pointers(nodes: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
             F.when(settled_before, F.col("outcome")).when(missed, F.lit(DANGLING))
             .otherwise(F.col("t_outcome")).alias("outcome"),
             (F.col("hops") + F.when(settled_before, 0).otherwise(F.coalesce("t_hops", F.lit(0)))).alias("hops"),
+            *([] if names is None else [
+                F.when(settled_before | missed, F.col("trail")).otherwise(F.concat_ws("/", "t_trail", "trail")).alias("trail")
+            ]),
         )
 
     # the first hop joins the input to itself, so the whole table is written only once
@@ -236,66 +242,90 @@ def block_containers(
     )
 
 
-def tree_listing(registry: DataFrame, children: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
-    """Depth-first listing per folder: `(folder, root_id, id, depth, sort_key, is_last)`.
+def _listed(registry: DataFrame, children: DataFrame, *, names: bool, floor: int) -> DataFrame:
+    """Pages of the listing: `(id, parent, position, is_last, root_id, folder, depth, …)`, roots with a null parent.
 
-    `children(parent_id, position, child_id)` are the ordered child edges. A child is shown under
-    its parent when both share the folder; `sort_key` orders the rows of a root depth first, so
-    printing is `order by folder, root_id, sort_key`. A page that is its own ancestor is not
-    followed again.
+    `children(parent_id, position, child_id)` are the ordered child edges. A child is shown below the
+    page that lists it when both share the folder, and once: below the first page by id if several
+    list it. Roots stay at the top, and pages that no root leads to are not listed. With `names` there
+    is also `sort_key`, the places on the way down.
     """
-    pages = registry.select("id", "folder")
+    pages = registry.select("id", "folder", "is_root")
     parents = pages.select(F.col("id").alias("p_id"), F.col("folder").alias("p_folder"))
-    kids = pages.select(F.col("id").alias("k_id"), F.col("folder").alias("k_folder"))
+    kids = pages.where("not is_root").select(F.col("id").alias("k_id"), F.col("folder").alias("k_folder"))
     shown = (
         lookup(children, kids, "child_id", "k_id", how="inner", floor=floor)
         .transform(lambda df: lookup(df, parents, "parent_id", "p_id", how="inner", floor=floor))
         .where("p_folder = k_folder")
-        .select("parent_id", "position", "child_id")
+        .groupBy("child_id").agg(F.min(F.struct("parent_id", "position")).alias("first"))
+        .select(F.col("child_id").alias("id"), F.col("first.parent_id").alias("parent"), F.col("first.position").cast("bigint").alias("position"))
     )
-    last = shown.groupBy("parent_id").agg(F.max("position").alias("last_position"))
-    last = last.withColumnRenamed("parent_id", "l_parent")
-    edges = staged(
-        lookup(shown, last, "parent_id", "l_parent", how="inner", floor=floor).select(
-            F.col("parent_id").alias("e_parent"),
-            "child_id",
-            "position",
-            (F.col("position") == F.col("last_position")).alias("is_last"),
-        )
+    shown = staged(shown)
+    last = shown.groupBy(F.col("parent").alias("l_parent")).agg(F.max("position").alias("last_position"))
+    edges = lookup(shown, last, "parent", "l_parent", how="inner", floor=floor).select(
+        "id", "parent", "position", (F.col("position") == F.col("last_position")).alias("is_last")
     )
-    level = staged(
-        registry.where("is_root").select(
-            "folder",
-            F.col("id").alias("root_id"),
-            "id",
-            F.lit(0).alias("depth"),
-            F.lit("").alias("sort_key"),
-            F.lit(True).alias("is_last"),
-            F.array("id").alias("trail"),
-        )
+    none = F.lit(None).cast("string").alias("folder")
+    top = registry.where("is_root").select(
+        "id", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("bigint").alias("position"), F.lit(True).alias("is_last"), "folder"
+    )
+    nodes = staged(edges.select("*", none).unionByName(top))
+    payload = F.when(F.col("parent").isNull(), F.struct("folder")).alias("payload")
+    place = F.coalesce(F.lpad(F.hex("position"), 10, "0"), F.lit("")).alias("place")
+    walked = resolve_pointers(
+        nodes.select("id", F.col("parent").alias("next_id"), payload, place), names="place" if names else None, floor=floor
     )
-    levels = [level]
-    while True:
-        # the frontier holds each parent once, the edges repeat a hot parent
-        frontier = level.select(
-            F.col("id").alias("f_id"), "folder", "root_id", "depth", "sort_key", "trail"
+    ended = walked.where(F.col("outcome") == FOUND).select(
+        "id", F.col("end_id").alias("root_id"), "payload.folder", F.col("hops").alias("depth"),
+        *([F.replace("trail", F.lit("/"), F.lit("")).alias("sort_key")] if names else []),
+    )
+    return nodes.drop("folder").join(ended, "id")
+
+
+def tree_listing(registry: DataFrame, children: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
+    """Depth-first listing per folder: `(folder, root_id, id, depth, sort_key, is_last)`.
+
+    `sort_key` orders the rows of a root depth first, so printing is `order by folder, root_id,
+    sort_key`. It grows with the depth; `preorder` has places instead. Which pages are listed, see
+    `_listed`.
+    """
+    rows = _listed(registry, children, names=True, floor=floor)
+    return rows.select("folder", "root_id", "id", "depth", "sort_key", "is_last")
+
+
+def preorder(registry: DataFrame, children: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
+    """Depth-first listing by place: `(folder, root_id, id, depth, place, is_last)`, each root from place 0.
+
+    The place of a page is the sum, over it and the pages above it but the root, of one and the pages
+    below earlier siblings. Both sums go by pointer doubling, so a tree of depth d takes log2(d) rounds
+    and no row carries its way up: with pointers over 2^i levels, the pages less than 2^i levels below
+    a page are added to the page 2^i above it, and sums over 2^i pages to those that continue them. A
+    page with very many children is one key of map-side sums and of a range-partitioned running sum.
+    """
+    rows = staged(_listed(registry, children, names=False, floor=floor))
+    sizes = staged(rows.select("id", F.lit(1).cast("bigint").alias("size")))
+    jumps: list[DataFrame] = []
+    jump = staged(rows.where("parent is not null").select("id", F.col("parent").alias("up")))
+    while not jump.isEmpty():
+        jumps.append(jump)
+        more = jump.join(sizes, "id").groupBy(F.col("up").alias("m_id")).agg(F.sum("size").alias("more"))
+        sizes = staged(
+            sizes.join(more, F.col("id") == F.col("m_id"), "left").select("id", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
         )
-        step = lookup(edges, frontier, "e_parent", "f_id", how="inner", floor=floor)
-        level = staged(
-            step.where(~F.array_contains("trail", F.col("child_id"))).select(
-                "folder",
-                "root_id",
-                F.col("child_id").alias("id"),
-                (F.col("depth") + 1).alias("depth"),
-                F.concat("sort_key", F.lpad(F.hex("position"), 10, "0")).alias("sort_key"),
-                "is_last",
-                F.concat("trail", F.array("child_id")).alias("trail"),
-            )
+        twice = jump.select(F.col("id").alias("j_id"), F.col("up").alias("j_up"))
+        jump = staged(lookup(jump, twice, "up", "j_id", how="inner", floor=floor).select("id", F.col("j_up").alias("up")))
+    siblings = rows.where("parent is not null").select("id", "parent", "position").join(sizes, "id")
+    summed = staged(with_running_sum(siblings, [F.col("parent"), F.col("position"), F.col("id")], "size", "_run"))
+    base = summed.groupBy(F.col("parent").alias("b_id")).agg(F.min("_run").alias("_base"))
+    steps = lookup(summed, base, "parent", "b_id", how="inner", floor=floor).select(
+        "id", (F.col("_run") - F.col("_base") + 1).alias("place")
+    )
+    tops = rows.where("parent is null").select("id", F.lit(0).cast("bigint").alias("place"))
+    places = staged(steps.unionByName(tops))
+    for jump in jumps:
+        above = places.select(F.col("id").alias("a_id"), F.col("place").alias("a_place"))
+        further = lookup(jump, above, "up", "a_id", how="inner", floor=floor).select(F.col("id").alias("f_id"), "a_place")
+        places = staged(
+            places.join(further, F.col("id") == F.col("f_id"), "left").select("id", (F.col("place") + F.coalesce("a_place", F.lit(0))).alias("place"))
         )
-        if level.isEmpty():
-            break
-        levels.append(level)
-    listing = levels[0]
-    for part in levels[1:]:
-        listing = listing.unionByName(part)
-    return listing.drop("trail")
+    return rows.join(places, "id").select("folder", "root_id", "id", "depth", "place", "is_last")

@@ -10,36 +10,35 @@ from pyspark.sql import functions as F
 from leafwork.functions.ids import blank_to_null
 from leafwork.functions.paths import child_directory, directory, joined_path, stem
 from leafwork.functions.text import slug
-from leafwork.operators.hierarchy import FOUND, resolve_pointers
+from leafwork.operators.hierarchy import CYCLE, FOUND, resolve_pointers
 from leafwork.operators.skew import HOT_FLOOR, lookup
 from leafwork.session import staged
 
 SHORT_ID = 4  # fixed value: characters of the id added to a name that is taken
 
 
-def _named(ready: DataFrame, taken: DataFrame) -> DataFrame:
-    """Give each row of `ready(id, dir, slug, priority)` its path.
+def _settled(rows: DataFrame, occupied: DataFrame) -> DataFrame:
+    """`(id, name)` for `rows(id, home, slug, priority)`: names that differ within each home.
 
-    The best-placed row (lowest priority, then id) of a directory and name keeps the plain name
-    unless an earlier page has it; all others get a suffix that is alone (see `with_suffixes`).
+    The best-placed row (lowest priority, then id) of a home and name keeps the plain name unless
+    `occupied(home, name)` has it; all others get a suffix that is alone (see `with_suffixes`).
     Candidates shrink to one per name before anything is shuffled on the name, and the verdict
-    returns through the unique page id.
+    returns through the unique page id. All levels of a tree are settled at once, as the children of
+    one page have a home of their own.
     """
-    best = ready.groupBy("dir", F.lower("slug").alias("name")).agg(
+    best = rows.groupBy("home", F.lower("slug").alias("name")).agg(
         F.min_by("id", F.struct("priority", "id")).alias("w_id")
     )
-    winners = best.join(taken, ["dir", "name"], "left_anti").select("w_id")
-    judged = ready.join(winners, F.col("id") == F.col("w_id"), "left")
-    plain = best.join(winners, "w_id", "left_semi").select("dir", F.col("name").alias("taken_name"))
-    occupied = taken.select("dir", F.col("name").alias("taken_name")).unionByName(plain)
-    judged = with_suffixes(
-        judged.select("id", "dir", "slug", F.col("w_id").isNotNull().alias("plain")), "id",
-        lambda suffix: F.concat("slug", F.lit("-"), suffix), occupied.withColumn("taken_by", F.lit(None).cast("string")), SHORT_ID,
+    winners = staged(best.join(occupied, ["home", "name"], "left_anti"))
+    judged = rows.join(winners.select("w_id"), F.col("id") == F.col("w_id"), "left")
+    held = occupied.unionByName(winners.select("home", "name")).select(
+        F.col("home").alias("dir"), F.col("name").alias("taken_name"), F.lit(None).cast("string").alias("taken_by")
     )
-    name = F.when(F.col("plain"), F.col("slug")).otherwise(F.col("suffixed"))
-    return judged.select(
-        "id", joined_path(F.col("dir"), F.concat(name, F.lit(".md"))).alias("file_path")
+    judged = with_suffixes(
+        judged.select("id", F.col("home").alias("dir"), "slug", F.col("w_id").isNotNull().alias("plain")), "id",
+        lambda suffix: F.concat("slug", F.lit("-"), suffix), held, SHORT_ID,
     )
+    return judged.select("id", F.when(F.col("plain"), F.col("slug")).otherwise(F.col("suffixed")).alias("name"))
 
 
 def with_suffixes(
@@ -53,8 +52,8 @@ def with_suffixes(
     """
     brief, whole = name(F.substring(key, 1, short)), name(F.col(key))
     asked = rows.where("not plain").select(F.col(key).alias("b_id"), "dir", F.lower(brief).alias("brief"))
-    shared = asked.groupBy("dir", "brief").agg(F.count("*").alias("n")).where("n > 1").select("dir", "brief")
-    lone = asked.join(shared, ["dir", "brief"], "left_anti")
+    counted = asked.groupBy("dir", "brief").agg(F.count("*").alias("n"), F.min("b_id").alias("b_id"))
+    lone = counted.where("n = 1").drop("n")
     held = occupied.select("dir", F.lower("taken_name").alias("brief"), "taken_by").distinct()
     blocked = held.withColumnRenamed("taken_by", "t_by").withColumn("t_held", F.lit(True))
     free = lone.join(blocked, ["dir", "brief"], "left").where(
@@ -64,19 +63,28 @@ def with_suffixes(
     return marked.withColumn("suffixed", F.when(F.col("b_free"), brief).otherwise(whole)).drop("b_free")
 
 
-def _occupied(paths: DataFrame) -> DataFrame:
-    return paths.select(
-        directory(F.col("file_path")).alias("dir"), F.lower(stem(F.col("file_path"))).alias("name")
-    ).distinct()
+def _keys(paths: DataFrame) -> DataFrame:
+    """Directory and name of each path as `(home, name)`; `/` marks homes that are directories."""
+    return paths.select(_in_directory(directory(F.col("file_path"))).alias("home"), F.lower(stem(F.col("file_path"))).alias("name"))
+
+
+def _in_directory(path: Column) -> Column:
+    return F.concat(F.lit("/"), F.coalesce(path, F.lit("")))
 
 
 def assign_paths(new: DataFrame, registry: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
     """`(id, file_path)` for every row of `new(id, parent_id, title, folder, is_root, priority)`.
 
-    A page that has a path in `registry` keeps it for ever. A new page goes to its folder when it
-    is a root or its parent is unknown, and otherwise below the path of its parent, so paths are
-    given one tree level per round. Levels are found beforehand by pointer doubling, so a round
-    reads its own level only. Pages on or below a cycle of parents go to their folder.
+    A page that has a path in `registry` keeps it for ever. A new page goes to its folder when it is a
+    root or its parent is unknown, and otherwise below the path of its parent. Names of all levels are
+    settled in one aggregate, as pages below a new parent can only meet each other; the names on the
+    way down are then joined by pointer doubling, so a tree of depth d takes log2(d) rounds. Pages on
+    or below a cycle of parents go to their folder, after all others.
+
+    Directories of different parents can only meet where kept pages already lie below a new path, or
+    pages lie outside any folder. Then the page of the upper level keeps the name, the name counts as
+    occupied for the others, and all is settled again, the uppermost level of such pages at a time,
+    until no path is held twice.
     """
     kept = staged(
         registry.where(blank_to_null(F.col("file_path")).isNotNull()).select("id", "file_path")
@@ -92,60 +100,68 @@ def assign_paths(new: DataFrame, registry: DataFrame, *, floor: int = HOT_FLOOR)
     pending = staged(asked.join(kept, "id", "left_anti"))
     parents = kept.select(F.col("id").alias("p_id"), F.col("file_path").alias("p_path"))
     waiting_ids = pending.select(F.col("id").alias("w_id"))
+    waits = F.col("p_path").isNull() & F.col("w_id").isNotNull()
+    top = F.coalesce(child_directory(F.col("p_path")), F.col("folder"))
     first = staged(
         lookup(pending, parents, "parent", "p_id", floor=floor)
         .drop("p_id")
         .transform(lambda df: lookup(df, waiting_ids, "parent", "w_id", floor=floor))
-        .withColumn("waits", F.col("p_path").isNull() & F.col("w_id").isNotNull())
-        .withColumn("dir", F.coalesce(child_directory(F.col("p_path")), F.col("folder")))
-        .select("id", "parent", "slug", "folder", "priority", "waits", "dir")
+        .withColumn("dir", F.when(~waits, F.coalesce(top, F.lit(""))))
+        .withColumn("home", F.when(waits, F.concat(F.lit("@"), "parent")).otherwise(_in_directory(top)))
+        .select("id", "parent", "slug", "folder", "priority", "dir", "home")
     )
-    rounds = [staged(_named(first.where("not waits"), _occupied(kept)))]
-    if not first.where("waits").isEmpty():
-        rounds += _levels(first, kept, rounds[0], floor=floor)
-    return _union([stable, *rounds])
+    taken = staged(_keys(kept).distinct())
+    if first.where("dir is null").isEmpty():
+        named = first.join(_settled(first, taken), "id")
+        return stable.unionByName(named.select("id", _path(F.col("dir"), F.col("name")).alias("file_path")))
+    occupied = taken
+    while True:
+        names = _settled(first, occupied).withColumnRenamed("id", "n_id")
+        nodes = staged(first.join(names, F.col("id") == F.col("n_id")).drop("n_id"))
+        walked = resolve_pointers(
+            nodes.select("id", F.when(F.col("dir").isNull(), F.col("parent")).alias("next_id"), F.col("dir").alias("payload"), "name"),
+            names="name", floor=floor,
+        )
+        placed = staged(walked.where(F.col("outcome") == FOUND).select("id", _path(F.col("payload"), F.col("trail")).alias("file_path"), "hops"))
+        again = staged(_losers(nodes, placed, taken).join(occupied, ["home", "name"], "left_anti"))
+        if again.isEmpty():
+            break
+        occupied = staged(occupied.unionByName(again).distinct())
+    stuck = staged(
+        nodes.join(walked.where(F.col("outcome") == CYCLE).select("id"), "id", "left_semi")
+        .select("id", "slug", F.col("folder").alias("dir"), _in_directory(F.col("folder")).alias("home"), "priority")
+    )
+    result = stable.unionByName(placed.select("id", "file_path"))
+    if stuck.isEmpty():
+        return result
+    late = stuck.join(_settled(stuck, taken.unionByName(_keys(placed)).distinct()), "id")
+    return result.unionByName(late.select("id", _path(F.col("dir"), F.col("name")).alias("file_path")))
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+def _path(folder: Column, name: Column) -> Column:
+    return joined_path(folder, F.concat(name, F.lit(".md")))
 
 
-def _levels(first: DataFrame, kept: DataFrame, top: DataFrame, *, floor: int) -> list[DataFrame]:
-    """Paths of the pages that wait for their parents, one level after the other."""
-    pointers = first.select(
-        "id",
-        F.when(F.col("waits"), F.col("parent")).alias("next_id"),
-        F.when(~F.col("waits"), F.struct(F.lit(0).alias("top"))).alias("payload"),
-    )
-    depth = resolve_pointers(pointers, floor=floor).where("hops > 0").select(
-        F.col("id").alias("l_id"), F.when(F.col("outcome") == FOUND, F.col("hops")).otherwise(-1).alias("level")
+def _losers(nodes: DataFrame, placed: DataFrame, taken: DataFrame) -> DataFrame:
+    """`(home, name)` of the pages that have to give up a path others hold: the kept, then the upper ones.
+
+    Only those of the uppermost level with such pages, as the others may move away with their parents.
+    """
+    order = F.struct(F.col("hops"), F.col("priority"), F.col("id"))
+    ranked = placed.join(nodes.select("id", "priority", F.col("home").alias("own")), "id")
+    keys = ranked.select(
+        "own", "hops", order.alias("turn"), _in_directory(directory(F.col("file_path"))).alias("home"),
+        F.lower(stem(F.col("file_path"))).alias("name"),
     )
-    waiting = staged(
-        first.drop("waits", "dir").join(depth, F.col("id") == F.col("l_id")).drop("l_id"), by="level"
+    held = taken.withColumn("kept", F.lit(1)).unionByName(
+        keys.select("home", "name", F.lit(0).alias("kept"), "turn"), allowMissingColumns=True
     )
-    counts = {row["level"]: row["count"] for row in waiting.groupBy("level").count().collect()}
-    rounds = [top]
-    # A directory belongs to pages of one level, unless a suffixed name hits the path of a kept
-    # page or pages lie outside any folder; only then do earlier rounds matter for later names.
-    outside = not first.where(blank_to_null(F.col("folder")).isNull()).isEmpty()
-    shared = outside or not top.join(kept.select("file_path"), "file_path", "left_semi").isEmpty()
-    for level in range(1, max(counts) + 1):
-        rows = waiting.where(F.col("level") == level)
-        above = rounds[-1].select(F.col("id").alias("p_id"), F.col("file_path").alias("p_path"))
-        ready = lookup(
-            rows, above, "parent", "p_id", how="inner", rows=counts[level], floor=floor
-        ).withColumn("dir", child_directory(F.col("p_path")))
-        taken = _union([kept, *rounds]) if shared else kept
-        done = staged(_named(staged(ready), _occupied(taken)))
-        rounds.append(done)
-        shared = shared or not done.join(kept.select("file_path"), "file_path", "left_semi").isEmpty()
-    if -1 in counts:
-        stuck = waiting.where("level = -1").withColumn("dir", F.col("folder"))
-        rounds.append(staged(_named(stuck, _occupied(_union([kept, *rounds])))))
-    return rounds[1:]
+    shared = held.groupBy("home", "name").agg(
+        F.count("*").alias("n"), F.max("kept").alias("kept"), F.min("turn").alias("winner")
+    ).where("n > 1")
+    lost = keys.join(shared, ["home", "name"]).where((F.col("kept") == 1) | (F.col("turn") != F.col("winner")))
+    lost = staged(lost.select("hops", F.col("own").alias("home"), "name").distinct())
+    return lost.join(lost.agg(F.min("hops").alias("hops")), "hops", "left_semi").drop("hops")
 
 
 def path_collisions(paths: DataFrame) -> DataFrame:

@@ -10,12 +10,37 @@ from leafwork.operators.blocks import child_edges, normalized
 from leafwork.operators.hierarchy import (
     CYCLE, FOUND, ancestor_chains, nearest_registered, trace_roots, with_roots,
 )
+from leafwork.operators.frontier import Fetch, ancestor_ids, open_walk, pointers_of
 from leafwork.operators.roots import valid_folder
 from leafwork.operators.skew import HOT_FLOOR, lookup
-from leafwork.plans.sync import SyncOptions, Workspace, Written, workspace_items, write_items
+from leafwork.plans.sync import SyncOptions, Workspace, Written, item_pointers, workspace_items, write_items
 from leafwork.session import staged
 
 
+def _anchored(
+    fetch: Fetch, registry: DataFrame, requested: DataFrame, default_folder: str, floor: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requested pages and their unregistered ancestors, the registry rows above them, and the anchor of each node."""
+    nodes, above = open_walk(fetch, registry, requested, floor=floor)
+    traced = staged(with_roots(above, floor=floor))
+    return nodes, traced, staged(nearest_registered(nodes, traced, default_folder=default_folder, floor=floor))
+
+
+def write_set(
+    fetch: Fetch, registry: DataFrame, requested: DataFrame, *, default_folder: str = "default", floor: int = HOT_FLOOR
+) -> DataFrame:
+    """Everything to write for the requested pages: `(id, folder, write_order)`, one row per page.
+
+    Each requested page and each of its unregistered ancestors occurs once, however many pages need
+    it. `write_order` counts from the anchor downwards and so is the same for all of them.
+    """
+    nodes, traced, anchors = _anchored(fetch, registry, requested, default_folder, floor)
+    ends = anchors.where((F.col("outcome") == FOUND) & valid_folder(F.col("folder")))
+    wanted = requested.select("id").join(ends.select("id"), "id", "left_semi")
+    ids = ancestor_ids(wanted, pointers_of(nodes), traced.select("id"), floor=floor)
+    return ends.join(ids, "id", "left_semi").select("id", "folder", F.col("missing_ancestors").alias("write_order"))
+
+
 def get_plan(
     items: DataFrame, registry: DataFrame, requested: DataFrame, *, default_folder: str = "default",
     floor: int = HOT_FLOOR,
@@ -25,11 +50,8 @@ def get_plan(
     The page itself and its unregistered ancestors, root first. Pages whose ancestors cannot be
     read, and folders with invalid names, give no rows.
     """
-    traced = staged(with_roots(registry, floor=floor))
-    anchors = staged(
-        nearest_registered(items, traced, default_folder=default_folder, floor=floor)
-    )
-    chains = ancestor_chains(requested, items, anchors, floor=floor)
+    nodes, _, anchors = _anchored(pointers_of(items), registry, requested, default_folder, floor)
+    chains = ancestor_chains(requested, nodes, anchors, floor=floor)
     steps = chains.select("page_id", "depth", F.col("ancestor_id").alias("id")).unionByName(
         requested.select(F.col("id").alias("page_id"), F.lit(0).alias("depth"), "id")
     )
@@ -45,14 +67,15 @@ def get_plan(
 
 def get_pages(ws: Workspace, requested: DataFrame, options: SyncOptions) -> Written:
     """Write the requested pages and their unregistered ancestors; nothing becomes a root by it."""
-    items = staged(workspace_items(ws, floor=options.floor))
-    plan = get_plan(items, ws.registry, requested, default_folder=options.folder or "default", floor=options.floor)
-    due = plan.groupBy("id").agg(F.min("folder").alias("folder"), F.min("write_order").alias("priority"))
-    due = due.select(
+    floor = options.floor
+    plan = staged(write_set(
+        item_pointers(ws, floor=floor), ws.registry, requested, default_folder=options.folder or "default", floor=floor
+    ))
+    due = plan.select(
         "id", "folder", F.lit(False).alias("enabled"), F.lit(False).alias("as_root"),
-        F.col("priority").cast("bigint").alias("priority"),
+        F.col("write_order").cast("bigint").alias("priority"),
     )
-    return write_items(ws, items, due, options)
+    return write_items(ws, staged(workspace_items(ws, plan.select("id"), floor=floor)), due, options)
 
 
 def new_children(
@@ -76,7 +99,7 @@ def add_roots(ws: Workspace, requested: DataFrame, options: SyncOptions) -> Writ
     Children are queued as `init`, or as `update` where an update is forced. A database without
     entries is not added, nor is a folder with an invalid name accepted.
     """
-    items = staged(workspace_items(ws, floor=options.floor))
+    items = staged(workspace_items(ws, requested.select("id"), floor=options.floor))
     filled = ws.entries.select(normalize_id(F.col("parent.database_id")).alias("id")).where(
         blank_to_null(F.col("id")).isNotNull()
     ).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.functions.ids import normalize_id, parent_id
+from leafwork.operators.frontier import open_walk, pointers_of, registry_walk
 from leafwork.operators.hierarchy import CYCLE, DANGLING, nearest_registered, with_roots
 from leafwork.operators.ordering import with_index
 from leafwork.operators.queueing import number_files
@@ -42,10 +43,13 @@ def workspace_nodes(pages: DataFrame, databases: DataFrame | None = None) -> Dat
 
 def classify_changes(
     pages: DataFrame, nodes: DataFrame, registry: DataFrame, options: PullOptions,
-    *, floor: int = HOT_FLOOR,
+    *, changed_only: bool = False, floor: int = HOT_FLOOR,
 ) -> DataFrame:
     """Every page newer than the bound with its `decision`: `queue`, or why it is not queued.
 
+    With `changed_only` pages that were not edited after the cutoff have no row. Only the pages that
+    have one, and what lies above them, are looked up (`frontier`).
+
     Pages are taken newest first, ids breaking ties. Once `max_pages` are queued, the next edited
     page ends the pull and it and everything after it is `not_reached`.
     """
@@ -54,13 +58,20 @@ def classify_changes(
     )
     if options.bound is not None:
         recent = recent.where(F.col("last_edited") > F.lit(options.bound))
-    traced = staged(with_roots(registry, floor=floor).select("id", "folder", "root_enabled"))
+    if changed_only:
+        recent = recent.where(F.col("last_edited") > F.lit(options.cutoff))
+    recent = staged(recent)
+    if options.include_untracked:
+        near, above = open_walk(pointers_of(nodes), registry, recent, floor=floor)
+    else:
+        near, above = None, registry_walk(registry, recent, floor=floor)
+    traced = staged(with_roots(above, floor=floor).select("id", "folder", "root_enabled"))
     known = traced.select(
         F.col("id").alias("k_id"), F.col("folder").alias("k_folder"), F.col("root_enabled").alias("k_enabled")
     )
     joined = recent.join(known, F.col("id") == F.col("k_id"), "left")
-    if options.include_untracked:
-        anchors = nearest_registered(nodes, traced, floor=floor).select(
+    if near is not None:
+        anchors = nearest_registered(near, traced, floor=floor).select(
             F.col("id").alias("a_id"), F.col("folder").alias("a_folder"), "found_root", "outcome"
         )
         joined = joined.join(anchors, F.col("id") == F.col("a_id"), "left")

@@ -13,14 +13,16 @@ from leafwork.functions.properties import page_title
 from leafwork.functions.richtext import plain_text
 from leafwork.operators import attachments as files_op
 from leafwork.operators.blocks import child_edges, depth_limited, normalized, positions
-from leafwork.operators.hierarchy import FOUND, ancestor_chains, nearest_registered, with_roots
-from leafwork.operators.ordering import PART_BYTES
+from leafwork.operators.frontier import Fetch, ancestor_ids, open_walk, pointers_of
+from leafwork.operators.hierarchy import FOUND, nearest_registered, with_roots
+from leafwork.operators.ordering import PART_BYTES, text_hashes
 from leafwork.operators.paths import assign_paths
 from leafwork.operators.queueing import explode_queue, split_errors, with_skips, within_budget
 from leafwork.operators.render import direct_entries, render_databases, render_pages
 from leafwork.operators.skew import HOT_FLOOR, lookup
 from leafwork.operators.users import enrich_users
 from leafwork.session import staged
+from leafwork.sources.landed import blocks_of
 
 
 @dataclass(frozen=True)
@@ -75,15 +77,16 @@ class SyncResult:
     remaining: DataFrame  # queue rows to keep
 
 
-def workspace_items(ws: Workspace, *, floor: int = HOT_FLOOR) -> DataFrame:
-    """Pages and databases as `(id, type, title, last_edited, parent_id)`.
+def workspace_items(ws: Workspace, ids: DataFrame | None = None, *, floor: int = HOT_FLOOR) -> DataFrame:
+    """Pages and databases as `(id, type, title, last_edited, parent_id)`, all or those in `ids(id)`.
 
     A page inside a block gets the page that contains the block as its parent; when that block is
     unknown the page counts as a root, like a page without any parent.
     """
     def item(df: DataFrame, kind: str, title: Column) -> DataFrame:
-        return df.select(
-            normalize_id(F.col("id")).alias("id"),
+        named = df.withColumn("id", normalize_id(F.col("id")))
+        return (named if ids is None else named.join(ids, "id", "left_semi")).select(
+            "id",
             F.lit(kind).alias("type"),
             title.alias("title"),
             F.col("last_edited_time").alias("last_edited"),
@@ -104,6 +107,16 @@ def workspace_items(ws: Workspace, *, floor: int = HOT_FLOOR) -> DataFrame:
     return direct.unionByName(inside).drop("block", "parent")
 
 
+def item_pointers(ws: Workspace, *, floor: int = HOT_FLOOR) -> Fetch:
+    """Pointers of pages and databases to their parents, for `frontier`."""
+
+    def fetch(ids: DataFrame | None) -> DataFrame:
+        items = workspace_items(ws, ids, floor=floor)
+        return items.select("id", blank_to_null(F.col("parent_id")).alias("next_id"))
+
+    return fetch
+
+
 def place_items(ws: Workspace, items: DataFrame, due: DataFrame, options: SyncOptions) -> DataFrame:
     """Parents, flags and paths of `due(id, folder, enabled, as_root, priority, …)`.
 
@@ -141,7 +154,7 @@ def _due(placed: DataFrame, kind: str, options: SyncOptions) -> DataFrame:
 def _due_blocks(ws: Workspace, placed: DataFrame) -> DataFrame:
     """Blocks of the pages that are due; no other content is read."""
     pages = placed.where("type = 'page'").select(F.col("id").alias("page_id"))
-    return normalized(ws.blocks).join(pages, "page_id", "left_semi")
+    return normalized(blocks_of(ws.blocks, pages))
 
 
 def discovered_children(ws: Workspace, placed: DataFrame, options: SyncOptions) -> DataFrame:
@@ -174,12 +187,8 @@ def follow_up(
 
 
 def document_hashes(documents: DataFrame) -> DataFrame:
-    """`(page_id, content_hash)` over all parts: a single part's own hash, else that of the parts' hashes in order."""
-    parts = documents.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("part_no", "content_hash"))).alias("parts"))
-    joined = F.sha2(F.array_join(F.transform("parts", lambda p: p["content_hash"]), ""), 256)
-    return parts.select(
-        "page_id", F.when(F.size("parts") == 1, F.col("parts")[0]["content_hash"]).otherwise(joined).alias("content_hash")
-    )
+    """`(page_id, content_hash)` over all parts in order, the same however the text was cut."""
+    return text_hashes(documents, "page_id")
 
 
 def write_items(
@@ -261,27 +270,30 @@ class Judged:
 def judge_queue(ws: Workspace, queue_raw: DataFrame, options: SyncOptions) -> Judged:
     """Decide the outcome of every queue row and collect the items to write.
 
+    The queue comes as files, or as rows of `explode_queue` whose places are kept.
+
     Outcomes: `skipped` (unchanged or known), `waiting` (budget), `dropped` and `retry` (errors),
     `root_disabled` and `no_root` (processed without writing) and `written`. Unregistered
-    ancestors of a written page are written too, so children find their directory.
+    ancestors of a written page are written too, so children find their directory. Only the queued
+    pages and what lies above them is looked at (`frontier`), not the whole workspace.
     """
     floor = options.floor
-    queue = explode_queue(queue_raw)
+    queue = queue_raw if "page_id" in queue_raw.columns else explode_queue(queue_raw)
     in_folder = F.lit(True) if options.folder is None else F.col("folder").eqNullSafe(F.lit(options.folder))
-    active = with_skips(queue.where(in_folder), ws.registry, floor=floor)
-    items = staged(workspace_items(ws, floor=floor))
-    traced = staged(with_roots(ws.registry, floor=floor))
-    anchors = staged(nearest_registered(items, traced, floor=floor))
-    known = traced.select(F.col("id").alias("t_id"), "root_enabled", "root_id")
-    # every item has an anchor row, so this one join also tells which pages were landed
-    above = anchors.select(F.col("id").alias("a_id"), F.col("folder").alias("a_folder"), "found_root")
-    judged = lookup(active, known, "page_id", "t_id", floor=floor)
-    judged = lookup(judged, above, "page_id", "a_id", floor=floor)
-    if ws.errors is None:
-        judged = judged.withColumn("action", F.lit(None).cast("string"))
-    else:
-        errors = split_errors(ws.errors).select(F.col("page_id").alias("e_id"), "action")
-        judged = lookup(judged, errors, "page_id", "e_id", floor=floor).drop("e_id")
+    active = staged(with_skips(queue.where(in_folder), ws.registry, floor=floor))
+    asked_for = active.where(~F.coalesce("skip", F.lit(False))).select(F.col("page_id").alias("id"))
+    nodes, above_them = open_walk(item_pointers(ws, floor=floor), ws.registry, asked_for, floor=floor)
+    items = staged(workspace_items(ws, nodes.select("id"), floor=floor))
+    traced = staged(with_roots(above_them, floor=floor))
+    anchors = staged(nearest_registered(nodes, traced, floor=floor))
+    # all that is known about a page goes into one row first, so the queue is joined once; every page
+    # that was landed has an anchor row, which also tells which were
+    facts = traced.select("id", "root_enabled", "root_id").join(
+        anchors.select("id", F.col("id").alias("a_id"), F.col("folder").alias("a_folder"), "found_root"), "id", "full_outer"
+    )
+    errors = None if ws.errors is None else split_errors(ws.errors).select(F.col("page_id").alias("id"), "action")
+    facts = facts.withColumn("action", F.lit(None).cast("string")) if errors is None else facts.join(errors, "id", "full_outer")
+    judged = lookup(active, facts.withColumnRenamed("id", "f_id"), "page_id", "f_id", floor=floor)
     outcome = (
         F.when(F.col("skip"), "skipped")
         .when(F.col("root_id").isNotNull() & ~F.col("root_enabled"), "root_disabled")
@@ -322,12 +334,12 @@ def judge_queue(ws: Workspace, queue_raw: DataFrame, options: SyncOptions) -> Ju
         )
         .select("id", "row.folder", "row.enabled", "row.registered", "priority")
     )
-    chains = ancestor_chains(asked.where("not registered"), items, anchors, floor=floor)
+    ends = anchors.where(F.col("outcome") == FOUND)
+    fresh = asked.where("not registered").join(ends.select("id"), "id", "left_semi")
     ancestors = (
-        chains.select(F.col("ancestor_id").alias("id"))
-        .distinct()
+        ancestor_ids(fresh, pointers_of(nodes), traced.select("id"), floor=floor)
         .join(asked.select("id"), "id", "left_anti")
-        .join(anchors.where(F.col("outcome") == FOUND).select("id", "folder"), "id")
+        .join(ends.select("id", "folder"), "id")
         .select("id", "folder", F.lit(False).alias("enabled"), F.lit(0).cast("bigint").alias("priority"))
     )
     due = asked.select("id", "folder", "enabled", "priority").unionByName(ancestors)

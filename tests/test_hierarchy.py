@@ -149,3 +149,111 @@ def test_tree_listing(spark):
         spark.createDataFrame(rows, REGISTRY), spark.createDataFrame(edges, "parent_id STRING, position BIGINT, child_id STRING"))
     got = [(r["id"], r["depth"], r["is_last"]) for r in tree.orderBy("folder", "root_id", "sort_key").collect()]
     assert got == [("r", 0, True), ("a", 1, False), ("c", 2, True), ("b", 1, True)]
+
+
+def depth_first(rows, edges):
+    """Plain listing: a page once, below the first page by id that lists it in its folder."""
+    table = {r[0]: r for r in rows}
+    first = {}
+    for parent, position, child in sorted(edges):
+        if parent in table and child in table and not table[child][2] and table[parent][4] == table[child][4]:
+            first.setdefault(child, (parent, position))
+    kids = {}
+    for child, (parent, position) in first.items():
+        kids.setdefault(parent, []).append((position, child))
+    out = {}
+    for root in (r for r in rows if r[2]):
+        todo, place = [(root[0], 0, True)], 0
+        while todo:
+            at, depth, last = todo.pop()
+            out[at] = (root[4], root[0], depth, place, last)
+            place += 1
+            below = sorted(kids.get(at, []))
+            todo += [(child, depth + 1, position == below[-1][0]) for position, child in reversed(below)]
+    return out
+
+
+def test_preorder(spark):
+    for seed, floor in ((1, 10**6), (2, 5)):
+        rng = random.Random(seed)
+        rows = [(f"n{i}", "", i < 4, True, "f0" if i < 4 or rng.random() < 0.9 else "f1", "") for i in range(250)]
+        edges, places = [], {}
+        for i in range(4, 250):
+            parent = "n1" if rng.random() < 0.3 else f"n{rng.randrange(i)}"
+            if i % 40 == 7:
+                parent = f"n{min(249, i + 3)}"  # not below a root, or late
+            edges.append((parent, places.setdefault(parent, 0), f"n{i}"))
+            places[parent] += rng.randrange(1, 3)
+        edges += [("n9", 99, "n3"), ("n8", 99, "n30"), ("n5", 98, "lost"), ("lost", 0, "n6")]
+        found = hierarchy.preorder(
+            spark.createDataFrame(rows, REGISTRY), spark.createDataFrame(edges, "parent_id STRING, position BIGINT, child_id STRING"), floor=floor)
+        got = {r["id"]: (r["folder"], r["root_id"], r["depth"], r["place"], r["is_last"]) for r in found.collect()}
+        assert got == depth_first(rows, edges) and len(got) > 60
+
+
+def test_preorder_of_a_star_and_a_chain(spark):
+    n = 20_000
+    star = spark.range(n).selectExpr("'n0' as parent_id", "id as position", "concat('n', id + 1) as child_id")
+    chain = spark.range(n).selectExpr("concat('n', id) as parent_id", "0L as position", "concat('n', id + 1) as child_id")
+    registry = spark.range(n + 1).selectExpr(
+        "concat('n', id) as id", "'' as parent_id", "id = 0 as is_root", "true as enabled", "'f' as folder", "'' as file_path")
+    for edges, depth in ((star, 1), (chain, n)):
+        places = hierarchy.preorder(registry, edges)
+        row = places.selectExpr("count(*)", "count_if(place = cast(substring(id, 2) as bigint))", "max(depth)").first()
+        assert tuple(row) == (n + 1, n + 1, depth)
+
+
+def plain_paths(new, kept):
+    """Paths level by level, as a page can only be placed below a parent that has been."""
+    clean = lambda t: "".join(c if c.isalnum() else "-" for c in t.lower()).strip("-")
+    path = {i: p for i, p in kept if p}
+    key = lambda p: (p.rpartition("/")[0], p.rpartition("/")[2].removesuffix(".md").lower())
+    taken = {key(p) for p in path.values()}
+    todo = [r for r in new if r[0] not in path]
+    result = {r[0]: path[r[0]] for r in new if r[0] in path}
+    while todo:
+        pending = {r[0] for r in todo}
+        ready = [r for r in todo if r[4] or not r[1] or r[1] in path or r[1] not in pending] or todo
+        rows = []
+        for i, parent, title, folder, root, priority in ready:
+            below = not root and parent in path and len(ready) < len(todo) + 1 and (parent in path)
+            rows.append((path[parent].removesuffix(".md") if below else folder, clean(title), priority, i))
+        names, best = {}, {}
+        for at, name, priority, i in sorted(rows, key=lambda r: r[2:]):
+            if (at, name) not in taken:
+                best.setdefault((at, name), i)
+        held = taken | set(best)
+        loose = [(at, name, i) for at, name, _, i in rows if best.get((at, name)) != i]
+        for at, name, i in loose:
+            brief = f"{name}-{i[:4]}"
+            alone = sum((a, f"{m}-{j[:4]}") == (at, brief) for a, m, j in loose) == 1
+            names[i] = brief if alone and (at, brief) not in held else f"{name}-{i}"
+        for at, name, _, i in rows:
+            result[i] = path[i] = f"{at}/{names.get(i, name)}.md"
+            taken.add(key(path[i]))
+        done = {r[0] for r in ready}
+        todo = [r for r in todo if r[0] not in done]
+    return result
+
+
+def test_paths_of_many_levels(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        ids = [f"{rng.randrange(16**4) if i % 3 else 7:04x}{i:03d}" for i in range(160)]
+        new = [(ids[i], ids[rng.randrange(max(0, i - 4), i)] if i > 6 else ("k1", "", "lost")[i % 3], f"T {rng.randrange(3)}", "f", i < 3, rng.randrange(2)) for i in range(160)]
+        # kept pages below paths that new pages get, down to the third level
+        kept = [("k1", "f/wiki.md"), ("k2", "f/t-0/t-1.md"), ("k3", "f/t-1/t-0/t-2.md"), ("k4", "f/t-0/t-2-0007.md"), ("k5", "f/wiki/t-1/t-0.md")]
+        assert assigned(spark, new, kept) == plain_paths(new, kept)
+
+
+def test_paths_of_a_long_chain(spark):
+    new = [(f"{i:04d}", f"{i - 1:04d}" if i else "", "A", "f", False, 0) for i in range(1000)]
+    got = assigned(spark, new, [("none", None)])
+    assert all(got[f"{i:04d}"] == "f" + "/a" * (i + 1) + ".md" for i in range(1000))
+
+
+def test_paths_outside_any_folder(spark):
+    """A page at the top has the directory that is another page's folder."""
+    new = [("aaaa1", "", "X", "", False, 0), ("bbbb1", "aaaa1", "Same", "", False, 0), ("cccc1", "", "Same", "x", False, 0), ("dddd1", "bbbb1", "Low", "", False, 0)]
+    assert assigned(spark, new, [("none", None)]) == {
+        "aaaa1": "x.md", "cccc1": "x/same.md", "bbbb1": "x/same-bbbb.md", "dddd1": "x/same-bbbb/low.md"}

@@ -75,6 +75,13 @@ def staged(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place, for a job that writes several tables; `drop_staged` deletes it as well."""
+    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
 def staged_so_far() -> int:
     """A mark for `drop_staged`: what is staged from now on comes after it."""
     return len(_STAGED)

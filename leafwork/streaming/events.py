@@ -12,6 +12,7 @@ from leafwork.functions.events import is_authentic, route
 from leafwork.functions.ids import blank_to_null, normalize_id
 from leafwork.operators.queueing import number_events
 from leafwork.operators.skew import HOT_FLOOR, lookup
+from leafwork.sources import queue_log
 
 DEFAULT_FOLDER = "default"  # fixed value
 
@@ -141,6 +142,8 @@ def ingest(
     secret: str | None = None,
     trigger: dict | None = None,
     after_batch: Callable[[DataFrame, int], None] | None = None,
+    log_path: str | None = None,
+    others_path: str | None = None,
 ):
     """Start the event stream: queue rows, deletions and rejects per micro-batch.
 
@@ -148,6 +151,10 @@ def ingest(
     same rows again instead of duplicating them. `registry()` is called per micro-batch and sees
     the records of that moment. An entity that changed several times in a micro-batch is queued
     once. `after_batch(queue_rows, batch_id)` may run the sync for the new rows.
+
+    With `log_path` the rows are also committed to that queue log, numbered below all that waits there
+    (see `sources.queue_log`). `others_path` gets the accepted events of all other routes, such as the
+    verification of the endpoint.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -170,6 +177,13 @@ def ingest(
             events.where("status <> 'accepted'").write.mode("overwrite").parquet(
                 f"{rejects_path}/batch={batch_id}"
             )
+            if others_path is not None:
+                events.where("status = 'accepted' and route not in ('queue', 'deletion')").write.mode("overwrite").parquet(
+                    f"{others_path}/batch={batch_id}"
+                )
+            if log_path is not None:
+                stored = batch.sparkSession.read.parquet(f"{queue_path}/batch={batch_id}")
+                queue_log.add_events(batch.sparkSession, log_path, batch_id, stored.drop("seq", "pos"))
             if after_batch is not None:
                 after_batch(batch.sparkSession.read.parquet(f"{queue_path}/batch={batch_id}"), batch_id)
         finally:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from leafwork.operators.queueing import collapse_queue
 from leafwork.plans.pull import PullOptions, classify_changes, next_state, queue_rows, workspace_nodes
 from leafwork.plans.sync import SyncOptions, Workspace, sync
 from leafwork.session import drop_staged, staged, staged_so_far
-from leafwork.sources.index import _filesystem, path_exists
+from leafwork.sources import queue_log
+from leafwork.sources.index import _filesystem, path_exists, write_children, write_index
 
 
 def newer_than_processed(events: DataFrame, registry: DataFrame) -> DataFrame:
@@ -55,6 +57,51 @@ def sync_batch(
     return handle
 
 
+@dataclass(frozen=True)
+class Stores:
+    """Where a run of the queue keeps its results: all folders of a shared store."""
+
+    log: str  # the queue (`sources.queue_log`)
+    output: str  # documents, registry rows and child edges per batch
+    index: str  # record index
+    children: str  # child edges of all pages
+
+
+def work_on_queue(
+    spark: SparkSession, stores: Stores, workspace: Callable[[], Workspace], options: Callable[[], SyncOptions], batch_id: int
+) -> None:
+    """Sync all that waits in the queue log, put retries and follow-up work back, update the index.
+
+    Results go to folders of the batch first, then the log gets its commit, then index and child edges
+    are brought up to the batch's rows. A batch that failed before its commit starts anew from the same
+    registry; one that failed after it only repeats the last step, which replaces the same rows.
+    """
+    mark = staged_so_far()
+    parts = {name: f"{stores.output}/{name}/batch={batch_id}" for name in ("documents", "registry", "children")}
+    if queue_log.committed(spark, stores.log, "sync", batch_id) is None:
+        waiting = staged(queue_log.read_log(spark, stores.log))
+        result = sync(workspace(), waiting.drop("attempts"), options())
+        written = result.written
+        for name, table in (("documents", written.documents), ("registry", written.registry), ("children", written.children)):
+            table.write.mode("overwrite").parquet(parts[name])
+        queue_log.settle(spark, stores.log, batch_id, result.outcomes, written.child_queue)
+    registry = spark.read.parquet(parts["registry"])
+    write_index(registry, registry.select("id").where("false"), stores.index)
+    write_children(spark.read.parquet(parts["children"]), registry.select("id"), stores.children)
+    drop_staged(spark, mark)
+
+
+def queue_worker(
+    stores: Stores, workspace: Callable[[], Workspace], options: Callable[[], SyncOptions]
+) -> Callable[[DataFrame, int], None]:
+    """An `after_batch` hook for `events.ingest` with a log: works on the whole queue after each micro-batch."""
+
+    def handle(rows: DataFrame, batch_id: int) -> None:
+        work_on_queue(rows.sparkSession, stores, workspace, options, batch_id)
+
+    return handle
+
+
 def _batches(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the micro-batches that have a folder below `path`."""
     if not path_exists(spark, path):
@@ -78,10 +125,11 @@ def pull_stream(
     """Pull landed page files as they arrive; queue rows and the state go out per micro-batch.
 
     The stream's own checkpoint remembers which files were read, so the edit-time bound is not
-    needed; the cutoff still applies. Ancestors are looked up among all pages landed so far, not
-    only those of the micro-batch. A new page whose ancestors have not landed yet is written to
-    `{queue_path}_waiting` and judged again with every later micro-batch. Queue numbers go on
-    after those of earlier micro-batches.
+    needed; the cutoff still applies. Ancestors are looked up among all pages landed so far, whose
+    pointers are kept as Parquet in `{queue_path}_pointers`; no page file is read twice. A new page whose
+    ancestors have not landed yet is written to `{queue_path}_waiting` and judged again with every later
+    micro-batch. Queue numbers go on after those of earlier micro-batches, from the one that
+    `{state_path}_numbers` remembers.
     """
     raw = spark.readStream.schema(schemas.PAGE).json(pages_path)
 
@@ -94,14 +142,19 @@ def pull_stream(
         if earlier:
             pages = batch.unionByName(spark.read.schema(schemas.PAGE).parquet(f"{waiting}/batch={max(earlier)}"))
         pages = staged(pages)
-        landed = spark.read.schema(schemas.PAGE).json(pages_path)
-        decided = staged(classify_changes(pages, workspace_nodes(landed), registry(), options))
+        pointers, numbers = f"{queue_path}_pointers", f"{state_path}_numbers"
+        workspace_nodes(batch).write.mode("overwrite").parquet(f"{pointers}/batch={batch_id}")
+        landed = spark.read.parquet(pointers).where(F.col("batch") <= batch_id)
+        latest = landed.groupBy("id").agg(F.max_by("parent_id", "batch").alias("parent_id"))
+        decided = staged(classify_changes(pages, latest, registry(), options))
         first = options.first_number
-        done = [b for b in _batches(spark, queue_path) if b < batch_id]
+        done = [b for b in _batches(spark, numbers) if b < batch_id]
         if done:
-            numbers = spark.read.parquet(*(f"{queue_path}/batch={b}" for b in done)).agg(F.max("seq")).first()[0]
-            first = max(first, (numbers or first - 1) + 1)
-        queue_rows(decided, first=first).write.mode("overwrite").parquet(f"{queue_path}/batch={batch_id}")
+            first = max(first, spark.read.parquet(f"{numbers}/batch={max(done)}").first()["next_number"])
+        rows = staged(queue_rows(decided, first=first))
+        rows.write.mode("overwrite").parquet(f"{queue_path}/batch={batch_id}")
+        following = rows.agg(F.coalesce(F.max("seq") + 1, F.lit(first)).cast("bigint").alias("next_number"))
+        following.write.mode("overwrite").parquet(f"{numbers}/batch={batch_id}")
         next_state(decided, None, options, now()).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
         lost = decided.where("decision = 'trace_failed'").select(F.col("id").alias("_lost"))
         kept = pages.join(lost, normalize_id(F.col("id")) == F.col("_lost"), "left_semi")

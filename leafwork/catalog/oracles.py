@@ -315,14 +315,19 @@ firsts as (
   select * from links where file_id is not null
   qualify row_number() over (partition by file_id order by page_path, position, concat(bare, '?sig=', sig)) = 1
 ),
+homes as (
+  select *, substr(file_id, 1, 1) > '3' as fresh, concat(replace(page_path, '.md', ''), '/files/', name) as home from firsts
+),
+sidecars as (
+  select home, min(case when file_id < '5' then file_id else md5(concat('stranger:', file_id)) end) as holder
+  from homes where substr(file_id, 1, 1) in ('4', '5') group by home
+),
 placed as (
-  select file_id, page_id, bare as source_url, substr(file_id, 1, 1) > '3' as is_new,
-         case when substr(file_id, 1, 1) <= '3' then concat('web/old/files/', file_id, '.png')
-              when row_number() over (partition by substr(file_id, 1, 1) > '3', page_path, name order by file_id) = 1
-                then concat(replace(page_path, '.md', ''), '/files/', name)
-              else concat(replace(page_path, '.md', ''), '/files/', replace(name, '.png', ''), '-', substr(file_id, 1, 4), '.png')
-         end as file_path
-  from firsts
+  select file_id, page_id, bare as source_url, fresh and holder is distinct from file_id as is_new,
+         case when not fresh then concat('web/old/files/', file_id, '.png')
+              when coalesce(holder, min(file_id) over (partition by fresh, home)) = file_id then home
+              else concat(replace(home, '.png', ''), '-', substr(file_id, 1, 4), '.png') end as file_path
+  from homes left join sidecars using (home)
 ),
 sized as (select *, is_new and substr(file_id, 1, 5) > '80000' as too_large from placed)"""
 
@@ -364,6 +369,81 @@ def seconds(name: str) -> str:
     return f"{EPOCH.format(name)} as {name}"
 
 
+def kind_header() -> str:
+    """Header of a page with a property of every type (see `catalog.kinds`)."""
+    web = "'https://example.com/{}'"
+
+    def line(name: str, value: str) -> str:
+        return f"'  {name}: ', {value}, {NL}"
+
+    quoted = "concat('\"', {}, '\"')".format
+    listed = lambda *values: "concat(" + ", ".join(f"{NL}, '    - ', {quoted(v)}" for v in values) + ")"
+    flag = "case when even then 'true' else 'false' end"
+    properties = [
+        ("a01", quoted("'no marks'")), ("a03", "regexp_replace(printf('%.2f', c_custkey / 4.0), '\\.?0+$', '')"), ("a04", quoted("c_mktsegment")),
+        ("a05", listed("'one'", "'two'")), ("a06", quoted("'Open'")), ("a07", quoted("'2024-01-31'")), ("a08", flag),
+        ("a09", quoted(web.format("u") + ", k")), ("a10", quoted("'c', k, '@example.com'")), ("a11", quoted("c_phone")),
+        ("a12", listed("'p-1'", "k")), ("a13", listed("id")), ("a14", "'2.5'"), ("a15", quoted("'2024-02-01'")),
+        ("a16", "'\"a \\\"quoted\\\" text\"'"), ("a17", "'-1'"), ("a18", flag), ("a19", quoted("'2024-03-01'")), ("a20", quoted("'u-1'")),
+        ("a21", quoted("'u-2'")), ("a22", quoted("'2024-01-01T00:00:00.000Z'")), ("a23", quoted("'2024-01-02T00:00:00.000Z'")),
+        ("a24", "case when even then concat('\"C-', k, '\"') else k end"),
+    ]
+    fields = [
+        ("tool_version", f"'{__version__}'"), ("notion_id", "id"), ("title", quoted("c_name")), ("notion_type", "'page'"),
+        ("notion_folder", "'crm'"), ("file_path", "'crm/c-', k, '.md'"), ("created_by", quoted("'Ann <ann@example.com> [', substr('u-' || k, 1, 8), ']'")),
+        ("last_edited", "'2024-02-01T00:00:00Z'"), ("icon", quoted("case when even then 'external:' else 'file:' end, " + web.format("icon") + ", k")),
+        ("notion_parent_id", "'db1'"), ("is_root", "'false'"), ("notion_url", web.format("page") + ", k"),
+    ]
+    head = ", ".join(f"'{name}: ', {value}, {NL}" for name, value in fields)
+    return f"'---', {NL}, {head}, 'properties:', {NL}, " + ", ".join(line(*p) for p in properties) + f", '---', {NL}, {NL}"
+
+
+def kind_body() -> str:
+    """Body of a page with a block of every kind: a blank line after each block but between list items."""
+    block = "md5(concat('kind:{}:', k))".format
+    web = "'https://example.com/{}', k".format
+    start, end = f"'<!-- collapsible: start -->', {NL}", f"'<!-- collapsible: end -->', {NL}"
+    media = lambda opening, label, end, name: f"'{opening}', {label}, '](', {web(end)}, ')<!-- file_id:', {block(name)}, ' -->', {NL}"
+    link = lambda label, slug, name: f"'- [', {label}, '](./', lower(replace(c_name, '#', '')), '/', {slug}, '.md)<!-- page_id:', {block(name)}, ' -->', {NL}"
+    blocks = [
+        f"'# One _', c_name, '_', {NL}",
+        f"'## Two', {NL}, {start}, 'inside ', k, {NL}, {end}",
+        f"'### ~~', c_mktsegment, '~~', {NL}",
+        f"'call `', c_phone, '` or @Ann <ann@example.com> [', substr(id, 1, 8), ']', {NL}",
+        f"{start}, '**more**', {NL}, {NL}, '- _**x**_', {NL}, '  1. [y](', {web('y')}, ')', {NL}, {end}",
+        f"'> q1', {NL}, '> q2', {NL}",
+        f"'> \U0001f4a1 ', c_mktsegment, {NL}",
+        f"'> no sign', {NL}",
+        media("![", "'image'", "i", "image"), media("[", "c_name", "v", "video"), media("[", "'report.txt'", "f", "file"),
+        media("[", "'File'", "n", "nameless"), media("[", "'PDF'", "p", "pdf"),
+        f"'[', {web('b')}, '](', {web('b')}, ')', {NL}",
+        f"'[See](', {web('c')}, ')', {NL}",
+        f"'$$', {NL}, 'a+b', {NL}, '$$', {NL}",
+        f"'[TOC]', {NL}",
+        link("c_name", "lower(replace(c_name, '#', ''))", "page"), link("'Tasks'", "'tasks'", "base"),
+        f"'synced', {NL}",
+        f"'| a | ', c_mktsegment, ' |', {NL}, '| --- | --- |', {NL}, '| **b** |  |', {NL}",
+        f"'| c |', {NL}",
+        f"'left', {NL}, 'right', {NL}",
+        f"'[Page Link](notion://page/', id, ')<!-- page_id:', id, ' -->', {NL}",
+        f"'[Database Link](notion://database/', id, ')<!-- page_id:', id, ' -->', {NL}",
+        "", # a link to nothing
+        f"'[Embed](', {web('e')}, ')', {NL}",
+        "", # a kind that is not known
+        NL, # a paragraph without content
+        "", # an image without content
+        f"'```sql', {NL}, 'select 1', {NL}, '```', {NL}",
+        f"'- [x] did', {NL}", f"'- [ ] do', {NL}",
+        f"'---', {NL}",
+    ]
+    lists = {len(blocks) - 3, len(blocks) - 2}
+    pieces = []
+    for at, text in enumerate(blocks):
+        gap = text and at + 1 < len(blocks) and not {at, at + 1} <= lists
+        pieces += [text] * bool(text) + [NL] * bool(gap)
+    return ", ".join(pieces)
+
+
 def build() -> dict[str, str]:
     sql: dict[str, str] = {}
 
@@ -400,6 +480,7 @@ def build() -> dict[str, str]:
       union all select p.id, 0, p.id, 'default' from parts p where p.parent_id = ''""",
         f"""parts as (select replace(f.id, '-', '') as id, f.parent_id from fx_pages f
             join part on {key_id('part', 'p_partkey')} = replace(f.id, '-', ''))""")
+    sql["write_set"] = f"select distinct id, folder, write_order from ({sql['ancestor_chain']}) steps"
     add("block_to_page", """
       select b.block_id, case when u.parent_type in ('page_id', 'database_id') then u.parent_id end as container_id,
              case when u.parent_type in ('page_id', 'database_id', 'workspace') then u.parent_type end as container_type,
@@ -434,6 +515,9 @@ def build() -> dict[str, str]:
         union all
         select t.folder, t.root_id, s.child_id, t.depth + 1, concat(t.sort_key, lpad(upper(to_hex(s.position)), 10, '0')), s.is_last
         from tree t join shown s on s.parent_id = t.id)""", True)
+    sql["tree_order"] = f"""
+      select folder, root_id, id, depth, row_number() over (partition by folder, root_id order by sort_key) - 1 as place, is_last
+      from ({sql["tree_listing"]}) listed"""
     add("folder_status", f"""
       select folder, folder is null as is_total, cast(sum(pages) as bigint) as pages, cast(sum(roots) as bigint) as roots,
              {EPOCH.format('max(last_synced)')} as last_synced, cast(sum(queued_pages) as bigint) as queued_pages,
@@ -463,6 +547,15 @@ def build() -> dict[str, str]:
     add("newest_pages", f"""
       select id, {EPOCH.format('last_edited')} as last_edited_time from fx_pages order by last_edited desc, id limit 100""")
 
+    add("queue_log_rows", """
+      select seq, pos, type, folder, null as parent_id, page_id, cast(turn = 1 as int) as attempts from turns where turn <> 0
+      union all select seq + (select max(seq) + 1 from turns), pos, type, folder, parent_id, page_id, 0 from numbered""", """
+      waiting as (
+        select seq, pos, type, folder, page_id from fx_queue_rows
+        union all
+        select 1000 - row_number() over (order by c_custkey % 50, id), 0, 'update', folder, id from fx_customer where c_custkey % 3 = 0),
+      turns as (select *, ((seq + pos) % 3 + 3) % 3 as turn from waiting),
+      q as (select 'init' as type, folder, parent_id, id as page_id, o_orderkey from fx_order where o_orderkey % 5 = 0),""" + numbered("q", "o_orderkey, page_id", 0))
     add("queue_order", f"""
       select row_number() over (order by seq, pos) - 1 as turn, seq, pos, type, folder, page_id,
              case when not legacy then {EPOCH.format('last_edited')} end as last_edited, legacy from fx_queue_rows""")
@@ -508,15 +601,20 @@ def build() -> dict[str, str]:
              sha256(content) as content_hash from (
         select d.id, d.doc_id, concat({page_head}, '# ', d.title, {NL}, {NL}, b.body) as content
         from fx_doc_pages d join bodies b on d.doc_id = b.doc_id join fx_users u on d.author = u.id)""", BODIES)
+    add("render_kinds", f"""
+      select id as page_id, file_path, cast(0 as bigint) as part_no, content, sha256(content) as content_hash from (
+        select id, concat('crm/c-', k, '.md') as file_path, concat({kind_header()}, '# ', c_name, {NL}, {NL}, {kind_body()}) as content
+        from (select *, cast(c_custkey as varchar) as k, c_custkey % 2 = 0 as even from fx_customer_row) c)""")
     add("block_paths", """
       select md5(concat('block:', cast(doc_id as varchar), ':', cast(line_no as varchar))) as block_id,
              case when slot = 3 then 1 else 0 end as level, case when slot = 3 then 1 else 0 end as depth,
              case when slot = 3 then concat(cast(line_no - 1 as varchar), '.0') else cast(line_no as varchar) end as path
       from pieces""", BODIES)
     add("block_depth_limit", f"""
-      select {key_id('nation', 'c_nationkey')} as page_id,
-             count(*) + count(*) filter (c_custkey % 3 = 0) + count(*) filter (c_custkey % 5 = 0) as blocks_kept,
-             bool_or(c_custkey % 6 = 0) as was_limited from customer group by c_nationkey""")
+      select {key_id('order', 'l_orderkey')} as page_id, least(count(*), 4) as blocks_kept, count(*) >= 4 as was_limited
+      from (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber) as place
+            from (select distinct l_orderkey, l_linenumber from lineitem) x) y
+      where l_linenumber = place group by l_orderkey""")
     db_path = "concat('data/', slug, '.md')"
     add("render_databases", f"""
       select id as page_id, {db_path} as file_path, cast(0 as bigint) as part_no, content, sha256(content) as content_hash from (
@@ -600,6 +698,16 @@ def build() -> dict[str, str]:
              coalesce(o.path, n.path) like '.notion-sync/queue/%' as is_queue
       from (select * from fx_published where edition = 'old') o full join (select * from fx_published where edition = 'new') n on o.path = n.path""")
 
+    add("commit_log", f"""
+      select 1 as commit, page_id, before as path, sha256(text) as content_hash, 'new' as change from d
+      union all select 2, page_id, after, sha256(edited), case when before = after then 'modified' else 'new' end from d
+        where before <> after or text <> edited
+      union all select 2, page_id, before, null, 'deleted' from d where before <> after""", f"""
+      d as (select {key_id('doc', 'doc_id')} as page_id, text, concat(text, case when doc_id % 4 = 0 then concat({NL}, 'edited') else '' end) as edited,
+                   concat(lang, '/doc-', cast(doc_id as varchar), '.md') as before,
+                   concat(case when doc_id % 3 = 0 then source else lang end, '/doc-', cast(doc_id as varchar), '.md') as after
+            from documents)""")
+
     add("root_manifest", """
       select page_id, line_no, folder, enabled, url, regexp_matches(folder, '^[a-z0-9-]+$') as folder_ok from listed""", ROOT_LINES)
     reconciled = ROOT_LINES + """,
@@ -607,15 +715,17 @@ def build() -> dict[str, str]:
         select coalesce(k.id, m.page_id) as id, coalesce(m.folder, k.folder) as folder, m.page_id is not null or k.is_root as is_root,
                coalesce(m.enabled, k.enabled) as enabled, m.page_id is not null and k.last_synced is null as needs_sync
         from (select id, folder, is_root, enabled, last_synced from fx_region
-              union all select id, folder, is_root, enabled, last_synced from fx_nation) k
+              union all select id, folder, is_root, enabled, last_synced from fx_nation
+              union all select id, folder, is_root, enabled, last_synced from fx_customer where c_custkey % 3 <> 0) k
         full join listed m on k.id = m.page_id)"""
     add("root_reconcile", "select id, folder, is_root, enabled, needs_sync from reconciled", reconciled)
     add("root_queue", "select seq, pos, type, folder, id as page_id from numbered", reconciled + """,
       q as (select 'init' as type, folder, null as parent_id, id from reconciled where needs_sync and enabled),"""
         + numbered("q", "id", 1000))
-    add("root_text", f"""
-      select cast(0 as bigint) as part_no, concat('# Root Pages', {NL}, {NL}, string_agg(concat('- [', case when enabled then 'x' else ' ' end, '] **',
-             folder, '**: ', url, {NL}), '' order by line_no)) as content from listed""", ROOT_LINES)
+    add("root_text", """
+      select 1 + row_number() over (order by line_no) as line_no,
+             concat('- [', case when enabled then 'x' else ' ' end, '] **', folder, '**: ', url) as text from listed
+      union all select 0, '# Root Pages' union all select 1, ''""", ROOT_LINES)
     add("ids_in_links", """
       select page_id, concat(url, '#', md5(url)) as link, null as found_id from pages
       union all select page_id, concat('https://example.com/team/A-Page-', md5(url), '?v=', cast(page_id as varchar)), md5(url) from pages""")

@@ -8,20 +8,21 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.catalog import oracles
+from leafwork.catalog import kinds, oracles
 from leafwork.catalog import records as rec
 from leafwork.catalog.views import Views
 from leafwork.functions.ids import blank_to_null, normalize_id, page_id_from_text, shard_key
-from leafwork.functions.paths import hosted_file_id
+from leafwork.functions.paths import attachment_name, child_directory, hosted_file_id
 from leafwork.functions.properties import property_lines
 from leafwork.functions.richtext import user_label
 from leafwork.functions.text import slug
-from leafwork.operators import attachments, blocks, diff, hierarchy, ordering, paths, queueing, registry
+from leafwork.operators import attachments, blocks, diff, frontier, hierarchy, ordering, paths, queueing, registry
 from leafwork.operators import reindex, render, reports, roots, users
 from leafwork.plans import maintenance, pull, sync
-from leafwork.session import prepare, staged
-from leafwork.sources import landed
+from leafwork.session import prepare, scratch_folder, staged
+from leafwork.sources import landed, queue_log
 from leafwork.streaming import events as edits
+from leafwork.streaming import publish
 from leafwork.streaming.incremental import newer_than_processed
 
 AS_OF = datetime(2024, 6, 1)
@@ -110,6 +111,13 @@ def ancestor_chain(v: Views) -> DataFrame:
     return plan.select("page_id", "write_order", "id", "folder")
 
 
+@query
+def write_set(v: Views) -> DataFrame:
+    """Every page that has to be written to bring in all part pages, once, in levels below its anchor."""
+    requested = v["part"].select(F.md5(F.concat(F.lit("part:"), F.col("p_partkey").cast("string"))).alias("id"))
+    return maintenance.write_set(frontier.pointers_of(_nodes(v)), v["fx_registry"], requested)
+
+
 @query
 def block_to_page(v: Views) -> DataFrame:
     return hierarchy.block_containers(v["fx_block_parents"])
@@ -140,6 +148,12 @@ def tree_listing(v: Views) -> DataFrame:
     )
 
 
+@query
+def tree_order(v: Views) -> DataFrame:
+    """The listing by places: each root's pages are numbered depth first."""
+    return hierarchy.preorder(v["fx_registry"], _child_table(v))
+
+
 @query
 def folder_status(v: Views) -> DataFrame:
     status = reports.folder_status(v["fx_registry"], rec.queue_entries(v), F.lit(AS_OF))
@@ -151,9 +165,9 @@ def folder_status(v: Views) -> DataFrame:
 PULL = pull.PullOptions(cutoff=datetime(2000, 6, 1), bound=datetime(1998, 1, 1), include_untracked=True)
 
 
-def _decided(v: Views, options: pull.PullOptions = PULL) -> DataFrame:
+def _decided(v: Views, options: pull.PullOptions = PULL, changed_only: bool = False) -> DataFrame:
     pages = rec.page_records(v["fx_pages"])
-    return staged(pull.classify_changes(pages, _nodes(v), v["fx_registry"], options))
+    return staged(pull.classify_changes(pages, _nodes(v), v["fx_registry"], options, changed_only=changed_only))
 
 
 @query
@@ -163,7 +177,7 @@ def pull_decisions(v: Views) -> DataFrame:
 
 @query
 def pull_queue(v: Views) -> DataFrame:
-    rows = pull.queue_rows(_decided(v), first=1000)
+    rows = pull.queue_rows(_decided(v, changed_only=True), first=1000)
     return rows.select("seq", "pos", "type", "folder", "page_id", seconds("last_edited"))
 
 
@@ -237,6 +251,32 @@ def queue_budget(v: Views) -> DataFrame:
     return limited.select("seq", "pos", "page_id", "in_budget")
 
 
+@query
+def queue_log_rows(v: Views) -> DataFrame:
+    """What waits after a pull, events that go before it, and a run with retries and follow-up work.
+
+    Every commit is made twice, as after a failure.
+    """
+    path = scratch_folder(v.spark, "queue-log")
+    pulled = v["fx_queue_rows"].withColumn("parent_id", F.lit(None).cast("string"))
+    changed = v["fx_customer"].where("c_custkey % 3 = 0").select(
+        F.lit("update").alias("type"), "folder", F.lit(None).cast("string").alias("parent_id"), F.col("id").alias("page_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("c_custkey") % 50).alias("last_edited"),
+    )
+    found = v["fx_order"].where("o_orderkey % 5 = 0").select(
+        F.lit("init").alias("type"), "folder", "parent_id", F.col("id").alias("page_id"), F.lit(None).cast("timestamp").alias("last_edited"),
+        F.col("o_orderkey").alias("position"),
+    )
+    for _ in range(2):
+        queue_log.commit(v.spark, path, "pull", 0, pulled)
+        queue_log.add_events(v.spark, path, 0, changed)
+        turn = F.pmod(F.col("seq") + F.col("pos"), F.lit(3))
+        outcome = F.when(turn == 0, "written").when(turn == 1, "retry").otherwise("waiting")
+        ran = queue_log.read_log(v.spark, path, upto=2).select("seq", "pos", outcome.alias("outcome"))
+        queue_log.settle(v.spark, path, 0, ran, found)
+    return queue_log.read_log(v.spark, path).select("seq", "pos", "type", "folder", "parent_id", "page_id", "attempts")
+
+
 @query
 def queue_summary(v: Views) -> DataFrame:
     return queueing.queue_summary(rec.queue_entries(v))
@@ -333,6 +373,12 @@ def render_pages(v: Views) -> DataFrame:
     return render.render_pages(_placed_docs(v), rec.doc_blocks(v))
 
 
+@query
+def render_kinds(v: Views) -> DataFrame:
+    """A page per customer with a block of every kind and a property of every type."""
+    return render.render_pages(kinds.kind_pages(v), kinds.kind_blocks(v))
+
+
 @query
 def block_paths(v: Views) -> DataFrame:
     """Level, indentation and position of every block that is shown."""
@@ -342,10 +388,8 @@ def block_paths(v: Views) -> DataFrame:
 
 @query
 def block_depth_limit(v: Views) -> DataFrame:
-    """Pages whose tree is cut below the second level of mentions."""
-    return blocks.depth_limited(rec.link_blocks(v), 1).select(
-        "page_id", "blocks_kept", "was_limited"
-    )
+    """Orders whose lines, each below the one before, are cut below the fourth level."""
+    return blocks.depth_limited(rec.line_blocks(v), 3).select("page_id", "blocks_kept", "was_limited")
 
 
 def _placed_databases(v: Views) -> DataFrame:
@@ -504,6 +548,26 @@ def document_diff(v: Views) -> DataFrame:
     return diff.diff_documents(old, new)
 
 
+@query
+def commit_log(v: Views) -> DataFrame:
+    """Two commits of rendered documents, the second made twice: a third of the pages moved in between."""
+    path = scratch_folder(v.spark, "commits")
+    docs = v["documents"].withColumn("edited", F.concat("text", F.when(F.col("doc_id") % 4 == 0, "\nedited").otherwise("")))
+
+    def rendered(text: str, folder: F.Column) -> DataFrame:
+        name = F.concat(folder, F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
+        return docs.select(
+            F.md5(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).alias("page_id"), name.alias("file_path"),
+            F.lit(0).cast("bigint").alias("part_no"), F.sha2(text, 256).alias("content_hash"), F.lit(1).alias("version"),
+        )
+
+    publish.commit_documents(rendered("text", F.col("lang")), path, 1)
+    moved = F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.col("lang"))
+    for _ in range(2):
+        publish.commit_documents(rendered("edited", moved), path, 2)
+    return publish.read_commits(v.spark, path).select("commit", "page_id", "path", "content_hash", "change")
+
+
 # -- root manifest -----------------------------------------------------------------------------
 
 
@@ -513,24 +577,28 @@ def root_manifest(v: Views) -> DataFrame:
     return roots.first_per_page(entries).withColumn("folder_ok", roots.valid_folder(F.col("folder")))
 
 
+def _reconciled(v: Views) -> DataFrame:
+    """The registry of regions, nations and two of three customers after the manifest is applied."""
+    known = v["fx_region"].unionByName(v["fx_nation"], allowMissingColumns=True)
+    known = known.unionByName(v["fx_customer"].where("c_custkey % 3 <> 0"), allowMissingColumns=True)
+    known = known.drop("r_regionkey", "n_nationkey", "c_custkey")
+    return roots.reconcile_roots(roots.parse_manifest(v["fx_root_lines"]), known)
+
+
 @query
 def root_reconcile(v: Views) -> DataFrame:
-    """Registry rows of regions and nations after the manifest is applied."""
-    known = v["fx_region"].unionByName(v["fx_nation"], allowMissingColumns=True).drop("r_regionkey", "n_nationkey")
-    entries = roots.parse_manifest(v["fx_root_lines"])
-    return roots.reconcile_roots(entries, known).select("id", "folder", "is_root", "enabled", "needs_sync")
+    return _reconciled(v).select("id", "folder", "is_root", "enabled", "needs_sync")
 
 
 @query
 def root_queue(v: Views) -> DataFrame:
-    known = v["fx_region"].drop("r_regionkey")
-    reconciled = roots.reconcile_roots(roots.parse_manifest(v["fx_root_lines"]), known)
-    rows = queueing.number_files(roots.roots_to_queue(reconciled, F.lit(AS_OF)), [F.col("page_id")])
+    rows = queueing.number_files(roots.roots_to_queue(_reconciled(v), F.lit(AS_OF)), [F.col("page_id")])
     return rows.select("seq", "pos", "type", "folder", "page_id")
 
 
 @query
 def root_text(v: Views) -> DataFrame:
+    """The manifest without duplicates, line by line."""
     return roots.format_manifest(roots.first_per_page(roots.parse_manifest(v["fx_root_lines"])))
 
 
@@ -570,7 +638,15 @@ def _placed_files(v: Views) -> tuple[DataFrame, DataFrame]:
     files = ids.where(F.col("file_id").rlike("^[0-3]")).select(
         F.col("file_id").alias("id"), F.concat(F.lit("web/old/files/"), "file_id", F.lit(".png")).alias("file_path")
     )
-    manifests = ids.where("false").select(F.lit("").alias("path"), "file_id")
+    # of files that would go to their first page, some are stored there already, some find a stranger's file
+    first = links.where("file_id is not null").groupBy("file_id").agg(
+        F.min_by(F.struct("page_path", "url"), F.struct("page_path", "position", "url")).alias("at")
+    )
+    stored = first.where(F.col("file_id").rlike("^[45]"))
+    manifests = stored.select(
+        F.concat(child_directory(F.col("at.page_path")), F.lit("/files/"), attachment_name(F.col("at.url")), F.lit(attachments.SIDECAR)).alias("path"),
+        F.when(F.col("file_id").rlike("^4"), F.col("file_id")).otherwise(F.md5(F.concat(F.lit("stranger:"), "file_id"))).alias("file_id"),
+    )
     sizes = ids.select("file_id", (F.conv(F.substring("file_id", 1, 5), 16, 10).cast("bigint")).alias("size"))
     placed = attachments.with_sizes(attachments.place_files(links, files, manifests), sizes)
     return links, placed
@@ -665,6 +741,12 @@ def event_deletions(v: Views) -> DataFrame:
 # -- sync --------------------------------------------------------------------------------------
 
 
+def _landed_blocks(v: Views) -> DataFrame:
+    path = scratch_folder(v.spark, "blocks")
+    landed.land_blocks(rec.doc_blocks(v), path)
+    return landed.read_bucketed_blocks(v.spark, path)
+
+
 def workspace(v: Views) -> sync.Workspace:
     """The example workspace as landed tables: written once, read by every step of the job."""
     known = v["fx_region"].unionByName(v["fx_nation"], allowMissingColumns=True).drop("r_regionkey", "n_nationkey")
@@ -674,7 +756,7 @@ def workspace(v: Views) -> sync.Workspace:
     )
     return sync.Workspace(
         pages=staged(rec.doc_page_records(v)), databases=staged(rec.database_records(v)),
-        entries=staged(rec.entry_records(v)), blocks=staged(rec.doc_blocks(v)), users=v["fx_users"],
+        entries=staged(rec.entry_records(v)), blocks=_landed_blocks(v), users=v["fx_users"],
         registry=staged(known), errors=errors,
     )
 

@@ -183,6 +183,25 @@ def link_blocks(views: Views) -> DataFrame:
     )
 
 
+def line_blocks(views: Views) -> DataFrame:
+    """Line items as blocks of their order's page, each below the line before it."""
+    lines = views["lineitem"].select("l_orderkey", "l_linenumber").distinct()
+    page = F.md5(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")))
+
+    def block(line: Column) -> Column:
+        return F.md5(F.concat_ws("/", F.lit("line"), F.col("l_orderkey").cast("string"), line.cast("string")))
+
+    return conform(
+        lines.select(
+            page.alias("page_id"), block(F.col("l_linenumber")).alias("block_id"),
+            F.when(F.col("l_linenumber") == 1, page).otherwise(block(F.col("l_linenumber") - 1)).alias("parent_id"),
+            F.lit(0).alias("ordinal"), F.lit("paragraph").alias("type"), F.lit(True).alias("has_children"),
+            F.array(span(F.lit("line"))).alias("rich_text"), F.lit(True).alias("payload_present"),
+        ),
+        schemas.BLOCK,
+    )
+
+
 def entry_records(views: Views) -> DataFrame:
     """One database entry per part, with a property of each kind of text."""
     part = views["part"]

@@ -63,6 +63,11 @@ select {key_id('customer', 'c_custkey')} as id, 'page' as type, n.folder as fold
 from {{customer}} c join {{fx_nation}} n on c.c_nationkey = n.n_nationkey
 """
 
+VIEWS["fx_customer_row"] = f"""
+select {key_id('customer', 'c_custkey')} as id, c_custkey, c_name, concat('+1-', cast(c_custkey as string)) as c_phone, c_mktsegment
+from {{customer}}
+"""
+
 VIEWS["fx_order"] = f"""
 select {key_id('order', 'o_orderkey')} as id, 'page' as type, c.folder as folder,
        concat(replace(c.file_path, '.md', ''), '/order-', cast(o_orderkey as string), '.md') as file_path,
@@ -120,21 +125,26 @@ select 1000 + cast(floor(o_orderkey / 10) as bigint) as seq, cast(o_orderkey % 1
 from {{orders}} o join {{fx_region}} r on cast(floor(o_orderkey / 10) as bigint) % 5 = r.r_regionkey
 """
 
-# One task-list line per region, the first one twice, and lines that are not entries.
+# Task-list lines: a region, the first one twice, and per customer new pages, registered pages, and
+# lines that are not entries.
 VIEWS["fx_root_lines"] = f"""
-select cast(r_regionkey * 2 as int) as line_no,
+select cast(r_regionkey * 2 as bigint) as line_no,
        concat('- [', case when r_regionkey % 2 = 0 then 'x' else ' ' end, '] **',
               lower(replace(r_name, ' ', '-')), '**: https://example.com/', replace(r_name, ' ', '-'), '-',
               {key_id('region', 'r_regionkey')}) as line
 from {{region}} where r_regionkey <> 3
-union all select cast(100 + r_regionkey as int) as line_no,
+union all select cast(100 + r_regionkey as bigint) as line_no,
        concat('- [X] **again**:   ', {dashed(key_id('region', 'r_regionkey'))}) as line
 from {{region}} where r_regionkey = 1
-union all select cast(200 + r_regionkey as int) as line_no,
-       concat('- [ ] **new-', cast(r_regionkey as string), '**: ', {key_id('newroot', 'r_regionkey')}) as line
-from {{region}}
-union all select cast(300 + r_regionkey as int) as line_no, '- [x] **docs**: not-a-valid-url' as line from {{region}}
-union all select cast(400 + r_regionkey as int) as line_no, '# Root Pages' as line from {{region}}
+union all select cast(1000 + 4 * c_custkey as bigint) as line_no,
+       concat('- [ ] **new-', cast(c_custkey % 50 as string), '**: ', {key_id('newroot', 'c_custkey')}) as line
+from {{customer}} where c_custkey % 2 = 0
+union all select cast(1001 + 4 * c_custkey as bigint) as line_no, '- [x] **docs**: not-a-valid-url' as line
+from {{customer}} where c_custkey % 10 = 0
+union all select cast(1002 + 4 * c_custkey as bigint) as line_no, '# Root Pages' as line from {{customer}} where c_custkey % 25 = 0
+union all select cast(1003 + 4 * c_custkey as bigint) as line_no,
+       concat('- [x] **crm_', cast(c_custkey % 7 as string), '**: https://example.com/page-', {key_id('customer', 'c_custkey')}) as line
+from {{customer}} where c_custkey % 5 = 0
 """
 
 # A corpus of documents: two files per id, some hidden, some without a usable header.

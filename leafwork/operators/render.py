@@ -115,14 +115,13 @@ def _separated(tops: Column) -> Column:
     return F.array_join(F.transform(tops, spaced), "")
 
 
-def bodies(pieces: DataFrame, sizes: DataFrame, *, limit: int = PART_BYTES) -> DataFrame:
+def bodies(pieces: DataFrame, *, limit: int = PART_BYTES) -> DataFrame:
     """Document bodies `(page_id, part_no, content)` from `fragments`.
 
-    `sizes(page_id)` has one row per block and tells, from the key column alone, which pages may
-    be too large for one task. All others are concatenated after a single shuffle on the page:
-    both group-bys reuse its partitioning.
+    Pages with more text than `limit` are found by measuring all. The others are concatenated after
+    a single shuffle on the page: both group-bys reuse its partitioning.
     """
-    big = oversized(pieces, ["page_id"], "text", sizes=sizes, limit=limit)
+    big = oversized(pieces, ["page_id"], "text", limit=limit)
     ordinary = pieces if big is None else pieces.join(big, "page_id", "left_anti")
     per_top = (
         ordinary.repartition("page_id")
@@ -233,7 +232,7 @@ def render_pages(
     pieces = fragments(
         blocks, heads.select("page_id", "title"), file_url=file_url, max_level=max_level, floor=floor
     )
-    texts = bodies(pieces, blocks.select("page_id"), limit=limit)
+    texts = bodies(pieces, limit=limit)
     return _documents(heads, texts)
 
 
@@ -313,10 +312,7 @@ def render_databases(
         F.concat(F.lit("- ["), shown, F.lit("](./"), "base", F.lit("/"), slug(shown),
                  F.lit(".md)<!-- page_id:"), "entry_id", F.lit(" -->\n")).alias("text"),
     )
-    lists = ordered_text(
-        links, ["page_id"], ["position", "entry_id"], "text",
-        sizes=listed.select(F.col("database_id").alias("page_id")), limit=limit,
-    )
+    lists = ordered_text(links, ["page_id"], ["position", "entry_id"], "text", limit=limit)
     # the list ends with a blank line; without entries a notice takes its place
     ends = lists.groupBy("page_id").agg(F.max("part_no").alias("last_part"))
     closed = lists.join(ends, "page_id").select(

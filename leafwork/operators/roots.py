@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.functions.ids import page_id_from_text
-from leafwork.operators.ordering import ordered_text
+from leafwork.operators.ordering import with_index
 
 ENTRY = r"^- \[([ xX])\] \*\*([^*]+)\*\*:\s*(.+)$"  # fixed value: line format
-HEADING = "# Root Pages\n\n"  # fixed value
+HEADING = ("# Root Pages", "")  # fixed value: first lines
 
 
 def valid_folder(folder: Column) -> Column:
@@ -51,17 +51,12 @@ def first_per_page(entries: DataFrame) -> DataFrame:
 
 
 def format_manifest(entries: DataFrame) -> DataFrame:
-    """The manifest as text: `(part_no, content)`; one part unless the list is huge."""
+    """The lines of the manifest, `(line_no, text)` from 0: the heading, a blank line, and the entries in order."""
     box = F.when(F.col("enabled"), "- [x] **").otherwise("- [ ] **")
-    lines = entries.select(
-        F.lit(0).alias("file"),
-        "line_no",
-        "page_id",
-        F.concat(box, "folder", F.lit("**: "), "url", F.lit("\n")).alias("text"),
-    )
-    parts = ordered_text(lines, ["file"], ["line_no", "page_id"], "text")
-    heading = F.when(F.col("part_no") == 0, HEADING).otherwise("")
-    return parts.select("part_no", F.concat(heading, "content").alias("content"))
+    lines = entries.select("line_no", "page_id", F.concat(box, "folder", F.lit("**: "), "url").alias("text"))
+    numbered = with_index(lines, [F.col("line_no"), F.col("page_id")], "_at")
+    heading = entries.sparkSession.createDataFrame(list(enumerate(HEADING)), "line_no BIGINT, text STRING")
+    return heading.unionByName(numbered.select((F.col("_at") + len(HEADING)).cast("bigint").alias("line_no"), "text"))
 
 
 def reconcile_roots(entries: DataFrame, registry: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,3 +82,37 @@ def lookup(
     cold = marked.where(spread).drop("_hot").join(right, condition, how)
     warm = marked.where(~spread).drop("_hot").join(F.broadcast(few), condition, how)
     return cold.unionByName(warm)
+
+
+def _broadcastable(table: DataFrame) -> bool:
+    """Whether Spark holds the table small enough to send it to every task by itself."""
+    limit = table._jdf.queryExecution().sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
+def lookup_slots(
+    rows: DataFrame, table: DataFrame, slots: dict[str, Column], table_key: str, value: str, *, row_id: str, floor: int = HOT_FLOOR
+) -> DataFrame:
+    """Add a column per slot: the `value` of the row of `table` that its key finds, or null.
+
+    `slots` maps new columns to the keys they look up; `table` has at most one row per key and `row_id`
+    is unique. A table that Spark broadcasts is joined once per slot without a shuffle. Otherwise the
+    keys of all slots become rows of their own, `(row, slot, key)`, which are counted once and joined
+    once (see `lookup`), and what was found is gathered by row; so the wide rows are moved once, and a
+    key that is hot in any slot is joined apart.
+    """
+    found = table.select(F.col(table_key).alias("_t_key"), F.col(value).alias("_t_value"))
+    if _broadcastable(found):
+        for name, key in slots.items():
+            one = found.select(F.col("_t_key").alias(f"_{name}_key"), F.col("_t_value").alias(name))
+            rows = rows.join(one, key == F.col(f"_{name}_key"), "left").drop(f"_{name}_key")
+        return rows
+    asked = rows.select(
+        F.col(row_id).alias("_row"),
+        F.inline(F.array(*(F.struct(F.lit(i).alias("_slot"), key.alias("_key")) for i, key in enumerate(slots.values())))),
+    ).where("_key is not null")
+    answered = lookup(asked, found, "_key", "_t_key", how="inner", floor=floor)
+    gathered = answered.groupBy("_row").agg(
+        *(F.first(F.when(F.col("_slot") == i, F.col("_t_value")), ignorenulls=True).alias(name) for i, name in enumerate(slots))
+    )
+    return rows.join(gathered, F.col(row_id) == F.col("_row"), "left").drop("_row")

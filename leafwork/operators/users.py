@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.functions.ids import blank_to_null
-from leafwork.operators.skew import HOT_FLOOR, lookup
+from leafwork.operators.skew import HOT_FLOOR, lookup_slots
 
 
 def _nameless(user: Column) -> Column:
@@ -16,38 +16,30 @@ def _nameless(user: Column) -> Column:
 def enrich_users(pages: DataFrame, users: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
     """`created_by` and `last_edited_by` with name, type and email where the name is missing.
 
-    One editor may own a large share of all pages, so the joins treat hot users apart.
+    Both users of a page are looked up together (see `lookup_slots`); one editor may own a large share
+    of all pages. Page ids are unique.
     """
-    result = pages
-    for column in ("created_by", "last_edited_by"):
-        user = F.col(column)
-        known = users.select(
-            F.col("id").alias("u_id"),
+    columns = ("created_by", "last_edited_by")
+    known = users.select(
+        F.col("id").alias("u_id"),
+        F.struct(
+            F.col("type"), F.col("name"), F.when(blank_to_null(F.col("email")).isNotNull(), F.struct("email")).alias("person")
+        ).alias("u_user"),
+    )
+    wanted = {f"_{c}": F.when(_nameless(F.col(c)), F.col(c)["id"]) for c in columns}
+    found = lookup_slots(pages, known, wanted, "u_id", "u_user", row_id="id", floor=floor)
+
+    def named(column: str) -> Column:
+        user, record = F.col(column), F.col(f"_{column}")
+        return F.when(
+            record.isNotNull(),
             F.struct(
-                F.col("id"),
-                F.col("type"),
-                F.col("name"),
-                F.when(blank_to_null(F.col("email")).isNotNull(), F.struct("email")).alias("person"),
-            ).alias("u_user"),
-        )
-        wanted = F.when(_nameless(user), user["id"])
-        result = (
-            lookup(result.withColumn("_wanted", wanted), known, "_wanted", "u_id", floor=floor)
-            .withColumn(
-                column,
-                F.when(
-                    F.col("u_id").isNotNull(),
-                    F.struct(
-                        user["id"].alias("id"),
-                        F.col("u_user.type").alias("type"),
-                        F.col("u_user.name").alias("name"),
-                        F.coalesce("u_user.person", user["person"]).alias("person"),
-                    ),
-                ).otherwise(user),
-            )
-            .drop("_wanted", "u_id", "u_user")
-        )
-    return result
+                user["id"].alias("id"), record["type"].alias("type"), record["name"].alias("name"),
+                F.coalesce(record["person"], user["person"]).alias("person"),
+            ),
+        ).otherwise(user)
+
+    return found.withColumns({c: named(c) for c in columns}).drop(*wanted)
 
 
 def unknown_users(pages: DataFrame, users: DataFrame) -> DataFrame:

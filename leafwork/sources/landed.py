@@ -27,6 +27,40 @@ def read_blocks(spark: SparkSession, path: str, form: str = "json") -> DataFrame
     return read_landed(spark, path, schemas.BLOCK, form)
 
 
+BUCKETS = 64
+
+
+def page_bucket(page: Column) -> Column:
+    """Bucket of a page's blocks."""
+    return F.pmod(F.xxhash64(normalize_id(page)), F.lit(BUCKETS)).cast("int")
+
+
+def land_blocks(blocks: DataFrame, path: str) -> None:
+    """Write blocks in folders by bucket of their page, sorted by page.
+
+    Who needs few pages reads their buckets, and of those the row groups that can hold the pages. Rows
+    are dealt by ranges that end with the block, so a page with very many blocks is several files.
+    """
+    order = ["bucket", "page_id", "block_id"]
+    placed = blocks.withColumn("bucket", page_bucket(F.col("page_id"))).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.write.partitionBy("bucket").parquet(path)
+
+
+def read_bucketed_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of `land_blocks`, with their `bucket`."""
+    return spark.read.schema(schemas.BLOCK + ", bucket INT").parquet(path)
+
+
+def blocks_of(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """The blocks of `pages(page_id)`; bucketed blocks are read in the buckets of these pages only."""
+    keyed = blocks.withColumn("_page", normalize_id(F.col("page_id")))
+    wanted = pages.select(F.col("page_id").alias("_page"))
+    if "bucket" not in blocks.columns:
+        return keyed.join(wanted, "_page", "left_semi").drop("_page")
+    wanted = wanted.withColumn("bucket", page_bucket(F.col("_page")))
+    return keyed.join(wanted, ["bucket", "_page"], "left_semi").drop("_page", "bucket")
+
+
 def read_users(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
     return read_landed(spark, path, schemas.USERS, form)
 

@@ -167,10 +167,14 @@ def test_manifest_round_trip(spark, tmp_path):
     entries = roots.first_per_page(files.read_root_manifest(spark, str(path))).orderBy("line_no")
     assert [(r["folder"], r["enabled"], r["page_id"][0]) for r in entries.collect()] == [
         ("tech", True, "2"), ("sales", False, "3"), ("docs", True, "4")]
-    written = roots.format_manifest(entries).first()["content"]
-    path.write_text(written)
+    assert files.write_root_manifest(entries, str(path))
+    written = path.read_text()
+    assert written == "# Root Pages\n\n" + "".join(
+        f"- [{'x' if r['enabled'] else ' '}] **{r['folder']}**: {r['url']}\n" for r in entries.collect())
     again = roots.first_per_page(files.read_root_manifest(spark, str(path)))
-    assert roots.format_manifest(again).first()["content"] == written
+    assert not files.write_root_manifest(again, str(path)) and path.read_text() == written
+    assert files.write_root_manifest(again.where("folder <> 'sales'"), str(path)) and "sales" not in path.read_text()
+    assert files.write_root_manifest(again, str(tmp_path / "new.md")) and (tmp_path / "new.md").read_text() == path.read_text()
     assert files.read_root_manifest(spark, str(tmp_path / "none.md")).isEmpty()
 
 
@@ -187,3 +191,35 @@ def test_reconcile(spark, tmp_path):
                    "4": ("docs", None, True, True, True), "o": ("z", "z.md", True, True, False)}
     queued = roots.roots_to_queue(after, F.lit(T0)).collect()
     assert [(r["folder"], r["type"]) for r in queued] == [("docs", "init")]
+
+
+def test_sidecars_round_trip(spark, tmp_path):
+    root = str(tmp_path / "files")
+    rows = [("a/files/x.png.meta.json", "f1", "p1", T0), ("a/files/y z.png.meta.json", "f2", None, T0 + timedelta(microseconds=5))]
+    schema = "path STRING, file_id STRING, parent_page_id STRING, downloaded_at TIMESTAMP"
+    assert files.write_sidecars(spark.createDataFrame(rows + rows[:1], schema), root) == 2
+    read = lambda: sorted(map(tuple, files.read_sidecars(spark, root).collect()))
+    assert read() == rows
+    # only what differs is written again
+    before = (tmp_path / "files" / rows[0][0]).stat().st_mtime_ns
+    changed = [rows[0], (rows[1][0], "f2", "p9", T0), ("b.meta.json", "f3", "p1", T0)]
+    assert files.write_sidecars(spark.createDataFrame(changed, schema), root) == 2
+    assert read() == changed and (tmp_path / "files" / rows[0][0]).stat().st_mtime_ns == before
+    assert files.write_sidecars(spark.createDataFrame([], schema), root) == 0
+
+
+@pytest.mark.parametrize("threshold, floor", [("10m", 10**6), ("-1", 10**6), ("-1", 50)])
+def test_lookup_of_several_columns(spark, threshold, floor):
+    """Two keys of a row are looked up in one go, whether the table is broadcast or a key is hot."""
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["hot", "hot", "k1", "k2", "lost", None]), rng.choice(["hot", "k3", None])) for i in range(400)]
+    table = {k: f"value of {k}" for k in ("hot", "k1", "k2", "k3")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = skew.lookup_slots(
+            spark.createDataFrame(rows, "i INT, a STRING, b STRING"), spark.createDataFrame(list(table.items()), "k STRING, v STRING"),
+            {"va": F.col("a"), "vb": F.col("b")}, "k", "v", row_id="i", floor=floor)
+        got = sorted((r["i"], r["a"], r["b"], r["va"], r["vb"]) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(i, a, b, table.get(a), table.get(b)) for i, a, b in rows]

@@ -1,5 +1,6 @@
 """Pull, sync and the jobs around them on a small workspace."""
 
+import hashlib
 import json
 from dataclasses import replace
 from datetime import datetime, timedelta
@@ -155,11 +156,14 @@ def test_registry_goes_through_the_index(spark, workspace, synced, tmp_path):
 
 
 def test_hash_covers_every_part(spark):
-    parts = [("a", 0, "h0"), ("a", 1, "h1"), ("b", 0, "h0")]
-    frame = lambda rows: spark.createDataFrame(rows, "page_id STRING, part_no BIGINT, content_hash STRING")
-    before = {r["page_id"]: r["content_hash"] for r in sync.document_hashes(frame(parts)).collect()}
-    after = {r["page_id"]: r["content_hash"] for r in sync.document_hashes(frame([("a", 0, "h0"), ("a", 1, "h2")])).collect()}
-    assert before["b"] == "h0" and before["a"] != after["a"]
+    """The hash is that of the whole text, however it was cut."""
+    text = {"a": "".join(f"line {i} ü\n" for i in range(200)), "b": "short", "c": "x" * 999}
+    for size in (7, 100, 10_000):
+        parts = [(k, n, t[at:at + size], hashlib.sha256(t[at:at + size].encode()).hexdigest())
+                 for k, t in text.items() for n, at in enumerate(range(0, len(t), size))]
+        frame = spark.createDataFrame(parts[::-1], "page_id STRING, part_no BIGINT, content STRING, content_hash STRING")
+        got = {r["page_id"]: r["content_hash"] for r in sync.document_hashes(frame).collect()}
+        assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in text.items()}
 
 
 def test_budget_keeps_the_rest(spark, workspace):

@@ -15,9 +15,9 @@ from leafwork import session
 from leafwork.session import staged
 
 MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
+# Words are hashed modulo two primes. Modulo a power of two, sequences made for it collide under any base.
+PRIMES = (2**31 - 1, 2**31 - 19)
+BASES = (1_220_703_131, 1_664_525_003)
 
 _MODELS: list = []
 
@@ -48,7 +48,7 @@ def release_models(but=None) -> None:
     for other in _MODELS:
         if other is not but and other.cache_info().currsize:
             other.cache_clear()
-            Buffer._powers = Buffer._inverses = np.ones(1, np.uint64)
+            Buffer._tables_of = {}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,8 +76,7 @@ class Buffer:
     A line feed ends each text, so that no word spans two of them. `row` is the text of each word.
     """
 
-    _powers = np.ones(1, np.uint64)
-    _inverses = np.ones(1, np.uint64)
+    _tables_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, texts: list[str], lower: bool = False):
         encoded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
@@ -97,23 +96,41 @@ class Buffer:
         self.row = np.searchsorted(self.ends, self.word_start, side="right")
 
     @classmethod
-    def _tables(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls._powers) < n:
-            size = 1 << max(16, n.bit_length())
-            for name, factor in (("_powers", _BASE), ("_inverses", _INVERSE)):
-                table = np.full(size, factor, np.uint64)
-                table[0] = 1
-                setattr(cls, name, np.cumprod(table, dtype=np.uint64))
-        return cls._powers, cls._inverses
+    def _tables(cls, which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of a base and of its inverse, modulo its prime, below the n-th at least."""
+        known = cls._tables_of.get(which)
+        if known is None or len(known[0]) < n:
+            prime, base = PRIMES[which], BASES[which]
+            known = tuple(powers(f, prime, 1 << max(16, n.bit_length())) for f in (base, pow(base, -1, prime)))
+            cls._tables_of[which] = known
+        return known
 
     def hashes(self, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of the bytes of each word, or of the given ranges."""
+        """A 64-bit hash of the bytes of each word, or of the given ranges: two sums modulo primes, mixed."""
         starts = self.word_start if starts is None else starts
         ends = self.word_end if ends is None else ends
-        powers, inverses = self._tables(len(self.bytes) + 1)
-        sums = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * powers[: len(self.bytes)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+        n = len(self.bytes)
+        both = []
+        for which, prime in enumerate(PRIMES):
+            powers_, inverses = self._tables(which, n + 1)
+            terms = (self.bytes.astype(np.uint64) + np.uint64(1)) * powers_[:n]
+            if n >= 1 << 24:  # else the sum of all terms stays below 2**64
+                terms %= np.uint64(prime)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(terms, out=sums[1:])
+            both.append((sums[ends] - sums[starts]) % np.uint64(prime) * inverses[starts] % np.uint64(prime))
+        return mix((both[0] << np.uint64(32) | both[1]) + mix((ends - starts).astype(np.uint64)))
+
+
+def powers(base: int, prime: int, n: int) -> np.ndarray:
+    """1, base, base², … modulo a prime below 2**31, n of them."""
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        step = np.uint64(pow(base, done, prime))
+        out[done : 2 * done] = out[: min(done, n - done)] * step % np.uint64(prime)
+        done *= 2
+    return out
 
 
 def map_rows(

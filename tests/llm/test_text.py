@@ -297,3 +297,11 @@ def test_toxicity(ready, corpus, odd, nothing):
     assert toxicity.rate_documents(nothing, labels).count() == 0
     unknown = ready.createDataFrame([(None, 1), (3, None)], "doc_id bigint, toxic int")
     assert {r["score"] for r in collected(toxicity.rate_documents(odd, unknown))} == {0.0}
+
+
+def test_lines_made_to_collide():
+    """Two different lines that sums modulo a power of two take for one are not duplicates."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    text = word + "\n" + word.translate(str.maketrans("ab", "ba"))
+    counts = quality.text_counts([text])
+    assert tuple(int(counts[c][0]) for c in quality.COUNTS) == plain_counts(text) and counts["n_dup_lines"][0] == 0

@@ -26,7 +26,7 @@ KNOWN = 5_000_000  # n-grams whose counts take part in the order
 CLUSTER = 2000  # documents up to which a cluster is thinned out by pictures
 GROUP = 250_000  # n-grams of the documents that are compared at once
 DOCUMENTS = 1500  # documents of a part of a large cluster; two parts are multiplied at once
-SMALL = 2_000_000  # rows up to which a table of ids is broadcast
+SMALL = 500_000  # rows up to which a table of ids and digests, some 60 bytes a row, is broadcast
 
 _FIELDS = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
@@ -362,14 +362,54 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total + total.T + np.rint(product).astype(np.int64)
 
 
-def _links(items: DataFrame, pool: DataFrame, measure: Measure) -> DataFrame:
+@dataclass(frozen=True)
+class Source:
+    """Where the texts of classes come from: `docs`, found by ids, or by digests where an id does not tell.
+
+    `named(class, least, n, digest)` names a row of each class by its id; `unsure(doc_id)` are null and
+    all ids that several rows have.
+    """
+
+    docs: DataFrame
+    named: DataFrame
+    unsure: DataFrame
+    words: int
+
+    def texts(self, items: DataFrame) -> DataFrame:
+        """`items(group, cluster, class)` with the text of each class and the digest of its set.
+
+        Where an id belongs to one row, the text goes from the scan straight to its group: ids, groups
+        and digests are joined to it on the way. The texts of all other ids are reduced to one per
+        digest first, so however many rows share an id, or have none, each text is held once.
+        """
+        wanted = staged(items.join(self.named.select("class", F.col("least").alias("_least"), F.col("digest").alias("_digest")), "class"))
+        texts = self.docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null")
+        unsure = self.unsure.select(F.col("doc_id").alias("_unsure"))
+        sure = wanted.join(unsure, F.col("_least").eqNullSafe(F.col("_unsure")), "left_anti")
+        sure = _small(sure)
+        out = texts.join(sure, F.col("_id") == F.col("_least")).select("group", "cluster", "class", "_digest", "text")
+        if self.unsure.isEmpty():
+            return out
+        rest = wanted.join(unsure, F.col("_least").eqNullSafe(F.col("_unsure")), "left_semi")
+        among = texts.join(_small(unsure), F.col("_id").eqNullSafe(F.col("_unsure")), "left_semi")
+        named = among.select("text", _digest_of(self.words)(F.col("text")).alias("_found")).groupBy("_found").agg(F.first("text").alias("text"))
+        return out.unionByName(named.join(rest, F.col("_found") == F.col("_digest")).select("group", "cluster", "class", "_digest", "text"))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """The table, staged, to be broadcast if it has at most SMALL rows."""
+    table = staged(table)
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
+def _links(items: DataFrame, source: Source, measure: Measure) -> DataFrame:
     """The edges (a, b) of a forest over the links within each cluster of `items` (cluster, class).
 
     Clusters are dealt into groups of about GROUP n-grams; a group multiplies one cluster after another.
     """
-    total = items.join(pool.select("class", "n"), "class").agg(F.sum("n")).first()[0] or 0
+    total = items.join(source.named.select("class", "n"), "class").agg(F.sum("n")).first()[0] or 0
     group = F.pmod(F.xxhash64("cluster"), F.lit(max(1, int(total // GROUP)))).alias("group")
-    texts = items.select(group, "cluster", "class").join(pool.select("class", "text"), "class")
+    texts = source.texts(items.select(group, "cluster", "class"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         once = frame.drop_duplicates("class")
@@ -392,24 +432,24 @@ def _links(items: DataFrame, pool: DataFrame, measure: Measure) -> DataFrame:
             found += [(int(names[r]), int(names[i])) for i, r in enumerate(label.tolist()) if i != r]
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    return staged(texts.groupBy("group").applyInPandas(run, "a bigint, b bigint"))
+    return staged(texts.select("group", "cluster", "class", "text").groupBy("group").applyInPandas(run, "a bigint, b bigint"))
 
 
-def _compare(members: DataFrame, pool: DataFrame, measure: Measure) -> DataFrame:
+def _compare(members: DataFrame, source: Source, measure: Measure) -> DataFrame:
     """The component of every document that is linked with another one: node, component.
 
     A cluster of at most about GROUP n-grams and DOCUMENTS documents is compared at once. A larger one is
     cut into parts by hash, each with the hub, which as a rule joins the copies of one text; after that only documents
     that are not in the hub's component are held against all others, part by part.
     """
-    weight = pool.select("class", F.col("n").alias("weight"))
+    weight = source.named.select("class", F.col("n").alias("weight"))
     # a matrix grows with the square of the documents, however short they are
     count = F.greatest(F.ceil(F.sum("weight") / GROUP), F.ceil(F.count("*") / DOCUMENTS)).cast("int")
     load = staged(members.join(weight, "class").groupBy("hub").agg(count.alias("parts")))
     dealt = members.join(load, "hub").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     hubs = load.select("hub", F.col("hub").alias("class"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     items = dealt.select("hub", "class", "part").unionByName(hubs)
-    links = _links(items.select(F.xxhash64("hub", "part").alias("cluster"), "class"), pool, measure)
+    links = _links(items.select(F.xxhash64("hub", "part").alias("cluster"), "class"), source, measure)
     joined = staged(components(links))
     large = load.where("parts > 1")
     if large.isEmpty():
@@ -431,7 +471,7 @@ def _compare(members: DataFrame, pool: DataFrame, measure: Measure) -> DataFrame
         rows.join(lone, "hub").select("hub", "class", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "part"),
     ]
     items = sides[0].unionByName(sides[1]).select(F.xxhash64("hub", "slice", "part").alias("cluster"), "class").distinct()
-    return staged(components(links.unionByName(_links(items, pool, measure))))
+    return staged(components(links.unionByName(_links(items, source, measure))))
 
 
 def link_documents(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
@@ -474,25 +514,9 @@ def _linked(docs: DataFrame, measure: Measure) -> DataFrame:
     members = staged(_thinned(staged(members.distinct()), classes, measure))
     drop_table(docs.sparkSession, sets_path)
 
-    needed = members.select("class").union(members.select("hub")).distinct().join(named, "class")
-    needed = staged(needed)
-    if needed.count() <= SMALL:
-        needed = F.broadcast(needed)
-    texts = docs.select(F.col("doc_id").alias("least"), "text").where("text is not null")
-
-    def same(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in sized_batches(frames, "text"):
-            sets = gram_sets(frame["text"].tolist(), measure.words)
-            good = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, frame["digest"], strict=True)]
-            yield frame.loc[good, ["class", "n", "text"]]
-
-    # an id may occur with several texts, so only that of the class is taken, and once
-    matched = texts.join(needed, texts["least"].eqNullSafe(needed["least"])).select("class", "n", "text", "digest")
-    pool = matched.mapInPandas(same, "class bigint, n bigint, text string")
-    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
-        pool = pool.dropDuplicates(["class"])
-    pool = staged(pool)
-    joined = _compare(members, pool, measure)
+    many = rows.groupBy("doc_id").agg(F.count("*").alias("count")).where("doc_id is null or count > 1")
+    source = Source(docs.select("doc_id", "text"), named, staged(many.select("doc_id")), measure.words)
+    joined = _compare(members, source, measure)
     named = named.join(joined.withColumnRenamed("node", "class"), "class", "left")
     named = staged(named.withColumn("component", F.coalesce("component", "class")))
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest"))

@@ -159,3 +159,41 @@ def test_short_near_copies_are_cut_by_documents(ready, monkeypatch):
     found = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in collected(jaccard.link_documents(docs)))
     assert found == plain_components(rows, jaccard.Measure())
     assert 2 < max(sizes) <= 120
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_made_to_collide():
+    """A Thue-Morse word and its complement have equal sums under any base modulo a power of two."""
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    one, two = common.Buffer([f"{word} {other}"]).hashes().tolist()
+    assert one != two
+    a, b = jaccard.gram_sets([f"{word} x y z", f"{other} x y z"], 4)
+    assert a.tolist() != b.tolist()
+    for n in (1, 7, 300, 70_000):  # equal words have equal hashes wherever they are
+        r = random.Random(n)
+        text = "".join(r.choice("abc") for _ in range(n))
+        found = common.Buffer(["pad " * 3 + text, text + " tail"])
+        hashed = found.hashes()
+        assert hashed[3] == hashed[4] and len(set(hashed.tolist())) == 3
+
+
+def test_powers():
+    for n in (1, 2, 5, 1000):
+        assert common.powers(12345, 2**31 - 1, n).tolist() == [pow(12345, i, 2**31 - 1) for i in range(n)]
+
+
+def test_many_rows_without_an_id(ready):
+    """Null and shared ids: each text is found by its set, so the work grows with the rows."""
+    n = 20_000
+    docs = ready.range(n).selectExpr(
+        "if(id % 2 = 0, null, 5L) as doc_id",
+        "concat_ws(' ', transform(sequence(0, 19), i -> concat('w', cast(pmod(xxhash64(id div 2, i), 1000000) as string))), "
+        "if(id % 2 = 0, 'even', 'odd')) as text",
+    )
+    rows = jaccard.link_documents(docs, jaccard.Measure(4, 85)).groupBy("doc_id", "component_id", "n_shingles").count().collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["n_shingles"], r["count"]) for r in rows) == [
+        ("5", "5", 18, n // 2), ("None", "5", 18, n // 2)]

@@ -17,7 +17,7 @@ BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000  # probabilities are whole numbers of this size, plus one
 PRIOR = 5  # added to every count
 HELD_ROWS = 200_000  # partial counts a task gathers before it hands them on
-SHARD_CELLS = 1 << 20  # cells of one shard of the matrix of sources by terms
+SHARD_CELLS = 1 << 15  # cells of one shard of the matrix of sources by terms, if its sources are few
 BLOCK = 256  # sources one task holds against as many others
 COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -130,7 +130,9 @@ def _pairs(cells: DataFrame, groups: DataFrame, block: int, shard_cells: int) ->
     The matrix of sources by terms is cut into shards of terms and blocks of sources; a task holds one
     shard of two blocks. Shards come from the number of terms and sources, so their size is bounded.
     """
-    shards = F.greatest(F.ceil(F.col("terms") * F.least("sources", F.lit(2 * block)) / F.lit(shard_cells)), F.lit(1)).cast("int")
+    # a shard gives a row per pair of its sources, so it holds at least as many terms
+    held = F.least("sources", F.lit(2 * block))
+    shards = F.greatest(F.ceil(F.col("terms") * held / F.greatest(F.lit(shard_cells), held * held)), F.lit(1)).cast("int")
     blocks = F.ceil(F.col("sources") / F.lit(block)).cast("int")
 
     def to_blocks(frame: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from leafwork.session import staged
 BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000  # probabilities are whole numbers of this size, plus one
 PRIOR = 5  # added to every count
-HELD_ROWS = 200_000  # partial counts a task gathers before it hands them on
+HELD_ROWS = 600_000  # partial counts a task gathers before it hands them on
 SHARD_CELLS = 1 << 15  # cells of one shard of the matrix of sources by terms, if its sources are few
 BLOCK = 256  # sources one task holds against as many others
 COUNTS = "lang string, source string, term string, n bigint, docs bigint"

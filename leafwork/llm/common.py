@@ -160,7 +160,7 @@ def mask_of(frame: DataFrame, name: str) -> str:
     return f"_c{frame.columns.index(name)}"
 
 
-def sized_batches(frames: Iterator[pd.DataFrame], column: str, limit: int = 2_000_000) -> Iterator[pd.DataFrame]:
+def sized_batches(frames: Iterator[pd.DataFrame], column: str, limit: int = 500_000) -> Iterator[pd.DataFrame]:
     """Cut batches so that the text of one has about `limit` characters; one long text is a batch."""
     for frame in frames:
         if not len(frame):

@@ -172,7 +172,7 @@ def predict_documents(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parser = _parser(fixed)
-        for frame in sized_batches(frames, "text"):
+        for frame in sized_batches(frames, "text", 2_000_000):
             names, score = parser.predict(frame["text"].tolist())
             yield frame[["doc_id", "held_out"]].assign(lang_pred=names, score=score)
 

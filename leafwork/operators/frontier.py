@@ -15,6 +15,7 @@ from leafwork.session import staged
 Fetch = Callable[[DataFrame | None], DataFrame]
 
 ROUNDS = 8  # walked one edge at a time; what is deeper is reached by doubling
+SHARE = 20  # seeds are few below this part of the nodes
 
 
 def pointers_of(nodes: DataFrame) -> Fetch:
@@ -72,20 +73,38 @@ def _doubled(frontier: DataFrame, fetch: Fetch, stop: DataFrame | None, floor: i
         jumps = staged(lookup(jumps, twice, "up", "j_id", how="inner", floor=floor).select("id", F.col("j_up").alias("up")))
 
 
+def few(seeds: DataFrame, nodes: DataFrame) -> bool:
+    """Whether walking up from `seeds` costs less than following all pointers of `nodes` at once.
+
+    The results are the same. A walk takes a round per level; from a large part of the nodes it would
+    reach most of the others, and doubling all of them takes fewer and no larger rounds.
+    """
+    return seeds.count() * SHARE < nodes.count()
+
+
 def registry_walk(registry: DataFrame, seeds: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
-    """The rows of `registry` that decide the roots of `seeds(id)`: theirs and those above, up to the first root."""
+    """The rows of `registry` that decide the roots of `seeds(id)`: theirs and those above, up to the first root.
+
+    All rows where the seeds are many (see `few`).
+    """
+    if not few(seeds, registry):
+        return registry
     up = F.when(~F.coalesce("is_root", F.lit(False)), blank_to_null(F.col("parent_id")))
     ids = ancestor_ids(seeds, pointers_of(registry.select("id", up.alias("parent_id"))), floor=floor)
     return registry.join(ids, "id", "left_semi")
 
 
-def open_walk(fetch: Fetch, registry: DataFrame, seeds: DataFrame, *, floor: int = HOT_FLOOR) -> tuple[DataFrame, DataFrame]:
-    """What decides the nearest registered ancestors of `seeds(id)`: `(nodes, registry rows)`.
+def open_walk(fetch: Fetch, registry: DataFrame, seeds: DataFrame, *, floor: int = HOT_FLOOR) -> tuple[DataFrame, DataFrame, bool]:
+    """What decides the nearest registered ancestors of `seeds(id)`: `(nodes, registry rows, narrow)`.
 
     The nodes `(id, parent_id)` are the seeds and their unregistered ancestors, the registry rows those
-    of seeds and anchors and all above them.
+    of seeds and anchors and all above them. Where the seeds are many, both are all there are and
+    `narrow` is false (see `few`).
     """
+    everything = fetch(None).select("id", F.col("next_id").alias("parent_id"))
+    if not few(seeds, everything):
+        return staged(everything), registry, False
     ids = ancestor_ids(seeds, fetch, registry.select("id"), floor=floor)
     nodes = staged(fetch(ids).select("id", F.col("next_id").alias("parent_id")))
-    touched = seeds.select("id").unionByName(nodes.select(F.col("parent_id").alias("id")))
-    return nodes, registry_walk(registry, touched, floor=floor)
+    touched = staged(seeds.select("id").unionByName(nodes.select(F.col("parent_id").alias("id"))).distinct())
+    return nodes, registry_walk(registry, touched, floor=floor), True

@@ -21,7 +21,7 @@ def _anchored(
     fetch: Fetch, registry: DataFrame, requested: DataFrame, default_folder: str, floor: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Requested pages and their unregistered ancestors, the registry rows above them, and the anchor of each node."""
-    nodes, above = open_walk(fetch, registry, requested, floor=floor)
+    nodes, above, _ = open_walk(fetch, registry, requested, floor=floor)
     traced = staged(with_roots(above, floor=floor))
     return nodes, traced, staged(nearest_registered(nodes, traced, default_folder=default_folder, floor=floor))
 

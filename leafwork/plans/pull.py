@@ -48,7 +48,7 @@ def classify_changes(
     """Every page newer than the bound with its `decision`: `queue`, or why it is not queued.
 
     With `changed_only` pages that were not edited after the cutoff have no row. Only the pages that
-    have one, and what lies above them, are looked up (`frontier`).
+    have one, and what lies above them, are looked up if they are few (`frontier`).
 
     Pages are taken newest first, ids breaking ties. Once `max_pages` are queued, the next edited
     page ends the pull and it and everything after it is `not_reached`.
@@ -62,7 +62,7 @@ def classify_changes(
         recent = recent.where(F.col("last_edited") > F.lit(options.cutoff))
     recent = staged(recent)
     if options.include_untracked:
-        near, above = open_walk(pointers_of(nodes), registry, recent, floor=floor)
+        near, above, _ = open_walk(pointers_of(nodes), registry, recent, floor=floor)
     else:
         near, above = None, registry_walk(registry, recent, floor=floor)
     traced = staged(with_roots(above, floor=floor).select("id", "folder", "root_enabled"))

@@ -274,16 +274,16 @@ def judge_queue(ws: Workspace, queue_raw: DataFrame, options: SyncOptions) -> Ju
 
     Outcomes: `skipped` (unchanged or known), `waiting` (budget), `dropped` and `retry` (errors),
     `root_disabled` and `no_root` (processed without writing) and `written`. Unregistered
-    ancestors of a written page are written too, so children find their directory. Only the queued
-    pages and what lies above them is looked at (`frontier`), not the whole workspace.
+    ancestors of a written page are written too, so children find their directory. Of a large workspace only the queued pages and what
+    lies above them is looked at (`frontier`).
     """
     floor = options.floor
     queue = queue_raw if "page_id" in queue_raw.columns else explode_queue(queue_raw)
     in_folder = F.lit(True) if options.folder is None else F.col("folder").eqNullSafe(F.lit(options.folder))
     active = staged(with_skips(queue.where(in_folder), ws.registry, floor=floor))
     asked_for = active.where(~F.coalesce("skip", F.lit(False))).select(F.col("page_id").alias("id"))
-    nodes, above_them = open_walk(item_pointers(ws, floor=floor), ws.registry, asked_for, floor=floor)
-    items = staged(workspace_items(ws, nodes.select("id"), floor=floor))
+    nodes, above_them, narrow = open_walk(item_pointers(ws, floor=floor), ws.registry, asked_for, floor=floor)
+    items = staged(workspace_items(ws, nodes.select("id") if narrow else None, floor=floor))
     traced = staged(with_roots(above_them, floor=floor))
     anchors = staged(nearest_registered(nodes, traced, floor=floor))
     # all that is known about a page goes into one row first, so the queue is joined once; every page

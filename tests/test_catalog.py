@@ -17,7 +17,8 @@ QUICK = [
     "root_status", "page_roots", "cleanup_orphans", "block_to_page", "folder_status", "queue_chunks", "queue_budget",
     "queue_remaining", "page_slugs", "page_paths", "render_pages", "render_databases", "entry_properties", "compact_merge",
     "index_lines", "shard_keys", "reindex_latest", "document_diff", "root_text", "attachment_links", "event_queue",
-    "event_debounce",
+    "event_debounce", "tree_order", "write_set", "queue_log_rows", "commit_log", "render_kinds", "block_depth_limit",
+    "attachment_names", "root_queue",
 ]
 NAMES = sorted(QUERIES) if os.environ.get("LEAFWORK_ALL") else QUICK
 

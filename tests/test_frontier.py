@@ -67,7 +67,27 @@ def test_chain_is_written_once(spark):
     assert sorted((r["write_order"], r["id"], r["folder"]) for r in got) == [(i, f"n{i}", "tech") for i in range(2000)]
 
 
-def test_registry_walk_stops_at_the_root(spark):
+def test_few_seeds_leave_the_rest_alone(spark, monkeypatch):
+    """Ten pages of a large workspace: what is resolved are they and their ancestors, with the same result."""
+    rows = [("r", "", True, True, "f", "")] + [(f"a{i}", "r" if i < 50 else f"a{i - 50}", False, False, "f", "") for i in range(2000)]
+    registry = spark.createDataFrame(rows, REGISTRY)
+    nodes = spark.createDataFrame([(f"n{i}", f"a{i}" if i < 400 else f"n{i - 200}") for i in range(1000)], NODES)
+    asked = one_column(spark, [f"n{i}" for i in range(990, 1000)])
+    near, above, narrow = frontier.open_walk(frontier.pointers_of(nodes), registry, asked)
+    # n990 hangs on n790, n590, n390 and so on a390, below which are a340, a290, … and the root
+    assert narrow and near.count() == 40 and above.count() == 81
+    plan = maintenance.write_set(frontier.pointers_of(nodes), registry, asked)
+    small = sorted(map(tuple, plan.select("id", "folder", "write_order").collect()))
+    monkeypatch.setattr(frontier, "SHARE", 0)
+    assert frontier.open_walk(frontier.pointers_of(nodes), registry, asked)[2]
+    monkeypatch.setattr(frontier, "SHARE", 10**9)
+    assert not frontier.open_walk(frontier.pointers_of(nodes), registry, asked)[2]
+    again = maintenance.write_set(frontier.pointers_of(nodes), registry, asked)
+    assert sorted(map(tuple, again.select("id", "folder", "write_order").collect())) == small and len(small) == 40
+
+
+def test_registry_walk_stops_at_the_root(spark, monkeypatch):
+    monkeypatch.setattr(frontier, "SHARE", 0)
     rows = [("r", "higher", True, True, "f", ""), ("higher", "", True, True, "f", ""), ("a", "r", False, False, "f", ""),
             ("b", "a", False, False, "f", ""), ("c", "r", False, False, "f", "")]
     got = frontier.registry_walk(spark.createDataFrame(rows, REGISTRY), one_column(spark, ["b", "new"])).collect()

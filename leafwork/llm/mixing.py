@@ -14,6 +14,8 @@ from leafwork.session import staged
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_BITS = 6  # a node of the reduction tree takes up to 64 fractional documents
 SEED = 1
+TASK_ROWS = 20_000  # rows one task folds, about
+MOST_TASKS = 20_000
 TRIES = 16  # draws of a block, of which the one that leaves the least to round counts
 
 
@@ -162,12 +164,16 @@ def mix_sources(
     items = ranked.select(
         *keys, F.col("_rank").alias("rank"), F.col("size").alias("w"), (F.col("size") * F.col("_fraction")).alias("a"), "doc_id"
     )
-    levels = max(1, -(-max(rows.count() - 1, 1).bit_length() // BLOCK_BITS))
+    total = rows.count()
+    levels = max(1, -(-max(total - 1, 1).bit_length() // BLOCK_BITS))
     for level in range(1, levels + 1):
         block = F.shiftright("rank", level * BLOCK_BITS).alias("_block")
         if level == levels:  # one block per source
             block = F.lit(0).alias("_block")
-        listed = items.groupBy(*keys, block).agg(F.sort_array(F.collect_list(F.struct("rank", "w", "a", "doc_id"))).alias("_items"))
+        # folding costs far more than its few bytes tell, so tasks are dealt by rows
+        tasks = max(1, min(MOST_TASKS, (total >> (level - 1) * BLOCK_BITS) // TASK_ROWS))
+        dealt = items.withColumn("_block", block).repartition(tasks, "_no", "_block")
+        listed = dealt.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(F.struct("rank", "w", "a", "doc_id"))).alias("_items"))
         folded = staged(listed.select(*keys, _round_best(F.col("_items"), doc_type, seed, tries).alias("_s")))
         out = folded.select(*keys, F.explode("_s.done").alias("_d"))
         results.append(out.select("_d.doc_id", F.col("_d.w").alias("size"), *keys[:-1], (F.col("_copies") + F.col("_d.up")).alias("_copies")))

@@ -101,7 +101,8 @@ class Buffer:
         known = cls._tables_of.get(which)
         if known is None or len(known[0]) < n:
             prime, base = PRIMES[which], BASES[which]
-            known = tuple(powers(f, prime, 1 << max(16, n.bit_length())) for f in (base, pow(base, -1, prime)))
+            size = -(-n // (1 << 18)) << 18
+            known = tuple(powers(f, prime, size).astype(np.uint32) for f in (base, pow(base, -1, prime)))
             cls._tables_of[which] = known
         return known
 
@@ -160,7 +161,7 @@ def mask_of(frame: DataFrame, name: str) -> str:
     return f"_c{frame.columns.index(name)}"
 
 
-def sized_batches(frames: Iterator[pd.DataFrame], column: str, limit: int = 500_000) -> Iterator[pd.DataFrame]:
+def sized_batches(frames: Iterator[pd.DataFrame], column: str, limit: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """Cut batches so that the text of one has about `limit` characters; one long text is a batch."""
     for frame in frames:
         if not len(frame):

@@ -26,6 +26,7 @@ KNOWN = 5_000_000  # n-grams whose counts take part in the order
 CLUSTER = 2000  # documents up to which a cluster is thinned out by pictures
 GROUP = 250_000  # n-grams of the documents that are compared at once
 DOCUMENTS = 1500  # documents of a part of a large cluster; two parts are multiplied at once
+BATCH = 500_000  # characters hashed at once
 SMALL = 500_000  # rows up to which a table of ids and digests, some 60 bytes a row, is broadcast
 
 _FIELDS = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4")])
@@ -95,7 +96,7 @@ def _frequent(docs: DataFrame, words: int) -> tuple[str, int, DataFrame]:
             for at in range(0, len(grams), 100_000):
                 yield pd.DataFrame({"gram": grams[at : at + 100_000], "n": counts[at : at + 100_000]})
 
-        for frame in sized_batches(frames, "text"):
+        for frame in sized_batches(frames, "text", BATCH):
             held += gram_sets(frame["text"].tolist(), words)
             size += sum(map(len, held[-len(frame) :]))
             if size > 8_000_000:
@@ -151,7 +152,7 @@ def _sets(docs: DataFrame, measure: Measure, folder: str) -> DataFrame:
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in sized_batches(frames, "text"):
+        for frame in sized_batches(frames, "text", BATCH):
             sets = gram_sets(frame["text"].tolist(), measure.words)
             known = np.split(_look_up(folder, np.concatenate(sets)), np.cumsum([len(s) for s in sets])[:-1])
             prefixes, digests, pictures = [], [], []

@@ -156,15 +156,20 @@ def kind_pages(views: Views) -> DataFrame:
     icon = F.when(even, shaped(schemas.ICON, type=F.lit("external"), external=F.struct(_web("icon").alias("url")))).otherwise(
         shaped(schemas.ICON, type=F.lit("file"), file=F.struct(_web("icon").alias("url")))
     )
-    pages = views["fx_customer_row"].select(
+    # a page per pair of rows with the same id; only the keys are joined, as the pages are wide
+    rows = views["fx_customer_row"]
+    again = rows.select(F.col("id").alias("k_id"), F.col("c_custkey").alias("k_custkey")).hint("merge")
+    paired = rows.join(again, F.col("id") == F.col("k_id")).drop("k_id")
+    pages = paired.select(
         "id", F.lit("page").alias("object"), F.expr("timestamp '2024-02-01 00:00:00'").alias("last_edited_time"),
         _person(F.concat(F.lit("u-"), key)).alias("created_by"), icon.alias("icon"),
         shaped(schemas.PARENT, type=F.lit("database_id"), database_id=F.lit("db-1")).alias("parent"),
         F.create_map(*(x for name, value in properties.items() for x in (F.lit(name), value))).alias("properties"),
-        _web("page").alias("url"), "c_custkey",
+        _web("page").alias("url"), "k_custkey",
     )
-    placed = conform(pages, schemas.PAGE).join(pages.select(F.col("id").alias("k_id"), "c_custkey"), F.col("id") == F.col("k_id"))
-    return placed.drop("k_id").select(
-        "*", F.lit("crm").alias("folder"), F.concat(F.lit("crm/c-"), key, F.lit(".md")).alias("file_path"),
+    placed = conform(pages, schemas.PAGE, "k_custkey")
+    return placed.select(
+        *placed.drop("k_custkey").columns, F.lit("crm").alias("folder"),
+        F.concat(F.lit("crm/c-"), F.col("k_custkey").cast("string"), F.lit(".md")).alias("file_path"),
         F.lit(None).cast("timestamp").alias("last_synced"), F.lit(False).alias("is_root"), F.lit("db1").alias("resolved_parent_id"),
-    ).drop("c_custkey")
+    )

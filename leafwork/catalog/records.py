@@ -14,11 +14,11 @@ from leafwork.functions.ids import dashed_id
 SECRET = "example-secret"
 
 
-def conform(df: DataFrame, ddl: str) -> DataFrame:
-    """Columns of a landed schema, null where `df` has none."""
+def conform(df: DataFrame, ddl: str, *further: str) -> DataFrame:
+    """Columns of a landed schema, null where `df` has none, and `further` ones of `df`."""
     fields = T.StructType.fromDDL(ddl).fields
     return df.select(
-        *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+        *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields], *further
     )
 
 

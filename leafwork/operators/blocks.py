@@ -86,7 +86,8 @@ def nested_context(
     below = staged(_slim(blocks.where(~_is_top())))
     if below.isEmpty():
         return None
-    frontier = top.where("has_children")
+    # staged, as the optimizer would take exploded rows for few and have the driver broadcast them
+    frontier = staged(top.where("has_children"))
     levels: list[DataFrame] = []
     while not (max_level and len(levels) == max_level):
         above = frontier.select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.functions.ids import normalize_id
+from leafwork.functions.ids import normalize_id, packed, unpacked
 from leafwork.functions.richtext import markdown, plain_text
 from leafwork.functions.text import slug
 from leafwork.operators.skew import HOT_FLOOR, lookup
@@ -138,12 +138,35 @@ def with_context(
 
 
 def depth_limited(blocks: DataFrame, max_level: int, *, floor: int = HOT_FLOOR) -> DataFrame:
-    """Pages cut at `max_level`: `(page_id, blocks_kept, was_limited)`."""
-    tree = with_context(blocks, max_level=max_level, floor=floor)
-    cut = (F.col("level") == max_level) & F.col("has_children")
-    return tree.groupBy("page_id").agg(
-        F.count("*").alias("blocks_kept"),
-        F.bool_or(cut if max_level else F.lit(False)).alias("was_limited"),
+    """Pages cut at `max_level`: `(page_id, blocks_kept, was_limited)`.
+
+    Blocks are read once. Only packed keys go down the levels, a block without children no further than
+    its own, and a page adds up what it keeps on each level.
+    """
+    keys = blocks.select(
+        packed(F.col("page_id")).alias("page_id"), packed(F.col("block_id")).alias("block_id"),
+        packed(F.col("parent_id")).alias("parent_id"), "has_children", _is_top().alias("top"),
+    )
+    keys = staged(keys.where("top is not null"))
+    below = keys.where("not top").select("page_id", "block_id", "parent_id", "has_children")
+    level = keys.where("top").select("page_id", "block_id", "has_children")
+    kept: list[DataFrame] = []
+    while True:
+        cut = F.col("has_children") if max_level and len(kept) == max_level else F.lit(False)
+        kept.append(level.groupBy("page_id").agg(F.count("*").alias("n"), F.bool_or(cut).alias("cut")))
+        if max_level and len(kept) > max_level:
+            break
+        above = level.where("has_children").select(F.col("block_id").alias("u_id"))
+        level = staged(
+            lookup(below, above, "parent_id", "u_id", how="inner", floor=floor).select("page_id", "block_id", "has_children")
+        )
+        if level.isEmpty():
+            break
+    pages = kept[0]
+    for more in kept[1:]:
+        pages = pages.unionByName(more)
+    return pages.groupBy("page_id").agg(F.sum("n").alias("blocks_kept"), F.bool_or("cut").alias("was_limited")).withColumn(
+        "page_id", unpacked(F.col("page_id"))
     )
 
 

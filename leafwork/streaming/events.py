@@ -12,6 +12,7 @@ from leafwork.functions.events import is_authentic, route
 from leafwork.functions.ids import blank_to_null, normalize_id
 from leafwork.operators.queueing import number_events
 from leafwork.operators.skew import HOT_FLOOR, lookup
+from leafwork.session import staged
 from leafwork.sources import queue_log
 
 DEFAULT_FOLDER = "default"  # fixed value
@@ -64,8 +65,12 @@ def with_folder(events: DataFrame, registry: DataFrame, *, floor: int | None = H
 
 
 def event_queue_rows(events: DataFrame, registry: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
-    """Queue rows of a batch of classified events, the latest arrival first."""
-    changes = with_folder(events.where("route = 'queue'"), registry, floor=floor).select(
+    """Queue rows of a batch of classified events, the latest arrival first.
+
+    The changes are staged, so that a request is verified and parsed once and not for every pass.
+    """
+    changed = staged(events.where("route = 'queue'").select("entity_id", "received_at", "event_id"))
+    changes = with_folder(changed, registry, floor=floor).select(
         F.lit("update").alias("type"),
         "folder",
         F.lit(None).cast("string").alias("parent_id"),

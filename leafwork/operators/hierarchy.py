@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.functions.ids import blank_to_null
+from leafwork.functions.ids import blank_to_null, packed, unpacked
 from leafwork.operators.ordering import with_running_sum
 from leafwork.operators.skew import HOT_FLOOR, lookup
 from leafwork.session import staged
@@ -21,9 +21,11 @@ def resolve_pointers(nodes: DataFrame, *, names: str | None = None, floor: int =
     table, `end_id` is the last id looked for) or `cycle`. With the column `names` of `nodes` the result
     also has `trail`: the names on the way from the end down to the node, both included, joined by `/`.
 
-    Pointer doubling: every round replaces each open pointer by its target's pointer, so a chain
-    of length d needs log2(d) rounds. Settled rows leave the loop; a round that settles nothing
-    proves that only cycles are left. Pointers pile up on few targets, hence the skew-safe lookup.
+    Nodes nobody points to are most of a tree. They are set apart, and take one step when all others
+    are resolved. These go by pointer doubling: every round replaces each open pointer by its target's
+    pointer, so a chain of length d needs log2(d) rounds. Settled rows leave the loop; a round that
+    settles nothing proves that only cycles are left. Pointers pile up on few targets, hence the
+    skew-safe lookup. Ids may be text or packed (`ids.packed`), which halves what is sent and written.
     """
     found = F.col("payload").isNotNull()
     start = nodes.select(
@@ -54,10 +56,13 @@ def resolve_pointers(nodes: DataFrame, *, names: str | None = None, floor: int =
             ]),
         )
 
-    # the first hop joins the input to itself, so the whole table is written only once
-    first = staged(step(start, start, None))
-    settled = first.where("outcome is not null")
-    open_rows = first.where("outcome is null")
+    start = staged(start)
+    aimed_at = start.where("outcome is null").select(F.col("up").alias("a_id")).distinct()
+    marked = start.join(aimed_at, F.col("id") == F.col("a_id"), "left")
+    marked = staged(marked.withColumn("inner", F.col("a_id").isNotNull()).drop("a_id"))
+    inner, outer = marked.where("inner").drop("inner"), marked.where("not inner").drop("inner")
+    settled = inner.where("outcome is not null")
+    open_rows = inner.where("outcome is null")
     remaining = open_rows.count()
     while remaining:
         stepped = staged(step(open_rows, settled.unionByName(open_rows), remaining))
@@ -67,7 +72,8 @@ def resolve_pointers(nodes: DataFrame, *, names: str | None = None, floor: int =
         if remaining == before:
             break
     ended = settled.unionByName(open_rows.withColumn("outcome", F.lit(CYCLE)))
-    return ended.withColumnRenamed("up", "end_id")
+    last = outer.where("outcome is not null").unionByName(staged(step(outer.where("outcome is null"), ended, None)))
+    return ended.unionByName(last).withColumnRenamed("up", "end_id")
 
 
 def trace_roots(registry: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
@@ -76,15 +82,15 @@ def trace_roots(registry: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
     The walk stops at the first page flagged as root, also when that page has a parent.
     """
     nodes = registry.select(
-        "id",
-        blank_to_null(F.col("parent_id")).alias("next_id"),
+        packed(F.col("id")).alias("id"),
+        packed(blank_to_null(F.col("parent_id"))).alias("next_id"),
         F.when(
             F.col("is_root"), F.struct(F.coalesce("enabled", F.lit(False)).alias("enabled"))
         ).alias("payload"),
     )
     return resolve_pointers(nodes, floor=floor).select(
-        "id",
-        F.when(F.col("outcome") == FOUND, F.col("end_id")).alias("root_id"),
+        unpacked(F.col("id")).alias("id"),
+        unpacked(F.when(F.col("outcome") == FOUND, F.col("end_id"))).alias("root_id"),
         F.col("payload.enabled").alias("root_enabled"),
         "outcome",
         "hops",
@@ -136,9 +142,9 @@ def nearest_registered(
     `dangling` means that an ancestor could not be read, `cycle` that the chain never ends.
     """
     known = traced.select(
-        F.col("id").alias("r_id"), F.col("folder").alias("r_folder"), "root_enabled"
+        packed(F.col("id")).alias("r_id"), F.col("folder").alias("r_folder"), "root_enabled"
     )
-    keyed = nodes.select("id", blank_to_null(F.col("parent_id")).alias("next_id"))
+    keyed = nodes.select(packed(F.col("id")).alias("id"), packed(blank_to_null(F.col("parent_id"))).alias("next_id"))
     anchored = lookup(keyed, known, "next_id", "r_id", floor=floor)
     payload = F.when(
         F.col("next_id").isNull() | F.col("r_id").isNotNull(),
@@ -152,8 +158,8 @@ def nearest_registered(
         anchored.select("id", "next_id", payload.alias("payload")), floor=floor
     )
     return resolved.select(
-        "id",
-        "payload.anchor_id",
+        unpacked(F.col("id")).alias("id"),
+        unpacked(F.col("payload.anchor_id")).alias("anchor_id"),
         "payload.folder",
         F.coalesce("payload.found_root", F.lit(False)).alias("found_root"),
         F.col("hops").alias("missing_ancestors"),
@@ -170,13 +176,13 @@ def ancestor_chains(
     result of `nearest_registered`; pages whose chain does not end are left to the caller.
     """
     edges = nodes.select(
-        F.col("id").alias("e_id"), blank_to_null(F.col("parent_id")).alias("e_parent")
+        packed(F.col("id")).alias("e_id"), packed(blank_to_null(F.col("parent_id"))).alias("e_parent")
     )
     ends = anchors.where(F.col("outcome") == FOUND).select(
-        F.col("id").alias("a_id"), F.col("missing_ancestors").alias("left")
+        packed(F.col("id")).alias("a_id"), F.col("missing_ancestors").alias("left")
     )
     walk = (
-        requested.select(F.col("id").alias("page_id"))
+        requested.select(packed(F.col("id")).alias("page_id"))
         .join(ends, F.col("page_id") == F.col("a_id"))
         .where("left > 0")
         .select("page_id", F.col("page_id").alias("at"), "left", F.lit(0).alias("depth"))
@@ -197,11 +203,11 @@ def ancestor_chains(
         walk = step.where("left > 0")
         pending = walk.count()
     if not levels:
-        return walk.select("page_id", "depth", F.col("at").alias("ancestor_id"))
+        levels.append(walk.select("page_id", "depth", F.col("at").alias("ancestor_id")))
     chain = levels[0]
     for level in levels[1:]:
         chain = chain.unionByName(level)
-    return chain
+    return chain.select(unpacked(F.col("page_id")).alias("page_id"), "depth", unpacked(F.col("ancestor_id")).alias("ancestor_id"))
 
 
 def block_containers(
@@ -217,13 +223,13 @@ def block_containers(
     payload = F.when(
         F.coalesce(kind, F.lit("")) != "block_id",
         F.struct(
-            F.when(kind.isin("page_id", "database_id"), parent).alias("container_id"),
+            packed(F.when(kind.isin("page_id", "database_id"), parent)).alias("container_id"),
             F.when(kind.isin("page_id", "database_id", "workspace"), kind).alias("container_type"),
         ),
     )
     nodes = blocks.select(
-        F.col("block_id").alias("id"),
-        F.when(kind == "block_id", blank_to_null(parent)).alias("next_id"),
+        packed(F.col("block_id")).alias("id"),
+        packed(F.when(kind == "block_id", blank_to_null(parent))).alias("next_id"),
         payload.alias("payload"),
     )
     resolved = resolve_pointers(nodes, floor=floor)
@@ -235,8 +241,8 @@ def block_containers(
         .when(F.col("payload.container_type").isNull(), F.lit("unexpected_parent_type"))
     )
     return resolved.withColumn("error", error).select(
-        F.col("id").alias("block_id"),
-        F.when(F.col("error").isNull(), F.col("payload.container_id")).alias("container_id"),
+        unpacked(F.col("id")).alias("block_id"),
+        unpacked(F.when(F.col("error").isNull(), F.col("payload.container_id"))).alias("container_id"),
         F.when(F.col("error").isNull(), F.col("payload.container_type")).alias("container_type"),
         "error",
     )
@@ -248,17 +254,22 @@ def _listed(registry: DataFrame, children: DataFrame, *, names: bool, floor: int
     `children(parent_id, position, child_id)` are the ordered child edges. A child is shown below the
     page that lists it when both share the folder, and once: below the first page by id if several
     list it. Roots stay at the top, and pages that no root leads to are not listed. With `names` there
-    is also `sort_key`, the places on the way down.
+    is also `sort_key`, the places on the way down. Ids are packed (`ids.packed`) in the result.
     """
-    pages = registry.select("id", "folder", "is_root")
+    pages = staged(registry.select(packed(F.col("id")).alias("id"), "folder", "is_root"))
     parents = pages.select(F.col("id").alias("p_id"), F.col("folder").alias("p_folder"))
     kids = pages.where("not is_root").select(F.col("id").alias("k_id"), F.col("folder").alias("k_folder"))
+    listed = children.select(packed(F.col("parent_id")).alias("parent_id"), "position", packed(F.col("child_id")).alias("child_id"))
+    # the order of the ids decides, which packed ones have not; rows lie by child when they are grouped
+    first = F.min(F.struct(unpacked(F.col("parent_id")).alias("parent_id"), "position"))
     shown = (
-        lookup(children, kids, "child_id", "k_id", how="inner", floor=floor)
-        .transform(lambda df: lookup(df, parents, "parent_id", "p_id", how="inner", floor=floor))
+        lookup(listed, parents, "parent_id", "p_id", how="inner", floor=floor)
+        .transform(lambda df: lookup(df, kids, "child_id", "k_id", how="inner", floor=floor))
         .where("p_folder = k_folder")
-        .groupBy("child_id").agg(F.min(F.struct("parent_id", "position")).alias("first"))
-        .select(F.col("child_id").alias("id"), F.col("first.parent_id").alias("parent"), F.col("first.position").cast("bigint").alias("position"))
+        .groupBy("child_id").agg(first.alias("first"))
+        .select(
+            F.col("child_id").alias("id"), packed(F.col("first.parent_id")).alias("parent"), F.col("first.position").cast("bigint").alias("position")
+        )
     )
     shown = staged(shown)
     last = shown.groupBy(F.col("parent").alias("l_parent")).agg(F.max("position").alias("last_position"))
@@ -266,8 +277,8 @@ def _listed(registry: DataFrame, children: DataFrame, *, names: bool, floor: int
         "id", "parent", "position", (F.col("position") == F.col("last_position")).alias("is_last")
     )
     none = F.lit(None).cast("string").alias("folder")
-    top = registry.where("is_root").select(
-        "id", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("bigint").alias("position"), F.lit(True).alias("is_last"), "folder"
+    top = pages.where("is_root").select(
+        "id", F.lit(None).cast("binary").alias("parent"), F.lit(None).cast("bigint").alias("position"), F.lit(True).alias("is_last"), "folder"
     )
     nodes = staged(edges.select("*", none).unionByName(top))
     payload = F.when(F.col("parent").isNull(), F.struct("folder")).alias("payload")
@@ -290,7 +301,9 @@ def tree_listing(registry: DataFrame, children: DataFrame, *, floor: int = HOT_F
     `_listed`.
     """
     rows = _listed(registry, children, names=True, floor=floor)
-    return rows.select("folder", "root_id", "id", "depth", "sort_key", "is_last")
+    return rows.select(
+        "folder", unpacked(F.col("root_id")).alias("root_id"), unpacked(F.col("id")).alias("id"), "depth", "sort_key", "is_last"
+    )
 
 
 def preorder(registry: DataFrame, children: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
@@ -328,4 +341,6 @@ def preorder(registry: DataFrame, children: DataFrame, *, floor: int = HOT_FLOOR
         places = staged(
             places.join(further, F.col("id") == F.col("f_id"), "left").select("id", (F.col("place") + F.coalesce("a_place", F.lit(0))).alias("place"))
         )
-    return rows.join(places, "id").select("folder", "root_id", "id", "depth", "place", "is_last")
+    return rows.join(places, "id").select(
+        "folder", unpacked(F.col("root_id")).alias("root_id"), unpacked(F.col("id")).alias("id"), "depth", "place", "is_last"
+    )

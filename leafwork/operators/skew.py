@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafwork.session import staged
+
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are fewer than HOT_SHARE
 # hot keys however large the table is. That count bounds everything this module broadcasts.
 HOT_SHARE = 1000
 # Keys below this many rows are never worth treating apart.
 HOT_FLOOR = 500_000
+# Hashes that rows are counted by before keys are: so many that few buckets are hot without a hot key.
+BUCKETS = 65_536
 # Below this no counting pass is made. A hot key in few compressed bytes is then left to the skew
 # join, which `session.prepare` always turns on and which splits partitions by their real size.
 SMALL_BYTES = 64 * 1024 * 1024
@@ -25,22 +29,28 @@ def _source_bytes(df: DataFrame) -> int:
 def hot_keys(df: DataFrame, key: str, *, floor: int = HOT_FLOOR) -> DataFrame | None:
     """The (at most HOT_SHARE) values of `key` that hold a hot share of `df`, or None.
 
-    One column is scanned and counted with map-side combine; only two numbers reach the driver.
+    Rows are counted by BUCKETS hashes of the key first, which a task sums up to few rows whatever the
+    number of keys. Only the keys of buckets that hold a hot share, as that of a hot key must, are
+    counted one by one. Two sums and the numbers of such buckets (fewer than HOT_SHARE) reach the driver.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot_key")).count()
-    total, largest = counts.agg(F.sum("count"), F.max("count")).first()
-    if largest is None or largest < floor:
-        return None
-    threshold = max(floor, total // HOT_SHARE + 1)
-    if largest < threshold:
+    known = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_hot_key"))
+    bucket = F.pmod(F.xxhash64("_hot_key"), F.lit(BUCKETS))
+    sums = known.groupBy(bucket.alias("_bucket")).count()
+    total, largest = sums.agg(F.sum("count"), F.max("count")).first()
+    threshold = max(floor, (total or 0) // HOT_SHARE + 1)
+    if largest is None or largest < threshold:
         return None
-    return counts.where(F.col("count") >= threshold).select("_hot_key")
+    buckets = [row["_bucket"] for row in sums.where(F.col("count") >= threshold).collect()]
+    inside = known.where(bucket.isin(buckets))
+    counts = inside.groupBy("_hot_key").count()
+    hot = staged(counts.where(F.col("count") >= threshold).select("_hot_key"))
+    return None if hot.isEmpty() else hot
 
 
 def _spread_nulls(left: DataFrame, key: str) -> DataFrame:
     """`_spread`: the key, or a value that matches nothing and differs from row to row."""
     plain = [f.name for f in left.schema.fields if isinstance(f.dataType, T.AtomicType)]
-    other = F.concat(F.lit("\x00"), F.xxhash64(*plain).cast("string"))
+    other = F.concat(F.lit("\x00"), F.xxhash64(*plain).cast("string")).cast(left.schema[key].dataType)
     return left.withColumn("_spread", F.coalesce(F.col(key), other))
 
 
@@ -70,6 +80,8 @@ def lookup(
     if small:
         return left.join(right, condition, how)
     hot = hot_keys(left, left_key, floor=floor)
+    if hot is None and how == "inner":  # the result is still dealt by the key
+        return left.join(right, condition, how)
     if hot is None:
         return _spread_nulls(left, left_key).join(
             right, F.col("_spread") == F.col(right_key), how

@@ -13,19 +13,24 @@ from leafwork.session import staged
 FOUND, DANGLING, CYCLE = "found", "dangling", "cycle"
 
 
-def resolve_pointers(nodes: DataFrame, *, names: str | None = None, floor: int = HOT_FLOOR) -> DataFrame:
+def resolve_pointers(
+    nodes: DataFrame, *, names: str | None = None, keep: tuple[str, ...] = (), ready: bool = False, floor: int = HOT_FLOOR
+) -> DataFrame:
     """Follow `next_id` from every node to the first node that carries a `payload`.
 
     `nodes(id, next_id, payload)` has one row per id; a non-null payload ends the walk. Result:
     `(id, end_id, payload, outcome, hops)` with outcome `found`, `dangling` (the walk left the
     table, `end_id` is the last id looked for) or `cycle`. With the column `names` of `nodes` the result
     also has `trail`: the names on the way from the end down to the node, both included, joined by `/`.
-
-    Nodes nobody points to are most of a tree. They are set apart, and take one step when all others
-    are resolved. These go by pointer doubling: every round replaces each open pointer by its target's
-    pointer, so a chain of length d needs log2(d) rounds. Settled rows leave the loop; a round that
-    settles nothing proves that only cycles are left. Pointers pile up on few targets, hence the
-    skew-safe lookup. Ids may be text or packed (`ids.packed`), which halves what is sent and written.
+    The columns `keep` of `nodes` are handed on.
+
+    Nodes nobody points to are most of a tree, so only those somebody points to are resolved in rounds;
+    then every node takes one step to what its target came to. The rounds go by pointer doubling: each
+    replaces every open pointer by its target's pointer, so a chain of length d needs log2(d) rounds.
+    Settled rows leave the loop; a round that settles nothing proves that only cycles are left. Pointers
+    pile up on few targets, hence the skew-safe lookup. Ids may be text or packed (`ids.packed`), which
+    halves what is sent and written. The nodes are staged unless they are `ready`: cheap to read several
+    times. The last step is left to whoever reads the result, who stages it to read it more than once.
     """
     found = F.col("payload").isNotNull()
     start = nodes.select(
@@ -35,6 +40,7 @@ def resolve_pointers(nodes: DataFrame, *, names: str | None = None, floor: int =
         F.when(found, F.lit(FOUND)).when(F.col("next_id").isNull(), F.lit(DANGLING)).alias("outcome"),
         F.when(found | F.col("next_id").isNull(), F.lit(0)).otherwise(F.lit(1)).alias("hops"),
         *([] if names is None else [F.col(names).alias("trail")]),
+        *keep,
     )
 
     def step(rows: DataFrame, table: DataFrame, count: int | None) -> DataFrame:
@@ -54,13 +60,13 @@ def resolve_pointers(nodes: DataFrame, *, names: str | None = None, floor: int =
             *([] if names is None else [
                 F.when(settled_before | missed, F.col("trail")).otherwise(F.concat_ws("/", "t_trail", "trail")).alias("trail")
             ]),
+            *(c for c in keep if c in rows.columns),
         )
 
-    start = staged(start)
-    aimed_at = start.where("outcome is null").select(F.col("up").alias("a_id")).distinct()
-    marked = start.join(aimed_at, F.col("id") == F.col("a_id"), "left")
-    marked = staged(marked.withColumn("inner", F.col("a_id").isNotNull()).drop("a_id"))
-    inner, outer = marked.where("inner").drop("inner"), marked.where("not inner").drop("inner")
+    start = start if ready else staged(start)
+    # staged, so that few targets are broadcast and the nodes stay where they are
+    aimed_at = staged(start.where("outcome is null").select(F.col("up").alias("a_id")).distinct())
+    inner = staged(start.drop(*keep).join(aimed_at, F.col("id") == F.col("a_id"), "left_semi"))
     settled = inner.where("outcome is not null")
     open_rows = inner.where("outcome is null")
     remaining = open_rows.count()
@@ -72,15 +78,12 @@ def resolve_pointers(nodes: DataFrame, *, names: str | None = None, floor: int =
         if remaining == before:
             break
     ended = settled.unionByName(open_rows.withColumn("outcome", F.lit(CYCLE)))
-    last = outer.where("outcome is not null").unionByName(staged(step(outer.where("outcome is null"), ended, None)))
-    return ended.unionByName(last).withColumnRenamed("up", "end_id")
-
+    last = step(start.where("outcome is null"), ended, None)
+    return start.where("outcome is not null").unionByName(last).withColumnRenamed("up", "end_id")
 
-def trace_roots(registry: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
-    """Root of every registered page: `(id, root_id, root_enabled, outcome, hops)`.
 
-    The walk stops at the first page flagged as root, also when that page has a parent.
-    """
+def _traced(registry: DataFrame, floor: int) -> DataFrame:
+    """`trace_roots` with the ids packed."""
     nodes = registry.select(
         packed(F.col("id")).alias("id"),
         packed(blank_to_null(F.col("parent_id"))).alias("next_id"),
@@ -89,20 +92,29 @@ def trace_roots(registry: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
         ).alias("payload"),
     )
     return resolve_pointers(nodes, floor=floor).select(
-        unpacked(F.col("id")).alias("id"),
-        unpacked(F.when(F.col("outcome") == FOUND, F.col("end_id"))).alias("root_id"),
+        "id",
+        F.when(F.col("outcome") == FOUND, F.col("end_id")).alias("root_id"),
         F.col("payload.enabled").alias("root_enabled"),
         "outcome",
         "hops",
     )
 
 
+def trace_roots(registry: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
+    """Root of every registered page: `(id, root_id, root_enabled, outcome, hops)`.
+
+    The walk stops at the first page flagged as root, also when that page has a parent.
+    """
+    return _traced(registry, floor).withColumns({c: unpacked(F.col(c)) for c in ("id", "root_id")})
+
+
 def with_roots(registry: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
     """Registry rows with `root_id`, `root_enabled` (false without a root) and `outcome`."""
-    roots = trace_roots(registry, floor=floor)
-    return registry.join(roots, "id").withColumn(
-        "root_enabled", F.coalesce("root_enabled", F.lit(False))
-    )
+    joined = registry.withColumn("id", packed(F.col("id"))).join(_traced(registry, floor), "id")
+    return joined.withColumns({
+        "id": unpacked(F.col("id")), "root_id": unpacked(F.col("root_id")),
+        "root_enabled": F.coalesce("root_enabled", F.lit(False)),
+    })
 
 
 def missing_parents(registry: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
@@ -283,14 +295,18 @@ def _listed(registry: DataFrame, children: DataFrame, *, names: bool, floor: int
     nodes = staged(edges.select("*", none).unionByName(top))
     payload = F.when(F.col("parent").isNull(), F.struct("folder")).alias("payload")
     place = F.coalesce(F.lpad(F.hex("position"), 10, "0"), F.lit("")).alias("place")
+    own = ("parent", "position", "is_last")
     walked = resolve_pointers(
-        nodes.select("id", F.col("parent").alias("next_id"), payload, place), names="place" if names else None, floor=floor
+        nodes.select("id", F.col("parent").alias("next_id"), payload, place, *own),
+        names="place" if names else None, keep=own, ready=True, floor=floor,
     )
     ended = walked.where(F.col("outcome") == FOUND).select(
-        "id", F.col("end_id").alias("root_id"), "payload.folder", F.col("hops").alias("depth"),
+        "id", *own, F.col("end_id").alias("root_id"), "payload.folder", F.col("hops").alias("depth"),
         *([F.replace("trail", F.lit("/"), F.lit("")).alias("sort_key")] if names else []),
     )
-    return nodes.drop("folder").join(ended, "id")
+    # a page below another has one row by now; of the roots the registry may repeat rows
+    roots = nodes.where("parent is null").drop("folder").join(ended.where("parent is null").drop(*own), "id")
+    return ended.where("parent is not null").unionByName(roots)
 
 
 def tree_listing(registry: DataFrame, children: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:

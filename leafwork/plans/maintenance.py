@@ -20,10 +20,11 @@ from leafwork.session import staged
 def _anchored(
     fetch: Fetch, registry: DataFrame, requested: DataFrame, default_folder: str, floor: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Requested pages and their unregistered ancestors, the registry rows above them, and the anchor of each node."""
+    """Requested pages and their unregistered ancestors, the registered pages above them, and what the anchor tells of each node."""
     nodes, above, _ = open_walk(fetch, registry, requested, floor=floor)
-    traced = staged(with_roots(above, floor=floor))
-    return nodes, traced, staged(nearest_registered(nodes, traced, default_folder=default_folder, floor=floor))
+    traced = staged(with_roots(above, floor=floor).select("id", "folder", "root_enabled"))
+    anchors = nearest_registered(nodes, traced, default_folder=default_folder, floor=floor)
+    return nodes, traced, staged(anchors.drop("anchor_id", "found_root"))
 
 
 def write_set(
@@ -122,7 +123,7 @@ def orphaned_pages(registry: DataFrame, roots: DataFrame, *, floor: int = HOT_FL
     A page stays when its walk ends at a root listed in `roots(page_id)`, or runs in a cycle; all
     others are orphans, also under a root that is no longer listed.
     """
-    traced = trace_roots(registry, floor=floor).where(F.col("outcome") != CYCLE)
+    traced = staged(trace_roots(registry, floor=floor).where(F.col("outcome") != CYCLE).select("id", "root_id"))
     listed = roots.select(F.col("page_id").alias("m_id")).distinct()
     doomed = (
         lookup(traced, listed, "root_id", "m_id", floor=floor).where("m_id is null").select("id", "root_id")

@@ -284,7 +284,7 @@ def judge_queue(ws: Workspace, queue_raw: DataFrame, options: SyncOptions) -> Ju
     asked_for = active.where(~F.coalesce("skip", F.lit(False))).select(F.col("page_id").alias("id"))
     nodes, above_them, narrow = open_walk(item_pointers(ws, floor=floor), ws.registry, asked_for, floor=floor)
     items = staged(workspace_items(ws, nodes.select("id") if narrow else None, floor=floor))
-    traced = staged(with_roots(above_them, floor=floor))
+    traced = staged(with_roots(above_them, floor=floor).select("id", "folder", "root_id", "root_enabled"))
     anchors = staged(nearest_registered(nodes, traced, floor=floor))
     # all that is known about a page goes into one row first, so the queue is joined once; every page
     # that was landed has an anchor row, which also tells which were

@@ -257,3 +257,40 @@ def test_paths_outside_any_folder(spark):
     new = [("aaaa1", "", "X", "", False, 0), ("bbbb1", "aaaa1", "Same", "", False, 0), ("cccc1", "", "Same", "x", False, 0), ("dddd1", "bbbb1", "Low", "", False, 0)]
     assert assigned(spark, new, [("none", None)]) == {
         "aaaa1": "x.md", "cccc1": "x/same.md", "bbbb1": "x/same-bbbb.md", "dddd1": "x/same-bbbb/low.md"}
+
+
+def test_resolved_nodes_are_staged_once_and_hand_columns_on(spark, monkeypatch):
+    rows = [("top", None, 1, "t"), ("a", "top", None, "x"), ("b", "a", None, "y"), ("c", "b", None, "z"), ("lost", "gone", None, "w")]
+    nodes = spark.createDataFrame(rows, "id string, next_id string, payload int, mark string")
+    counts = []
+    monkeypatch.setattr(hierarchy, "staged", lambda df: counts.append(df.count()) or staged(df))
+    found = hierarchy.resolve_pointers(nodes, keep=("mark",)).collect()
+    assert sorted((r["id"], r["end_id"], r["outcome"], r["hops"], r["mark"]) for r in found) == [
+        ("a", "top", "found", 1, "x"), ("b", "top", "found", 2, "y"), ("c", "top", "found", 3, "z"),
+        ("lost", "gone", "dangling", 1, "w"), ("top", "top", "found", 0, "t"),
+    ]
+    assert counts.count(5) == 1  # all nodes are written once, what is pointed to again
+    counts.clear()
+    assert hierarchy.resolve_pointers(nodes, ready=True).count() == 5
+    assert 5 not in counts
+
+
+def test_names_are_not_judged_twice_where_no_paths_meet(spark, monkeypatch):
+    monkeypatch.setattr(paths, "_losers", lambda *_: 1 / 0)
+    new = spark.createDataFrame(
+        [("a", "kept", "T", "f", False, 1), ("b", "a", "T", "f", False, 1), ("c", "a", "T", "f", False, 2), ("x", "y", "T", "f", False, 1),
+         ("y", "x", "T", "f", False, 1)], "id string, parent_id string, title string, folder string, is_root boolean, priority bigint"
+    )
+    known = spark.createDataFrame([("kept", "f/kept.md")], "id string, file_path string")
+    got = {r["id"]: r["file_path"] for r in paths.assign_paths(new, known).collect()}
+    assert got == {"a": "f/kept/t.md", "b": "f/kept/t/t.md", "c": "f/kept/t/t-c.md", "x": "f/t.md", "y": "f/t-y.md"}
+
+
+def test_anchors_of_a_plan_hold_no_wide_columns(spark):
+    registry = spark.createDataFrame([("r", "", True, True, "f", "f/r.md")], REGISTRY)
+    items = spark.createDataFrame([("p", "r"), ("q", "p")], "id string, parent_id string")
+    fetch = maintenance.pointers_of(items)
+    _, traced, anchors = maintenance._anchored(fetch, registry, items.where("id = 'q'").select("id"), "default", 500_000)
+    assert "file_path" not in traced.columns and "anchor_id" not in anchors.columns
+    plan = maintenance.get_plan(items, registry, items.where("id = 'q'").select("id"))
+    assert sorted((r["write_order"], r["id"], r["folder"]) for r in plan.collect()) == [(0, "p", "f"), (1, "q", "f")]

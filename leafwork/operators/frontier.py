@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.functions.ids import blank_to_null
+from leafwork.functions.ids import blank_to_null, packed, unpacked
 from leafwork.operators.skew import HOT_FLOOR, lookup
 from leafwork.session import staged
 
@@ -103,7 +103,8 @@ def open_walk(fetch: Fetch, registry: DataFrame, seeds: DataFrame, *, floor: int
     """
     everything = fetch(None).select("id", F.col("next_id").alias("parent_id"))
     if not few(seeds, everything):
-        return staged(everything), registry, False
+        short = staged(everything.select(*(packed(F.col(c)).alias(c) for c in ("id", "parent_id"))))
+        return short.select(*(unpacked(F.col(c)).alias(c) for c in ("id", "parent_id"))), registry, False
     ids = ancestor_ids(seeds, fetch, registry.select("id"), floor=floor)
     nodes = staged(fetch(ids).select("id", F.col("next_id").alias("parent_id")))
     touched = staged(seeds.select("id").unionByName(nodes.select(F.col("parent_id").alias("id"))).distinct())

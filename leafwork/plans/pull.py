@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.functions.ids import normalize_id, parent_id
+from leafwork.functions.ids import normalize_id, packed, parent_id, unpacked
 from leafwork.operators.frontier import open_walk, pointers_of, registry_walk
 from leafwork.operators.hierarchy import CYCLE, DANGLING, nearest_registered, with_roots
 from leafwork.operators.ordering import with_index
@@ -60,19 +60,20 @@ def classify_changes(
         recent = recent.where(F.col("last_edited") > F.lit(options.bound))
     if changed_only:
         recent = recent.where(F.col("last_edited") > F.lit(options.cutoff))
-    recent = staged(recent)
+    short = staged(recent.withColumn("id", packed(F.col("id"))))  # ids of half the size also go through the joins
+    recent = short.withColumn("id", unpacked(F.col("id")))
     if options.include_untracked:
         near, above, _ = open_walk(pointers_of(nodes), registry, recent, floor=floor)
     else:
         near, above = None, registry_walk(registry, recent, floor=floor)
     traced = staged(with_roots(above, floor=floor).select("id", "folder", "root_enabled"))
     known = traced.select(
-        F.col("id").alias("k_id"), F.col("folder").alias("k_folder"), F.col("root_enabled").alias("k_enabled")
+        packed(F.col("id")).alias("k_id"), F.col("folder").alias("k_folder"), F.col("root_enabled").alias("k_enabled")
     )
-    joined = recent.join(known, F.col("id") == F.col("k_id"), "left")
+    joined = short.join(known, F.col("id") == F.col("k_id"), "left")
     if near is not None:
         anchors = nearest_registered(near, traced, floor=floor).select(
-            F.col("id").alias("a_id"), F.col("folder").alias("a_folder"), "found_root", "outcome"
+            packed(F.col("id")).alias("a_id"), F.col("folder").alias("a_folder"), "found_root", "outcome"
         )
         joined = joined.join(anchors, F.col("id") == F.col("a_id"), "left")
     else:
@@ -94,7 +95,7 @@ def classify_changes(
         .otherwise("queue")
     )
     decided = joined.select(
-        "id", "last_edited", tracked.alias("tracked"), folder.alias("folder"), decision.alias("decision")
+        unpacked(F.col("id")).alias("id"), "last_edited", tracked.alias("tracked"), folder.alias("folder"), decision.alias("decision")
     )
     return _limited(decided, options) if options.max_pages else decided
 

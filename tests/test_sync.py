@@ -260,3 +260,16 @@ def test_sync_of_a_micro_batch(spark, workspace, tmp_path):
     hot = sync.judge_queue(workspace, queue(spark, *ASKED), replace(OPTIONS, floor=1))
     plain = sync.judge_queue(workspace, queue(spark, *ASKED), OPTIONS)
     assert sorted(map(str, hot.outcomes.collect())) == sorted(map(str, plain.outcomes.collect()))
+
+
+def test_pull_stages_short_ids(spark, monkeypatch):
+    whole, odd = "0123456789abcdef" * 2, "Not-Hex"
+    pages = spark.createDataFrame([(whole, T0, "top"), (odd, T0, whole)], "id string, last_edited_time timestamp, parent_id string")
+    registry = spark.createDataFrame([("top", "f", "", True, True)], "id string, folder string, parent_id string, is_root boolean, enabled boolean")
+    types = []
+    monkeypatch.setattr(pull, "staged", lambda df: types.append(df.schema["id"].dataType.simpleString()) or staged(df))
+    chosen = pull.PullOptions(cutoff=datetime(2023, 1, 1), include_untracked=True)
+    nodes = pages.select("id", "parent_id").unionByName(registry.select("id", "parent_id"))
+    decided = pull.classify_changes(pages, nodes, registry, chosen)
+    assert types[0] == "binary"
+    assert sorted((r["id"], r["folder"], r["decision"]) for r in decided.collect()) == [(whole, "f", "queue"), ("NotHex", "f", "queue")]

@@ -272,9 +272,10 @@ def queue_log_rows(v: Views) -> DataFrame:
         queue_log.add_events(v.spark, path, 0, changed)
         turn = F.pmod(F.col("seq") + F.col("pos"), F.lit(3))
         outcome = F.when(turn == 0, "written").when(turn == 1, "retry").otherwise("waiting")
-        ran = queue_log.read_log(v.spark, path, upto=2).select("seq", "pos", outcome.alias("outcome"))
+        ran = queue_log.read_log(v.spark, path, upto=2, columns=queue_log.KEY).select("seq", "pos", outcome.alias("outcome"))
         queue_log.settle(v.spark, path, 0, ran, found)
-    return queue_log.read_log(v.spark, path).select("seq", "pos", "type", "folder", "parent_id", "page_id", "attempts")
+    columns = ["seq", "pos", "type", "folder", "parent_id", "page_id", "attempts"]
+    return queue_log.read_log(v.spark, path, columns=columns)
 
 
 @query

@@ -9,12 +9,14 @@ has its commit makes no other, so a replay changes nothing. One job at a time wr
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.operators.queueing import FIRST_REGULAR, number_events, number_files
+from leafwork.session import staged
 from leafwork.sources.index import _filesystem, path_exists, remove
 
 ENTRY = (
@@ -59,16 +61,24 @@ def _mark(spark: SparkSession, path: str, commit: Commit) -> None:
     system.create(target, False).close()  # fails if another writer took the name
 
 
-def read_log(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
-    """Rows that wait, as of commit `upto` or of now: those whose last change is not an acknowledgement."""
+def read_log(spark: SparkSession, path: str, upto: int | None = None, *, columns: Sequence[str] = COLUMNS) -> DataFrame:
+    """Rows that wait, as of commit `upto` or of now: those whose last change is not an acknowledgement.
+
+    Only `columns` are read. For `(seq, pos)` alone the last changes are numbers, which need no sort; else
+    rows are dealt by key first, as hardly any are summed up before, and so are sorted once.
+    """
     known = [c for c in commits(spark, path) if upto is None or c.number <= upto]
     start = max((i for i, c in enumerate(known) if c.kind == BASE), default=0)
     if not known:
-        return spark.createDataFrame([], ENTRY)
+        return spark.createDataFrame([], ENTRY).select(*columns)
     folders = [f"{path}/{c.name}" for c in known[start:]]
     changes = spark.read.schema(f"{ENTRY}, op STRING, commit BIGINT").parquet(*folders)
-    last = changes.groupBy(*KEY).agg(F.max_by(F.struct(*COLUMNS, "op"), "commit").alias("row"))
-    return last.where(F.col("row.op") == PUT).select(*(F.col(f"row.{c}").alias(c) for c in COLUMNS))
+    values = [c for c in columns if c not in KEY]
+    if not values:
+        turn = F.col("commit") * 2 + (F.col("op") == PUT).cast("bigint")
+        return changes.groupBy(*KEY).agg(F.max(turn).alias("turn")).where("turn % 2 = 1").select(*columns)
+    last = changes.repartition(*KEY).groupBy(*KEY).agg(F.max_by(F.struct(*values, "op"), "commit").alias("row"))
+    return last.where(F.col("row.op") == PUT).select(*(c if c in KEY else F.col(f"row.{c}").alias(c) for c in columns))
 
 
 def commit(
@@ -136,7 +146,7 @@ def add_events(spark: SparkSession, path: str, batch: int, rows: DataFrame, *, w
     made = committed(spark, path, writer, batch)
     if made is not None:
         return made
-    least, _ = ends(read_log(spark, path))
+    least, _ = ends(read_log(spark, path, columns=KEY))
     numbered = number_events(rows, [F.col("last_edited"), F.col("page_id")], first=least)
     return commit(spark, path, writer, batch, numbered)
 
@@ -152,11 +162,11 @@ def settle(
     made = committed(spark, path, writer, batch)
     if made is not None:
         return made
-    waiting = read_log(spark, path)
-    judged = outcomes.select(*KEY, "outcome")
-    retried = waiting.join(judged.where("outcome = 'retry'").select(*KEY).distinct(), KEY, "left_semi")
+    # outcomes may be as dear as reading the log, and what is put is written and looked at
+    judged = staged(outcomes.select(*KEY, "outcome"))
+    retried = read_log(spark, path).join(judged.where("outcome = 'retry'").select(*KEY).distinct(), KEY, "left_semi")
     retried = retried.withColumn("attempts", (F.col("attempts") + 1).cast("int"))
-    _, greatest = ends(waiting)
+    _, greatest = ends(read_log(spark, path, columns=KEY))
     added = number_files(follow_up, [F.col("position"), F.col("page_id")], first=greatest)
     put = retried.unionByName(added.select(*(c for c in COLUMNS if c not in ("legacy", "attempts")), F.lit(False).alias("legacy"), F.lit(0).alias("attempts")))
-    return commit(spark, path, writer, batch, put, judged.where("outcome not in ('retry', 'waiting')"))
+    return commit(spark, path, writer, batch, staged(put), judged.where("outcome not in ('retry', 'waiting')"))

@@ -176,3 +176,27 @@ def test_blocks_by_bucket(spark, tmp_path):
     plan = found._jdf.queryExecution().toString()
     assert "dynamicpruning" in plan
     assert sorted(map(str, landed.blocks_of(blocks, wanted).collect())) == sorted(map(str, found.select(blocks.columns).collect()))
+
+
+def test_keys_and_columns_of_the_log(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    queue_log.commit(spark, path, "pull", 0, rows(spark, (1000, 0, "a"), (1000, 1, "b"), (1001, 0, "c")))
+    queue_log.commit(spark, path, "sync", 0, rows(spark, (1000, 0, "a2")), rows(spark, (1000, 0, "a"), (1000, 1, "b")))
+    assert waiting(spark, path) == [(1000, 0, "a2", 0), (1001, 0, "c", 0)]
+    keys = queue_log.read_log(spark, path, columns=queue_log.KEY)
+    assert keys.columns == ["seq", "pos"] and sorted(map(tuple, keys.collect())) == [(1000, 0), (1001, 0)]
+    some = queue_log.read_log(spark, path, columns=["page_id", "seq"])
+    assert some.columns == ["page_id", "seq"] and sorted(map(tuple, some.collect())) == [("a2", 1000), ("c", 1001)]
+    # settling reads whole rows once, for those that stay
+    read, whole = queue_log.read_log, []
+
+    def noted(*args, **options):
+        whole.extend([True] if "columns" not in options else [])
+        return read(*args, **options)
+
+    monkeypatch.setattr(queue_log, "read_log", noted)
+    outcomes = spark.createDataFrame([(1000, 0, "retry"), (1001, 0, "written")], "seq BIGINT, pos INT, outcome STRING")
+    follow_up = rows(spark).drop("seq", "pos").withColumn("position", F.lit(0).cast("bigint"))
+    queue_log.settle(spark, path, 1, outcomes, follow_up)
+    assert len(whole) == 1
+    assert waiting(spark, path) == [(1000, 0, "a2", 1)]

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -321,6 +322,36 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     return staged(docs.select("doc_id", "text").where("text is not null").join(marks, "doc_id").select("text", "toxic"))
 
 
+def apart(strings: list[str], count: int, limit: float = 0.8) -> list[int]:
+    """The first `count` strings, by number, whose similarity with every one taken before is below `limit`.
+
+    Strings without a feature are passed over. The features of thousands of strings are held one by one,
+    as a table of them would take more memory than anything else in the driver.
+    """
+    if not strings:
+        return []
+    encoded = [bytes([START]) + s.encode() for s in strings]
+    owner = np.repeat(np.arange(len(encoded)), [len(e) for e in encoded])
+    of, feature, weight = subsequences(np.frombuffer(b"".join(encoded), np.uint8), owner)
+    weight = weight.astype(np.float32)
+    norm = np.sqrt(np.bincount(of, weight**2, len(strings)))
+    edges = np.searchsorted(of, np.arange(len(strings) + 1))  # features lie by string
+    value = weight / norm[of]
+    one = np.zeros(1 << 18)
+    free = np.ones(len(strings), bool)
+    taken: list[int] = []
+    for i in range(len(strings)):
+        if len(taken) == count:
+            break
+        a, b = edges[i], edges[i + 1]
+        if free[i] and a < b:
+            taken.append(i)
+            one[feature[a:b]] = value[a:b]
+            free &= np.bincount(of, value * one[feature], len(strings)) < limit
+            one[feature[a:b]] = 0
+    return taken
+
+
 def pick_landmarks(sample: DataFrame, count: int, contrast: int, candidates: int = 4000) -> tuple[list[str], list[str]]:
     """Words and beginnings of words that tell toxic texts from others, and the like of them in other texts.
 
@@ -339,16 +370,7 @@ def pick_landmarks(sample: DataFrame, count: int, contrast: int, candidates: int
     rated = counts.where("bad >= 3").withColumn("lift", lift).where("lift > 1.5")
     best = rated.orderBy((F.col("bad") * F.col("lift")).desc(), "string").limit(candidates).collect()
     usual = counts.where("bad * 8 < all").orderBy((F.col("all") - F.col("bad")).desc(), "string").limit(candidates).collect()
-    taken: list[str] = []
-    if best:
-        every = Landmarks([r["string"] for r in best])
-        free = np.ones(len(best), bool)
-        for i, row in enumerate(best):
-            if free[i] and every.values[:, i].any():
-                taken.append(row["string"])
-                free &= every.values.T @ every.values[:, i] < 0.8
-            if len(taken) == count:
-                break
+    taken = [best[i]["string"] for i in apart([r["string"] for r in best], count)]
     # for contrast those common strings of other texts that come closest to one that tells
     other = [r["string"] for r in usual]
     if not taken or not other:
@@ -370,6 +392,25 @@ def _strongest(rows: np.ndarray, similar: np.ndarray, telling: int) -> tuple[np.
     return rows[kept], similar[kept]
 
 
+def _numbers(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Binary values of `width` half-precision numbers each as the rows of an array."""
+    out = np.empty((len(column), width), np.float16)
+    for i, value in enumerate(column):
+        out[i] = np.frombuffer(value.as_buffer(), np.float16)
+    return out
+
+
+def _settled_order(doc: np.ndarray, similar: np.ndarray) -> np.ndarray:
+    """Places of the rows by document and then by their numbers, however the tasks returned them."""
+    order = np.argsort(doc, kind="stable")
+    edges = np.flatnonzero(np.diff(doc[order], prepend=doc[order[:1]] - 1, append=doc[order[-1:]] + 1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if b - a > 1:
+            part = order[a:b]
+            part[:] = sorted(part.tolist(), key=lambda i: similar[i].astype(np.float32).tobytes())
+    return order
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, limit: int = 8_000, landmarks: int = 128, contrast: int = 96) -> Machine | float:
     """The machine for these labels, or the share of toxic documents if only one kind is labelled.
 
@@ -400,28 +441,33 @@ def learn(docs: DataFrame, labels: DataFrame, *, limit: int = 8_000, landmarks:
             have = frame["_doc"].to_numpy()
             without = np.setdiff1d(np.arange(len(frame)), rows)
             toxic = frame["toxic"].to_numpy()
-            yield pd.DataFrame({"_doc": have[rows], "toxic": toxic[rows], "similar": [s.tobytes() for s in similar]})
-            yield pd.DataFrame({"_doc": have[without], "toxic": toxic[without], "similar": [b""] * len(without)})
+            sent = similar.astype(np.float16)  # loses nothing, as the matcher remembers words so
+            yield pd.DataFrame({"_doc": have[rows], "toxic": toxic[rows], "similar": [s.tobytes() for s in sent]})
+            yield pd.DataFrame({"_doc": have[without], "toxic": toxic[without], "similar": [zero] * len(without)})
 
+    zero = np.zeros(len(names), np.float16).tobytes()
     numbered = sample.withColumn("_doc", F.monotonically_increasing_id())
     # at most about (1 + share learned twice) * limit * SENTENCES rows of a few hundred numbers
-    found = numbered.mapInPandas(run, "_doc bigint, toxic int, similar binary").toPandas()
-    found = found.sort_values(["_doc", "similar"], kind="stable")
-    zero = np.zeros(len(names), np.float32).tobytes()
-    similar = np.frombuffer(b"".join(s or zero for s in found["similar"]), np.float32).reshape(len(found), -1)
-    _, first, bag = np.unique(found["_doc"].to_numpy(), return_index=True, return_inverse=True)
-    y = np.where(found["toxic"].to_numpy()[first] > 0, 1.0, -1.0)
+    found = numbered.mapInPandas(run, "_doc bigint, toxic int, similar binary").toArrow()
+    doc, toxic = (found.column(c).to_numpy() for c in ("_doc", "toxic"))
+    similar = _numbers(found.column("similar"), len(names))
+    del found
+    order = _settled_order(doc, similar)
+    doc, toxic, similar = doc[order], toxic[order], similar[order].astype(np.float32)
+    _, first, bag = np.unique(doc, return_index=True, return_inverse=True)
+    y = np.where(toxic[first] > 0, 1.0, -1.0)
     weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * len(y) / 100
     mapping = nystroem(Landmarks(names))
     mapped = similar @ mapping.astype(np.float32)
     value = similar[:, : len(telling)].sum(axis=1)
+    del similar
     for _ in range(4):
         order = np.lexsort((np.arange(len(bag)), value, bag))
         best = order[np.append(np.flatnonzero(np.diff(bag[order])), len(bag) - 1)]
         w, bias = fit_svm(mapped[best].astype(float), y, weight)
         value = mapped @ w + bias
     # the disguised texts have ids below zero; they count less, as few texts are written so
-    rare = np.where(found["_doc"].to_numpy()[first] < 0, DISGUISED, 1.0)
+    rare = np.where(doc[first] < 0, DISGUISED, 1.0)
     slopes, shift = fit_logistic(highest(len(y), bag, value, bias), y, rare)
     return Machine(names, mapping @ w, bias, slopes, shift)
 

@@ -305,3 +305,24 @@ def test_lines_made_to_collide():
     text = word + "\n" + word.translate(str.maketrans("ab", "ba"))
     counts = quality.text_counts([text])
     assert tuple(int(counts[c][0]) for c in quality.COUNTS) == plain_counts(text) and counts["n_dup_lines"][0] == 0
+
+
+def test_landmarks_are_picked_without_a_table_of_all_candidates():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    strings = sorted({"".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), rng.integers(3, 25))) for _ in range(3000)})
+    strings += [strings[7] + "s", "--", strings[9][:-1]]
+    few = strings[:400] + strings[-3:]
+    every, free, dense = toxicity.Landmarks(few), np.ones(len(few), bool), []
+    for i in range(len(few)):
+        if free[i] and every.values[:, i].any():
+            dense.append(i)
+            free &= every.values.T @ every.values[:, i] < 0.8
+    assert toxicity.apart(few, 10_000) == dense and toxicity.apart(few, 5) == dense[:5]
+    assert toxicity.apart([], 5) == []
+    tracemalloc.start()
+    toxicity.apart(strings, 128)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120_000_000  # the table took over 400 MB

@@ -263,7 +263,7 @@ def test_sync_of_a_micro_batch(spark, workspace, tmp_path):
 
 
 def test_pull_stages_short_ids(spark, monkeypatch):
-    whole, odd = "0123456789abcdef" * 2, "Not-Hex"
+    whole, odd = "0123456789abcdef" * 2, "Not hex"
     pages = spark.createDataFrame([(whole, T0, "top"), (odd, T0, whole)], "id string, last_edited_time timestamp, parent_id string")
     registry = spark.createDataFrame([("top", "f", "", True, True)], "id string, folder string, parent_id string, is_root boolean, enabled boolean")
     types = []
@@ -272,4 +272,4 @@ def test_pull_stages_short_ids(spark, monkeypatch):
     nodes = pages.select("id", "parent_id").unionByName(registry.select("id", "parent_id"))
     decided = pull.classify_changes(pages, nodes, registry, chosen)
     assert types[0] == "binary"
-    assert sorted((r["id"], r["folder"], r["decision"]) for r in decided.collect()) == [(whole, "f", "queue"), ("NotHex", "f", "queue")]
+    assert sorted((r["id"], r["folder"], r["decision"]) for r in decided.collect()) == [(whole, "f", "queue"), ("Not hex", "f", "queue")]

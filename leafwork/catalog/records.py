@@ -204,7 +204,9 @@ def line_blocks(views: Views) -> DataFrame:
 
 def entry_records(views: Views) -> DataFrame:
     """One database entry per part, with a property of each kind of text."""
-    part = views["part"]
+    columns = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    # dealt while they are narrow, as many parts fit into one file and entries take long to make
+    part = views["part"].select(*columns).repartition(*columns)
     database = F.md5(F.concat(F.lit("db:"), "p_brand"))
     properties = F.create_map(
         F.lit("Name"), titled(F.col("p_name")),

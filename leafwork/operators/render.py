@@ -240,14 +240,22 @@ def _optional(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
-def direct_entries(databases: DataFrame, entries: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
-    """Entries whose parent is the database: `(database_id, position, entry_id, title)`."""
-    keyed = entries.select(
+def keyed_entries(entries: DataFrame) -> DataFrame:
+    """What lists show of entries, with their parent: `(database_id, position, entry_id, title)`."""
+    return entries.select(
         normalize_id(parent_id(F.col("parent"))).alias("database_id"),
         "position",
         normalize_id(F.col("id")).alias("entry_id"),
         entry_title(F.col("properties")).alias("title"),
     )
+
+
+def direct_entries(databases: DataFrame, entries: DataFrame, *, floor: int = HOT_FLOOR) -> DataFrame:
+    """Entries whose parent is the database: `(database_id, position, entry_id, title)`.
+
+    The entries come as they were landed, or from `keyed_entries`.
+    """
+    keyed = entries if "database_id" in entries.columns else keyed_entries(entries)
     known = databases.select(normalize_id(F.col("id")).alias("d_id"))
     return lookup(keyed, known, "database_id", "d_id", how="inner", floor=floor).drop("d_id")
 
@@ -292,7 +300,9 @@ def render_databases(
         if header
         else F.lit("")
     )
-    heads = databases.select(
+    # staged, as is the list: titles are looked for once, and joins see how few databases there are. By
+    # estimate joined databases are many, and the driver would broadcast their entries instead
+    heads = staged(databases.select(
         normalize_id(F.col("id")).alias("page_id"),
         "file_path",
         F.concat(
@@ -301,8 +311,10 @@ def render_databases(
             F.when(description != "", F.concat(description, F.lit("\n\n"))).otherwise(""),
         ).alias("head"),
         stem(F.col("file_path")).alias("base"),
-    )
-    listed = direct_entries(databases, entries, floor=floor)
+    ))
+    listed = direct_entries(heads.select(F.col("page_id").alias("id")), entries, floor=floor)
+    if "database_id" not in entries.columns:
+        listed = staged(listed)
     bases = heads.select(F.col("page_id").alias("h_id"), "base")
     shown = F.coalesce(blank_to_null(F.col("title")), F.lit("Untitled"))
     links = lookup(listed, bases, "database_id", "h_id", how="inner", floor=floor).select(

@@ -18,7 +18,7 @@ from leafwork.operators.hierarchy import FOUND, nearest_registered, with_roots
 from leafwork.operators.ordering import PART_BYTES, text_hashes
 from leafwork.operators.paths import assign_paths
 from leafwork.operators.queueing import explode_queue, split_errors, with_skips, within_budget
-from leafwork.operators.render import direct_entries, render_databases, render_pages
+from leafwork.operators.render import direct_entries, keyed_entries, render_databases, render_pages
 from leafwork.operators.skew import HOT_FLOOR, lookup
 from leafwork.operators.users import enrich_users
 from leafwork.session import staged
@@ -100,9 +100,13 @@ def workspace_items(ws: Workspace, ids: DataFrame | None = None, *, floor: int =
     containers = ws.blocks.select(
         normalize_id(F.col("block_id")).alias("c_block"), normalize_id(F.col("page_id")).alias("c_page")
     )
-    # only the pages that sit in blocks take part in the join
+    # only the pages that sit in blocks take part in the join, and of the blocks those they sit in
     direct = items.where("block is null").select(*items.columns, F.col("parent").alias("parent_id"))
-    inside = lookup(items.where("block is not null"), containers, "block", "c_block", floor=floor)
+    inside = staged(items.where("block is not null"))
+    if inside.isEmpty():
+        return direct.drop("block", "parent")
+    containers = containers.join(inside.select(F.col("block").alias("c_block")).distinct(), "c_block", "left_semi")
+    inside = lookup(inside, containers, "block", "c_block", floor=floor)
     inside = inside.select(*items.columns, F.col("c_page").alias("parent_id"))
     return direct.unionByName(inside).drop("block", "parent")
 
@@ -157,13 +161,23 @@ def _due_blocks(ws: Workspace, placed: DataFrame) -> DataFrame:
     return normalized(blocks_of(ws.blocks, pages))
 
 
-def discovered_children(ws: Workspace, placed: DataFrame, options: SyncOptions) -> DataFrame:
-    """Child edges of the due items: mentions in pages and entries of databases."""
+def due_entries(ws: Workspace, placed: DataFrame, options: SyncOptions) -> DataFrame:
+    """`keyed_entries` of the databases that are due, staged: lists and child edges read them several times."""
+    wanted = placed.where("type = 'database'").select(F.col("id").alias("w_id")).distinct()
+    return staged(lookup(keyed_entries(ws.entries), wanted, "database_id", "w_id", how="inner", floor=options.floor).drop("w_id"))
+
+
+def discovered_children(ws: Workspace, placed: DataFrame, options: SyncOptions, entries: DataFrame | None = None) -> DataFrame:
+    """Child edges of the due items: mentions in pages and entries of databases.
+
+    `entries` are those of `due_entries`, where they are at hand.
+    """
     floor = options.floor
     databases = ws.databases.join(
         _due(placed, "database", options).select("w_id"), normalize_id(F.col("id")) == F.col("w_id"), "left_semi"
     )
-    entries = direct_entries(databases, ws.entries, floor=floor).select(
+    entries = due_entries(ws, placed, options) if entries is None else entries
+    entries = direct_entries(databases, entries, floor=floor).select(
         F.col("database_id").alias("parent_id"), F.col("position").cast("bigint").alias("position"),
         F.col("entry_id").alias("child_id"),
     )
@@ -212,8 +226,9 @@ def write_items(
         enrich_users(pages, ws.users, floor=floor), blocks, header=options.header,
         version_key=options.version_key, max_level=options.max_level, limit=options.part_bytes, floor=floor,
     )
+    entries = due_entries(ws, placed, options)
     database_documents = render_databases(
-        enrich_users(databases, ws.users, floor=floor), ws.entries, header=options.header,
+        enrich_users(databases, ws.users, floor=floor), entries, header=options.header,
         version_key=options.version_key, limit=options.part_bytes, floor=floor,
     )
     documents = staged(page_documents.unionByName(database_documents))
@@ -223,7 +238,7 @@ def write_items(
         F.lit(options.now).alias("last_synced"), "is_root", "enabled",
         F.coalesce("parent_id", F.lit("")).alias("parent_id"), "content_hash",
     )
-    children = staged(discovered_children(ws, placed, options))
+    children = staged(discovered_children(ws, placed, options, entries))
     child_queue = follow_up(ws, placed, children, options, queue_type=queue_type)
     return Written(documents, registry, children, child_queue, new_files, new_manifests)
 

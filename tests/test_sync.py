@@ -9,6 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafwork import schemas
+from leafwork.catalog import records
+from leafwork.catalog.views import Views
+from leafwork.operators import ordering, render
 from leafwork.operators.users import enrich_users, unknown_users
 from leafwork.plans import maintenance, pull, sync
 from leafwork.session import staged
@@ -273,3 +276,34 @@ def test_pull_stages_short_ids(spark, monkeypatch):
     decided = pull.classify_changes(pages, nodes, registry, chosen)
     assert types[0] == "binary"
     assert sorted((r["id"], r["folder"], r["decision"]) for r in decided.collect()) == [(whole, "f", "queue"), ("Not hex", "f", "queue")]
+
+
+def test_entries_and_blocks_of_new_roots_are_read_once(spark, workspace, tmp_path, monkeypatch):
+    for name in ("entries", "blocks"):
+        getattr(workspace, name).write.parquet(str(tmp_path / name))
+    landed_ws = replace(workspace, entries=spark.read.schema(schemas.ENTRY).parquet(str(tmp_path / "entries")),
+                        blocks=spark.read.schema(schemas.BLOCK).parquet(str(tmp_path / "blocks")))
+    reads, real = [], ordering.staged
+    for module in (ordering, render):
+        monkeypatch.setattr(module, "staged", lambda df: reads.extend(df.inputFiles()) or real(df))
+    wanted = spark.createDataFrame([("db1", "data", True)], "id STRING, folder STRING, force_update BOOLEAN")
+    added = maintenance.add_roots(landed_ws, wanted, OPTIONS)
+    assert reads and not any(f"{tmp_path}/entries/" in file for file in reads)
+    assert [(r["id"], r["file_path"]) for r in added.registry.collect()] == [("db1", "data/tasks.md")]
+    assert [r["child_id"] for r in added.children.collect()] == ["row1"]
+    text = added.documents.first()["content"]
+    assert "page_id:row1" in text
+    # blocks are not joined where no page sits in one
+    nobody = replace(landed_ws, pages=workspace.pages.where("parent.type is null or parent.type <> 'block_id'"))
+    plain, full = sync.workspace_items(nobody), sync.workspace_items(landed_ws)
+    assert not any(f"{tmp_path}/blocks/" in file for file in plain.inputFiles())
+    assert any(f"{tmp_path}/blocks/" in file for file in full.inputFiles())
+
+
+def test_entries_are_made_in_many_tasks(spark, tmp_path):
+    part = [(i, f"name {i}", "Brand#11", "STEEL", i % 50, 1.5) for i in range(20)]
+    ddl = "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"
+    spark.createDataFrame(part, ddl).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    entries = records.entry_records(Views(spark, str(tmp_path)))
+    assert "hashpartitioning(p_partkey" in entries._jdf.queryExecution().executedPlan().toString()
+    assert entries.count() == 20

@@ -91,11 +91,11 @@ def doc_blocks(views: Views) -> DataFrame:
 
     A line with number 3 modulo 8 is a child of the line before it.
     """
-    lines = views["documents"].select(
-        "doc_id", F.size(F.split("text", "\n")).alias("n"),
-        F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
+    page = F.md5(F.concat(F.lit("docpage:"), F.col("doc_id").cast("string"))).alias("page")
+    lines = views["documents"].select("doc_id", page, F.split("text", "\n").alias("lines")).select(
+        "doc_id", "page", F.size("lines").alias("n"), F.posexplode("lines").alias("line_no", "line"),
     )
-    page = F.md5(F.concat(F.lit("docpage:"), F.col("doc_id").cast("string")))
+    page = F.col("page")
 
     def block(line: Column) -> Column:
         return F.md5(F.concat_ws(":", F.lit("block"), F.col("doc_id").cast("string"), line.cast("string")))

@@ -48,11 +48,11 @@ def _is_top() -> Column:
     return F.col("parent_id").isNull() | (F.col("parent_id") == F.col("page_id"))
 
 
-def _slim(blocks: DataFrame) -> DataFrame:
+def _slim(blocks: DataFrame, *further: Column) -> DataFrame:
     return blocks.select(
         "page_id", "block_id", "parent_id", "ordinal", "type", "has_children", "table_width",
         F.coalesce("has_column_header", F.lit(False)).alias("has_column_header"),
-        "payload_present", _child_mode().alias("child_mode"),
+        "payload_present", _child_mode().alias("child_mode"), *further,
     )
 
 
@@ -82,12 +82,14 @@ def nested_context(
     may hold a large share of all blocks, so the join treats hot parents apart. `max_level`
     keeps levels 0 to `max_level` (0 means all levels).
     """
-    top = _top_context(_slim(blocks.where(_is_top())))
-    below = staged(_slim(blocks.where(~_is_top())))
+    # blocks are read once for both; staged, as the optimizer would take exploded rows for few and have the
+    # driver broadcast them
+    slim = _slim(blocks, _is_top().alias("top"))
+    slim = staged(slim.where("not top or (top and has_children)"))
+    below = slim.where("not top").drop("top")
     if below.isEmpty():
         return None
-    # staged, as the optimizer would take exploded rows for few and have the driver broadcast them
-    frontier = staged(top.where("has_children"))
+    frontier = _top_context(slim.where("top").drop("top"))
     levels: list[DataFrame] = []
     while not (max_level and len(levels) == max_level):
         above = frontier.select(

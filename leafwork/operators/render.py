@@ -82,14 +82,18 @@ def fragments(
     named = titles.select(F.col("page_id").alias("n_id"), slug(F.col("title")).alias("page_slug"))
     is_link = F.col("type").isin("child_page", "child_database")
     plain = tree.where(~is_link).withColumn("page_slug", F.lit(None).cast("string"))
-    links = lookup(tree.where(is_link), named, "page_id", "n_id", floor=floor).drop("n_id")
+    # staged, so that the tree is gone through once for links, which most pages have few of
+    links = staged(tree.where(is_link))
+    rows = plain
+    if not links.isEmpty():
+        rows = plain.unionByName(lookup(links, named, "page_id", "n_id", floor=floor).drop("n_id"))
     opening, closing = block_text(F.coalesce("page_slug", F.lit("untitled")), file_url)
     pieces = F.array(
         F.struct(F.col("path"), opening.alias("text")),
         F.struct(F.concat("path", F.array(F.lit(LAST))).alias("path"), closing.alias("text")),
     )
     return (
-        with_texts(plain.unionByName(links))
+        with_texts(rows)
         .select(
             "page_id",
             F.get("path", F.lit(0)).alias("top"),
@@ -229,9 +233,10 @@ def render_pages(
             F.when(F.col("title") != "", F.concat(F.lit("# "), "title", F.lit("\n\n"))).otherwise(""),
         ).alias("head"),
     )
-    pieces = fragments(
+    # staged, as pages are measured before they are put together
+    pieces = staged(fragments(
         blocks, heads.select("page_id", "title"), file_url=file_url, max_level=max_level, floor=floor
-    )
+    ))
     texts = bodies(pieces, limit=limit)
     return _documents(heads, texts)
 

@@ -68,6 +68,7 @@ class Landmarks:
     words: list[str]
     table: np.ndarray = field(init=False)  # feature -> row of `values`, or -1
     values: np.ndarray = field(init=False)
+    entries: tuple[np.ndarray, np.ndarray, np.ndarray] = field(init=False)  # of `values` but zeros: edges of rows, columns, numbers
 
     def __post_init__(self) -> None:
         encoded = [bytes([START]) + w.encode() for w in self.words]
@@ -80,12 +81,34 @@ class Landmarks:
         self.values[row, of] = weight
         norm = np.sqrt((self.values**2).sum(axis=0))
         self.values /= np.where(norm > 0, norm, 1)
+        row, of = np.nonzero(self.values)
+        self.entries = np.searchsorted(row, np.arange(len(found) + 1)), of, self.values[row, of].astype(float)
+
+    def _close(self, string: np.ndarray, row: np.ndarray, weight: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """Which strings, by number from 0, reach nearly CUT with any landmark; strings are in order.
+
+        A feature is in few landmarks, so only the products that are not 0 are made and added up.
+        """
+        edges, of, value = self.entries
+        close = np.zeros(len(norm), bool)
+        width = len(self.words)
+        for a in range(0, len(norm), 1024):
+            b = min(len(norm), a + 1024)
+            part = slice(*np.searchsorted(string, [a, b]))
+            at, count = edges[row[part]], np.diff(edges)[row[part]]
+            first = np.cumsum(count) - count
+            at = np.repeat(at - first, count) + np.arange(count.sum())
+            cell = np.repeat((string[part] - a) * width, count) + of[at]
+            dot = np.bincount(cell, np.repeat(weight[part], count) * value[at], (b - a) * width).reshape(-1, width)
+            close[a:b] = dot.max(axis=1) >= CUT * (1 - 1e-3) * np.sqrt(norm[a:b])
+        return close
 
     def similarities(self, raw: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Strings that are similar to any landmark, and their normalised kernel values.
 
         A string whose features in the table hold too small a part of its norm cannot reach CUT with
-        any landmark (Cauchy-Schwarz), so the kernel is worked out for the others alone.
+        any landmark (Cauchy-Schwarz). Of the others those that come close to it are found by sparse
+        sums, and the kernel with all landmarks is worked out for these alone.
         """
         of, feature, weight = subsequences(raw, owner)
         row = self.table[feature]
@@ -94,6 +117,9 @@ class Landmarks:
         shared = np.bincount(of[known], weight[known] ** 2, n)
         able = (shared >= CUT**2 * norm) & (norm > 0)
         pick = np.flatnonzero(known & able[of])
+        able = np.flatnonzero(able)  # all of them have features in the table
+        close = self._close(np.searchsorted(able, of[pick]), row[pick], weight[pick], norm[able])
+        pick = pick[np.isin(of[pick], able[close])]
         if not len(pick):
             return np.zeros(0, np.int64), np.zeros((0, len(self.words)), np.float32)
         names, first = np.unique(of[pick], return_index=True)

@@ -272,6 +272,41 @@ def test_kernel_equals_plain_sums():
             assert a == pytest.approx(b**toxicity.POWER if b >= toxicity.CUT else 0.0, abs=1e-3)
 
 
+class Counted:
+    """An array that counts the rows taken from it."""
+
+    def __init__(self, values):
+        self.values, self.rows = values, 0
+
+    def __getitem__(self, rows):
+        self.rows += len(rows)
+        return self.values[rows]
+
+
+def test_kernel_is_worked_out_for_close_words_alone():
+    r = random.Random(4)
+    syllables = ("gru", "bb", "ler", "sno", "rk", "wit", "ska", "rn", "vin", "ter", "ment", "ing")
+    marks = toxicity.Landmarks([w[:n] for w in ("grubbler", "snorkwit", "winterling") for n in range(4, len(w) + 1)])
+    words = ["".join(r.choice(syllables) for _ in range(r.randint(1, 5))) for _ in range(3000)] + ["grubbler", "--", "zzz", ""]
+    encoded = [bytes([toxicity.START]) + re.sub("[^a-z]", "", w).encode() for w in words]
+    raw, owner = np.frombuffer(b"".join(encoded), np.uint8), np.repeat(np.arange(len(words)), list(map(len, encoded)))
+    of, feature, weight = toxicity.subsequences(raw, owner)
+    held = marks.table[feature] >= 0
+    dense = np.zeros((len(words), len(marks.values)))
+    dense[of[held], marks.table[feature[held]]] = weight[held]
+    norm = np.sqrt(np.bincount(of, weight**2, len(words)))
+    kernel = dense @ marks.values / np.where(norm > 0, norm, 1)[:, None]
+    assert np.abs(kernel - toxicity.CUT).min() > 1e-6  # none so close that rounding decides
+    wanted = np.flatnonzero(kernel.max(axis=1) >= toxicity.CUT)
+    marks.values = Counted(marks.values)
+    names, values = marks.similarities(raw, owner, len(words))
+    assert names.tolist() == wanted.tolist() and 100 < len(names) < len(words) / 2
+    kernel[kernel < toxicity.CUT] = 0
+    assert np.allclose(values, kernel[wanted] ** toxicity.POWER, atol=1e-5)
+    assert marks.values.rows == (held & np.isin(of, wanted)).sum()  # was for any word of common syllables
+    assert len(marks.similarities(raw[:0], owner[:0], 0)[0]) == len(marks.similarities(raw[-4:], owner[-4:] - owner[-4], 4)[0]) == 0
+
+
 def test_highest_sentences():
     top = toxicity.highest(3, np.array([2, 0, 2, 2, 2]), np.array([0.5, -2.0, 3.0, 1.0, 0.1]), -1.0)
     assert top.tolist() == [[-1.0, -1.0, -1.0], [-1.0, -1.0, -1.0], [3.0, 1.0, 0.5]]

@@ -11,6 +11,7 @@ from leafwork.catalog.records import conform, shaped
 from leafwork.catalog.views import Views
 
 WEB = "https://example.com/"
+CUSTOMERS = 5_000  # whose pages and blocks a task makes
 
 
 def _text(value: Column | str, *marks: str, href: Column | None = None, mention: Column | None = None) -> Column:
@@ -32,6 +33,11 @@ def _web(end: str) -> Column:
     return F.concat(F.lit(WEB + end), F.col("c_custkey").cast("string"))
 
 
+def _dealt(rows: DataFrame, customers: DataFrame) -> DataFrame:
+    """Rows of customers in tasks of few, whatever files they come in: they are narrow, and pages are made of them."""
+    return rows.repartition(customers.count() // CUSTOMERS + 1)
+
+
 def block_id(name: str) -> Column:
     return F.md5(F.concat(F.lit(f"kind:{name}:"), F.col("c_custkey").cast("string")))
 
@@ -100,7 +106,12 @@ def kind_blocks(views: Views) -> DataFrame:
     add("done", "to_do", _text("did"), checked=True)
     add("todo", "to_do", _text("do"), checked=False)
     add("rule", "divider", present=False)
-    return conform(views["fx_customer_row"].select(F.inline(F.array(*rows))), schemas.BLOCK)
+    # in two columns, which have more fields than Spark generates one method for: a method that makes all blocks
+    # is too long for the JVM to compile
+    half = len(rows) // 2
+    customers = views["fx_customer_row"]
+    made = _dealt(customers, customers).select(F.array(*rows[:half]).alias("upper"), F.array(*rows[half:]).alias("lower"))
+    return conform(made.select(F.inline(F.concat("upper", "lower"))), schemas.BLOCK)
 
 
 def _property(kind: str, **values: Column) -> Column:
@@ -159,7 +170,7 @@ def kind_pages(views: Views) -> DataFrame:
     # a page per pair of rows with the same id; only the keys are joined, as the pages are wide
     rows = views["fx_customer_row"]
     again = rows.select(F.col("id").alias("k_id"), F.col("c_custkey").alias("k_custkey")).hint("merge")
-    paired = rows.join(again, F.col("id") == F.col("k_id")).drop("k_id")
+    paired = _dealt(rows.join(again, F.col("id") == F.col("k_id")).drop("k_id"), rows)
     pages = paired.select(
         "id", F.lit("page").alias("object"), F.expr("timestamp '2024-02-01 00:00:00'").alias("last_edited_time"),
         _person(F.concat(F.lit("u-"), key)).alias("created_by"), icon.alias("icon"),

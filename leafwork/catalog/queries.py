@@ -377,7 +377,7 @@ def render_pages(v: Views) -> DataFrame:
 @query
 def render_kinds(v: Views) -> DataFrame:
     """A page per customer with a block of every kind and a property of every type."""
-    return render.render_pages(kinds.kind_pages(v), kinds.kind_blocks(v))
+    return render.render_pages(kinds.kind_pages(v), blocks.prepared(kinds.kind_blocks(v)))
 
 
 @query

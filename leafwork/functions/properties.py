@@ -64,28 +64,10 @@ def property_text(prop: Column) -> Column:
             "url": prop["url"],
             "email": prop["email"],
             "phone_number": prop["phone_number"],
-            "formula": F.when(formula["type"] == "string", formula["string"]).when(
-                formula["type"] == "date", formula["date"]["start"]
-            ),
-            "rollup": F.when(rollup["type"] == "date", rollup["date"]["start"]),
             "created_by": prop["created_by"]["id"],
             "last_edited_by": prop["last_edited_by"]["id"],
             "created_time": prop["created_time"],
             "last_edited_time": prop["last_edited_time"],
-            "unique_id": F.concat(unique["prefix"], F.lit("-"), number),
-        }
-    )
-    numbers = pick(
-        {
-            "number": prop["number"],
-            "formula": F.when(formula["type"] == "number", formula["number"]),
-            "rollup": F.when(rollup["type"] == "number", rollup["number"]),
-        }
-    )
-    flags = pick(
-        {
-            "checkbox": F.coalesce(prop["checkbox"], F.lit(False)),
-            "formula": F.when(formula["type"] == "boolean", formula["boolean"]),
         }
     )
     lists = pick(
@@ -96,25 +78,45 @@ def property_text(prop: Column) -> Column:
         }
     )
     lines = F.transform(lists, lambda v: F.concat(F.lit("    - "), quoted(F.coalesce(v, F.lit("")))))
-    return F.coalesce(
-        quoted(texts),
-        plain_number(numbers),
-        F.when(flags, "true").when(~flags, "false"),
-        F.when(F.size(lines) > 0, F.concat(F.lit("\n"), F.array_join(lines, "\n"))),
-        F.when((kind == "unique_id") & unique.isNotNull(), number),
+
+    def flag(value: Column) -> Column:
+        return F.when(value, "true").when(~value, "false")
+
+    # one type is looked for at a time, as the whole is worked out for every property of every page
+    return (
+        F.when(kind == "number", plain_number(prop["number"]))
+        .when(kind == "checkbox", flag(F.coalesce(prop["checkbox"], F.lit(False))))
+        .when(
+            kind.isin("multi_select", "people", "relation"),
+            F.when(F.size(lines) > 0, F.concat(F.lit("\n"), F.array_join(lines, "\n"))),
+        )
+        .when(
+            kind == "formula",
+            F.when(formula["type"] == "string", quoted(formula["string"]))
+            .when(formula["type"] == "date", quoted(formula["date"]["start"]))
+            .when(formula["type"] == "number", plain_number(formula["number"]))
+            .when(formula["type"] == "boolean", flag(formula["boolean"])),
+        )
+        .when(
+            kind == "rollup",
+            F.when(rollup["type"] == "date", quoted(rollup["date"]["start"])).when(
+                rollup["type"] == "number", plain_number(rollup["number"])
+            ),
+        )
+        .when(
+            kind == "unique_id",
+            F.coalesce(quoted(F.concat(unique["prefix"], F.lit("-"), number)), F.when(unique.isNotNull(), number)),
+        )
+        .otherwise(quoted(texts))
     )
 
 
 def property_lines(properties: Column) -> Column:
     """`  name: value` lines in byte order of the names; empty text when none is filled."""
-    entries = F.array_sort(
-        F.transform(
-            F.map_entries(properties),
-            lambda e: F.struct(e["key"].alias("name"), property_text(e["value"]).alias("text")),
-        )
-    )
-    lines = F.transform(
-        F.filter(entries, lambda e: e["text"].isNotNull() & (e["text"] != "")),
-        lambda e: F.concat(F.lit("  "), e["name"], F.lit(": "), e["text"], F.lit("\n")),
+    entries = F.transform(
+        F.map_entries(properties),
+        lambda e: F.struct(e["key"].alias("name"), property_text(e["value"]).alias("text")),
     )
+    filled = F.sort_array(F.filter(entries, lambda e: e["text"].isNotNull() & (e["text"] != "")))
+    lines = F.transform(filled, lambda e: F.concat(F.lit("  "), e["name"], F.lit(": "), e["text"], F.lit("\n")))
     return F.coalesce(F.array_join(lines, ""), F.lit(""))

@@ -78,9 +78,9 @@ def plain_number(value: Column) -> Column:
     """Shortest decimal digits of a double, never in exponent form, without a trailing `.0`."""
     printed = value.cast("string")
     # the JVM may print more digits than needed, so long forms are tried with 15 and 16 digits
-    rounded = [F.format_string(f"%.{digits}e", value) for digits in (14, 15)]
+    rounded = [F.upper(F.format_string(f"%.{digits}e", value)) for digits in (14, 15)]
     shorter = [F.when(text.cast("double") == value, text) for text in rounded]
-    text = F.upper(F.when(F.length(printed) > 16, F.coalesce(*shorter, printed)).otherwise(printed))
+    text = F.when(F.length(printed) > 16, F.coalesce(*shorter, printed)).otherwise(printed)
 
     def parts(text: Column) -> Column:
         return F.struct(

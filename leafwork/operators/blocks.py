@@ -19,6 +19,7 @@ SAME_DEPTH = ("paragraph", "quote", "callout", "synced_block", "column_list", "c
 DEEPER = ("bulleted_list_item", "numbered_list_item", "to_do")
 HEADINGS = ("heading_1", "heading_2", "heading_3")
 LIST_ITEMS = DEEPER
+LINKS = ("child_page", "child_database")
 NEEDS_NO_PAYLOAD = ("divider", "table_of_contents", "synced_block", "column_list", "column")
 COLLAPSE_START, COLLAPSE_END = "<!-- collapsible: start -->\n", "<!-- collapsible: end -->\n"
 LAST = 2**31 - 1  # sorts after every ordinal
@@ -30,12 +31,12 @@ def normalized(blocks: DataFrame) -> DataFrame:
     return blocks.select(*[normalize_id(F.col(c)).alias(c) if c in keys else c for c in blocks.columns])
 
 
-def _child_mode() -> Column:
+def _child_mode(text: Column) -> Column:
     kind = F.col("type")
     present = F.col("payload_present")
     return (
         F.when(~present & ~kind.isin(*NEEDS_NO_PAYLOAD), "none")
-        .when((kind == "paragraph") & (markdown(F.col("rich_text")) == ""), "none")
+        .when((kind == "paragraph") & (text == ""), "none")
         .when(kind.isin(*SAME_DEPTH), "same")
         .when(kind.isin(*DEEPER), "deeper")
         .when((kind == "toggle") | (kind.isin(*HEADINGS) & F.col("is_toggleable")), "reset")
@@ -48,11 +49,13 @@ def _is_top() -> Column:
     return F.col("parent_id").isNull() | (F.col("parent_id") == F.col("page_id"))
 
 
-def _slim(blocks: DataFrame, *further: Column) -> DataFrame:
+def _slim(blocks: DataFrame, *further: Column, text: str | None = None) -> DataFrame:
+    """What the context of blocks is found from; `text` names the column with their Markdown, if there is one."""
+    shown = markdown(F.col("rich_text")) if text is None else F.col(text)
     return blocks.select(
         "page_id", "block_id", "parent_id", "ordinal", "type", "has_children", "table_width",
         F.coalesce("has_column_header", F.lit(False)).alias("has_column_header"),
-        "payload_present", _child_mode().alias("child_mode"), *further,
+        "payload_present", _child_mode(shown).alias("child_mode"), *further,
     )
 
 
@@ -85,11 +88,22 @@ def nested_context(
     # blocks are read once for both; staged, as the optimizer would take exploded rows for few and have the
     # driver broadcast them
     slim = _slim(blocks, _is_top().alias("top"))
-    slim = staged(slim.where("not top or (top and has_children)"))
+    return slim_context(staged(slim.where("not top or (top and has_children)")), max_level=max_level, floor=floor)
+
+
+# columns that context is found from
+SLIM = (
+    "block_id", "parent_id", "ordinal", "type", "has_children", "table_width", "has_column_header", "payload_present",
+    "child_mode", "top",
+)
+
+
+def slim_context(slim: DataFrame, *, max_level: int = 0, floor: int = HOT_FLOOR) -> DataFrame | None:
+    """`nested_context` of staged blocks with the columns `SLIM`, and of further ones that are handed on."""
     below = slim.where("not top").drop("top")
     if below.isEmpty():
         return None
-    frontier = _top_context(slim.where("top").drop("top"))
+    frontier = _top_context(slim.where("top and has_children").drop("top"))
     levels: list[DataFrame] = []
     while not (max_level and len(levels) == max_level):
         above = frontier.select(
@@ -101,7 +115,7 @@ def nested_context(
         is_row = (F.col("type") == "table_row") & F.col("payload_present")
         step = staged(
             lookup(below, above, "parent_id", "u_id", how="inner", floor=floor).select(
-                *below.columns,
+                *[c for c in below.columns if c != "parent_id"],
                 F.concat("u_path", F.array("ordinal")).alias("path"),
                 (F.col("u_level") + 1).alias("level"),
                 F.when(mode == "deeper", F.col("u_depth") + 1)
@@ -119,6 +133,8 @@ def nested_context(
             break
         levels.append(step)
         frontier = step.where("has_children")
+        if frontier.isEmpty():
+            break
     if not levels:
         return None
     tree = levels[0]
@@ -130,13 +146,17 @@ def nested_context(
 def with_context(
     blocks: DataFrame, *, max_level: int = 0, floor: int = HOT_FLOOR
 ) -> DataFrame:
-    """Blocks with their tree context. Top-level blocks, the bulk, get it without any join."""
-    top = _top_context(blocks.where(_is_top()))
+    """Blocks with their tree context."""
     nested = nested_context(blocks, max_level=max_level, floor=floor)
-    if nested is None:
+    return in_context(blocks.withColumn("top", _is_top()), nested).drop("top")
+
+
+def in_context(blocks: DataFrame, nested: DataFrame | None) -> DataFrame:
+    """Blocks that tell whether they are `top`, with their context. Top-level blocks, the bulk, get it without any join."""
+    top = _top_context(blocks.where("top"))
+    if nested is None:  # none below the top level
         return top
-    inherited = nested.select("block_id", *CONTEXT)
-    return top.unionByName(blocks.where(~_is_top()).join(inherited, "block_id"))
+    return top.unionByName(blocks.where("not top").join(nested.select("block_id", *CONTEXT), "block_id"))
 
 
 def depth_limited(blocks: DataFrame, max_level: int, *, floor: int = HOT_FLOOR) -> DataFrame:
@@ -181,7 +201,7 @@ def child_edges(
     `position` is the rank within the page; children stay rows because one page may have a
     large share of all children.
     """
-    wanted = F.col("type").isin("child_page", "child_database") & F.col("payload_present")
+    wanted = F.col("type").isin(*LINKS) & F.col("payload_present")
     top = _top_context(_slim(blocks.where(_is_top() & wanted)))
     nested = nested_context(blocks, max_level=max_level, floor=floor)
     found = top.select("page_id", "block_id", "path")
@@ -207,7 +227,7 @@ def positions(edges: DataFrame, order: str, *, floor: int = HOT_FLOOR) -> DataFr
 
 
 def with_texts(blocks: DataFrame) -> DataFrame:
-    """Blocks with the texts of their spans, so that the rules of `block_text` stay small."""
+    """Blocks with the texts of their spans, so that the rules of `block_parts` stay small."""
     return blocks.select(
         "*",
         markdown(F.col("rich_text")).alias("text"),
@@ -218,14 +238,43 @@ def with_texts(blocks: DataFrame) -> DataFrame:
     )
 
 
-def block_text(page_slug: Column, file_url: Callable[[Column], Column]) -> tuple[Column, Column]:
-    """Text a block starts with and text that closes it (null where nothing closes).
+def _flat(blocks: DataFrame, file_url: Callable[[Column], Column]) -> DataFrame:
+    """Landed blocks as few flat columns: those of `_slim`, whether they are `top`, and their `block_parts`."""
+    lead, tail, closes = block_parts(file_url)
+    cells = F.when(F.col("type") == "table_row", F.transform("cells", markdown))
+    slim = _slim(with_texts(blocks), _is_top().alias("top"), lead.alias("lead"), tail.alias("tail"), closes.alias("closes"),
+                 cells.alias("cells"), text="text")
+    # ids that no join looks at, those of most blocks, are left out
+    joined = {"block_id": F.when(~F.col("top") | F.col("has_children"), F.col("block_id")),
+              "parent_id": F.when(~F.col("top"), F.col("parent_id"))}
+    return slim.where("top is not null").withColumns(joined)
+
 
-    Refers to the columns that `with_texts` adds.
+def prepared(blocks: DataFrame, *, file_url: Callable[[Column], Column] = lambda url: url) -> DataFrame:
+    """Blocks with what they show apart from their context, staged: for blocks that are dear to make.
+
+    They are made, and their spans gone through, once; landed blocks can be read again for less.
+    """
+    return staged(_flat(blocks, file_url))
+
+
+def split(blocks: DataFrame, file_url: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged blocks, landed or `prepared`: those of the tree with columns `SLIM`, links to child pages, and the others."""
+    is_link = F.col("type").isin(*LINKS)
+    if "child_mode" in blocks.columns:
+        return blocks.select(*SLIM), blocks.where(is_link), blocks.where(~is_link)
+    tree = _slim(blocks, _is_top().alias("top")).where("not top or (top and has_children)").select(*SLIM)
+    flat = _flat(blocks, file_url)
+    return staged(tree), staged(flat.where(is_link)), staged(flat.where(~is_link))
+
+
+def block_parts(file_url: Callable[[Column], Column]) -> tuple[Column, Column, Column]:
+    """What a block shows apart from its context: `lead`, `tail` (of links to child pages) and whether it closes.
+
+    Refers to the columns that `with_texts` adds. `block_text` puts them together.
     """
     kind = F.col("type")
     text, plain, caption = F.col("text"), F.col("plain"), F.col("caption_text")
-    indent = F.repeat(F.lit("  "), F.col("depth"))
     own_id = normalize_id(F.col("block_id"))
     url = file_url(F.coalesce("external_url", "file_url", F.lit("")))
     newline = F.lit("\n")
@@ -249,34 +298,21 @@ def block_text(page_slug: Column, file_url: Callable[[Column], Column]) -> tuple
         return F.concat(F.lit("> "), first, F.replace(text, newline, F.lit("\n> ")), newline)
 
     emoji = blank(F.concat(F.nullif(F.col("emoji"), F.lit("")), F.lit(" ")), "")
-    child = F.concat(F.lit("- ["), F.col("label"), F.lit("](./"), page_slug, F.lit("/"), F.col("label_slug"),
-                     F.lit(".md)"), page_comment(F.col("block_id")))
+    child = F.concat(F.lit("- ["), F.col("label"), F.lit("](./"))
     link_page, link_database = F.nullif("link_page_id", F.lit("")), F.nullif("link_database_id", F.lit(""))
     language = F.when(F.col("language") == "plain text", "").otherwise(
         F.coalesce("language", F.lit(""))
     )
-    cells = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.col("row_width"), F.lit(1)) - 1),
-        lambda at: F.concat(F.lit(" "), markdown(F.get(F.col("cells"), at)), F.lit(" |")),
-    )
-    row = F.concat(
-        F.lit("|"),
-        F.when(F.col("row_width") > 0, F.array_join(cells, "")).otherwise(""),
-        newline,
-        F.when(F.col("header_row"),
-               F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("row_width")), newline))
-        .otherwise(""),
-    )
     web = F.coalesce("url", F.lit(""))
     arms: dict[str, Column] = {
         "paragraph": F.concat(text, newline),
         "heading_1": heading(1),
         "heading_2": heading(2),
         "heading_3": heading(3),
-        "bulleted_list_item": F.concat(indent, F.lit("- "), text, newline),
-        "numbered_list_item": F.concat(indent, F.lit("1. "), text, newline),
+        "bulleted_list_item": F.concat(F.lit("- "), text, newline),
+        "numbered_list_item": F.concat(F.lit("1. "), text, newline),
         "to_do": F.concat(
-            indent, F.when(F.col("checked"), "- [x] ").otherwise("- [ ] "), text, newline
+            F.when(F.col("checked"), "- [x] ").otherwise("- [ ] "), text, newline
         ),
         "toggle": F.concat(F.lit(COLLAPSE_START + "**"), text, F.lit("**\n\n")),
         "code": F.concat(F.lit("```"), language, newline, plain, F.lit("\n```\n")),
@@ -304,7 +340,6 @@ def block_text(page_slug: Column, file_url: Callable[[Column], Column]) -> tuple
         F.when(kind == "divider", F.lit("---\n"))
         .when(kind == "table_of_contents", F.lit("[TOC]\n"))
         .when(~F.col("payload_present"), F.when(kind == "paragraph", newline).otherwise(""))
-        .when((kind == "table_row") & F.col("row_width").isNotNull(), row)
     )
     for name, value in arms.items():
         opening = opening.when(kind == name, F.coalesce(value, F.lit("")))
@@ -312,4 +347,29 @@ def block_text(page_slug: Column, file_url: Callable[[Column], Column]) -> tuple
     closes = F.col("payload_present") & (
         (kind == "toggle") | (kind.isin(*HEADINGS) & F.col("is_toggleable"))
     )
-    return opening, F.when(closes, COLLAPSE_END)
+    tail = F.concat(F.lit("/"), F.col("label_slug"), F.lit(".md)"), page_comment(F.col("block_id")))
+    return opening, F.when(kind.isin(*LINKS), tail), closes
+
+
+def block_text(page_slug: Column) -> Column:
+    """Text a block starts with: its `block_parts` with indentation, the place of child pages, or the cells of a row."""
+    kind, lead = F.col("type"), F.col("lead")
+    shown = F.coalesce("payload_present", F.lit(True))
+    cells = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.col("row_width"), F.lit(1)) - 1),
+        lambda at: F.concat(F.lit(" "), F.coalesce(F.get(F.col("cells"), at), F.lit("")), F.lit(" |")),
+    )
+    row = F.concat(
+        F.lit("|"),
+        F.when(F.col("row_width") > 0, F.array_join(cells, "")).otherwise(""),
+        F.lit("\n"),
+        F.when(F.col("header_row"),
+               F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("row_width")), F.lit("\n")))
+        .otherwise(""),
+    )
+    return (
+        F.when(shown & kind.isin(*LIST_ITEMS), F.concat(F.repeat(F.lit("  "), F.col("depth")), lead))
+        .when(shown & kind.isin(*LINKS), F.coalesce(F.concat(lead, page_slug, F.col("tail")), F.lit("")))
+        .when(shown & (kind == "table_row") & F.col("row_width").isNotNull(), row)
+        .otherwise(lead)
+    )

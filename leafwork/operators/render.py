@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from leafwork.functions.ids import blank_to_null, normalize_id, parent_id
 from leafwork.functions.paths import stem
 from leafwork.functions.properties import entry_title, page_title, property_lines
 from leafwork.functions.richtext import icon_text, plain_text, user_label
-from leafwork.functions.text import quoted, rfc3339, slug
-from leafwork.operators.blocks import LAST, LIST_ITEMS, block_text, with_context, with_texts
+from leafwork.functions.text import bound, quoted, rfc3339, slug
+from leafwork.operators.blocks import COLLAPSE_END, LAST, LIST_ITEMS, block_text, in_context, slim_context, split
 from leafwork.operators.ordering import PART_BYTES, in_parts, ordered_text, oversized, with_index
 from leafwork.operators.skew import HOT_FLOOR, lookup
 from leafwork.session import staged
@@ -57,9 +58,7 @@ def metadata_header(row: dict[str, Column], version_key: str = "tool_version") -
         line("notion_url", F.coalesce(row["url"], F.lit(""))),
         line("simplified_depth", row["simplified_depth"].cast("string"), row["simplified_depth"] > 0),
         optional("download_duration", row["download_duration"]),
-        F.when(
-            row["is_entry"] & (properties != ""), F.concat(F.lit("properties:\n"), properties)
-        ),
+        F.when(row["is_entry"], bound(properties, lambda lines: F.when(lines != "", F.concat(F.lit("properties:\n"), lines)))),
         F.lit("---\n\n"),
     ]
     return F.concat(*[F.coalesce(part, F.lit("")) for part in parts])
@@ -75,30 +74,38 @@ def fragments(
 ) -> DataFrame:
     """Text pieces of all visible blocks: `(page_id, top, is_list, path, text)`.
 
+    The blocks come as they were landed, or `prepared`, with `file_url` applied then.
     `titles(page_id, title)` is only joined to links to child pages, which are placed in a
     directory named after the title of the page they are on.
     """
-    tree = with_context(blocks, max_level=max_level, floor=floor).where("visible")
     named = titles.select(F.col("page_id").alias("n_id"), slug(F.col("title")).alias("page_slug"))
-    is_link = F.col("type").isin("child_page", "child_database")
-    plain = tree.where(~is_link).withColumn("page_slug", F.lit(None).cast("string"))
-    # staged, so that the tree is gone through once for links, which most pages have few of
-    links = staged(tree.where(is_link))
-    rows = plain
+    tree, links, plain = split(blocks, file_url)
+    nested = slim_context(tree, max_level=max_level, floor=floor)
+    rows = []
+    if nested is not None:
+        rows.append(in_context(plain.where("not top"), nested).withColumn("page_slug", F.lit(None).cast("string")))
     if not links.isEmpty():
-        rows = plain.unionByName(lookup(links, named, "page_id", "n_id", floor=floor).drop("n_id"))
-    opening, closing = block_text(F.coalesce("page_slug", F.lit("untitled")), file_url)
-    pieces = F.array(
-        F.struct(F.col("path"), opening.alias("text")),
-        F.struct(F.concat("path", F.array(F.lit(LAST))).alias("path"), closing.alias("text")),
-    )
+        below = None if links.where("not top").isEmpty() else nested
+        # staged, as keys are counted before the join
+        links = staged(in_context(links, below).where("visible"))
+        rows.append(lookup(links, named, "page_id", "n_id", floor=floor).drop("n_id"))
+    tops = in_context(plain.where("top"), None).withColumn("page_slug", F.lit(None).cast("string"))
+    # pieces are read more than once: those of the bulk are staged already, the others are after their joins
+    joined = [staged(_pieces(part)) for part in rows]
+    return reduce(DataFrame.unionByName, joined, _pieces(tops))
+
+
+def _pieces(rows: DataFrame) -> DataFrame:
+    """Pieces of the visible blocks among `rows`: what opens a block, and what closes it after all that is below it."""
+    opened = rows.where("visible").select("*", block_text(F.coalesce("page_slug", F.lit("untitled"))).alias("opening"))
+    opening = F.struct(F.col("path"), F.col("opening").alias("text"))
+    closing = F.struct(F.concat("path", F.array(F.lit(LAST))).alias("path"), F.lit(COLLAPSE_END).alias("text"))
     return (
-        with_texts(rows)
-        .select(
+        opened.select(
             "page_id",
             F.get("path", F.lit(0)).alias("top"),
             ((F.col("level") == 0) & F.col("type").isin(*LIST_ITEMS)).alias("is_list"),
-            F.explode(F.filter(pieces, lambda p: p["text"].isNotNull())).alias("piece"),
+            F.explode(F.when(F.col("closes"), F.array(opening, closing)).otherwise(F.array(opening))).alias("piece"),
         )
         .select("page_id", "top", "is_list", "piece.path", "piece.text")
     )
@@ -132,10 +139,7 @@ def bodies(pieces: DataFrame, *, limit: int = PART_BYTES) -> DataFrame:
         .groupBy("page_id", "top")
         .agg(
             F.bool_or("is_list").alias("is_list"),
-            F.array_join(
-                F.transform(F.sort_array(F.collect_list(F.struct("path", "text"))), lambda p: p["text"]),
-                "",
-            ).alias("content"),
+            F.array_join(F.sort_array(F.collect_list(F.struct("path", "text")))["text"], "").alias("content"),
         )
     )
     small = (
@@ -193,8 +197,10 @@ def render_pages(
     `pages` are page records with the placement columns `folder, file_path, last_synced, is_root,
     resolved_parent_id` and optionally `simplified_depth` and `download_duration`.
     """
-    title = page_title(F.col("properties"))
-    heads = pages.select(
+    pages = pages.withColumn("_title", page_title(F.col("properties")))
+    title = F.col("_title")
+    # staged, as properties are gone through once for headers and for the titles that links are placed by
+    heads = staged(pages.select(
         normalize_id(F.col("id")).alias("page_id"),
         "file_path",
         title.alias("title"),
@@ -232,11 +238,8 @@ def render_pages(
             "header",
             F.when(F.col("title") != "", F.concat(F.lit("# "), "title", F.lit("\n\n"))).otherwise(""),
         ).alias("head"),
-    )
-    # staged, as pages are measured before they are put together
-    pieces = staged(fragments(
-        blocks, heads.select("page_id", "title"), file_url=file_url, max_level=max_level, floor=floor
     ))
+    pieces = fragments(blocks, heads.select("page_id", "title"), file_url=file_url, max_level=max_level, floor=floor)
     texts = bodies(pieces, limit=limit)
     return _documents(heads, texts)
 
